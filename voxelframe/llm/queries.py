@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import chat, language, packing, token_files, warc
+from voxelframe.llm import chat, language, near_dups, packing, token_files, warc
 from voxelframe.llm._store import new_path
 
 
@@ -41,6 +41,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(length, F.col("t").eqNullSafe(F.col("conv_id"))).drop("t")
 
 
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, word_bpe(), end_id=2)
@@ -53,5 +57,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op6_chat, op9_token_files, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op6_chat, op7_near_dups, op9_token_files, op10_language)}
 ORACLE_SQL: dict[str, str] = {}
