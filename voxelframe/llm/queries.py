@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import chat, language, near_dups, packing, token_files, warc
+from voxelframe.llm import chat, language, near_dups, packing, token_files, vectors, warc
 from voxelframe.llm._store import new_path
 
 
@@ -29,6 +29,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), end_id=1, capacity=4096)
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -57,5 +61,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op6_chat, op7_near_dups, op9_token_files, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op3_vectors, op6_chat, op7_near_dups, op9_token_files, op10_language)}
 ORACLE_SQL: dict[str, str] = {}
