@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import chat, language, near_dups, packing, token_files, vectors, warc
+from voxelframe.llm import chat, language, near_dups, packing, substrings, token_files, vectors, warc
 from voxelframe.llm._store import new_path
 
 
@@ -49,6 +49,11 @@ def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=75)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_words(table(spark, sf_dir, "documents"), size=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, word_bpe(), end_id=2)
@@ -61,5 +66,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op3_vectors, op6_chat, op7_near_dups, op9_token_files, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op3_vectors, op6_chat, op7_near_dups, op8_substrings, op9_token_files, op10_language)}
 ORACLE_SQL: dict[str, str] = {}
