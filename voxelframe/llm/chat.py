@@ -43,13 +43,13 @@ def root_paths(messages: DataFrame) -> DataFrame:
     inner = up.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = up.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     paths = checkpointed(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance")))
-    step = 1
-    while up.where("up IS NOT NULL").limit(1).count():
-        jump = up.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    up, step = up.where("up IS NOT NULL"), 1
+    while up.limit(1).count():
+        jump = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         longer = paths.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("distance") + step).alias("distance"))
         paths = checkpointed(paths.unionByName(longer))
         further = jump.select("t", F.col("n").alias("m"), F.col("up").alias("far"))
-        up = checkpointed(up.join(further, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")), "left").select("tree", "node", F.col("far").alias("up")))
+        up = checkpointed(up.join(further, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m"))).select("tree", "node", F.col("far").alias("up")))
         step *= 2
     return paths
 
