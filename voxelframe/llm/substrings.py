@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.llm._store import written
-from voxelframe.llm._text import BLANKS, U, mix, runs, slices, spread, words
+from voxelframe.llm._text import _SLOTS, BLANKS, U, mix, runs, slices, spread, words
 
 CHUNK = 2 << 20  # bytes of text in which equal windows are found before anything travels
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
-SENT = "bucket long, owner array<long>, hash array<long>, begin array<int>, packed binary"
-FLAGS = "doc_id long, text_hash long, spans array<int>"
+GRAM = 3  # words of a minimiser
+
+SENT = "bucket long, deal int, n int, packed binary"
+FLAGS = "doc_id long, text_hash int, spans array<int>"
 
 
 def _firsts(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,21 +41,35 @@ def _spans(row: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return row[begin], at[begin], at[end] + size
 
 
-def _least_words(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Of each window that begins at a word `at`, its smallest word hash, by doubling."""
-    step, least = 1, hashes
-    while 2 * step <= size:
+def _minimisers(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Of each window that begins at a word `at`, the smallest hash of its runs of GRAM words, by doubling."""
+    gram = min(GRAM, size)
+    least = np.zeros(len(hashes) - gram + 1, U)
+    with np.errstate(over="ignore"):
+        for j in range(gram):
+            least += hashes[j : len(hashes) - gram + 1 + j] * _SLOTS[j]
+    least, step, many = mix(least), 1, size - gram + 1
+    while 2 * step <= many:
         least = np.minimum(least[: len(least) - step], least[step:])
         step *= 2
-    return np.minimum(least[at], least[at + size - step])
+    return np.minimum(least[at], least[at + many - step])
+
+
+def _packed(owner: np.ndarray, mark: np.ndarray, begin: np.ndarray, text: bytes) -> bytes:
+    return owner.astype("<i8").tobytes() + mark.astype("<i4").tobytes() + begin.astype("<i4").tobytes() + text
+
+
+def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    return np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i4", n, 8 * n), np.frombuffer(data, "<i4", n, 12 * n), data[16 * n :]
 
 
 def super_kmers(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """For each chunk of texts: a row for each bucket with its super-k-mers, and rows of windows already known to repeat.
 
     Of a window that several documents of a chunk have, only its occurrences in the smallest doc_id travel; the others
-    are flagged here (bucket -1). A super-k-mer is the longest run of travelling windows with one minimiser, the smallest word
-    hash; it goes as its words, parted by one space, to the minimiser's bucket.
+    are flagged here (bucket -1). A super-k-mer is the longest run of travelling windows with one minimiser, the smallest
+    hash of GRAM words; it goes as its words, parted by one space, to the minimiser's bucket. Several words make a
+    minimiser, as a single frequent word would gather most windows in one bucket.
     """
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch, texts in slices(batches, "text", CHUNK):
@@ -67,14 +83,14 @@ def super_kmers(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> I
         marks = batch.column("text_hash").to_numpy()
         group, least = _firsts(window, ids[row])
         late = ids[row] > least[group]
-        columns: tuple[list, ...] = ([], [], [], [], [])
+        columns: tuple[list, ...] = ([], [], [], [])
         r, a, b = _spans(row[late], at[late] - w.first[row[late]], size)
         if len(r):
-            for column, value in zip(columns, (-1, ids[r], marks[r], np.column_stack([a, b]).ravel().astype(np.int32), b""), strict=True):
+            for column, value in zip(columns, (-1, int(ids[r[0]] % (1 << 31)), len(r), squeeze.compress(_packed(ids[r], marks[r], a, b.astype("<i4").tobytes()))), strict=True):
                 column.append(value)
         at, row = at[~late], row[~late]
         if len(at):
-            least = _least_words(hashes, at, size)
+            least = _minimisers(hashes, at, size)
             new = np.ones(len(at), bool)
             new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
             first = np.flatnonzero(new)
@@ -97,11 +113,11 @@ def super_kmers(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> I
             for c, d in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
                 part = row[first[c:d]]
                 lo = ends[c - 1] if c else 0
-                values = (int(bucket[c]), ids[part], marks[part], (begin[c:d] - w.first[part]).astype(np.int32), squeeze.compress(packed[lo : ends[d - 1]].tobytes()))
+                values = (int(bucket[c]), 0, d - c, squeeze.compress(_packed(ids[part], marks[part], begin[c:d] - w.first[part], packed[lo : ends[d - 1]].tobytes())))
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), *(pa.array(columns[k], pa.list_(t)) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))), pa.array(columns[4], pa.binary())], ["bucket", "owner", "hash", "begin", "packed"]
+            [pa.array(column, kind) for column, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "deal", "n", "packed"]
         )
 
 
@@ -113,32 +129,34 @@ def _flagged(ids: np.ndarray, marks: np.ndarray, spans: np.ndarray) -> pa.Record
     new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
     begin = np.flatnonzero(new)
     lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)) * 2, pa.int32()), pa.array(spans.ravel().astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(ids[begin], pa.int64()), pa.array(marks[begin], pa.int64()), lists], ["doc_id", "text_hash", "spans"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[begin], pa.int64()), pa.array(marks[begin], pa.int32()), lists], ["doc_id", "text_hash", "spans"])
 
 
 def counted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Flags of each bucket's windows; rows are sorted by bucket."""
+    plain = zstandard.ZstdDecompressor()
     held: list[tuple] = []
+    last = -1
     for batch in batches:
-        for k in range(batch.num_rows):
-            bucket, owner, mark, begin, packed = (batch.column(c)[k] for c in range(5))
-            bucket, owner, mark, begin = bucket.as_py(), owner.values.to_numpy(), mark.values.to_numpy(), begin.values.to_numpy()
+        for bucket, n, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "packed")), strict=True):
+            owner, mark, begin, rest = _unpacked(n, plain.decompress(packed))
             if bucket < 0:
-                yield _flagged(owner, mark, begin.reshape(-1, 2))
+                yield _flagged(owner, mark, np.column_stack([begin, np.frombuffer(rest, "<i4")]))
                 continue
-            if held and held[0][0] != bucket:
+            if bucket != last and held:
                 yield from _bucket(held, size)
                 held = []
-            held.append((bucket, owner, mark, begin, packed.as_py()))
+            last = bucket
+            held.append((owner, mark, begin, rest))
     if held:
         yield from _bucket(held, size)
 
 
 def _bucket(held: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
-    """Unpack, sort the windows, and flag those of documents beyond each window's smallest."""
-    plain = zstandard.ZstdDecompressor()
-    data = b"".join(plain.decompress(x[4]) for x in held)
-    owner, mark, begin = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+    """Sort the windows of a bucket's super-k-mers, and flag those of documents beyond each window's smallest."""
+    owner, mark, begin = (np.concatenate([x[k] for x in held]) for k in range(3))
+    data = b"".join(x[3] for x in held)
+    held.clear()
     # a super-k-mer ends in two blanks; every other blank ends a word
     raw = np.frombuffer(data, np.uint8)
     double = np.flatnonzero((raw[:-1] == 32) & (raw[1:] == 32)) + 2
@@ -183,11 +201,11 @@ def repeated_words(docs: DataFrame, size: int = 13, buckets: int | None = None)
     very many documents have comes once from each chunk of texts, not once from each document.
     """
     spark = docs.sparkSession
-    given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    given = docs.select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("text_hash"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     many = buckets or 8 * parts
     sent = given.mapInArrow(lambda it: super_kmers(it, size, many), SENT)
-    dealt = sent.repartition("bucket", F.when(F.col("bucket") < 0, F.xxhash64("hash"))).sortWithinPartitions("bucket")
+    dealt = sent.repartition("bucket", "deal").sortWithinPartitions("bucket")
     flags = written(dealt.mapInArrow(lambda it: counted(it, size), FLAGS), "repeats")
     spans = flags.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumnRenamed("doc_id", "id")
     key = F.coalesce("doc_id", F.lit(int(LAST)))
