@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import chat, decontaminate, language, near_dups, packing, substrings, token_files, vectors, warc
+from voxelframe.llm import chat, decontaminate, language, lines, near_dups, packing, substrings, token_files, vectors, warc
 from voxelframe.llm._store import new_path
 
 
@@ -62,6 +62,35 @@ FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
 """
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_template_lines(table(spark, sf_dir, "documents"), depth=4, least_docs=3, literal=0.7)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, k AS pos, trim(regexp_replace(parts[k], '\s+', ' ', 'g'), ' ') AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+m AS (SELECT doc_id, pos, string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS w FROM l WHERE line <> ''),
+keyed AS (SELECT doc_id, pos, w, len(w) AS n, list_slice(w, 1, 4) AS lead FROM m),
+leaves AS (SELECT n, lead FROM keyed GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 3),
+shared AS (SELECT keyed.* FROM keyed JOIN leaves USING (n, lead)),
+tokens AS (SELECT n, lead, w, doc_id, pos, unnest(range(1, n + 1)) AS k FROM shared),
+common AS (SELECT n, lead, k, w[k] AS token FROM tokens WHERE w[k] <> '<*>' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+words AS (
+  SELECT t.n, t.lead, t.doc_id, t.pos, t.k, CASE WHEN c.token IS NOT NULL THEN c.token ELSE '<*>' END AS word, c.token IS NOT NULL AS own
+  FROM tokens t LEFT JOIN common c ON t.n = c.n AND t.lead = c.lead AND t.k = c.k AND t.w[t.k] = c.token),
+placed AS (SELECT n, lead, doc_id, pos, list(word ORDER BY k) AS template FROM words GROUP BY n, lead, doc_id, pos HAVING count(*) FILTER (own) >= 0.7 * n),
+often AS (SELECT n, lead, template, min((doc_id, pos)) AS first FROM placed GROUP BY n, lead, template HAVING count(DISTINCT doc_id) >= 3),
+dropped AS (SELECT doc_id, pos FROM placed JOIN often USING (n, lead, template) WHERE (doc_id, pos) <> first),
+parts AS (SELECT doc_id, list(pos) AS ats FROM dropped GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ats), 0) AS BIGINT) AS n_dropped,
+  sha256(CASE WHEN ats IS NULL THEN coalesce(text, '') ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1),
+    lambda k: NOT list_contains(ats, k)), lambda k: string_split(text, chr(10))[k]), chr(10)), '') END) AS kept_sha256
+FROM documents d LEFT JOIN parts USING (doc_id)
+"""
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -95,5 +124,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op3_vectors, op4_decontaminate, op6_chat, op7_near_dups, op8_substrings, op9_token_files, op10_language)}
-ORACLE_SQL = {"op4_decontaminate": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op3_vectors, op4_decontaminate, op5_lines, op6_chat, op7_near_dups, op8_substrings, op9_token_files, op10_language)}
+ORACLE_SQL = {"op4_decontaminate": OP4_SQL, "op5_lines": OP5_SQL}
