@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from voxelframe.llm._store import written
 
 FIELD = "<*>"
+#: Recurring leaves are broadcast up to so many (16 bytes each); beyond, the lines are shuffled to them.
+MOST_BROADCAST = 1_000_000
 
 
 def _masked(line: Column) -> Column:
@@ -26,7 +28,7 @@ def drop_template_lines(docs: DataFrame, depth: int = 4, least_docs: int = 3, li
     template's first line, by doc_id and place, stays, so one copy of everything is kept. A null text stays null, with no
     lines. Rows with one doc_id count as one document; rows with a null doc_id are compared with nothing.
 
-    Only leaves that recur are looked at token by token. Leaves and templates are counted after a partial aggregation, so a line that
+    Only lines of leaves that recur travel, and equal ones are split once. Leaves and templates are counted after a partial aggregation, so a line that
     very many documents have is one row from each task.
     """
     kept = docs.drop("n_lines", "n_dropped")
@@ -37,18 +39,25 @@ def drop_template_lines(docs: DataFrame, depth: int = 4, least_docs: int = 3, li
     spaces = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1
     leaf = F.xxhash64(spaces, F.substring_index("line", " ", depth))
     keyed = masked.select("doc_id", "text_key", "at", "line", leaf.alias("leaf"))
-    many = _in_documents(keyed.select("leaf", "doc_id"), ["leaf"], least_docs)
-    shared = written(keyed.join(many, "leaf"), "shared-lines")
+    many = written(_in_documents(keyed.select("leaf", "doc_id"), ["leaf"], least_docs), "leaves")
+    small = F.broadcast if many.count() <= MOST_BROADCAST else (lambda df: df)
+    shared = written(keyed.join(small(many), "leaf").withColumn("line_key", F.xxhash64("line")), "shared-lines")
 
-    distinct = shared.select("leaf", "line").distinct()
-    tokens = shared.select("leaf", "doc_id", "line").distinct().select("leaf", "doc_id", F.posexplode_outer(F.split("line", " ")).alias("k", "token"))
-    common = _in_documents(tokens.where(F.col("token") != FIELD), ["leaf", "k", "token"], least_docs).withColumn("stays", F.lit(True))
-    parts = distinct.select("leaf", "line", F.posexplode_outer(F.split("line", " ")).alias("k", "token")).join(common, ["leaf", "k", "token"], "left")
+    # equal lines are one row with the number of their documents; only lines of few documents are counted token by token
+    lined = ["leaf", "line_key"]
+    pairs = shared.select(*lined, "doc_id").distinct()
+    docs_of = pairs.groupBy(*lined).agg(F.count("*").alias("n_docs"))
+    distinct = written(shared.groupBy(*lined).agg(F.first("line").alias("line")).join(docs_of, lined), "distinct-lines")
+    token = F.posexplode_outer(F.split("line", " ")).alias("k", "token")
+    often = distinct.where(F.col("n_docs") >= least_docs).select("leaf", token)
+    rare = distinct.where(F.col("n_docs") < least_docs).join(pairs, lined).select("leaf", "doc_id", token)
+    words = ["leaf", "k", "token"]
+    common = often.select(words).distinct().unionByName(_in_documents(rare, words, least_docs)).where(F.col("token") != FIELD).distinct()
+    parts = distinct.select(*lined, token).join(common.withColumn("stays", F.lit(True)), words, "left")
     word = F.when(F.col("stays"), F.col("token")).otherwise(FIELD)
-    templates = parts.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("k", word.alias("word")))).alias("words"), F.count("stays").alias("n_literal"), F.count("*").alias("n"))
-    templates = templates.where(F.col("n_literal") >= literal * F.col("n")).select("leaf", "line", F.xxhash64("leaf", F.array_join(F.transform("words", lambda x: x["word"]), " ")).alias("template"))
-    placed = shared.join(templates, ["leaf", "line"]).select("doc_id", "text_key", "at", "template")
-    placed = written(placed, "templates")
+    templates = parts.groupBy(*lined).agg(F.array_sort(F.collect_list(F.struct("k", word.alias("word")))).alias("words"), F.count("stays").alias("n_literal"), F.count("*").alias("n"))
+    templates = templates.where(F.col("n_literal") >= literal * F.col("n")).select(*lined, F.xxhash64("leaf", F.array_join(F.transform("words", lambda x: x["word"]), " ")).alias("template"))
+    placed = written(shared.select("doc_id", "text_key", "at", *lined).join(templates, lined).select("doc_id", "text_key", "at", "template"), "templates")
     first = F.min(F.struct("doc_id", "at", "text_key")).alias("first")
     recurring = placed.join(_in_documents(placed.select("template", "doc_id"), ["template"], least_docs), "template")
     firsts = recurring.groupBy("template").agg(first)
