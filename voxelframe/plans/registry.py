@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
             begin = sql.lstrip()[:6].upper() == "SELECT"
-            ORACLE_SQL[name] = f"WITH {SQL}{' ' if begin else ', '}{sql}"
+            ORACLE_SQL[name] = f"WITH RECURSIVE {SQL}{' ' if begin else ', '}{sql}"
         return f
 
     return add
