@@ -14,12 +14,11 @@ def values(v):
     return v.vox().select(*AT, F.col("i").alias("value"))
 
 
-#: Two slices and every tenth positive voxel keep the oracle's all-pairs distance small; the query reads every slice of the volume.
-ESD = "p AS (SELECT z, y, x FROM seeds WHERE (x + y + z) % 3 = 0), esd AS (SELECT v.volume_id, v.z, v.y, v.x, sqrt(min((v.z - p.z) * (v.z - p.z) + 0.25 * (v.y - p.y) * (v.y - p.y) + 0.25 * (v.x - p.x) * (v.x - p.x))) AS distance FROM vox v, p GROUP BY 1, 2, 3, 4)"
+ESD = "p AS (SELECT z, y, x FROM seeds), esd AS (SELECT v.volume_id, v.z, v.y, v.x, sqrt(min((v.z - p.z) * (v.z - p.z) + 0.25 * (v.y - p.y) * (v.y - p.y) + 0.25 * (v.x - p.x) * (v.x - p.x))) AS distance FROM vox v, p GROUP BY 1, 2, 3, 4)"
 
 
 def esd(v):
-    on = v.seeds().where("(x + y + z) % 3 = 0").withColumn("positive", F.lit(True))
+    on = v.seeds().withColumn("positive", F.lit(True))
     dense = v.vox().select(*AT).join(on, AT, "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
     return spatial.empty_space_distance(dense, 1.0, 0.5, 0.5)
 
@@ -63,9 +62,9 @@ def w8(v):
 DIAMOND = ", ".join(f"({a}, {b})" for _, a, b in grid.diamond(2))
 
 
-@query("g1_dilation", f"s AS (SELECT * FROM (VALUES {DIAMOND}) t(dy, dx)) SELECT z, y + dy AS y, x + dx AS x, max(label) AS label FROM lab, s WHERE label % 5 = 0 AND y + dy BETWEEN 0 AND 24 AND x + dx BETWEEN 0 AND 63 GROUP BY 1, 2, 3")
+@query("g1_dilation", f"s AS (SELECT * FROM (VALUES {DIAMOND}) t(dy, dx)) SELECT z, y + dy AS y, x + dx AS x, max(label) AS label FROM lab, s WHERE y + dy BETWEEN 0 AND 24 AND x + dx BETWEEN 0 AND 63 GROUP BY 1, 2, 3")
 def g1(v):
-    return grid.dilate(v.lab().where("label % 5 = 0"), grid.diamond(2), v.vmeta()).drop("volume_id")
+    return grid.dilate(v.lab(), grid.diamond(2), v.vmeta()).drop("volume_id")
 
 
 FOLD = "s AS (SELECT dy, dx FROM (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)), near AS (SELECT v.z, v.y, v.x, CASE WHEN v.y + dy < 0 THEN 0 WHEN v.y + dy > 24 THEN 24 ELSE v.y + dy END AS ny, CASE WHEN v.x + dx < 0 THEN 0 WHEN v.x + dx > 63 THEN 63 ELSE v.x + dx END AS nx FROM vox v, s), r AS (SELECT near.z, near.y, near.x, i FROM near JOIN vox ON vox.z = near.z AND vox.y = ny AND vox.x = nx)"
@@ -93,7 +92,7 @@ def g2_closing(v):
 
 @query("g3_membrane")
 def g3(v):
-    return grid.membrane(v.lab().where("label % 9 = 0"), v.vmeta())
+    return grid.membrane(v.lab(), v.vmeta())
 
 
 @query("j24_touching_boundaries", "SELECT DISTINCT a.z, a.y, a.x FROM lab a JOIN lab b ON a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.label <> b.label")
@@ -106,11 +105,11 @@ def g8(v):
     return grid.label_edges(v.lab(), v.vmeta()).drop("volume_id")
 
 
-@query("j7_clear_dilated_blob", "s AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx)), g AS (SELECT DISTINCT z, y + dy AS y, x + dx AS x FROM lab, s WHERE label % 20 = 3) SELECT z, y, x, i FROM vox ANTI JOIN g USING (z, y, x)")
+@query("j7_clear_dilated_blob", "s AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx)), g AS (SELECT DISTINCT z, y + dy AS y, x + dx AS x FROM lab, s WHERE label = 7) SELECT z, y, x, i FROM vox ANTI JOIN g USING (z, y, x)")
 def j7(v):
     from voxelframe.operators.overlap import without_area
 
-    blob = grid.dilate(v.lab().where("label % 20 = 3"), grid.diamond(1), v.vmeta())
+    blob = grid.dilate(v.lab().where("label = 7"), grid.diamond(1), v.vmeta())
     return without_area(v.vox(), blob).drop("volume_id")
 
 

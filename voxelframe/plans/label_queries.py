@@ -40,7 +40,7 @@ def g13_pipeline(v):
 
 @query("g14_split_by_peaks")
 def g14(v):
-    on = v.lab().where("label % 4 = 0").select(*AT)
+    on = v.lab().select(*AT)
     inner = v.vox().select(*AT).join(on.withColumn("on", F.lit(True)), AT, "left").select(*AT, F.col("on").isNull().alias("positive"))
     return labelling.split_by_peaks(on, spatial.empty_space_distance(inner, 1.0, 0.5, 0.5), v.vmeta(), 2)
 
@@ -58,7 +58,7 @@ def g16(v):
 
 @query("a37_connectivity_audit")
 def a37(v):
-    some = v.lab().where("label % 4 = 0")
+    some = v.lab()
     again = labelling.connected_components(some.withColumnRenamed("label", "cell"), v.vmeta(), labelling.ALL, same="cell")
     return rounded(disagreeing(some, again))
 
