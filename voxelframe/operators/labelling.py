@@ -94,9 +94,10 @@ def reconcile_slabs(rows: DataFrame) -> DataFrame:
 
 
 def split_by_peaks(rows: DataFrame, distance: DataFrame, sizes: DataFrame, apart: int = 3) -> DataFrame:
-    """Labels of foreground rows, split where they have several peaks of `distance`: each voxel goes to the nearest peak of its component.
+    """Labels of foreground rows, split where they have several peaks of `distance`: each voxel goes to the peak that it climbs to.
 
-    A peak is a voxel that is the largest within `apart` along y and x of its slice; ties: the first in raster order.
+    A step leads to the largest voxel of the same component within `apart` along y and x of its slice (ties: the first in raster
+    order); a peak leads to itself. Steps are links, so a voxel meets its window only. A label is its basin's first raster position.
     """
     parts = connected_components(rows, sizes).withColumnRenamed("label", "part")
     d = place(sizes, parts.join(distance, AT))
@@ -104,10 +105,12 @@ def split_by_peaks(rows: DataFrame, distance: DataFrame, sizes: DataFrame, apart
     rank = F.struct(F.round("distance", 6).alias("d"), (-F.col("at")).alias("n"))
     seen = d.select("volume_id", "part", "z", F.explode(square).alias("s"), "y", "x", rank.alias("rank")).select("volume_id", "part", "z", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "rank")
     top = seen.groupBy("volume_id", "part", "z", "y", "x").agg(F.max("rank").alias("top"))
-    peaks = d.withColumn("rank", rank).join(top, ["volume_id", "part", *AT[1:]]).where("rank = top").select("volume_id", "part", F.col("z").alias("pz"), F.col("y").alias("py"), F.col("x").alias("px"), F.col("at").alias("peak"))
-    near = d.select(*AT, "part").join(peaks, ["volume_id", "part"])
-    away = sum((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "zyx")
-    return near.groupBy(*AT).agg(F.min_by("peak", F.struct(away.alias("d"), "peak")).alias("label"))
+    own = F.xxhash64("volume_id", "at")
+    steps = d.join(top, ["volume_id", "part", *AT[1:]]).select(*AT, "at", own.alias("a"), F.xxhash64("volume_id", -F.col("top.n")).alias("b"))
+    basins = linked(steps.select("a", "b"))
+    owned = steps.join(basins, F.col("a") == F.col("node"), "left").withColumn("basin", F.coalesce("component", "a"))
+    first = owned.groupBy("volume_id", "basin").agg(F.min("at").alias("label"))
+    return owned.join(first, ["volume_id", "basin"]).select(*AT, "label")
 
 
 def remap(rows: DataFrame, mapping: DataFrame, value: str = "label", zero_unmapped: bool = False) -> DataFrame:
