@@ -77,17 +77,20 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine with squared hinge loss; y is -1 or 1, both sides weigh the same."""
-    mean, scale = x.mean(0), x.std(0) + 1e-5
-    z = np.column_stack([(x - mean) / scale / np.sqrt(x.shape[1]), np.ones(len(x))])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    step = 0.5 / max(1e-12, float((weight * (z * z).sum(1)).sum()) + penalty)
-    w = ahead = np.zeros(z.shape[1])
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-5
+    z = np.ones((len(x), x.shape[1] + 1), np.float32)  # one copy of the rows, in single precision
+    np.subtract(x, mean, out=z[:, :-1], casting="unsafe")
+    z[:, :-1] /= (scale * np.sqrt(x.shape[1])).astype(np.float32)
+    y = y.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    step = 0.5 / max(1e-12, float((weight * np.einsum("ij,ij->i", z, z)).sum()) + penalty)
+    w = ahead = np.zeros(z.shape[1], np.float32)
     t = 1.0
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (z @ ahead))
-        new = ahead - step * (penalty * ahead - 2 * z.T @ (weight * slack * y))
+        new = ahead - np.float32(step) * (np.float32(penalty) * ahead - 2 * ((weight * slack * y) @ z))
         later = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, w, t = new + (t - 1) / later * (new - w), new, later
+        ahead, w, t = new + np.float32((t - 1) / later) * (new - w), new, later
     own = w[:-1] / scale / np.sqrt(x.shape[1])
     return own, float(w[-1] - own @ mean)
 
@@ -101,7 +104,7 @@ class Model:
         self.langs, self.families = sorted(set(langs)), sorted(set(kin.tolist()))
         self.of = {f: [v for v in self.langs if family(v) == f] for f in self.families}
         self.pairs = [(kin, a, b) for a, b in itertools.combinations(self.families, 2)] + [(names, a, b) for f in self.families for a, b in itertools.combinations(self.of[f], 2)]
-        fits = [svm(x[(by == a) | (by == b)].astype(float), np.where(by[(by == a) | (by == b)] == a, 1.0, -1.0)) for by, a, b in self.pairs]
+        fits = [svm(x[(by == a) | (by == b)], np.where(by[(by == a) | (by == b)] == a, 1.0, -1.0)) for by, a, b in self.pairs]
         self.weights = np.array([w for w, _ in fits], np.float32).T.reshape(WIDTH, len(fits)) if fits else np.zeros((WIDTH, 0), np.float32)
         self.bias = np.array([b for _, b in fits])
         self.names = [(a, b) for _, a, b in self.pairs]
@@ -163,9 +166,11 @@ def fit(docs: DataFrame, most: int = 300) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([v.tobytes() for v in _vectors(texts)], pa.binary())], ["lang", "v"])
 
     chosen = docs.where("text IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(rows.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")  # at most `most` ids a language
-    found = sorted((r["lang"], bytes(r["v"])) for r in chosen.mapInArrow(vectors, "lang string, v binary").collect())
-    x = np.array([np.frombuffer(v, np.float32) for _, v in found]).reshape(len(found), WIDTH)
-    return Model(x, [k for k, _ in found])
+    found = chosen.mapInArrow(vectors, "lang string, v binary").toArrow().sort_by([("lang", "ascending"), ("v", "ascending")])
+    x = np.empty((len(found), WIDTH), np.float32)
+    for k, v in enumerate(found.column("v")):
+        x[k] = np.frombuffer(v.as_buffer(), np.float32)
+    return Model(x, found.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

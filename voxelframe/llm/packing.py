@@ -57,15 +57,24 @@ def patterns(counts: np.ndarray) -> np.ndarray:
     there = there[there > 0]
     floor = np.maximum.accumulate(np.where(counts > 0, np.arange(capacity + 1), 0))  # largest present length up to n
     some = np.unique(there[np.linspace(0, len(there) - 1, 512).astype(int)]) if len(there) else there
-    a, b = np.meshgrid(there, some, indexing="ij")
-    three = np.stack([a.ravel(), b.ravel()], 1)
-    three = three[three.sum(1) < capacity]
-    three = np.column_stack([three, floor[capacity - three.sum(1)]])
-    two = np.concatenate([np.column_stack([there, floor[np.maximum(0, capacity - there - k)], np.zeros(len(there), int)]) for k in range(4)]) if len(there) else np.zeros((0, 3), int)
-    found = np.unique(np.sort(np.concatenate([two, three]), axis=1), axis=0)
-    waste = capacity - found.sum(1)
+    base = capacity + 1  # a pattern as one number, so that few arrays are held at once
+    keys = [np.zeros(0, np.int64)]
+    for first in np.array_split(there, 32):
+        a, b = (x.ravel() for x in np.meshgrid(first, some, indexing="ij"))
+        fits = a + b < capacity
+        a, b = a[fits], b[fits]
+        keys.append(_keys(np.column_stack([a, b, floor[capacity - a - b]]), base))
+    keys += [_keys(np.column_stack([there, floor[np.maximum(0, capacity - there - k)], np.zeros_like(there)]), base) for k in range(4)]
+    found = np.unique(np.concatenate(keys))
+    waste = capacity - (found // (base * base) + found // base % base + found % base)
     order = np.lexsort((np.arange(len(found)) * 2654435761 % (1 << 32), waste))  # equal waste: an even mixture
-    return found[order[:MOST_PATTERNS]]
+    found = found[order[:MOST_PATTERNS]]
+    return np.column_stack([found // (base * base), found // base % base, found % base])
+
+
+def _keys(rows: np.ndarray, base: int) -> np.ndarray:
+    rows = np.sort(rows.astype(np.int64), axis=1)
+    return np.unique(rows[:, 0] * base * base + rows[:, 1] * base + rows[:, 2])
 
 
 def fit(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
