@@ -104,7 +104,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=75)
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=75).drop("text_hash")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
