@@ -22,6 +22,7 @@ NEAR = 3  # neighbours of each member in a crowded region, before it is taken ap
 TILE = 768  # members of a part of a region
 STRONG = 0.8  # share of equal values that joins a member to its cluster's leader
 LIKELY = 0.58  # least share of equal values for a pair to be confirmed; 4 standard deviations below 0.75
+ROUNDS = (16, None)  # partners a member may ask for in a tile of the rounds after the first; the last round asks for all
 CHUNK = 512 << 10
 
 _FLIPS = mix(np.arange(1, SIZE + 1, dtype=U)).astype(np.uint32)
@@ -89,9 +90,9 @@ def _region(depth: int) -> Column:
     return F.xxhash64("tree", F.substring("label", 1, depth))
 
 
-def regions(forest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables of (region, members, rep, label): small regions of the first depth, crowded ones of that depth, and all that
-    is compared in tiles.
+def regions(forest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Four tables of (region, members, rep, label): small regions of the first depth, crowded ones of that depth, all that
+    is compared in tiles in the first round, and the regions of the first depth that the later rounds go over.
 
     A region is what shares a prefix in one tree. A crowded one is taken apart by longer prefixes until its parts are not;
     what is still crowded at the largest depth is left whole and compared in tiles like the others.
@@ -107,11 +108,12 @@ def regions(forest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         over = shared.where(F.col("members") > CROWD)
         if not k:
             crowded = over.select(columns)
+            whole = done.where(F.col("members") > FEW).select(columns)
         rest = over.select("rep", "tree", "label")
     small, tiled = parts[0].where(F.col("members") <= FEW), parts[0].where(F.col("members") > FEW)
     for more in parts[1:]:
         tiled = tiled.unionByName(more)
-    return small, crowded, tiled
+    return small, crowded, tiled, whole
 
 
 def _tile() -> Column:
@@ -141,11 +143,11 @@ def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs worth confirming from tiles of regions; rows sorted by (region, part, side).
+    """Pairs to be confirmed first, from tiles of regions; rows sorted by (region, part, side).
 
     Members much like a leader (an earlier member that isn't much like one before it) form its cluster and are paired with
     its first two members: their links to each other add nothing. Beyond its cluster, each member is paired with the
-    likeliest few others; its region in the next tree has other leaders.
+    likeliest few others. What these leave in different components is rest_pairs()' task.
     """
     for key, rows in grouped(batches, ["region", "one", "two"]):
         ids = np.asarray(rows["rep"], np.int64)
@@ -184,6 +186,44 @@ def _clustered(ids: np.ndarray, sign: np.ndarray, side: np.ndarray, own: bool) -
     return ids[np.concatenate(out)]
 
 
+def rest_tiles(whole: DataFrame, linked: DataFrame) -> DataFrame:
+    """(region, one, two, side, rep, component) of the tile pairs in which members of different components meet.
+
+    A region's largest component is dealt into tiles of its own, which aren't compared with each other; a region that is one
+    component gives no rows.
+    """
+    ends = whole.select("region", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = ends.groupBy("region", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("kinds")).where("kinds > 1")
+    parts = lambda n: F.ceil(n / TILE).cast("int")
+    mixed = mixed.select("region", F.col("top.component").alias("main"), parts(F.col("top.n")).alias("main_tiles"), parts(F.col("members") - F.col("top.n")).alias("tiles"))
+    inside = F.col("component") == F.col("main")
+    tile = F.when(inside, F.col("tiles") + F.pmod(F.xxhash64("rep"), F.col("main_tiles"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("tiles"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(inside, F.col("tiles")).otherwise(F.col("tiles") + F.col("main_tiles")) - 1)
+    rows = ends.join(mixed, "region").select("region", "rep", "component", tile.alias("tile"), F.explode(meets).alias("with"))
+    return rows.select("region", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), (F.col("tile") > F.col("with")).cast("int").alias("side"), "rep", "component")
+
+
+def rest_pairs(batches: Iterator[pa.RecordBatch], percent: int, many: int | None) -> Iterator[pa.RecordBatch]:
+    """The likely pairs of different components from rest_tiles(), without many all of them."""
+    for key, rows in grouped(batches, ["region", "one", "two"]):
+        ids, at = np.unique(np.asarray(rows["rep"], np.int64), return_index=True)
+        sign = np.frombuffer(b"".join([rows["signature"][k] for k in at]), np.uint8).reshape(-1, SIZE)
+        side, component, size = (np.asarray(rows[k], np.int64)[at] for k in ("side", "component", "n_shingles"))
+        x, y = (np.arange(len(ids)),) * 2 if key[1] == key[2] else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if not len(x) or not len(y):
+            continue
+        share = _share(sign[x], sign[y])
+        share[component[x][:, None] == component[y]] = 0
+        share[100 * np.minimum(size[x][:, None], size[y]) < percent * np.maximum(size[x][:, None], size[y])] = 0
+        if many is not None and many < len(y):
+            np.put_along_axis(share, np.argpartition(share, len(y) - many, axis=1)[:, : len(y) - many], 0, axis=1)
+        p, q = np.nonzero(share >= LIKELY * SIZE)
+        if len(p):
+            found = np.unique(np.sort(np.column_stack([ids[x[p]], ids[y[q]]]), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
     """Runs of rows with equal keys, from sorted rows."""
     held: dict[str, list] = {}
@@ -230,6 +270,16 @@ def confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], ["a", "b"])
 
 
+def confirmed(found: DataFrame, owners: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of found(a, b) that hold on full sets; texts(b, text_hash, text) of owners(b, text_hash) are read for them."""
+    numbered = found.withColumn("order", F.pmod(F.xxhash64("b"), F.lit(1 << 20))).join(found.groupBy("a").agg(F.count("*").alias("n")), "a")
+    members = numbered.select("a", F.pmod("order", F.ceil(F.col("n") / 256)).alias("part"), "b", F.lit(1).alias("role"))
+    leads = members.select("a", "part").distinct().select("a", "part", F.col("a").alias("b"), F.lit(0).alias("role"))
+    asked = members.unionByName(leads).join(owners, "b")
+    loaded = asked.join(texts, ["b", "text_hash"]).select("a", "part", "b", "role", "text")
+    return loaded.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b").mapInArrow(lambda it: confirm(it, size, percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, kept) for each row of docs(doc_id, text).
 
@@ -240,17 +290,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     component_id and is kept. Further columns are left out; no documents give no rows.
 
     Texts with equal sets become one class, so exact copies cost nothing further. Every class goes into TREES sorted orders;
-    see regions(). Small regions give all their pairs, others are compared in all pairs of tiles of about TILE members. Crowded
-    ones give each member's next neighbours and are taken apart by longer prefixes first. No region is capped. Signatures only choose what is confirmed: every link is counted on the full sets.
+    see regions(). Small regions give all their pairs. Others give a first choice of pairs, which joins most of what belongs
+    together: pairs with clusters' leaders and the likeliest few of each member in all pairs of tiles of about TILE members; crowded
+    ones are taken apart by longer prefixes for it. Then ROUNDS ask for the likely pairs whose ends are still in different
+    components, the last one for every such pair. Signatures only choose what is confirmed: every link is counted on the full sets.
     """
     given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     rows = written(given.mapInArrow(lambda it: signatures(it, size), "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary"), "signatures")
     known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "signature")).alias("m")).select("set_id", F.col("m.doc_id").alias("rep"), F.col("m.text_hash").alias("text_hash"), F.col("m.signature").alias("signature"))
+    classes = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "signature")).alias("m")).select("set_id", F.col("m.doc_id").alias("rep"), "m.text_hash", "m.n_shingles", "m.signature")
     classes = written(classes, "classes")
     sign = classes.select("rep", "signature")
     forest = written(sign.mapInArrow(labels, "rep long, tree int, label binary"), "forest")
-    small, crowded, parts = regions(forest)
+    small, crowded, parts, whole = regions(forest)
     pairs = neighbours(small, FEW - 1).unionByName(neighbours(crowded, NEAR)).distinct()
     x, y = sign.select(F.col("rep").alias("a"), F.col("signature").alias("x")), sign.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
     calm = pairs.join(x, "a").join(y, "b").mapInArrow(likely, "a long, b long")
@@ -260,15 +312,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     dense = tiled.repartition("region", "one", "two").sortWithinPartitions("region", "one", "two", "side", "rep").mapInArrow(tile_pairs, "a long, b long")
     found = written(calm.unionByName(dense).distinct(), "candidates")
 
-    numbered = found.withColumn("order", F.pmod(F.xxhash64("b"), F.lit(1 << 20))).join(found.groupBy("a").agg(F.count("*").alias("n")), "a")
-    members = numbered.select("a", F.pmod("order", F.ceil(F.col("n") / 256)).alias("part"), "b", F.lit(1).alias("role"))
-    leads = members.select("a", "part").distinct().select("a", "part", F.col("a").alias("b"), F.lit(0).alias("role"))
-    owners = classes.select(F.col("rep").alias("b"), "text_hash")
     texts = given.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("b"), "text_hash", "text")
-    asked = members.unionByName(leads).join(owners, "b")
-    loaded = asked.join(texts, ["b", "text_hash"]).select("a", "part", "b", "role", "text")
-    links = loaded.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b").mapInArrow(lambda it: confirm(it, size, percent), "a long, b long")
-    linked = components(links.distinct())
+    owners = classes.select(F.col("rep").alias("b"), "text_hash")
+    linked = components(confirmed(found, owners, texts, size, percent))
+    for many in ROUNDS:
+        met = rest_tiles(whole, linked).join(classes.select("rep", "n_shingles", "signature"), "rep")
+        met = met.repartition("region", "one", "two").sortWithinPartitions("region", "one", "two", "side", "rep")
+        likely_rest = met.mapInArrow(lambda it, many=many: rest_pairs(it, percent, many), "a long, b long")
+        more = written(likely_rest.distinct().join(found, ["a", "b"], "left_anti"), "candidates")
+        links = written(confirmed(more, owners, texts, size, percent), "links")
+        if not links.isEmpty():
+            linked = components(links.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        found = found.unionByName(more)
 
     owner = classes.select("set_id", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "text_hash", "n_shingles", "set_id").withColumn("set_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))).join(owner, "set_id", "left")
