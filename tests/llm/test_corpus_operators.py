@@ -269,6 +269,14 @@ def test_links_near_the_threshold_equal_brute_force(spark):
     assert got == {k: root for k, (_, root) in brute_components(texts).items()}
 
 
+def test_links_of_crowded_regions_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "CROWD", 20)
+    monkeypatch.setattr(near_dups, "TILE", 32)
+    texts = families(8)
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {k: root for k, (_, root) in brute_components(texts).items()}
+
+
 # -------------------------------------------------------------------------------------------------------------- substrings
 
 

@@ -92,10 +92,11 @@ def _region(depth: int) -> Column:
 
 def regions(forest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Four tables of (region, members, rep, label): small regions of the first depth, crowded ones of that depth, all that
-    is compared in tiles in the first round, and the regions of the first depth that the later rounds go over.
+    is compared in tiles in the first round, and the regions of the first depth that the later rounds go over, whatever their size.
 
     A region is what shares a prefix in one tree. A crowded one is taken apart by longer prefixes until its parts are not;
-    what is still crowded at the largest depth is left whole and compared in tiles like the others.
+    what is still crowded at the largest depth is left whole and compared in tiles like the others. That is for the first
+    round only: what it misses is left to the rounds over whole regions.
     """
     columns = ["region", "members", "rep", "label"]
     rest, parts = forest, []
@@ -108,7 +109,7 @@ def regions(forest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
         over = shared.where(F.col("members") > CROWD)
         if not k:
             crowded = over.select(columns)
-            whole = done.where(F.col("members") > FEW).select(columns)
+            whole = shared.where(F.col("members") > FEW).select(columns)
         rest = over.select("rep", "tree", "label")
     small, tiled = parts[0].where(F.col("members") <= FEW), parts[0].where(F.col("members") > FEW)
     for more in parts[1:]:
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     Texts with equal sets become one class, so exact copies cost nothing further. Every class goes into TREES sorted orders;
     see regions(). Small regions give all their pairs. Others give a first choice of pairs, which joins most of what belongs
     together: pairs with clusters' leaders and the likeliest few of each member in all pairs of tiles of about TILE members; crowded
-    ones are taken apart by longer prefixes for it. Then ROUNDS ask for the likely pairs whose ends are still in different
+    ones are taken apart by longer prefixes for it. Then, in every region of the shortest prefix, ROUNDS ask for the likely pairs whose ends are still in different
     components, the last one for every such pair. Signatures only choose what is confirmed: every link is counted on the full sets.
     """
     given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
