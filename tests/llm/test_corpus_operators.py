@@ -97,6 +97,20 @@ def test_plan_uses_the_histogram_exactly():
         assert (used == counts).all()
 
 
+@pytest.mark.parametrize(("low", "high", "each"), [(100, 100, 4000), (1, 100, 1000), (900, 1000, 40), (40, 120, 3), (1, 4095, 5)])
+def test_plan_of_short_pieces_is_near_the_bound(low, high, each):
+    counts = np.zeros(4097, np.int64)
+    counts[low : high + 1] = each
+    planned = packing.plan(counts)
+    used = np.zeros(4097, np.int64)
+    for content, often in planned:
+        assert sum(content) <= 4096
+        np.add.at(used, list(content), often)
+    assert (used == counts).all()
+    bound = max(-(-int((counts * np.arange(4097)).sum()) // 4096), -(-int(counts.sum()) // (4096 // low)))
+    assert sum(often for _, often in planned) <= 1.02 * bound + 1
+
+
 # --------------------------------------------------------------------------------------------------------------- WARC
 
 

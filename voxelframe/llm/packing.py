@@ -110,28 +110,46 @@ def fit(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how often) using each length exactly as often as the histogram says.
 
-    Fitted patterns are rounded as far as pieces remain; what is left goes by best fit, largest first, where bins of
-    equal content are handled at once. The work depends on the capacity, not on the number of pieces.
+    Three ways are tried and the one with the fewest sequences is taken: all fitted patterns, only those whose waste no
+    piece could fill, and none (short pieces go many to a sequence, patterns have three). Fitted patterns are rounded as far as pieces
+    remain; what is left goes by best fit, also into the patterns' free places. The work depends on the capacity, not on the
+    number of pieces.
     """
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    out: Counter = Counter()
-    if left[capacity]:
-        out[(capacity,)] += int(left[capacity])
-        left[capacity] = 0
+    full = int(left[capacity])
+    left[capacity] = 0
+    best: Counter = Counter()
     if left.any():
         found = patterns(left)
         x = fit(found, left)
-        for k in np.lexsort((-x, capacity - found.sum(1))):
-            need = Counter(found[k][found[k] > 0].tolist())
-            often = min(int(x[k] + 0.5), *(int(left[n]) // m for n, m in need.items()))
-            if often > 0:
-                out[tuple(sorted(need.elements(), reverse=True))] += often
-                for n, m in need.items():
-                    left[n] -= often * m
+        waste = capacity - found.sum(1)
+        order = np.lexsort((-x, waste))
+        tight = order[waste[order] < np.flatnonzero(left)[0]]
+        ways = [order, tight, order[:0]] if len(tight) < len(order) else [order, order[:0]]
+        best = min((_filled(left, found, x, way) for way in ways), key=lambda out: out.total())
+    if full:
+        best[(capacity,)] += full
+    return list(best.items())
+
+
+def _filled(counts: np.ndarray, found: np.ndarray, x: np.ndarray, order: np.ndarray) -> Counter:
+    """Sequences and how often, by the patterns in this order, then by best fit, largest first, where bins of equal content
+    are handled at once."""
+    capacity = len(counts) - 1
+    left = counts.copy()
     room: dict[int, Counter] = defaultdict(Counter)  # free places -> bins
+    for k in order:
+        need = Counter(found[k][found[k] > 0].tolist())
+        often = min(int(x[k] + 0.5), *(int(left[n]) // m for n, m in need.items()))
+        if often > 0:
+            content = tuple(sorted(need.elements(), reverse=True))
+            room[capacity - sum(content)][content] += often
+            for n, m in need.items():
+                left[n] -= often * m
     free = np.zeros(capacity + 1, bool)
+    free[[n for n in room if n]] = True
     for n in np.flatnonzero(left)[::-1].tolist():
         many = int(left[n])
         while many:
@@ -148,9 +166,12 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
             room[rest][content + (n,) * each] += moved
             free[rest] = rest > 0
             many -= moved * each
+    out: Counter = Counter()
     for bins in room.values():
-        out.update(bins)
-    return [(k, v) for k, v in out.items() if v and k]
+        for content, often in bins.items():
+            if often and content:
+                out[content] += often
+    return out
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
