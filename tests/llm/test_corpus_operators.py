@@ -202,6 +202,16 @@ def test_lines_of_shared_templates_go_but_first(spark):
     assert lines.drop_template_lines(docs_of(spark, [])).count() == 0
 
 
+def test_equal_lines_of_many_fields_go_but_first(spark):
+    same = "Page 3 of 10\nCopyright 2024\nTel: 555 1234\n2024"
+    texts = [(k, f"{same}\nPage {k} of 9{k}\n555 12{k}") for k in range(4)] + [(k, "Twice 77 88 99") for k in (8, 9)]
+    rows = {r.doc_id: r for r in lines.drop_template_lines(docs_of(spark, texts)).collect()}
+    assert rows[0].text == texts[0][1]
+    for k in range(1, 4):
+        assert (rows[k].text, rows[k].n_dropped) == (f"Page {k} of 9{k}\n555 12{k}", 4)
+    assert [rows[k].n_dropped for k in (8, 9)] == [0, 0]
+
+
 # ------------------------------------------------------------------------------------------------------------------- chat
 
 

@@ -24,8 +24,8 @@ def drop_template_lines(docs: DataFrame, depth: int = 4, least_docs: int = 3, li
     and n_lines and n_dropped are added (replacing columns of these names). Lines are parted by newlines and trimmed for
     comparison; blank lines never recur. A template comes from a tree of fixed depth: first the number of tokens, then the first `depth`
     tokens, where tokens with digits are variable fields; within a leaf, a position's token stays literal if `least_docs` documents have it
-    there, and is a variable field otherwise. A line with fewer than `literal` of its tokens literal has no shared template. A
-    template's first line, by doc_id and place, stays, so one copy of everything is kept. A null text stays null, with no
+    there, and is a variable field otherwise. A line with fewer than `literal` of its tokens literal shares its
+    template only with lines of the same text, digits included. A template's first line, by doc_id and place, stays, so one copy of everything is kept. A null text stays null, with no
     lines. Rows with one doc_id count as one document; rows with a null doc_id are compared with nothing.
 
     Only lines of leaves that recur travel, and equal ones are split once. Leaves and templates are counted after a partial aggregation, so a line that
@@ -35,10 +35,10 @@ def drop_template_lines(docs: DataFrame, depth: int = 4, least_docs: int = 3, li
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = source.select("doc_id", "text_key", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line"))
     lines = lines.select("doc_id", "text_key", "at", F.trim(F.regexp_replace("line", r"[\s]+", " ")).alias("line")).where("line <> ''")
-    masked = lines.select("doc_id", "text_key", "at", _masked(F.col("line")).alias("line"))
+    masked = lines.select("doc_id", "text_key", "at", F.xxhash64("line").alias("raw_key"), _masked(F.col("line")).alias("line"))
     spaces = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1
     leaf = F.xxhash64(spaces, F.substring_index("line", " ", depth))
-    keyed = masked.select("doc_id", "text_key", "at", "line", leaf.alias("leaf"))
+    keyed = masked.select("doc_id", "text_key", "at", "raw_key", "line", leaf.alias("leaf"))
     many = written(_in_documents(keyed.select("leaf", "doc_id"), ["leaf"], least_docs), "leaves")
     small = F.broadcast if many.count() <= MOST_BROADCAST else (lambda df: df)
     shared = written(keyed.join(small(many), "leaf").withColumn("line_key", F.xxhash64("line")), "shared-lines")
@@ -56,8 +56,10 @@ def drop_template_lines(docs: DataFrame, depth: int = 4, least_docs: int = 3, li
     parts = distinct.select(*lined, token).join(common.withColumn("stays", F.lit(True)), words, "left")
     word = F.when(F.col("stays"), F.col("token")).otherwise(FIELD)
     templates = parts.groupBy(*lined).agg(F.array_sort(F.collect_list(F.struct("k", word.alias("word")))).alias("words"), F.count("stays").alias("n_literal"), F.count("*").alias("n"))
-    templates = templates.where(F.col("n_literal") >= literal * F.col("n")).select(*lined, F.xxhash64("leaf", F.array_join(F.transform("words", lambda x: x["word"]), " ")).alias("template"))
-    placed = written(shared.select("doc_id", "text_key", "at", *lined).join(templates, lined).select("doc_id", "text_key", "at", "template"), "templates")
+    filled = F.when(F.col("n_literal") >= literal * F.col("n"), F.xxhash64("leaf", F.array_join(F.transform("words", lambda x: x["word"]), " ")))
+    templates = templates.select(*lined, filled.alias("template"))
+    own = F.coalesce("template", F.xxhash64("leaf", "raw_key", F.lit("raw"))).alias("template")
+    placed = written(shared.select("doc_id", "text_key", "at", "raw_key", *lined).join(templates, lined).select("doc_id", "text_key", "at", own), "templates")
     first = F.min(F.struct("doc_id", "at", "text_key")).alias("first")
     recurring = placed.join(_in_documents(placed.select("template", "doc_id"), ["template"], least_docs), "template")
     firsts = recurring.groupBy("template").agg(first)
