@@ -301,6 +301,28 @@ def test_links_of_crowded_regions_equal_brute_force(spark, monkeypatch):
     assert got == {k: root for k, (_, root) in brute_components(texts).items()}
 
 
+def test_few_links_of_a_hot_template_are_all_found(spark, monkeypatch):
+    """700 texts of one base, most pairs just under the threshold: any cap on partners loses links here."""
+    monkeypatch.setattr(near_dups, "TILE", 200)
+    random.seed(11)
+    base, texts = [f"w{k}" for k in range(400)], []
+    for k in range(700):
+        own = list(base)
+        for at in random.sample(range(400), random.choice([8, 9])):
+            own[at] = f"x{k}y{at}"
+        texts.append((k, " ".join(own)))
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs_of(spark, texts)).collect()}
+    want = {k: root for k, (_, root) in brute_components(texts).items()}
+    assert sum(k != root for k, root in want.items()) > 20 and got == want
+
+
+def test_repeated_doc_ids_are_judged_by_their_own_texts(spark):
+    make = lambda name, n=30: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(5, make("a")), (5, make("b")), (5, make("b")), (9, make("b")), (9, make("c")), (7, make("a") + " tail"), (3, "")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dups.near_duplicates(docs_of(spark, rows)).collect())
+    assert got == [(3, 0, 3, True), (5, 26, 5, True), (5, 26, 5, True), (5, 26, 5, True), (7, 27, 5, False), (9, 26, 5, False), (9, 26, 9, True)]
+
+
 # -------------------------------------------------------------------------------------------------------------- substrings
 
 

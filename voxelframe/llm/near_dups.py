@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelframe.llm._graph import components
@@ -14,20 +14,18 @@ from voxelframe.llm._store import written
 from voxelframe.llm._text import BLANKS, _SLOTS, U, mix, runs, slices, spread, words
 
 SIZE = 128  # values of a signature, a byte each
-TREES = 24
-DEPTHS = (4, 7, 12)  # of prefixes, tried in turn while a region is crowded
+TREES = 32  # with PREFIX values each they use every value once: a pair at 0.75 meets in none with a chance of 5 in a million
+DEPTH, PREFIX = 12, 4  # values of a label in a sorted order, and of those that members of a region share
 FEW = 16  # members up to which a region gives all its pairs
-CROWD = 4096  # members up to which a region's tiles are compared without a longer prefix
-NEAR = 3  # neighbours of each member in a crowded region, before it is taken apart
-TILE = 768  # members of a part of a region
-STRONG = 0.8  # share of equal values that joins a member to its cluster's leader
+NEAR = 3  # sorted neighbours of each member in a larger region, before its rest is compared
+CROWD = 4096  # members that are sorted together
+TILE, TILE_SETS = 768, 1 << 20  # members of a part of a region, and shingles of all their sets
 LIKELY = 0.58  # least share of equal values for a pair to be confirmed; 4 standard deviations below 0.75
-ROUNDS = (16, None)  # partners a member may ask for in a tile of the rounds after the first; the last round asks for all
 CHUNK = 512 << 10
 
 _FLIPS = mix(np.arange(1, SIZE + 1, dtype=U)).astype(np.uint32)
 _TURNS = (mix(np.arange(5000, 5000 + SIZE, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
-_ORDERS = np.array([np.argsort(mix(np.arange(SIZE, dtype=U) + U(1000 * (t + 1))))[: DEPTHS[-1]] for t in range(TREES)])
+_ORDERS = np.argsort(mix(np.arange(SIZE, dtype=U) + U(1000)))[(PREFIX * np.arange(TREES)[:, None] + np.arange(DEPTH)) % SIZE]
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +74,15 @@ def signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         )
 
 
+def hashed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The set of each text(b, text) as sorted 64-bit hashes."""
+    for batch, texts in slices(batches, "text", CHUNK):
+        doc, found = shingles(texts, size)
+        first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        sets = [found[p:q].tobytes() for p, q in zip(first[:-1], first[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("b"), pa.array(sets, pa.binary())], ["rep", "hashes"])
+
+
 def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each tree: the signature in the tree's order, as far as the forest is deep."""
     for batch in batches:
@@ -86,55 +93,23 @@ def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rep)), pa.array(np.tile(np.arange(TREES), n), pa.int32()), pa.array([x.tobytes() for x in path.reshape(n * TREES, -1)], pa.binary())], ["rep", "tree", "label"])
 
 
-def _region(depth: int) -> Column:
-    return F.xxhash64("tree", F.substring("label", 1, depth))
+def regions(forest: DataFrame) -> DataFrame:
+    """(region, tree, members, rep, label) of all regions of two members or more: a region is what shares a prefix in one tree."""
+    keyed = forest.withColumn("region", F.xxhash64("tree", F.substring("label", 1, PREFIX)))
+    return keyed.join(keyed.groupBy("region").agg(F.count("*").alias("members")).where("members > 1"), "region").select("region", "tree", "members", "rep", "label")
 
 
-def regions(forest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Four tables of (region, members, rep, label): small regions of the first depth, crowded ones of that depth, all that
-    is compared in tiles in the first round, and the regions of the first depth that the later rounds go over, whatever their size.
+def neighbours(shared: DataFrame) -> DataFrame:
+    """(a, b): all pairs of small regions; of larger ones each member and the NEAR after it in sorted order.
 
-    A region is what shares a prefix in one tree. A crowded one is taken apart by longer prefixes until its parts are not;
-    what is still crowded at the largest depth is left whole and compared in tiles like the others. That is for the first
-    round only: what it misses is left to the rounds over whole regions.
+    Those share the longest prefixes: the more crowded a region, the deeper. Large regions are sorted in parts of about CROWD.
     """
-    columns = ["region", "members", "rep", "label"]
-    rest, parts = forest, []
-    for k, depth in enumerate(DEPTHS):
-        keyed = rest.withColumn("region", _region(depth))
-        sizes = keyed.groupBy("region").agg(F.count("*").alias("members")).where("members > 1")
-        shared = written(keyed.join(sizes, "region"), f"regions-{depth}")
-        done = shared if k + 1 == len(DEPTHS) else shared.where(F.col("members") <= CROWD)
-        parts.append(done.select(columns))
-        over = shared.where(F.col("members") > CROWD)
-        if not k:
-            crowded = over.select(columns)
-            whole = shared.where(F.col("members") > FEW).select(columns)
-        rest = over.select("rep", "tree", "label")
-    small, tiled = parts[0].where(F.col("members") <= FEW), parts[0].where(F.col("members") > FEW)
-    for more in parts[1:]:
-        tiled = tiled.unionByName(more)
-    return small, crowded, tiled, whole
-
-
-def _tile() -> Column:
-    return F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / TILE)).cast("int")
-
-
-def neighbours(rows: DataFrame, many: int) -> DataFrame:
-    """(a, b) of each member and the `many` after it in its region's sorted order; large regions are sorted in tiles."""
-    order = Window.partitionBy("region", "tile").orderBy("label", "rep")
-    near = rows.withColumn("tile", _tile()).withColumn("later", F.collect_list("rep").over(order.rowsBetween(1, many)))
-    pairs = near.select("rep", F.explode("later").alias("other"))
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a < b")
-
-
-def _share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many values are equal, for each row of x and each of y."""
-    out = np.zeros((len(x), len(y)), np.uint8)
-    for k in range(SIZE):
-        out += x[:, k][:, None] == y[:, k]
-    return out
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / CROWD))
+    order = Window.partitionBy("region", "part").orderBy("label", "rep")
+    near = shared.withColumn("part", part).withColumn("later", F.collect_list("rep").over(order.rowsBetween(1, FEW - 1)))
+    later = F.slice("later", 1, F.when(F.col("members") <= FEW, FEW).otherwise(NEAR))
+    pairs = near.select("rep", F.explode(later).alias("other"))
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a < b").distinct()
 
 
 def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,86 +118,75 @@ def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array((x == y).sum(1) >= LIKELY * SIZE)).select(["a", "b"])
 
 
-def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to be confirmed first, from tiles of regions; rows sorted by (region, part, side).
-
-    Members much like a leader (an earlier member that isn't much like one before it) form its cluster and are paired with
-    its first two members: their links to each other add nothing. Beyond its cluster, each member is paired with the
-    likeliest few others. What these leave in different components is rest_pairs()' task.
-    """
-    for key, rows in grouped(batches, ["region", "one", "two"]):
-        ids = np.asarray(rows["rep"], np.int64)
-        ids, at = np.unique(ids, return_index=True)
-        sign = np.frombuffer(b"".join([rows["signature"][k] for k in at]), np.uint8).reshape(-1, SIZE)
-        side = np.asarray(rows["side"], np.int64)[at]
-        found = _clustered(ids, sign, side, key[1] == key[2])
-        if len(found):
-            found = np.unique(np.sort(found, axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
-
-
-def _clustered(ids: np.ndarray, sign: np.ndarray, side: np.ndarray, own: bool) -> np.ndarray:
-    """With own, pairs inside one tile; else pairs between two tiles, whose clusters are found on their own."""
-    share = _share(sign, sign)
-    least, strong = LIKELY * SIZE, STRONG * SIZE
-    cluster = np.full(len(ids), -1)
-    out = []
-    if own:
-        mine = np.arange(len(ids))
-        while len(mine):
-            close = share[mine[0], mine] >= strong
-            close[0] = True
-            members = mine[close]
-            cluster[members] = mine[0]
-            out += [np.column_stack([np.full(len(members) - k, members[min(k - 1, len(members) - 1)]), members[k:]]) for k in (1, 2) if len(members) > k]
-            mine = mine[~close]
-        share[cluster[:, None] == cluster] = 0
-    else:
-        share[side[:, None] == side] = 0
-    for _ in range(3 if own else 1):
-        best = share.argmax(1)
-        rows = np.flatnonzero(share[np.arange(len(ids)), best] >= least)
-        out.append(np.column_stack([rows, best[rows]]))
-        share[np.arange(len(ids)), best] = 0
-    return ids[np.concatenate(out)]
-
-
-def rest_tiles(whole: DataFrame, linked: DataFrame) -> DataFrame:
-    """(region, one, two, side, rep, component) of the tile pairs in which members of different components meet.
+def rest_tiles(large: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(region, tree, one, two, side, rep, component) of the tile pairs in which members of different components meet.
 
     A region's largest component is dealt into tiles of its own, which aren't compared with each other; a region that is one
-    component gives no rows.
+    component gives no rows. Tiles are bounded by members and by the sizes of their sets.
     """
-    ends = whole.select("region", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = ends.groupBy("region", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("kinds")).where("kinds > 1")
-    parts = lambda n: F.ceil(n / TILE).cast("int")
-    mixed = mixed.select("region", F.col("top.component").alias("main"), parts(F.col("top.n")).alias("main_tiles"), parts(F.col("members") - F.col("top.n")).alias("tiles"))
+    known = linked.select(F.col("node").alias("rep"), "component")
+    ends = large.join(classes.select("rep", "n_shingles"), "rep").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = ends.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("sets"))
+    mixed = sizes.groupBy("region").agg(F.max(F.struct("n", "sets", "component")).alias("top"), F.sum("n").alias("n"), F.sum("sets").alias("sets"), F.count("*").alias("kinds")).where("kinds > 1")
+    parts = lambda n, sets: F.ceil(F.greatest(n / TILE, sets / TILE_SETS)).cast("int")
+    mixed = mixed.select("region", F.col("top.component").alias("main"), parts(F.col("top.n"), F.col("top.sets")).alias("main_tiles"), parts(F.col("n") - F.col("top.n"), F.col("sets") - F.col("top.sets")).alias("tiles"))
     inside = F.col("component") == F.col("main")
     tile = F.when(inside, F.col("tiles") + F.pmod(F.xxhash64("rep"), F.col("main_tiles"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("tiles"))).cast("int")
     meets = F.sequence(F.lit(0), F.when(inside, F.col("tiles")).otherwise(F.col("tiles") + F.col("main_tiles")) - 1)
-    rows = ends.join(mixed, "region").select("region", "rep", "component", tile.alias("tile"), F.explode(meets).alias("with"))
-    return rows.select("region", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), (F.col("tile") > F.col("with")).cast("int").alias("side"), "rep", "component")
+    rows = ends.join(mixed, "region").select("region", "tree", "rep", "component", tile.alias("tile"), F.explode(meets).alias("with"))
+    return rows.select("region", "tree", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), (F.col("tile") > F.col("with")).cast("int").alias("side"), "rep", "component")
+
+
+def _share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many values are equal, for each row of x and each of y."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(SIZE):
+        out += x[:, k][:, None] == y[:, k]
+    return out
 
 
-def rest_pairs(batches: Iterator[pa.RecordBatch], percent: int, many: int | None) -> Iterator[pa.RecordBatch]:
-    """The likely pairs of different components from rest_tiles(), without many all of them."""
+def rest_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links that join components in the tile pairs of rest_tiles(), counted on full sets; rows sorted by (region, one, two).
+
+    Every likely pair is counted but those whose ends have one component by then, and those that share a region of an
+    earlier tree, which are counted there.
+    """
     for key, rows in grouped(batches, ["region", "one", "two"]):
         ids, at = np.unique(np.asarray(rows["rep"], np.int64), return_index=True)
         sign = np.frombuffer(b"".join([rows["signature"][k] for k in at]), np.uint8).reshape(-1, SIZE)
-        side, component, size = (np.asarray(rows[k], np.int64)[at] for k in ("side", "component", "n_shingles"))
-        x, y = (np.arange(len(ids)),) * 2 if key[1] == key[2] else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        if not len(x) or not len(y):
+        side, component = (np.asarray(rows[k], np.int64)[at] for k in ("side", "component"))
+        own = key[1] == key[2]
+        x, y = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        many = np.array([len(rows["hashes"][k]) // 8 for k in at])
+        share = _share(sign[x], sign[y]) >= LIKELY * SIZE
+        share &= component[x][:, None] != component[y]
+        share &= 100 * np.minimum(many[x][:, None], many[y]) >= percent * np.maximum(many[x][:, None], many[y])
+        if own:
+            share = np.triu(share)
+        if not share.any():
             continue
-        share = _share(sign[x], sign[y])
-        share[component[x][:, None] == component[y]] = 0
-        share[100 * np.minimum(size[x][:, None], size[y]) < percent * np.maximum(size[x][:, None], size[y])] = 0
-        if many is not None and many < len(y):
-            np.put_along_axis(share, np.argpartition(share, len(y) - many, axis=1)[:, : len(y) - many], 0, axis=1)
-        p, q = np.nonzero(share >= LIKELY * SIZE)
-        if len(p):
-            found = np.unique(np.sort(np.column_stack([ids[x[p]], ids[y[q]]]), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+        _, words_of = np.unique(np.frombuffer(b"".join([rows["hashes"][k] for k in at]), U), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(many)])
+        roads = np.ascontiguousarray(sign[:, _ORDERS[: rows["tree"][0], :PREFIX]]).reshape(len(ids), -1).view(np.uint32)
+        mark = np.zeros(words_of.max() + 1, bool)
+        found = []
+        for k in np.flatnonzero(share.any(1)):
+            p = x[k]
+            q = y[share[k]]
+            q = q[component[q] != component[p]]
+            q = q[~(roads[q] == roads[p]).any(1)]
+            if not len(q):
+                continue
+            mark[words_of[first[p] : first[p + 1]]] = True
+            group, place = spread(many[q])
+            both = np.bincount(group, mark[words_of[first[q][group] + place]], len(q)).astype(np.int64)
+            mark[words_of[first[p] : first[p + 1]]] = False
+            for j in q[100 * both >= percent * (many[p] + many[q] - both)]:
+                if component[j] != component[p]:
+                    component[component == component[j]] = component[p]
+                    found.append((ids[p], ids[j]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(2)], ["a", "b"])
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
@@ -248,7 +212,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 
 def confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (a, part, role), where role 0 has a's text and role 1 that of each b: the pairs that hold on full sets."""
+    """Of rows sorted by (a, role), where role 0 has a's text and role 1 that of each b: the pairs that hold on full sets."""
     lead, owner = np.zeros(0, U), None
     for batch, texts in slices(batches, "text", CHUNK):
         doc, found = shingles(texts, size)
@@ -271,14 +235,12 @@ def confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], ["a", "b"])
 
 
-def confirmed(found: DataFrame, owners: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of found(a, b) that hold on full sets; texts(b, text_hash, text) of owners(b, text_hash) are read for them."""
-    numbered = found.withColumn("order", F.pmod(F.xxhash64("b"), F.lit(1 << 20))).join(found.groupBy("a").agg(F.count("*").alias("n")), "a")
-    members = numbered.select("a", F.pmod("order", F.ceil(F.col("n") / 256)).alias("part"), "b", F.lit(1).alias("role"))
-    leads = members.select("a", "part").distinct().select("a", "part", F.col("a").alias("b"), F.lit(0).alias("role"))
-    asked = members.unionByName(leads).join(owners, "b")
-    loaded = asked.join(texts, ["b", "text_hash"]).select("a", "part", "b", "role", "text")
-    return loaded.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b").mapInArrow(lambda it: confirm(it, size, percent), "a long, b long").distinct()
+def confirmed(found: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of found(a, b) that hold on the full sets of texts(b, text). A member has a bounded number of pairs."""
+    members = found.select("a", "b", F.lit(1).alias("role"))
+    leads = found.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("role"))
+    loaded = members.unionByName(leads).join(texts, "b").select("a", "b", "role", "text")
+    return loaded.repartition("a").sortWithinPartitions("a", "role", "b").mapInArrow(lambda it: confirm(it, size, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -287,46 +249,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     Words are parted by ASCII blanks and A-Z are lower-cased. A text's set has its distinct runs of `size` words; fewer words
     are one run; a text without words, or null, has an empty set and links with nothing. Two sets are linked if their
     intersection is at least `percent` hundredths of their union. component_id is the smallest doc_id reachable, kept whether it
-    is the row's own. Rows with one doc_id count as one document; a null doc_id links with nothing, has a null
+    is the row's own. Rows that repeat a doc_id are judged by their own texts; a null doc_id links with nothing, has a null
     component_id and is kept. Further columns are left out; no documents give no rows.
 
-    Texts with equal sets become one class, so exact copies cost nothing further. Every class goes into TREES sorted orders;
-    see regions(). Small regions give all their pairs. Others give a first choice of pairs, which joins most of what belongs
-    together: pairs with clusters' leaders and the likeliest few of each member in all pairs of tiles of about TILE members; crowded
-    ones are taken apart by longer prefixes for it. Then, in every region of the shortest prefix, ROUNDS ask for the likely pairs whose ends are still in different
-    components, the last one for every such pair. Signatures only choose what is confirmed: every link is counted on the full sets.
+    Texts with equal sets become one class, so exact copies cost nothing further. Every class goes into TREES sorted orders of
+    its signature; classes with one prefix in one order are a region. Small regions give all their pairs, larger ones each
+    member's neighbours in sorted order; this joins most of what belongs together. Then every large region whose members are in
+    different components is compared whole, in pairs of tiles that carry the sets. Signatures only choose what is
+    counted: every link is counted on the full sets, and no region, partner or candidate is capped.
     """
     given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     rows = written(given.mapInArrow(lambda it: signatures(it, size), "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary"), "signatures")
     known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "signature")).alias("m")).select("set_id", F.col("m.doc_id").alias("rep"), "m.text_hash", "m.n_shingles", "m.signature")
-    classes = written(classes, "classes")
+    classes = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "signature")).alias("m")).select("set_id", "m.*")
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     sign = classes.select("rep", "signature")
-    forest = written(sign.mapInArrow(labels, "rep long, tree int, label binary"), "forest")
-    small, crowded, parts, whole = regions(forest)
-    pairs = neighbours(small, FEW - 1).unionByName(neighbours(crowded, NEAR)).distinct()
+    shared = written(regions(sign.mapInArrow(labels, "rep long, tree int, label binary")), "regions")
     x, y = sign.select(F.col("rep").alias("a"), F.col("signature").alias("x")), sign.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
-    calm = pairs.join(x, "a").join(y, "b").mapInArrow(likely, "a long, b long")
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    tiled = parts.select("region", "rep", _tile().alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("with"))
-    tiled = tiled.select("region", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), (F.col("tile") > F.col("with")).cast("int").alias("side"), "rep").join(sign, "rep")
-    dense = tiled.repartition("region", "one", "two").sortWithinPartitions("region", "one", "two", "side", "rep").mapInArrow(tile_pairs, "a long, b long")
-    found = written(calm.unionByName(dense).distinct(), "candidates")
-
-    texts = given.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("b"), "text_hash", "text")
-    owners = classes.select(F.col("rep").alias("b"), "text_hash")
-    linked = components(confirmed(found, owners, texts, size, percent))
-    for many in ROUNDS:
-        met = rest_tiles(whole, linked).join(classes.select("rep", "n_shingles", "signature"), "rep")
-        met = met.repartition("region", "one", "two").sortWithinPartitions("region", "one", "two", "side", "rep")
-        likely_rest = met.mapInArrow(lambda it, many=many: rest_pairs(it, percent, many), "a long, b long")
-        more = written(likely_rest.distinct().join(found, ["a", "b"], "left_anti"), "candidates")
-        links = written(confirmed(more, owners, texts, size, percent), "links")
-        if not links.isEmpty():
-            linked = components(links.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        found = found.unionByName(more)
-
-    owner = classes.select("set_id", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
+    found = written(neighbours(shared).join(x, "a").join(y, "b").mapInArrow(likely, "a long, b long"), "candidates")
+
+    needed = lambda reps: classes.select(F.col("rep").alias("b"), "doc_id", "text_hash").join(reps, "b", "left_semi")
+    texts = lambda reps: given.join(needed(reps), ["doc_id", "text_hash"]).dropDuplicates(["b"]).select("b", "text")
+    asked = found.select("b").unionByName(found.select(F.col("a").alias("b"))).distinct()
+    linked = components(confirmed(found, texts(asked), size, percent))
+
+    met = written(rest_tiles(shared.where(F.col("members") > FEW).select("region", "tree", "rep"), classes, linked), "rest")
+    sets = texts(met.select(F.col("rep").alias("b")).distinct()).mapInArrow(lambda it: hashed(it, size), "rep long, hashes binary")
+    met = met.join(sign, "rep").join(written(sets, "sets"), "rep").repartition("region", "one", "two").sortWithinPartitions("region", "one", "two", "rep")
+    more = written(met.mapInArrow(lambda it: rest_links(it, percent), "a long, b long"), "links")
+    if not more.isEmpty():
+        linked = components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    placed = classes.select("set_id", "rep", "doc_id").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    owner = placed.join(least, "component").select("set_id", "component_id")
     out = rows.select("doc_id", "text_hash", "n_shingles", "set_id").withColumn("set_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))).join(owner, "set_id", "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
