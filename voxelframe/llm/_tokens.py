@@ -9,13 +9,27 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from voxelframe.llm._text import LOWER, Words, spread
+from voxelframe.llm._text import LOWER, U, Words, mix, spread
 
 #: Of a worker's memory of pieces; it is emptied when full, which costs time only.
 MOST_PIECES = 800_000
 
-#: The split pattern that the byte classes below stand for.
+# The parts of a tokenizer file that the byte classes below stand for; a file that differs anywhere goes whole to the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KNOWN = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+KNOWN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 BLANK, LETTER, NUMBER, OTHER = range(4)
 _CLASS = np.full(256, OTHER, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = BLANK
@@ -33,10 +47,10 @@ _ODD[0x1C:0x20] = _ODD[0xC4:] = True
 class Encoder:
     """encode(texts): all ids of a large_string array without nulls one after the other, and how many each text has.
 
-    For a file with the split pattern above, texts in Latin-1 without special-token marks and rare separators are
-    lower-cased and cut into the pattern's pieces on their bytes. The library encodes each distinct piece once; as
-    it encodes pieces independently, the ids are its own. Every other text, and every other file, goes whole to the
-    library.
+    For a file with all the parts above and no added tokens but those beginning with "<|", texts in Latin-1 without that mark and
+    rare separators are lower-cased and cut into the pattern's pieces on their bytes. The library encodes each
+    distinct piece once; as it encodes pieces independently, the ids are its own. Pieces are told apart by their bytes. Every
+    other text, and every other file, goes whole to the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,16 +60,16 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        split = next((x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"), None)
-        self.cuts = bool(steps == ["NFC", "Replace", "Lowercase"] and split and split["invert"] and split["behavior"] == "Removed" and split["pattern"].get("Regex") == PATTERN and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
+        model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+        added = [x["content"] for x in spec.get("added_tokens") or []]
+        self.cuts = all(spec.get(k) == v for k, v in KNOWN.items()) and model == KNOWN_MODEL and all(x.startswith("<|") for x in added)
         mark = spec["model"].get("end_of_word_suffix") or "\0"
         self.last = np.zeros(self.whole.get_vocab_size(), bool)
         self.last[[v for k, v in spec["model"]["vocab"].items() if k.endswith(mark)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.at = np.zeros(1 << 16, np.int64)  # of each known piece, in ids
         self.many = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
@@ -64,7 +78,8 @@ class Encoder:
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, np.uint32) for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, keys: list[int], pieces: list[str]) -> None:
+    def learn(self, keys: list[bytes]) -> None:
+        pieces = [k.decode("utf-8", "replace") for k in keys]
         joined = self.library([" ".join(pieces[k : k + 1000]) for k in range(0, len(pieces), 1000)])
         ids = np.concatenate(joined)
         ends = np.flatnonzero(self.last[ids]) + 1  # a piece's last id, and no other, carries the end mark
@@ -97,14 +112,19 @@ class Encoder:
     def _cut(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(len(w.first) - 1, np.int64)
-        keys, sample, place = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        listed = keys.tolist()
+        hashes = w.hashes()
+        while True:
+            _, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
+            odd = _differing(w, sample[place])
+            if not len(odd):
+                break
+            hashes[odd] = mix(hashes[odd] + U(0x9E3779B97F4A7C15))  # other bytes, one hash: another number for them
+        data = w.data.tobytes()
+        listed = [data[a:b] for a, b in zip(w.start[sample].tolist(), w.end[sample].tolist(), strict=True)]
         if len(self.known) + len(listed) > MOST_PIECES:
             self.forget()
-        new = [k for k, key in enumerate(listed) if key not in self.known]
-        if new:
-            data, at = w.data.tobytes(), sample[new]
-            self.learn([listed[k] for k in new], [data[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+        if new := [key for key in listed if key not in self.known]:
+            self.learn(new)
         slot = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[place]
         many = self.many[slot]
         group, inside = spread(many)
@@ -112,6 +132,15 @@ class Encoder:
         return self.ids[self.at[slot][group] + inside], np.diff(before[w.first])
 
 
+def _differing(w: Words, like: np.ndarray) -> np.ndarray:
+    """The words whose bytes are not those of the words `like`."""
+    lengths = w.end - w.start
+    short = lengths != lengths[like]
+    group, place = spread(np.where(short, 0, lengths))
+    unequal = w.data[w.start[group] + place] != w.data[w.start[like[group]] + place]
+    return np.unique(np.concatenate([np.flatnonzero(short), group[unequal]]))
+
+
 def _pieces(texts: pa.Array) -> tuple[Words, np.ndarray]:
     """Pieces of the lower-cased bytes, and which texts must go to the library; these have no pieces."""
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]

@@ -29,28 +29,41 @@ def _unescaped_role(role: Column) -> Column:
     return F.array_join(plain, "\\")
 
 
-def root_paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, distance): for each leaf all messages from it up to its root, with their distance.
+def _of(tree: str, node: str) -> Column:
+    """Joins the right side's (t, n) to the left side's columns."""
+    return F.col(tree).eqNullSafe(F.col("t")) & (F.col(node) == F.col("n"))
 
-    messages: tree, node (unique), parent (null for a root). Self-joins double the steps: after round k each row knows
-    the ancestor 2^k steps up, so a path of n messages takes log2(n) rounds, each checkpointed. A parent that isn't there counts
-    as none; a null tree is a tree of its own.
+
+def climbed(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaves (tree, leaf, score, n_turns) with the sums up to their roots, and tables k of (t, n, up): who is 2^k steps up.
+
+    nodes: tree, node, parent, score. Self-joins double the steps: a path of n messages takes log2(n) rounds, each checkpointed.
+    A parent that isn't there counts as none; a null tree is a tree of its own. What is on a cycle of parents, or replies to it, has
+    no root: the rounds end when the steps exceed the largest tree, and what is still climbing then is in no path.
     """
-    there = messages.select("tree", "node", "parent")
-    known = there.select(F.col("tree").alias("t"), F.col("node").alias("up"))
-    up = there.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("up")), "left").select("tree", "node", "up")
+    known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    up = nodes.join(known, _of("tree", "parent"), "left").select("tree", "node", F.col("n").alias("up"), "score", F.lit(1).cast("long").alias("n_turns"))
     up = checkpointed(up)
-    inner = up.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
-    leaves = up.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
-    paths = checkpointed(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance")))
-    up, step = up.where("up IS NOT NULL"), 1
-    while up.limit(1).count():
-        jump = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        longer = paths.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("distance") + step).alias("distance"))
-        paths = checkpointed(paths.unionByName(longer))
-        further = jump.select("t", F.col("n").alias("m"), F.col("up").alias("far"))
-        up = checkpointed(up.join(further, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m"))).select("tree", "node", F.col("far").alias("up")))
+    inner = up.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+    leaves = up.join(inner, _of("tree", "node"), "left_anti").select("tree", F.col("node").alias("leaf"))
+    most = up.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps, step = [], 1
+    while step <= most and not (climbing := up.where("up IS NOT NULL")).isEmpty():
+        jumps.append(climbing.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up"))
+        above = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"), F.col("score").alias("more"), F.col("n_turns").alias("turns"))
+        higher = climbing.join(above, _of("tree", "up")).select("tree", "node", F.col("far").alias("up"), F.col("score") + F.col("more"), F.col("n_turns") + F.col("turns"))
+        up = checkpointed(up.where("up IS NULL").union(higher))
         step *= 2
+    done = up.where("up IS NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "score", "n_turns")
+    return leaves.join(done, _of("tree", "leaf")).select("tree", "leaf", "score", "n_turns"), jumps
+
+
+def paths_up(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """chosen(tree, leaf, ...) with (node, distance) of every message from the leaf up to its root."""
+    paths = chosen.withColumns({"node": F.col("leaf"), "distance": F.lit(0).cast("long")})
+    for k, jump in enumerate(jumps):
+        longer = paths.join(jump, _of("tree", "node")).withColumns({"node": F.col("up"), "distance": F.col("distance") + (1 << k)})
+        paths = checkpointed(paths.unionByName(longer.select(paths.columns)))
     return paths
 
 
@@ -58,22 +71,25 @@ def format_chats(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, branch, score, n_turns, formatted, loss_spans): the best paths of each tree as conversations.
 
     messages: tree, node, parent, role, text, score; null roles and texts are empty, null scores 0. The paths of a tree are
-    ranked by their summed score, then length, then the smaller leaf; the first `branches` are kept. Each turn is
+    ranked by their summed score, then length, then the smaller leaf; the first `branches` are kept, and only these are followed
+    message by message. Of rows that repeat a (tree, node) the least by (parent, role, text, score) counts; rows without a node are left
+    out, and so is what is on a cycle of parents or replies to one. Each turn is
     <|im_start|>role, a newline, the text, <|im_end|> and a newline; control strings inside are escaped and can be taken
     back. loss_spans has for each assistant turn its number, the start of its text in `formatted`, the start in
     its own turn, and its length in code points. Further columns are left out; no messages give no rows. One conversation is one
     output row and therefore one group.
     """
-    paths = root_paths(messages)
-    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
-    body = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), score.alias("score"))
-    same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
-    sums = paths.join(body.select("t", "n", "score"), same).groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("n_turns"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    said = F.struct("parent", text(F.col("role")).alias("role"), text(F.col("text")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    body = messages.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min(said).alias("m")).select("tree", "node", "m.*")
+    leaves, jumps = climbed(body.select("tree", "node", "parent", "score"))
     order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n_turns"), "leaf")
-    best = sums.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches)
-    chosen = paths.join(best.select(F.col("tree").alias("bt"), F.col("leaf").alias("bl"), "branch", F.col("score").alias("total"), "n_turns"), F.col("tree").eqNullSafe(F.col("bt")) & (F.col("leaf") == F.col("bl")))
+    best = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches)
+    chosen = paths_up(best.withColumnRenamed("score", "total"), jumps)
+    same = _of("tree", "node")
+    body = body.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     head = F.concat(F.lit(START), _escaped_role(F.col("role")), F.lit("\n"))
-    turns = chosen.join(body.drop("score"), same).select(
+    turns = chosen.join(body, same).select(
         "tree", "leaf", "branch", "total", "n_turns", (F.col("n_turns") - F.col("distance") - 1).alias("turn"), head.alias("head"), _escaped(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss")
     )
     turns = turns.withColumn("whole", F.concat("head", "body", F.lit(END + "\n")))

@@ -27,7 +27,7 @@ FAMILIES = {
 }
 ORDERS, BITS = (2, 3, 4), 11
 WIDTH = len(ORDERS) << BITS
-CHUNK = 1 << 20
+CHUNK, ROWS = 1 << 20, 256  # bytes of text, and texts, that are vectors at once
 _LETTERS = LOWER.copy()  # all that isn't a letter parts words
 _LETTERS[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
 
@@ -61,10 +61,9 @@ def _vectors(texts: pa.Array) -> np.ndarray:
     ends, grams = _grams(texts)
     out = np.zeros((len(texts), WIDTH), np.float32)
     for d in range(len(texts)):
-        for codes, inside in grams:
-            part = slice(int(ends[d]), int(ends[d + 1]))
-            out[d] += np.bincount(codes[part][inside[part]], minlength=WIDTH)
-        out[d] /= max(1.0, float(ends[d + 1] - ends[d]))
+        part = slice(int(ends[d]), int(ends[d + 1]))
+        own = np.concatenate([codes[part][inside[part]] for codes, inside in grams])
+        out[d] = np.bincount(own, minlength=WIDTH) / max(1.0, float(ends[d + 1] - ends[d]))
     return out
 
 
@@ -105,25 +104,18 @@ class Model:
         self.of = {f: [v for v in self.langs if family(v) == f] for f in self.families}
         self.pairs = [(kin, a, b) for a, b in itertools.combinations(self.families, 2)] + [(names, a, b) for f in self.families for a, b in itertools.combinations(self.of[f], 2)]
         fits = [svm(x[(by == a) | (by == b)], np.where(by[(by == a) | (by == b)] == a, 1.0, -1.0)) for by, a, b in self.pairs]
-        self.weights = np.array([w for w, _ in fits], np.float32).T.reshape(WIDTH, len(fits)) if fits else np.zeros((WIDTH, 0), np.float32)
+        self.weights = np.array([w for w, _ in fits]).T.reshape(WIDTH, len(fits)) if fits else np.zeros((WIDTH, 0))
         self.bias = np.array([b for _, b in fits])
         self.names = [(a, b) for _, a, b in self.pairs]
         del self.pairs
 
-    def margins(self, texts: pa.Array) -> np.ndarray:
-        ends, grams = _grams(texts)
-        out = np.zeros((len(texts), len(self.bias)))
-        for codes, inside in grams:
-            for m in range(len(self.bias)):
-                sums = np.concatenate([[0.0], np.cumsum(np.where(inside, self.weights[codes, m], 0), dtype=float)])
-                out[:, m] += sums[np.minimum(ends[1:], len(codes))] - sums[np.minimum(ends[:-1], len(codes))]
-        return out / np.maximum(1, np.diff(ends))[:, None] + self.bias
-
-    def _chosen(self, margins: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Most votes, then largest sum of margins; and how sure the weakest won machine is."""
-        votes, least = np.zeros((len(margins), len(names))), np.full((len(margins), len(names)), np.inf)
-        for a, b in itertools.combinations(range(len(names)), 2):
-            m = margins[:, self.names.index((names[a], names[b]))]
+    def _chosen(self, x: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the machines between these names: most votes, then largest sum of margins; and how sure the weakest won machine is."""
+        votes, least = np.zeros((len(x), len(names))), np.full((len(x), len(names)), np.inf)
+        pairs = list(itertools.combinations(range(len(names)), 2))
+        own = [self.names.index((names[a], names[b])) for a, b in pairs]
+        margins = x @ self.weights[:, own] + self.bias[own]
+        for (a, b), m in zip(pairs, margins.T, strict=True):
             for k, own in ((a, m), (b, -m)):
                 votes[:, k] += (own > 0) + 1e-3 * np.tanh(own)
                 least[:, k] = np.minimum(least[:, k], own)
@@ -133,14 +125,15 @@ class Model:
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        margins = self.margins(texts)
-        kin, score = self._chosen(margins, self.families)
-        out = np.empty(len(texts), object)
-        for k, f in enumerate(self.families):
-            at = np.flatnonzero(kin == k)
-            lang, sure = self._chosen(margins[at], self.of[f])
-            out[at] = np.array(self.of[f], object)[lang]
-            score[at] *= sure
+        out, score = np.empty(len(texts), object), np.zeros(len(texts))
+        for at in range(0, len(texts), ROWS):
+            x = _vectors(texts.slice(at, ROWS)).astype(float)
+            kin, sure = self._chosen(x, self.families)
+            for k, f in enumerate(self.families):  # only the machines of the family that was chosen
+                own = np.flatnonzero(kin == k)
+                lang, inner = self._chosen(x[own], self.of[f])
+                out[at + own] = np.array(self.of[f], object)[lang]
+                score[at + own] = sure[own] * inner
         letters = _has_letter(texts)
         out[~letters] = "und"
         return out.tolist(), np.where(letters, score, 0.0)
@@ -155,17 +148,20 @@ def fit(docs: DataFrame, most: int = 300) -> Model:
     """Learn from at most `most` labelled documents of each language, the first by a hash of doc_id.
 
     docs: doc_id, text, lang. Only rows with all three and a remainder other than 0 are learnt from. The bound keeps what the
-    driver gathers (`most` rows of WIDTH numbers for each language) the same at every size; whole texts are read.
+    driver gathers (`most` rows of WIDTH numbers for each language) the same at every size; whole texts are read. Rows that repeat
+    doc_id, lang and text are one.
     """
-    rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    given = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).select("doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"))
+    key = ["lang", "doc_id", "text_hash"]
+    rows = given.select(*key, F.xxhash64("doc_id").alias("h"))
     for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("n") <= most).drop("n")
+        rows = rows.withColumn("n", F.dense_rank().over(Window.partitionBy(*by).orderBy("h", "doc_id", "text_hash"))).where(F.col("n") <= most).drop("n").distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", CHUNK):
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([v.tobytes() for v in _vectors(texts)], pa.binary())], ["lang", "v"])
 
-    chosen = docs.where("text IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(rows.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")  # at most `most` ids a language
+    chosen = given.join(F.broadcast(rows.select(key)), key, "left_semi").dropDuplicates(key)  # at most `most` rows a language
     found = chosen.mapInArrow(vectors, "lang string, v binary").toArrow().sort_by([("lang", "ascending"), ("v", "ascending")])
     x = np.empty((len(found), WIDTH), np.float32)
     for k, v in enumerate(found.column("v")):

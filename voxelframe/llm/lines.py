@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxelframe.llm._store import written
 
 FIELD = "<*>"
-#: Recurring leaves are broadcast up to so many (16 bytes each); beyond, the lines are shuffled to them.
+#: Recurring leaves and templates are broadcast up to so many (16 and 40 bytes each); beyond, the lines are shuffled to them.
 MOST_BROADCAST = 1_000_000
 
 
@@ -40,8 +40,7 @@ def drop_template_lines(docs: DataFrame, depth: int = 4, least_docs: int = 3, li
     leaf = F.xxhash64(spaces, F.substring_index("line", " ", depth))
     keyed = masked.select("doc_id", "text_key", "at", "raw_key", "line", leaf.alias("leaf"))
     many = written(_in_documents(keyed.select("leaf", "doc_id"), ["leaf"], least_docs), "leaves")
-    small = F.broadcast if many.count() <= MOST_BROADCAST else (lambda df: df)
-    shared = written(keyed.join(small(many), "leaf").withColumn("line_key", F.xxhash64("line")), "shared-lines")
+    shared = written(keyed.join(_small(many), "leaf").withColumn("line_key", F.xxhash64("line")), "shared-lines")
 
     # equal lines are one row with the number of their documents; only lines of few documents are counted token by token
     lined = ["leaf", "line_key"]
@@ -60,10 +59,9 @@ def drop_template_lines(docs: DataFrame, depth: int = 4, least_docs: int = 3, li
     templates = templates.select(*lined, filled.alias("template"))
     own = F.coalesce("template", F.xxhash64("leaf", "raw_key", F.lit("raw"))).alias("template")
     placed = written(shared.select("doc_id", "text_key", "at", "raw_key", *lined).join(templates, lined).select("doc_id", "text_key", "at", own), "templates")
-    first = F.min(F.struct("doc_id", "at", "text_key")).alias("first")
-    recurring = placed.join(_in_documents(placed.select("template", "doc_id"), ["template"], least_docs), "template")
-    firsts = recurring.groupBy("template").agg(first)
-    drop = recurring.join(firsts, "template").where(F.struct("doc_id", "at", "text_key") != F.col("first"))
+    each = placed.groupBy("template", "doc_id").agg(F.min(F.struct("at", "text_key")).alias("m"))
+    firsts = each.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "m.at", "m.text_key")).alias("first")).where(F.col("docs") >= least_docs).drop("docs")
+    drop = placed.join(_small(written(firsts, "recurring")), "template").where(F.struct("doc_id", "at", "text_key") != F.col("first"))
     drops = drop.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("drops"))
     drops = drops.withColumnsRenamed({"doc_id": "drop_doc", "text_key": "drop_key"})
 
@@ -76,6 +74,11 @@ def drop_template_lines(docs: DataFrame, depth: int = 4, least_docs: int = 3, li
     return both.select(*out, n_lines.alias("n_lines"), F.coalesce(F.when(F.col("drops").isNotNull(), F.size("drops")), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its count allows; if not, the join is shuffled and its large keys are split by adaptive execution."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
 def _in_documents(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     """The keys that at least so many doc_ids have; rows are made distinct first, with a partial aggregation."""
     return rows.select(*keys, "doc_id").distinct().groupBy(*keys).agg(F.count("*").alias("docs")).where(F.col("docs") >= least).drop("docs")

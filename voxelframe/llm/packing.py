@@ -16,8 +16,8 @@ from voxelframe.llm.token_files import encoded
 
 #: Patterns offered to the fit, and its steps; both bound the driver's work whatever the corpus.
 MOST_PATTERNS, STEPS = 40_000, 400
-#: Buckets in which pieces of one length are numbered side by side.
-LANES = 64
+#: About so many pieces of one length are numbered in one task.
+LANE = 100_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -192,23 +192,29 @@ def pack(parts: DataFrame, capacity: int) -> DataFrame:
     """parts(doc_id, piece, length, ids_crc32, ...) with sequence_id and offset: places without gaps from 0.
 
     Only the histogram of lengths comes to the driver (capacity + 1 numbers); what goes back out is the plan's table of
-    places, whose size depends on the capacity alone. Pieces of one length are numbered in LANES buckets with counted
-    offsets, so a length that many pieces share is not one task. `parts` is read twice and should be a written table.
+    places, whose size depends on the capacity alone. Pieces of one length are numbered in lanes of about LANE pieces with counted
+    offsets, so a length that many pieces share is not one task. Full pieces are sequences of their own and aren't
+    numbered at all. `parts` is read three times and should be a written table.
     """
     spark = parts.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
     for row in parts.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
-    places = spark.createDataFrame(slots(plan(counts)) or [(0, 0, 0, 0, 0)], "length long, low long, high long, first long, offset long")
-    lane = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(LANES)).alias("lane")
-    rows = parts.withColumn("lane", lane)
+    counts[capacity] = 0
+    planned = plan(counts)
+    places = spark.createDataFrame(slots(planned) or [(0, 0, 0, 0, 0)], "length long, low long, high long, first long, offset long")
+    lanes = int(-(-counts.max() // LANE)) or 1
+    rows = parts.where(F.col("length") < capacity).withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lanes)))
     before = Window.partitionBy("length").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("length", "lane").count().select("length", "lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("length", "lane").orderBy("doc_id", "piece", "ids_crc32")
     ranked = rows.withColumn("place", F.row_number().over(order)).join(bases, ["length", "lane"])
     rank = F.col("base") + F.col("place") - 1
     placed = ranked.withColumn("rank", rank).join(F.broadcast(places), "length").where("rank >= low AND rank < high")
-    return placed.select(*parts.columns, (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("offset"))
+    placed = placed.select(*parts.columns, (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("offset"))
+    full = parts.where(F.col("length") == capacity)
+    own = F.monotonically_increasing_id() + sum(often for _, often in planned)
+    return placed.unionByName(full.select(*parts.columns, own.alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:

@@ -11,23 +11,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.llm._store import written
-from voxelframe.llm._text import _SLOTS, BLANKS, U, mix, runs, slices, spread, words
+from voxelframe.llm._text import _SLOTS, BLANKS, U, Words, mix, runs, slices, spread, words
 
 CHUNK = 2 << 20  # bytes of text in which equal windows are found before anything travels
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
 GRAM = 3  # words of a minimiser
+HELD = 64 << 20  # bytes of a bucket's words that are compared at once
 
 SENT = "bucket long, deal int, n int, packed binary"
 FLAGS = "doc_id long, text_hash int, spans array<int>"
 
 
-def _firsts(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the group of its key, and the smallest doc of each group."""
-    _, group = np.unique(keys, return_inverse=True)
+def _groups(w: Words, at: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """A number for the window that begins at each word `at`: equal for equal words alone. keys: the windows' hashes."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    group = np.zeros(len(keys), np.int64)
+    group[order] = np.cumsum(new) - 1
+    pairs = np.flatnonzero(~new)
+    x, y = at[order[pairs]], at[order[pairs - 1]]
+    unlike = np.zeros(len(pairs), bool)
+    for j in range(size):
+        lengths = w.end[x + j] - w.start[x + j]
+        unlike |= lengths != w.end[y + j] - w.start[y + j]
+        piece, byte = spread(np.where(unlike, 0, lengths))
+        unlike[piece[w.data[w.start[x + j][piece] + byte] != w.data[w.start[y + j][piece] + byte]]] = True
+    if unlike.any():  # one hash of different words: these groups are told apart by the words themselves
+        seen: dict[tuple, int] = {}
+        for k in np.flatnonzero(np.isin(group, group[order[pairs[unlike]]])).tolist():
+            text = tuple(w.data[w.start[at[k] + j] : w.end[at[k] + j]].tobytes() for j in range(size))
+            group[k] = seen.setdefault((int(group[k]), text), len(keys) + len(seen))
+    return group
+
+
+def _late(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows have a larger doc than the smallest of their group."""
     least = np.full(group.max() + 1 if len(group) else 0, LAST)
     np.minimum.at(least, group, doc)
-    return group, least
+    return doc > least[group]
 
 
 def _spans(row: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +104,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> I
         row = w.doc[at]
         ids = batch.column("doc_id").fill_null(LAST).to_numpy()
         marks = batch.column("text_hash").to_numpy()
-        group, least = _firsts(window, ids[row])
-        late = ids[row] > least[group]
+        late = _late(_groups(w, at, window, size), ids[row])
         columns: tuple[list, ...] = ([], [], [], [])
         r, a, b = _spans(row[late], at[late] - w.first[row[late]], size)
         if len(r):
@@ -133,27 +155,35 @@ def _flagged(ids: np.ndarray, marks: np.ndarray, spans: np.ndarray) -> pa.Record
 
 
 def counted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Flags of each bucket's windows; rows are sorted by bucket."""
+    """Flags of each bucket's windows; rows are sorted by bucket.
+
+    A bucket is held up to HELD bytes at a time: then its windows are compared and only super-k-mers with a first occurrence are
+    held on, so a bucket takes the memory of its distinct windows, however often they repeat.
+    """
     plain = zstandard.ZstdDecompressor()
     held: list[tuple] = []
-    last = -1
+    last, now, most = -1, 0, HELD
     for batch in batches:
         for bucket, n, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "packed")), strict=True):
             owner, mark, begin, rest = _unpacked(n, plain.decompress(packed))
             if bucket < 0:
                 yield _flagged(owner, mark, np.column_stack([begin, np.frombuffer(rest, "<i4")]))
                 continue
-            if bucket != last and held:
-                yield from _bucket(held, size)
-                held = []
+            if held and (bucket != last or now > most):
+                flags, rest_of = _bucket(held, size, bucket == last)
+                yield from flags
+                held, now = ([rest_of], len(rest_of[3])) if bucket == last else ([], 0)
+                most = max(HELD, 2 * now)
             last = bucket
             held.append((owner, mark, begin, rest))
+            now += len(rest)
     if held:
-        yield from _bucket(held, size)
+        yield from _bucket(held, size, False)[0]
 
 
-def _bucket(held: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
-    """Sort the windows of a bucket's super-k-mers, and flag those of documents beyond each window's smallest."""
+def _bucket(held: list[tuple], size: int, again: bool) -> tuple[list[pa.RecordBatch], tuple]:
+    """Group the windows of a bucket's super-k-mers; flags of those of documents beyond each window's smallest, and, if it's
+    asked for again, the super-k-mers that have any other."""
     owner, mark, begin = (np.concatenate([x[k] for x in held]) for k in range(3))
     data = b"".join(x[3] for x in held)
     held.clear()
@@ -164,29 +194,14 @@ def _bucket(held: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
     w = words(texts, BLANKS, lower=False)
     at, keys = runs(w, w.hashes(), size)
     kmer = w.doc[at]
-    doc = owner[kmer]
-    order = np.lexsort((doc, keys))
-    keys, doc, kmer, at = keys[order], doc[order], kmer[order], at[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    group = np.cumsum(new) - 1
-    late = doc > doc[new][group]
-    # equal hashes are checked to be equal words
-    pairs = np.flatnonzero(~new)
-    for j in range(size):
-        a, b = at[pairs] + j, at[pairs - 1] + j
-        lengths = w.end[a] - w.start[a]
-        if (lengths != w.end[b] - w.start[b]).any():
-            raise ValueError("two windows with one hash")
-        piece, byte = spread(lengths)
-        if (w.data[w.start[a][piece] + byte] != w.data[w.start[b][piece] + byte]).any():
-            raise ValueError("two windows with one hash")
-    kmer, at = kmer[late], at[late]
-    order = np.lexsort((at, kmer))
-    kmer, at = kmer[order], at[order]
-    r, a, b = _spans(kmer, at - w.first[kmer], size)
-    if len(r):
-        yield _flagged(owner[r], mark[r], np.column_stack([a + begin[r], b + begin[r]]))
+    late = _late(_groups(w, at, keys, size), owner[kmer])
+    r, a, b = _spans(kmer[late], at[late] - w.first[kmer[late]], size)
+    flags = [_flagged(owner[r], mark[r], np.column_stack([a + begin[r], b + begin[r]]))] if len(r) else []
+    if not again:
+        return flags, ()
+    some = np.unique(kmer[~late])
+    edges = np.append(0, double)
+    return flags, (owner[some], mark[some], begin[some], b"".join([data[x:y] for x, y in zip(edges[some].tolist(), edges[some + 1].tolist(), strict=True)]))
 
 
 def repeated_words(docs: DataFrame, size: int = 13, buckets: int | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ def lattice_points(x: np.ndarray, probes: int) -> np.ndarray:
 
 
 def cells(unit: np.ndarray, label: np.ndarray, maps: np.ndarray, scale: float) -> np.ndarray:
-    """Cell numbers of each unit vector: one for each table and probe; cells of different labels differ."""
+    """Cell numbers of each unit vector: one for each table and probe; label: hashes, and cells of different ones differ."""
     out = np.zeros((len(unit), TABLES * PROBES), np.int64)
     with np.errstate(over="ignore"):
         own = mix(label.astype(np.int64).view(U) + U(977))
@@ -69,12 +69,12 @@ def cells(unit: np.ndarray, label: np.ndarray, maps: np.ndarray, scale: float) -
     return out
 
 
-def compared(ids: np.ndarray, side: np.ndarray, weight: np.ndarray, unit: np.ndarray, marks: np.ndarray, cell: int, own: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compared(ids: np.ndarray, side: np.ndarray, weight: np.ndarray, label: np.ndarray, unit: np.ndarray, marks: np.ndarray, cell: int, own: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links in a cell, or between two parts of it: ids, weight of links counted here, smallest id of each local group.
 
     Two vectors may meet in several cells; the link is counted in the smallest one that both have.
     """
-    link = unit @ unit.T >= least
+    link = (unit @ unit.T >= least) & (label[:, None] == label)
     np.fill_diagonal(link, False)
     if not own:
         link &= side[:, None] != side[None, :]
@@ -110,19 +110,22 @@ def linked_vectors(rows: DataFrame, least: float = 0.98, scale: float = 0.17) ->
     """(vec_id, n_links, component_id, kept) for each row of rows(vec_id, embedding, label).
 
     Vectors with equal labels are linked if their cosine in double precision is `least` or more. A vector that is null, empty, zero or
-    has null or non-finite components, and one whose label is null, links with nothing. n_links: other rows linked
+    has null or non-finite components, and one whose label is null, links with nothing. Labels are of any type that can be
+    grouped and are equal as Spark groups them. n_links: other rows linked
     directly; component_id: the smallest vec_id reachable; kept: vec_id is component_id. Rows with a null vec_id link with
     nothing, have a null component_id and are kept. Vectors of different lengths never link. Further columns are left out.
 
     Equal vectors of one label become one class with a weight. Each class goes into PROBES lattice cells in each of TABLES
     tables; cells that only one class has are dropped before vectors travel. Large cells are cut into tiles, and all pairs of
-    tiles are compared, so no cell is capped. Links are never rows: a task returns sums and a local group for each vector.
+    tiles are compared, so no cell is capped: counting a vector's links takes all pairs of its cell. Links are never rows: a task
+    returns sums and a local group for each vector.
     """
     given = rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = given.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda x: x != 0))
     plain = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
-    classes = usable.select("vec_id", F.col("label").cast("long").alias("label"), plain.alias("v")).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    classes = usable.select("vec_id", "label", plain.alias("v")).groupBy("label", "v").agg(F.min(F.struct("vec_id", F.col("label").cast("string").alias("said"))).alias("m"), F.count("*").alias("weight"))
+    classes = written(classes.select("label", "v", F.monotonically_increasing_id().alias("rep"), F.col("m.vec_id").alias("first"), F.xxhash64("label").alias("mark"), F.col("m.said").alias("said"), "weight"), "vector-classes")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}
@@ -137,37 +140,41 @@ def linked_vectors(rows: DataFrame, least: float = 0.98, scale: float = 0.17) ->
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 if dim not in maps:
                     maps[dim] = projections(int(dim))
-                label = batch.column("label").to_numpy()[at]
-                marks = cells(unit, label + dim * 1_000_003, maps[dim], scale)
+                with np.errstate(over="ignore"):
+                    label = batch.column("mark").to_numpy()[at] + dim * 1_000_003
+                marks = cells(unit, label, maps[dim], scale)
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), batch.column("weight").take(take), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(list(marks), pa.list_(pa.int64()))], ["rep", "weight", "unit", "marks"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("rep", "weight", "said")), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(list(marks), pa.list_(pa.int64()))], ["rep", "weight", "said", "unit", "marks"])
 
-    unit = written(classes.mapInArrow(hashed, "rep long, weight long, unit binary, marks array<long>"), "vectors")
-    held = unit.select("rep", F.explode(F.array_distinct("marks")).alias("cell"))
-    sizes = held.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
-    held = held.join(sizes, "cell").withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int"))
+    hashing = classes.select("rep", "weight", "said", "mark", "v").mapInArrow(hashed, "rep long, weight long, said string, unit binary, marks array<long>")
+    unit = written(hashing, "vectors")
+    held = unit.select("rep", F.octet_length("unit").alias("bytes"), F.explode(F.array_distinct("marks")).alias("cell"))
+    sizes = held.groupBy("cell", "bytes").agg(F.count("*").alias("members")).where("members > 1")
+    held = held.join(sizes, ["cell", "bytes"]).withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int"))
     held = held.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    tiled = held.select("cell", "rep", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
-    tiled = tiled.select("cell", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), (F.col("tile") > F.col("with")).cast("int").alias("side"), "rep")
+    tiled = held.select("cell", "bytes", "rep", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+    tiled = tiled.select("cell", "bytes", F.least("tile", "with").alias("one"), F.greatest("tile", "with").alias("two"), (F.col("tile") > F.col("with")).cast("int").alias("side"), "rep")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part in grouped(batches, ["cell", "one", "two"]):
+        for key, part in grouped(batches, ["cell", "bytes", "one", "two"]):
             ids, at = np.unique(np.asarray(part["rep"], np.int64), return_index=True)
             if len(ids) < 2:
                 continue
             pick = lambda n, at=at, part=part: [part[n][k] for k in at]
             units = np.frombuffer(b"".join(pick("unit")), np.float64).reshape(len(ids), -1)
-            found = compared(ids, np.asarray(pick("side")), np.asarray(pick("weight"), np.int64), units, np.asarray(pick("marks"), np.int64), key[0], key[1] == key[2], least)
+            label = np.unique(np.array(pick("said"), str), return_inverse=True)[1]
+            found = compared(ids, np.asarray(pick("side")), np.asarray(pick("weight"), np.int64), label, units, np.asarray(pick("marks"), np.int64), key[0], key[2] == key[3], least)
             if len(found[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "n", "b"])
 
-    dealt = tiled.join(unit, "rep").repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two", "rep")
+    dealt = tiled.join(unit, "rep").repartition("cell", "bytes", "one", "two").sortWithinPartitions("cell", "bytes", "one", "two", "rep")
     found = written(dealt.mapInArrow(links, "a long, n long, b long"), "links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     linked = components(found.select("a", "b"))
     reps = unit.select("rep", "weight").join(counts, unit.rep == counts.a, "left").join(linked, F.col("rep") == F.col("node"), "left")
-    reps = reps.select("rep", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    owners = classes.select("label", "v", "rep").join(reps, "rep")
-    same = (given["label"].cast("long") == owners["label"]) & (F.transform(given["v"], lambda x: x + F.lit(0.0)) == owners["v"]) & given["vec_id"].isNotNull()
+    reps = reps.select("rep", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    placed = classes.select("label", "v", "rep", "first").join(reps, "rep")
+    owners = placed.join(placed.groupBy("component").agg(F.min("first").alias("component_id")), "component").drop("component", "first")
+    same = (given["label"] == owners["label"]) & (F.transform(given["v"], lambda x: x + F.lit(0.0)) == owners["v"]) & given["vec_id"].isNotNull()
     out = given.join(owners, same, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

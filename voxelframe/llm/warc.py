@@ -23,6 +23,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SALTS = 32
 
 
+def _store(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a URI, and the path in it; Hadoop's names of object stores are taken too."""
+    for given, plain in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://")):
+        folder = folder.replace(given, plain, 1) if folder.startswith(given) else folder
+    return pa.fs.FileSystem.from_uri(folder)
+
+
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One gzip member. The block is an HTTP response; a revisit's has its head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -60,7 +67,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, archive_byte
     date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = pa.fs.FileSystem.from_uri(folder)
+        store, top = _store(folder)
         task, number, out, at = TaskContext.get(), 0, None, 0
         for batch in batches:
             rows = []
@@ -79,7 +86,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, archive_byte
         if out is not None:
             out.close()
 
-    store, top = pa.fs.FileSystem.from_uri(folder)
+    store, top = _store(folder)
     store.create_dir(top, recursive=True)
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt"))
@@ -98,7 +105,8 @@ def read_warc(index: DataFrame, folder: str, with_payload: bool = True, gap: int
     """The records that the rows of `index` name: (page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]).
 
     Index rows are dealt by archive and stretch, sorted by offset, and neighbouring ranges whose gap is small are
-    read at once, up to `most` bytes. A response's digest and length are counted from its payload; a payload that
+    read at once, up to `most` bytes; there is a task for each `most` bytes of records. `folder` is a URI of a store that
+    Arrow opens (file, s3, gs, hdfs, abfss). A response's digest and length are counted from its payload; a payload that
     doesn't fit its own header is an error. A revisit has the full payload's digest and length in its headers, and a null
     payload. An empty index gives no rows.
     """
@@ -119,7 +127,7 @@ def read_warc(index: DataFrame, folder: str, with_payload: bool = True, gap: int
             yield held
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = pa.fs.FileSystem.from_uri(folder)
+        store, top = _store(folder)
         opened, file = "", None
         listed = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
         for archive, begin, end, members in reads(listed):
@@ -140,6 +148,7 @@ def read_warc(index: DataFrame, folder: str, with_payload: bool = True, gap: int
         if file is not None:
             file.close()
 
-    stretch = F.expr(f"offset div {4 * most}")
-    dealt = index.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    stretch = F.expr(f"offset div {most}")
+    tasks = max(1, -(-int(index.agg(F.sum("length")).first()[0] or 0) // most))  # by the records' bytes: the index rows are small
+    dealt = index.select("archive", "offset", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(read, RECORDS + ", payload binary" * with_payload)
