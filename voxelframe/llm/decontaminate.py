@@ -7,9 +7,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelframe.llm._store import written
+
 GRAM = 4  # words of a fingerprint
 PARTS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The items' fingerprints are broadcast up to so many; beyond, both sides are shuffled.
+#: Fingerprints and items are broadcast up to so many together; beyond, both sides are shuffled, and large keys are split by adaptive execution.
 MOST_BROADCAST = 2_000_000
 
 
@@ -25,79 +27,97 @@ def _with(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _places(many: Column) -> Column:
+    """0, 1, ... so many; none for a number below 1."""
+    return F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def _grams(words: Column) -> Column:
     """Hash of each GRAM consecutive words."""
     return F.transform(
-        F.when(F.size(words) >= GRAM, F.sequence(F.lit(0), F.size(words) - GRAM)).otherwise(F.array().cast("array<int>")),
+        _places(F.size(words) - GRAM + 1),
         lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(GRAM)]),
     )
 
 
-def _least(grams: Column, width: int) -> Column:
-    """The distinct smallest hashes of each `width` consecutive ones."""
-    return F.array_distinct(
-        F.transform(
-            F.when(F.size(grams) >= width, F.sequence(F.lit(0), F.size(grams) - width)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.least(*[F.get(grams, i + j) for j in range(width)]),
-        )
-    )
+def _marked(grams: Column, width: int) -> Column:
+    """(fp, at) of each hash that is the smallest of some `width` consecutive ones around it."""
+
+    def marked(g: Column) -> Column:
+        lows = F.transform(_places(F.size(g) - width + 1), lambda i: F.least(*[F.get(g, i + j) for j in range(width)]))
+        # a hash is marked if the largest of the minima around it is itself; places beyond the ends are null, which `greatest` skips
+        around = lambda low, h, i: F.when(F.greatest(*[F.get(low, i - j) for j in range(width)]) == h, F.struct(h.alias("fp"), i.alias("at")))
+        return _with(lows, lambda low: F.filter(F.transform(g, lambda h, i: around(low, h, i)), lambda x: x.isNotNull()))
 
+    return _with(grams, marked)
 
-def fingerprints(words: Column, width: int) -> Column:
-    return _with(_with(words, _grams), lambda g: _least(g, width))
 
+def _heads(words: Column, sizes: list[int]) -> Column:
+    """(fp, at) of each run of so many words."""
 
-def _windows(words: Column, size: Column | int) -> Column:
-    """Each `size` consecutive words as one string; words hold no blanks."""
-    size = F.lit(size) if isinstance(size, int) else size
+    def runs(w: Column, n: int) -> Column:
+        return F.transform(_places(F.size(w) - n + 1), lambda i: F.struct(F.xxhash64(F.lit(n), *[F.get(w, i + j) for j in range(n)]).alias("fp"), i.alias("at")))
 
-    def windows(w: Column) -> Column:
-        at = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(w, i, size), " "))
+    return _with(words, lambda w: F.concat(*[runs(w, n) for n in sizes]))
 
-    return _with(words, windows)
+
+def _runs(there: Column, own: Column, least: Column) -> Column:
+    """[at, to) of the runs of at least so many places where two arrays agree; where one has ended they don't."""
+    breaks = F.filter(F.sequence(F.lit(0), F.size(own)), lambda i: ~F.get(there, i).eqNullSafe(F.get(own, i)) | (i == F.size(own)))
+    return _with(breaks, lambda b: F.filter(F.transform(b, lambda x, k: F.struct(F.coalesce(F.get(b, k - 1) + 1, F.lit(0)).alias("at"), x.alias("to"))), lambda r: r["to"] - r["at"] >= least))
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """(doc_id, text_hash, n_words, spans, item_ids) for each row of docs(doc_id, text) against items(item_id, text).
 
-    A window is `size` consecutive words of an item; an item of fewer words, but not none, is one window. spans: [from, to) of
-    words of each occurrence of a window, in order and possibly overlapping; item_ids: the items with occurrences, sorted as strings.
+    A window is `size` consecutive words of an item; an item of fewer words, but not none, is one window. spans: [at, to) of
+    words that occurrences of windows cover, in order and possibly overlapping; item_ids: the items with occurrences, sorted as strings.
     Both are empty where nothing occurs; null texts have no words. Rows with one doc_id and different texts are judged by
     themselves. A null item_id is left out of item_ids, but its windows count. Further columns are left out.
 
-    Both sides keep the smallest GRAM-word hash of each size - GRAM + 1 consecutive ones, so a shared window shares a kept hash. Fingerprints
-    that meet name (document, item); only for these the windows are compared word for word. Shorter items are looked up by
-    their whole word sequence, once for each of the fewer than `size` lengths that occur.
+    Both sides keep the smallest GRAM-word hash of each size - GRAM + 1 consecutive ones with its place, so a shared window shares a kept
+    hash at the same place of it. Where fingerprints meet, the two places fix how the item lies in the document; the hit is
+    extended there word for word, in a piece of the document no longer than the item, and runs of `size` words or more count. Shorter
+    items meet by a hash of all their words. What is joined is a row for each fingerprint, without texts.
     """
     width = size - GRAM + 1
     item = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     item = item.select("item_id", "w", F.xxhash64(F.col("item_id"), F.array_join("w", " ")).alias("key")).dropDuplicates(["item_id", "key"])
-    long_items = item.where(F.size("w") >= size)
-    prints = long_items.select("key", F.explode(fingerprints(F.col("w"), width)).alias("fp")).distinct()
-    few = prints.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    small = F.broadcast if few else (lambda df: df)
+    item = written(item.withColumn("number", F.monotonically_increasing_id()), "items")
+    short = item.where(F.size("w") < size)
+    sizes = sorted(r["n"] for r in short.select(F.size("w").alias("n")).distinct().collect())  # fewer than `size` numbers
+    place = lambda rows, marks: rows.select("number", F.size("w").alias("n"), F.explode(marks).alias("p")).select("number", "n", "p.fp", F.col("p.at").alias("own"))
+    prints = written(place(item.where(F.size("w") >= size), _marked(_grams(F.col("w")), width)), "prints")
+    small = F.broadcast if prints.count() + item.count() <= MOST_BROADCAST else (lambda df: df)
 
     given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     words = words_of(F.col("text"))
-    prints_there = fingerprints(words, width)
-    met = given.select("doc_id", "text_hash", "text", F.explode_outer(prints_there).alias("fp")).join(small(prints), "fp").select("doc_id", "text_hash", "text", "key").distinct()
-
-    windows = long_items.select("key", F.col("item_id").alias("item"), F.array_distinct(_windows(F.col("w"), size)).alias("own"))
-    pairs = met.join(windows, "key").select("doc_id", "text_hash", "item", "own", _windows(words, size).alias("there"))
-    hits = pairs.where(F.arrays_overlap("there", "own")).select("doc_id", "text_hash", "item", "own", F.posexplode_outer("there").alias("at", "window")).where(F.array_contains("own", F.col("window")))
-    hits = hits.select("doc_id", "text_hash", "item", "at", (F.col("at") + size).alias("to"))
-
-    short = item.where(F.size("w") < size).select("item_id", F.size("w").alias("n"), F.array_join("w", " ").alias("window"))
-    for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # fewer than `size` numbers
-        own = short.where(F.col("n") == n).select(F.col("item_id").alias("item"), "window")
-        found = given.select("doc_id", "text_hash", F.posexplode_outer(_windows(words, n)).alias("at", "window")).join(own, "window")
-        hits = hits.unionByName(found.select("doc_id", "text_hash", "item", "at", (F.col("at") + n).alias("to")))
+    meets = lambda marks, known: given.select("doc_id", "text_hash", F.explode_outer(marks).alias("p")).select("doc_id", "text_hash", "p.fp", "p.at").join(small(known), "fp")
+    met = meets(_with(words, lambda w: _marked(_grams(w), width)), prints)
+    if sizes:
+        whole = lambda n: short.where(F.size("w") == n).select("number", F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[F.get("w", F.lit(j)) for j in range(n)]).alias("fp"), F.lit(0).alias("own"))
+        known = whole(sizes[0])
+        for n in sizes[1:]:
+            known = known.unionByName(whole(n))
+        met = met.unionByName(meets(_heads(words, sizes), known))
+    lies = met.select("doc_id", "text_hash", "number", "n", (F.col("at") - F.col("own")).alias("from")).distinct()
+
+    per = lies.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("number", "n", "from")).alias("lies")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "lies")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
 
-    per = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("at", "to"))).alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("item_ids"))
+    def pieces(w: Column) -> Column:
+        """Of each place where an item lies: the document's words there, and blanks where the item begins before the document."""
+        before = lambda x: F.greatest(-x["from"], F.lit(0))
+        there = lambda x: F.concat(F.array_repeat(F.lit(""), before(x).cast("int")), F.slice(w, F.greatest(x["from"], F.lit(0)) + 1, x["n"] - before(x)))
+        return F.transform("lies", lambda x: F.struct(x["number"].alias("number"), x["from"].alias("from"), there(x).alias("there")))
+
+    hit = given.join(per, same).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.explode(_with(words, pieces)).alias("x")).select("doc_id", "text_hash", "x.*")
+    runs = hit.join(small(item.select("number", "item_id", "w")), "number")
+    runs = runs.select("doc_id", "text_hash", "item_id", "from", F.explode(_runs(F.col("there"), F.col("w"), F.least(F.lit(size), F.size("w")))).alias("r"))
+    span = F.struct((F.col("from") + F.col("r.at")).alias("at"), (F.col("from") + F.col("r.to")).alias("to"))
+    per = runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     per = per.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans", "item_ids")
     every = given.select("doc_id", "text_hash", F.size(words).cast("long").alias("n_words"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
     none = F.array().cast("array<struct<at:int,to:int>>")
     return every.join(per, same, "left").select("doc_id", "text_hash", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 

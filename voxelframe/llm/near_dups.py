@@ -75,12 +75,12 @@ def signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
 
 
 def hashed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The set of each text(b, text) as sorted 64-bit hashes."""
+    """The set of each text(b, signature, text) as sorted 64-bit hashes."""
     for batch, texts in slices(batches, "text", CHUNK):
         doc, found = shingles(texts, size)
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
         sets = [found[p:q].tobytes() for p, q in zip(first[:-1], first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("b"), pa.array(sets, pa.binary())], ["rep", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column("b"), batch.column("signature"), pa.array(sets, pa.binary())], ["rep", "signature", "hashes"])
 
 
 def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +90,16 @@ def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(n, SIZE)
         path = sign[:, _ORDERS]  # n x trees x depth
         rep = np.repeat(np.arange(n), TREES)
-        yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rep)), pa.array(np.tile(np.arange(TREES), n), pa.int32()), pa.array([x.tobytes() for x in path.reshape(n * TREES, -1)], pa.binary())], ["rep", "tree", "label"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("rep").take(pa.array(rep)), batch.column("n_shingles").take(pa.array(rep)), pa.array(np.tile(np.arange(TREES), n), pa.int32()), pa.array([x.tobytes() for x in path.reshape(n * TREES, -1)], pa.binary())],
+            ["rep", "n_shingles", "tree", "label"],
+        )
 
 
 def regions(forest: DataFrame) -> DataFrame:
-    """(region, tree, members, rep, label) of all regions of two members or more: a region is what shares a prefix in one tree."""
+    """(region, tree, members, rep, n_shingles, label) of all regions of two members or more: a region is what shares a prefix in one tree."""
     keyed = forest.withColumn("region", F.xxhash64("tree", F.substring("label", 1, PREFIX)))
-    return keyed.join(keyed.groupBy("region").agg(F.count("*").alias("members")).where("members > 1"), "region").select("region", "tree", "members", "rep", "label")
+    return keyed.join(keyed.groupBy("region").agg(F.count("*").alias("members")).where("members > 1"), "region").select("region", "tree", "members", "rep", "n_shingles", "label")
 
 
 def neighbours(shared: DataFrame) -> DataFrame:
@@ -118,14 +121,14 @@ def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array((x == y).sum(1) >= LIKELY * SIZE)).select(["a", "b"])
 
 
-def rest_tiles(large: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+def rest_tiles(large: DataFrame, linked: DataFrame) -> DataFrame:
     """(region, tree, one, two, side, rep, component) of the tile pairs in which members of different components meet.
 
     A region's largest component is dealt into tiles of its own, which aren't compared with each other; a region that is one
     component gives no rows. Tiles are bounded by members and by the sizes of their sets.
     """
     known = linked.select(F.col("node").alias("rep"), "component")
-    ends = large.join(classes.select("rep", "n_shingles"), "rep").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    ends = large.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = ends.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("sets"))
     mixed = sizes.groupBy("region").agg(F.max(F.struct("n", "sets", "component")).alias("top"), F.sum("n").alias("n"), F.sum("sets").alias("sets"), F.count("*").alias("kinds")).where("kinds > 1")
     parts = lambda n, sets: F.ceil(F.greatest(n / TILE, sets / TILE_SETS)).cast("int")
@@ -259,23 +262,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     counted: every link is counted on the full sets, and no region, partner or candidate is capped.
     """
     given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = written(given.mapInArrow(lambda it: signatures(it, size), "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary"), "signatures")
+    rows = written(given.mapInArrow(lambda it: signatures(it, size), "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary"), "signatures", compression="snappy")
     known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "signature")).alias("m")).select("set_id", "m.*")
-    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes", compression="snappy")
     sign = classes.select("rep", "signature")
-    shared = written(regions(sign.mapInArrow(labels, "rep long, tree int, label binary")), "regions")
+    shared = written(regions(classes.select("rep", "n_shingles", "signature").mapInArrow(labels, "rep long, n_shingles long, tree int, label binary")), "regions", compression="snappy")
     x, y = sign.select(F.col("rep").alias("a"), F.col("signature").alias("x")), sign.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
     found = written(neighbours(shared).join(x, "a").join(y, "b").mapInArrow(likely, "a long, b long"), "candidates")
 
-    needed = lambda reps: classes.select(F.col("rep").alias("b"), "doc_id", "text_hash").join(reps, "b", "left_semi")
-    texts = lambda reps: given.join(needed(reps), ["doc_id", "text_hash"]).dropDuplicates(["b"]).select("b", "text")
+    needed = lambda reps: classes.select(F.col("rep").alias("b"), "doc_id", "text_hash", "signature").join(reps, "b", "left_semi")
+    texts = lambda reps: given.join(needed(reps), ["doc_id", "text_hash"]).dropDuplicates(["b"]).select("b", "signature", "text")
     asked = found.select("b").unionByName(found.select(F.col("a").alias("b"))).distinct()
     linked = components(confirmed(found, texts(asked), size, percent))
 
-    met = written(rest_tiles(shared.where(F.col("members") > FEW).select("region", "tree", "rep"), classes, linked), "rest")
-    sets = texts(met.select(F.col("rep").alias("b")).distinct()).mapInArrow(lambda it: hashed(it, size), "rep long, hashes binary")
-    met = met.join(sign, "rep").join(written(sets, "sets"), "rep").repartition("region", "one", "two").sortWithinPartitions("region", "one", "two", "rep")
+    met = written(rest_tiles(shared.where(F.col("members") > FEW).select("region", "tree", "rep", "n_shingles"), linked), "rest")
+    sets = texts(met.select(F.col("rep").alias("b")).distinct()).mapInArrow(lambda it: hashed(it, size), "rep long, signature binary, hashes binary")
+    met = met.join(written(sets, "sets", compression="snappy"), "rep").repartition("region", "one", "two").sortWithinPartitions("region", "one", "two", "rep")
     more = written(met.mapInArrow(lambda it: rest_links(it, percent), "a long, b long"), "links")
     if not more.isEmpty():
         linked = components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
