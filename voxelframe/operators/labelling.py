@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.shared import checkpointed
+
 AT = ["volume_id", "z", "y", "x"]
 FACES = [(0, 0, 1), (0, 1, 0), (1, 0, 0)]
 ALL = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the folder that the session names, or, where none is (tests), to a temporary one."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelframe-"))
-    return df.checkpoint(eager=True)
-
-
 def linked(links: DataFrame) -> DataFrame:
     """(node, component) of links(a, b): the smallest node reachable; nodes without links are absent.
 
     Large-star and small-star steps in turn, each a grouped minimum and a join; every round is checkpointed.
     """
-    edges = _checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last: tuple = ()
     while True:
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -37,7 +29,7 @@ def linked(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = _checkpointed(large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        edges = checkpointed(large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,21 +93,43 @@ def eigenvectors(cells: DataFrame, vz: float, vy: float, vx: float) -> DataFrame
     return cells.groupBy(*KEY).agg(*sums).mapInPandas(solve, "volume_id string, label int, k int, z double, y double, x double")
 
 
+POWERS = [(p, q, r) for p in range(4) for q in range(4) for r in range(4) if p + q + r >= 2]
+
+
 def central_moments(rows: DataFrame, weight: str) -> DataFrame:
-    """Weighted centroid, its distance from the plain one, and normalised weighted central moments of order 2 and 3."""
-    w = F.col(weight)
-    first = rows.groupBy(*KEY).agg(F.sum(w).alias("w"), F.count("*").alias("n"), *[F.avg(c).alias(f"c{c}") for c in "zyx"], *[F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"w{c}") for c in "zyx"])
+    """Weighted centroid's distance from the plain one, also in equivalent diameters and major axes, and the 60 normalised
+    weighted central moments with powers up to 3 and order 2 or more. Without weight, distances and moments are 0."""
+    w = F.col(weight).cast("double")
+    square = [F.sum((F.col(a) * F.col(b)).cast("long")).alias(f"s{a}{b}") for a, b in ("zz", "yy", "xx", "zy", "zx", "yx")]
+    first = rows.groupBy(*KEY).agg(F.sum(w).alias("w"), F.count("*").alias("n"), *square, *[F.avg(c).alias(f"c{c}") for c in "zyx"], *[F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"w{c}") for c in "zyx"])
+    cov = lambda a, b: F.col(f"s{a}{b}") / F.col("n") - F.col(f"c{a}") * F.col(f"c{b}")
+    values = shape.eigenvalues(cov("x", "x"), cov("y", "y"), cov("z", "z"), cov("y", "x"), cov("z", "x"), cov("z", "y"))
+    major = shape.axis_length(values[2], 1.0)
+    away = F.sqrt(sum((F.coalesce(F.col(f"w{c}") - F.col(f"c{c}"), F.lit(0.0)) * F.coalesce(F.col(f"w{c}") - F.col(f"c{c}"), F.lit(0.0))) for c in "zyx"))
+    first = first.select(*KEY, "w", "wz", "wy", "wx", away.alias("displacement"), (away / F.cbrt(6 * F.col("n") / F.lit(math.pi))).alias("displacement_in_diameters"), (away / F.when(major == 0, 1.0).otherwise(major)).alias("displacement_in_majors"))
+    kept = ["w", "displacement", "displacement_in_diameters", "displacement_in_majors"]
     near = rows.join(first, KEY)
-    powers = [(p, q, r) for p in range(4) for q in range(4) for r in range(4) if 2 <= p + q + r <= 3]
-    terms = []
-    for p, q, r in powers:
-        d = w
-        for c, k in (("z", p), ("y", q), ("x", r)):
-            for _ in range(k):
-                d = d * (F.col(c) - F.col(f"w{c}"))
-        terms.append(F.sum(d).alias(f"m{p}{q}{r}"))
-    sums = near.groupBy(*KEY).agg(F.first("w").alias("w"), F.first("n").alias("n"), F.sqrt(sum(F.pow(F.first(f"w{c}") - F.first(f"c{c}"), F.lit(2)) for c in "zyx")).alias("displacement"), *terms)
-    return sums.select(*KEY, "displacement", *[F.coalesce(F.try_divide(F.col(f"m{p}{q}{r}"), F.pow("w", F.lit((p + q + r) / 3 + 1))), F.lit(0.0)).alias(f"moment_{p}{q}{r}") for p, q, r in powers])
+    for c in "zyx":
+        near = near.withColumn(f"{c}1", F.col(c) - F.col(f"w{c}")).withColumn(f"{c}2", F.col(f"{c}1") * F.col(f"{c}1")).withColumn(f"{c}3", F.col(f"{c}2") * F.col(f"{c}1"))
+    term = lambda powers: math.prod([w, *(F.col(f"{c}{k}") for c, k in zip("zyx", powers, strict=True) if k)][1:], start=w)
+    sums = near.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in kept], *[F.sum(term(k)).alias("m{}{}{}".format(*k)) for k in POWERS])
+    normal = lambda k: F.coalesce(F.try_divide(F.col("m{}{}{}".format(*k)), F.pow("w", F.lit(sum(k) / 3 + 1))), F.lit(0.0))
+    return sums.select(*KEY, *kept[1:], *[normal(k).alias("moment_{}{}{}".format(*k)) for k in POWERS])
+
+
+def all_features(cells: DataFrame, channels: dict[str, DataFrame], grey: int = 1) -> DataFrame:
+    """Area and axis ratios of each cell, and for each channel(volume_id, z, y, x, i) its intensities, moments and texture.
+
+    A channel's columns have its name in front. grey: by how much values are divided for texture. Cells that a channel has no voxel of
+    keep nulls there. Every part is grouped by cell, so the joins share one partitioning.
+    """
+    shapes = morphology(cells, 1.0, 1.0, 1.0).select(*KEY, F.col("volume").cast("long").alias("area"), "second_ratio", "first_ratio")
+    for name, rows in channels.items():
+        lit = cells.join(rows.select("volume_id", "z", "y", "x", "i"), ["volume_id", "z", "y", "x"])
+        parts = [intensity_stats(lit, KEY, "i"), robust_stats(lit, KEY, "i"), central_moments(lit, "i"), texture(lit.withColumn("g", F.floor(F.col("i") / grey)), "g")]
+        for part in parts:
+            shapes = shapes.join(part.select(*KEY, *[F.col(c).alias(f"{name}_{c}") for c in part.columns if c not in KEY]), KEY, "left")
+    return shapes
 
 
 def histogram(rows: DataFrame, value: str, bins: int = 256, by: list[str] | None = None) -> DataFrame:
@@ -160,37 +184,51 @@ def describe(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 DIRECTIONS = [(dz, dy, dx) for dz in (0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dz, dy, dx) > (0, 0, 0)]
 
 
+STATISTICS = ["energy", "contrast", "correlation", "variance", "homogeneity", "sum_average", "sum_variance", "sum_entropy", "entropy", "difference_variance", "difference_entropy", "information_1", "information_2"]
+
+
 def texture(rows: DataFrame, value: str) -> DataFrame:
-    """Grey-level co-occurrence statistics of each cell, as mean and range over the 13 directions of space.
+    """13 grey-level co-occurrence statistics of each cell, as mean and range over the 13 directions of space.
 
-    rows: (volume_id, label, z, y, x, value); a value of 0 is ignored. A voxel meets at most 13 others of its cell, so the join's
-    rows are bounded by 13 for each voxel. Pairs are counted both ways.
+    rows: (volume_id, label, z, y, x, value), whole values; all voxels of a cell count, with 1 at least. A cell of one slice is
+    taken twice, one slice above the other. Pairs count both ways; directions without pairs are left out, and a cell
+    without any has zeros. A voxel meets at most 13 others of its cell, which bounds the join. All but the entropies and the
+    homogeneity come from sums of whole numbers, so they don't depend on the order of rows.
     """
-    own = rows.where(F.col(value) > 0).select(*KEY, "z", "y", "x", F.col(value).alias("g"))
+    own = rows.select(*KEY, "z", "y", "x", F.greatest(F.col(value), F.lit(1)).cast("long").alias("g"))
+    flat = own.groupBy(*KEY).agg((F.min("z") == F.max("z")).alias("flat"))
+    twice = own.join(flat, KEY).withColumn("z", F.explode(F.when(F.col("flat"), F.array(F.col("z"), F.col("z") + 1)).otherwise(F.array("z")))).drop("flat")
     steps = F.array(*[F.struct(F.lit(k).alias("d"), F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for k, (a, b, c) in enumerate(DIRECTIONS)])
-    shifted = own.select(*KEY, F.explode(steps).alias("s"), "z", "y", "x", F.col("g").alias("g1")).select(*KEY, "s.d", (F.col("z") + F.col("s.dz")).alias("z"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "g1")
-    pairs = shifted.join(own.withColumnRenamed("g", "g2"), [*KEY, "z", "y", "x"])
-    both = pairs.select(*KEY, "d", F.explode(F.array(F.struct(F.col("g1").alias("a"), F.col("g2").alias("b")), F.struct(F.col("g2").alias("a"), F.col("g1").alias("b")))).alias("p"))
-    counts = both.groupBy(*KEY, "d", "p.a", "p.b").agg(F.count("*").alias("n"))
-    total = Window.partitionBy(*KEY, "d")
-    p = counts.withColumn("p", F.col("n") / F.sum("n").over(total)).withColumn("mu", F.sum(F.col("p") * F.col("a")).over(total))
-    away = F.col("a") - F.col("b")
-    stats = p.groupBy(*KEY, "d").agg(
-        F.sum(F.col("p") * F.col("p")).alias("energy"), F.sum(F.col("p") * away * away).alias("contrast"), F.sum(F.col("p") / (1 + away * away)).alias("homogeneity"),
-        (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.sum(F.col("p") * F.pow(F.col("a") - F.col("mu"), F.lit(2))).alias("variance"),
-        F.coalesce(F.try_divide(F.sum(F.col("p") * (F.col("a") - F.col("mu")) * (F.col("b") - F.col("mu"))), F.sum(F.col("p") * F.pow(F.col("a") - F.col("mu"), F.lit(2)))), F.lit(1.0)).alias("correlation"),
+    shifted = twice.select(*KEY, F.explode(steps).alias("s"), "z", "y", "x", F.col("g").alias("a"))
+    shifted = shifted.select(*KEY, "s.d", *[(F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"], "a")
+    met = shifted.join(twice.withColumnRenamed("g", "b"), [*KEY, "z", "y", "x"])
+    counts = met.groupBy(*KEY, "d", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    # of each unordered pair: both orders of the joint table, the sum, the difference, and both values of the margin
+    kinds = [("joint", a * (1 << 31) + b, n * F.when(a == b, 2).otherwise(1)), ("joint", F.when(a != b, b * (1 << 31) + a), n), ("sum", a + b, 2 * n), ("difference", b - a, 2 * n), ("margin", a, n), ("margin", b, n)]
+    tables = F.array(*[F.struct(F.lit(kind).alias("kind"), k.alias("k"), m.alias("n")) for kind, k, m in kinds])
+    cells = counts.select(*KEY, "d", "a", "b", n.alias("pairs"), F.posexplode(tables).alias("at", "t")).where("t.k IS NOT NULL")
+    first = F.col("at") == 0
+    sums = {"aa": a * a + b * b, "ab": 2 * a * b, "a1": a + b, "d1": 2 * (b - a)}
+    filled = cells.groupBy(*KEY, "d", "t.kind", "t.k").agg(F.sum("t.n").alias("n"), *[F.sum(F.when(first, F.col("pairs") * v).otherwise(0)).alias(c) for c, v in sums.items()])
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    log = n * F.log2(n.cast("double"))
+    per = filled.groupBy(*KEY, "d").agg(
+        of("joint", n).cast("double").alias("n"), of("joint", n * n).cast("double").alias("nn"), *[F.sum(c).cast("double").alias(c) for c in sums],
+        of("difference", n / (1 + F.col("k") * F.col("k"))).alias("near"), *[of(kind, log).alias(f"log_{kind}") for kind in ("joint", "sum", "difference", "margin")],
     )
-    stats = sum_and_difference(p, stats)
-    names = [c for c in stats.columns if c not in (*KEY, "d")]
-    return stats.groupBy(*KEY).agg(*[x for c in names for x in (F.avg(c).alias(f"{c}_mean"), (F.max(c) - F.min(c)).alias(f"{c}_range"))])
-
-
-def sum_and_difference(p: DataFrame, stats: DataFrame) -> DataFrame:
-    """stats with means, variances and entropies of the sums and differences of the pairs' values."""
-    for name, at in (("sum", F.col("a") + F.col("b")), ("difference", F.abs(F.col("a") - F.col("b")))):
-        share = p.groupBy(*KEY, "d", at.alias("k")).agg(F.sum("p").alias("q"))
-        more = share.groupBy(*KEY, "d").agg(
-            F.sum(F.col("k") * F.col("q")).alias(f"{name}_average"), (F.sum(F.col("k") * F.col("k") * F.col("q")) - F.pow(F.sum(F.col("k") * F.col("q")), F.lit(2))).alias(f"{name}_variance"), (-F.sum(F.col("q") * F.log2("q"))).alias(f"{name}_entropy")
-        )
-        stats = stats.join(more, [*KEY, "d"])
-    return stats
+    mean, square = F.col("a1") / n, F.col("aa") / n
+    entropy = {kind: F.log2(n) - F.col(f"log_{kind}") / n for kind in ("joint", "sum", "difference", "margin")}
+    spread = square - mean * mean
+    contrast = (F.col("aa") - F.col("ab")) / n
+    found = {
+        "energy": F.col("nn") / (n * n), "contrast": contrast, "variance": spread, "homogeneity": F.col("near") / n, "entropy": entropy["joint"], "sum_entropy": entropy["sum"], "difference_entropy": entropy["difference"],
+        "correlation": F.when(spread <= 0, 1.0).otherwise((F.col("ab") / n - mean * mean) / spread), "sum_average": 2 * mean, "sum_variance": (F.col("aa") + F.col("ab")) / n - 4 * mean * mean,
+        "difference_variance": contrast - (F.col("d1") / n) * (F.col("d1") / n),
+        "information_1": F.coalesce(F.try_divide(entropy["joint"] - 2 * entropy["margin"], entropy["margin"]), F.lit(0.0)),
+        "information_2": F.sqrt(F.greatest(F.lit(0.0), 1 - F.exp(-2 * (2 * entropy["margin"] - entropy["joint"])))),
+    }
+    # n counts each pair twice, and the sums hold both of its orders
+    stats = per.select(*KEY, *[found[c].alias(c) for c in STATISTICS])
+    out = stats.groupBy(*KEY).agg(*[x for c in STATISTICS for x in (F.avg(c).alias(f"{c}_mean"), (F.max(c) - F.min(c)).alias(f"{c}_range"))])
+    return flat.select(KEY).join(out, KEY, "left").na.fill(0.0)

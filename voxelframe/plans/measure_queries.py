@@ -55,18 +55,49 @@ def a5_vectors(v):
     return measure.eigenvectors(v.lab(), 1.0, 0.5, 0.5)
 
 
-@query("a7_weighted_moments", f"{LIT}, f AS (SELECT label, sum(i) AS w, sum(i * z) / sum(i) AS wz, sum(i * y) / sum(i) AS wy, sum(i * x) / sum(i) AS wx, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx FROM c GROUP BY 1) SELECT label, round(sqrt(pow(wz - cz, 2) + pow(wy - cy, 2) + pow(wx - cx, 2)), 6) AS displacement, round(sum(i * (z - wz) * (z - wz)) / pow(w, 5.0 / 3), 6) AS moment_200, round(sum(i * (y - wy) * (x - wx)) / pow(w, 5.0 / 3), 6) AS moment_011, round(sum(i * (x - wx) * (x - wx) * (x - wx)) / pow(w, 2), 6) AS moment_003 FROM c JOIN f USING (label) GROUP BY label, w, wz, wy, wx, cz, cy, cx")
+def moments_sql(source: str, prefix: str = "") -> str:
+    """SQL of central_moments() over source(label, z, y, x, i), without the distance in major axes."""
+    terms = ", ".join(
+        f"round(sum(i * pow(z - wz, {p}) * pow(y - wy, {q}) * pow(x - wx, {r})) / pow(w, {p + q + r} / 3.0 + 1), 6) + 0.0 AS {prefix}moment_{p}{q}{r}"
+        for p, q, r in measure.POWERS
+    )
+    return f"""SELECT label, round(max(away), 6) AS {prefix}displacement, round(max(away / pow(6 * k / pi(), 1.0 / 3)), 6) AS {prefix}displacement_in_diameters, {terms}
+    FROM (SELECT *, sqrt(pow(wz - cz, 2) + pow(wy - cy, 2) + pow(wx - cx, 2)) AS away FROM {source} JOIN (
+      SELECT label, sum(i) AS w, count(*) AS k, sum(i * z) / sum(i) AS wz, sum(i * y) / sum(i) AS wy, sum(i * x) / sum(i) AS wx, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx
+      FROM {source} GROUP BY 1) USING (label)) GROUP BY label, w"""
+
+
+@query("a7_weighted_moments", f"{LIT} {moments_sql('c')}")
 def a7(v):
-    return rounded(measure.central_moments(lit_cells(v), "i").select("label", "displacement", "moment_200", "moment_011", "moment_003"))
+    found = measure.central_moments(lit_cells(v), "i").drop("volume_id", "displacement_in_majors")
+    return found.select([(F.round(c, 6) + 0.0).alias(c) if c != "label" else F.col(c) for c in found.columns])
 
 
 STEPS = ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(measure.DIRECTIONS))
-
-
-@query("a10_texture", f"{LIT}, g AS (SELECT label, z, y, x, 1 + i // 16 AS g FROM c), s AS (SELECT * FROM (VALUES {STEPS}) t(d, dz, dy, dx)), one AS (SELECT a.label, d, a.g AS a, b.g AS b FROM g a, s, g b WHERE b.label = a.label AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx), two AS (SELECT * FROM one UNION ALL SELECT label, d, b, a FROM one), n AS (SELECT label, d, a, b, count(*) AS n FROM two GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY label, d) AS p FROM n), st AS (SELECT label, d, sum(p * p) AS energy, sum(p * (a - b) * (a - b)) AS contrast, sum(p / (1 + (a - b) * (a - b))) AS homogeneity, -sum(p * log2(p)) AS entropy FROM p GROUP BY 1, 2) SELECT label, " + ", ".join(f"round(avg({c}), 5) AS {c}_mean, round(max({c}) - min({c}), 5) AS {c}_range" for c in ("energy", "contrast", "homogeneity", "entropy")) + " FROM st GROUP BY 1")
+TEXTURE_SQL = f"""
+g AS (SELECT label, z, y, x, 1 + i // 16 AS g FROM c),
+flat AS (SELECT label FROM g GROUP BY 1 HAVING min(z) = max(z)),
+g2 AS (SELECT * FROM g UNION ALL SELECT label, z + 1, y, x, g FROM g JOIN flat USING (label)),
+steps AS (SELECT * FROM (VALUES {STEPS}) t(d, dz, dy, dx)),
+one AS (SELECT a.label, d, a.g AS a, b.g AS b FROM g2 a, steps, g2 b WHERE b.label = a.label AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
+j AS (SELECT label, d, a, b, count(*) AS n FROM (SELECT * FROM one UNION ALL SELECT label, d, b, a FROM one) GROUP BY ALL),
+j1 AS (SELECT label, d, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n * n) AS DOUBLE) AS nn, CAST(sum(n * a * a) AS DOUBLE) AS aa, CAST(sum(n * a * b) AS DOUBLE) AS ab,
+  CAST(sum(n * a) AS DOUBLE) AS a1, CAST(sum(n * abs(a - b)) AS DOUBLE) AS d1, sum(n * log2(n)) AS l_joint FROM j GROUP BY 1, 2),
+j2 AS (SELECT label, d, sum(n * log2(n)) AS l_sum FROM (SELECT label, d, a + b AS k, sum(n) AS n FROM j GROUP BY ALL) GROUP BY 1, 2),
+j3 AS (SELECT label, d, sum(n * log2(n)) AS l_difference, sum(n / (1.0 + k * k)) AS near FROM (SELECT label, d, abs(a - b) AS k, sum(n) AS n FROM j GROUP BY ALL) GROUP BY 1, 2),
+j4 AS (SELECT label, d, sum(n * log2(n)) AS l_margin FROM (SELECT label, d, a AS k, sum(n) AS n FROM j GROUP BY ALL) GROUP BY 1, 2),
+e AS (SELECT *, a1 / n AS mean, aa / n - (a1 / n) * (a1 / n) AS spread, (aa - ab) / n AS contrast, log2(n) - l_joint / n AS entropy, log2(n) - l_margin / n AS margin
+  FROM j1 JOIN j2 USING (label, d) JOIN j3 USING (label, d) JOIN j4 USING (label, d)),
+st AS (SELECT label, nn / (n * n) AS energy, contrast, CASE WHEN spread <= 0 THEN 1.0 ELSE (ab / n - mean * mean) / spread END AS correlation, spread AS variance, near / n AS homogeneity,
+  2 * mean AS sum_average, (aa + ab) / n - 4 * mean * mean AS sum_variance, log2(n) - l_sum / n AS sum_entropy, entropy, contrast - (d1 / n) * (d1 / n) AS difference_variance,
+  log2(n) - l_difference / n AS difference_entropy, CASE WHEN margin = 0 THEN 0.0 ELSE (entropy - 2 * margin) / margin END AS information_1, sqrt(greatest(0.0, 1 - exp(-2 * (2 * margin - entropy)))) AS information_2 FROM e)"""
+BOTH_OF = [(c, k, f) for c in measure.STATISTICS for k, f in (("mean", f"avg({c})"), ("range", f"max({c}) - min({c})"))]
+
+
+@query("a10_texture", f"{LIT}, {TEXTURE_SQL} SELECT label, " + ", ".join(f"round({f}, 5) + 0.0 AS {c}_{k}" for c, k, f in BOTH_OF) + " FROM st GROUP BY 1")
 def a10(v):
     t = measure.texture(lit_cells(v).withColumn("g", F.expr("1 + i div 16")), "g")
-    return rounded(t.select("label", *[f"{c}_{k}" for c in ("energy", "contrast", "homogeneity", "entropy") for k in ("mean", "range")]), 5)
+    return t.select("label", *[(F.round(f"{c}_{k}", 5) + 0.0).alias(f"{c}_{k}") for c, k, _ in BOTH_OF])
 
 
 @query("a18_histogram", "e AS (SELECT min(i) AS low, max(i) AS high FROM vox) SELECT CAST(least(255, floor((i - low) * 256 / (high - low))) AS INT) AS bin, low, high, count(*) AS count FROM vox, e GROUP BY 1, 2, 3")
@@ -89,7 +120,19 @@ def a20(v):
     return measure.otsu(counts, ["volume_id"]).select("threshold")
 
 
-@query("a20_four_levels")
+LEVELS_SQL = """
+v AS (SELECT i AS value, count(*) AS n FROM vox GROUP BY 1),
+k AS (SELECT value, sum(n) OVER (ORDER BY value) AS n, sum(value * n) OVER (ORDER BY value) AS s, sum(n) OVER () AS nn, sum(value * n) OVER () AS ss FROM v),
+t AS (SELECT value AS threshold FROM k WHERE n < nn ORDER BY round(CAST(n AS DOUBLE) * CAST(nn - n AS DOUBLE) * pow(s / n - (ss - s) / (nn - n), 2), 3) DESC, value LIMIT 1),
+h AS (SELECT value, n, value > threshold AS upper FROM v, t),
+hk AS (SELECT upper, value, sum(n) OVER w AS n, sum(value * n) OVER w AS s, sum(n) OVER p AS nn, sum(value * n) OVER p AS ss FROM h WINDOW w AS (PARTITION BY upper ORDER BY value), p AS (PARTITION BY upper)),
+own AS (SELECT upper, value AS own FROM (SELECT upper, value, row_number() OVER (PARTITION BY upper
+  ORDER BY round(CAST(n AS DOUBLE) * CAST(nn - n AS DOUBLE) * pow(s / n - (ss - s) / (nn - n), 2), 3) DESC, value) AS k FROM hk WHERE n < nn) WHERE k = 1)
+SELECT CASE WHEN h.upper THEN CASE WHEN value > own THEN 0.9 ELSE 0.75 END ELSE CASE WHEN value > own THEN 0.25 ELSE 0.1 END END::DOUBLE AS level, CAST(sum(n) AS BIGINT) AS voxels
+FROM h LEFT JOIN own ON h.upper = own.upper GROUP BY 1"""
+
+
+@query("a20_four_levels", LEVELS_SQL)
 def a20_levels(v):
     return measure.four_levels(v.vox(), "i", ["volume_id"]).groupBy("level").agg(F.count("*").alias("voxels"))
 

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from voxelframe.operators import crops, grid, measure, training
 from voxelframe.operators.overlap import AT, colocate
-from voxelframe.plans.measure_queries import rounded
+from voxelframe.plans.measure_queries import BOTH_OF, LIT, TEXTURE_SQL, Q, moments_sql, rounded
 from voxelframe.plans.registry import query
+from voxelframe.shared import new_path
 from voxelframe.sources import catalog
 
 
 def shared(v, name):
-    """A new folder where the session keeps shared files."""
-    import tempfile
-
-    top = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="voxelframe-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_path(v.spark, name)
 
 
 @query("s19_tsv_round_trip", "SELECT label, count(*) AS area, min(z) AS first FROM lab GROUP BY 1")
@@ -157,11 +152,19 @@ def g10(v):
     return rounded(grid.resample(v.vox().select(*AT, F.col("i").alias("value")), v.vmeta(), (1.0, 1.0, 1.0)), 5)
 
 
-@query("g23_all_features", "SELECT l.label, count(*) AS shape_area, round(avg(i), 6) AS light_mean, round(stddev_pop(i), 6) AS light_std FROM lab l JOIN vox USING (volume_id, z, y, x) GROUP BY 1")
+G23_SQL = f"""{LIT}, {TEXTURE_SQL.replace("1 + i // 16", "greatest(1, i // 16)")}, m AS ({moments_sql("c", "light_")}),
+q AS (SELECT label, quantile_cont(i, 0.25) AS p25, median(i) AS m, quantile_cont(i, 0.75) AS p75 FROM c GROUP BY 1),
+r AS (SELECT label, round(any_value(p25), 6) AS light_p25, round(any_value(m), 6) AS light_median, round(any_value(p75), 6) AS light_p75, round(median(abs(i - m)), 6) AS light_mad FROM c JOIN q USING (label) GROUP BY 1),
+s AS (SELECT label, count(*) AS area, round(avg(i), 6) AS light_mean, round(stddev_pop(i), 6) AS light_std, {Q.replace("AS percentile", "AS light_percentile")} FROM c GROUP BY 1),
+x AS (SELECT label, {", ".join(f"round({f}, 5) + 0.0 AS light_{c}_{k}" for c, k, f in BOTH_OF)} FROM st GROUP BY 1)
+SELECT s.*, r.* EXCLUDE (label), m.* EXCLUDE (label), x.* EXCLUDE (label) FROM s JOIN r USING (label) JOIN m USING (label) JOIN x USING (label)"""
+
+
+@query("g23_all_features", G23_SQL)
 def g23(v):
-    rows = colocate(v.lab(), v.vox())
-    light = measure.intensity_stats(rows, ["label"], "i").select("label", F.col("mean").alias("light_mean"), F.col("std").alias("light_std"))
-    return rounded(measure.region_basics(v.lab()).select("label", F.col("area").alias("shape_area")).join(light, "label"))
+    found = measure.all_features(v.lab(), {"light": v.vox()}, grey=16).drop("volume_id", "second_ratio", "first_ratio", "light_displacement_in_majors")
+    textures = {f"light_{c}_{k}" for c, k, _ in BOTH_OF}
+    return found.select([(F.round(c, 5 if c in textures else 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
 @query("g5_resampled_cubes")
