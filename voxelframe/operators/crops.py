@@ -14,14 +14,15 @@ def shared_side(a: str, b: str, at: str, side: str) -> Column:
     return F.greatest(F.lit(0), high - low)
 
 
-def overlaps(left: DataFrame, right: DataFrame, cell: int = 16) -> DataFrame:
-    """(a, b, z, area) of overlapping crops of one slice; each pair once for each two different ids.
+def overlaps(left: DataFrame, right: DataFrame, cell: int = 16, carry: list[str] | None = None) -> DataFrame:
+    """(a, b, z, area, and carry as a_<name> and b_<name>) of overlapping crops of one slice, for each two of them.
 
     Crops meet in square cells of the slice, so the join is on (z, cell); a pair counts in the first cell that both reach.
     """
+    carry = carry or []
 
     def in_cells(df: DataFrame) -> DataFrame:
-        out = df
+        out = df.select("crop_id", "z", "y", "x", "height", "width", *carry)
         for at, side in SIDES:
             out = out.withColumn(f"c{at}", F.explode(F.sequence(F.expr(f"int(floor({at} / {cell}))"), F.expr(f"int(floor(({at} + {side} - 1) / {cell}))"))))
         return out
@@ -32,15 +33,27 @@ def overlaps(left: DataFrame, right: DataFrame, cell: int = 16) -> DataFrame:
     for at, _ in SIDES:
         first = first & (F.col(f"a.c{at}") == F.floor(F.greatest(F.col(f"a.{at}"), F.col(f"b.{at}")) / cell))
     area = shared_side("a", "b", "y", "height") * shared_side("a", "b", "x", "width")
-    return both.where(first).select(F.col("a.crop_id").alias("a"), F.col("b.crop_id").alias("b"), F.col("a.z").alias("z"), area.cast("long").alias("area")).where("area > 0")
+    more = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in carry]
+    return both.where(first).select(F.col("a.crop_id").alias("a"), F.col("b.crop_id").alias("b"), F.col("a.z").alias("z"), area.cast("long").alias("area"), *more).where("area > 0")
+
+
+def with_sizes(crops: DataFrame) -> DataFrame:
+    """crops with `size`, the voxels of all slices of a crop, and `depth`, their number."""
+    sizes = crops.groupBy("crop_id").agg(F.sum(F.col("height").cast("long") * F.col("width")).alias("size"), F.count("*").alias("depth"))
+    return crops.join(sizes, "crop_id")
 
 
 def volume_iou(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, area, iou, covered): over all slices of each two crops; covered: the share of a that b has."""
-    size = lambda df, n: df.groupBy(F.col("crop_id").alias(n)).agg(F.sum(F.col("height").cast("long") * F.col("width")).alias(f"s{n}"))
-    both = overlaps(left, right).groupBy("a", "b").agg(F.sum("area").alias("area"))
-    both = both.join(size(left, "a"), "a").join(size(right, "b"), "b")
-    return both.select("a", "b", "area", (F.col("area") / (F.col("sa") + F.col("sb") - F.col("area"))).alias("iou"), (F.col("area") / F.col("sa")).alias("covered"))
+    """(a, b, z, area, iou, covered): over all slices of each two crops; covered: the share of a that b has; z: their first common slice.
+
+    Sizes travel with the crops, so pairs are joined with nothing. Pairs with a crop of one slice are whole as they are; only the
+    others are summed over their slices.
+    """
+    pairs = overlaps(with_sizes(left), with_sizes(right), carry=["size", "depth"])
+    single = (F.col("a_depth") == 1) | (F.col("b_depth") == 1)
+    deep = pairs.where(~single).groupBy("a", "b").agg(F.min("z").alias("z"), F.sum("area").alias("area"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
+    both = pairs.where(single).select(deep.columns).unionByName(deep)
+    return both.select("a", "b", "z", "area", (F.col("area") / (F.col("a_size") + F.col("b_size") - F.col("area"))).alias("iou"), (F.col("area") / F.col("a_size")).alias("covered"))
 
 
 def restricted(crops: DataFrame, size_z: int, size_y: int, size_x: int) -> DataFrame:
