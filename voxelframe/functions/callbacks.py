@@ -40,3 +40,8 @@ def filtered(rows: DataFrame, filters: list[Callable[[DataFrame], DataFrame]]) -
     for f in filters:
         rows = rows.transform(f)
     return rows
+
+
+def per_pair(pairs: DataFrame, metrics: dict[str, Callable[[Column, Column], Column]], left: str, right: str, by: list[str]) -> DataFrame:
+    """Each metric of each pair of images: pairs has a row for each place with both values; a metric makes an aggregate of two columns."""
+    return pairs.groupBy(*by).agg(*[f(F.col(left), F.col(right)).alias(name) for name, f in metrics.items()])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -9,22 +11,55 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.shared import checkpointed
+
 
 def shuffled(key: Column, seed: int) -> Column:
     """An order that depends on the key and the seed alone."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
+def ranked(rows: DataFrame, label: str | None, key: str, seed: int) -> DataFrame:
+    """rows with `rank` from 0 in shuffled order and `many`, both of the row's label, or of all rows.
+
+    The order's first two characters make 256 parts of a label; only their counts meet in a window over a label.
+    """
+    by = F.col(label) if label else F.lit(0)
+    keyed = rows.withColumns({"_by": by, "_order": shuffled(F.col(key), seed)}).withColumn("_part", F.substring("_order", 1, 2))
+    counts = keyed.groupBy("_by", "_part").agg(F.count("*").alias("n")).select(F.col("_by").alias("_of"), F.col("_part").alias("_at"), "n")
+    of = Window.partitionBy("_of")
+    base = F.coalesce(F.sum("n").over(of.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.select("_of", "_at", base.alias("_base"), F.sum("n").over(of).alias("many"))
+    inner = F.row_number().over(Window.partitionBy("_by", "_part").orderBy("_order", key)) - 1
+    placed = keyed.withColumn("_inner", inner).join(parts, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_at")))
+    return placed.select(*rows.columns, (F.col("_base") + F.col("_inner")).alias("rank"), "many")
+
+
 def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: int = 0) -> DataFrame:
     """rows with `test`: of each label, the first ceil(share * n) in shuffled order."""
-    order = Window.partitionBy(label).orderBy(shuffled(F.col(key), seed), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return rows.withColumn("test", F.row_number().over(order) <= F.ceil(n * share))
+    return ranked(rows, label, key, seed).select(*rows.columns, (F.col("rank") < F.ceil(F.col("many") * share)).alias("test"))
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, k: int, seed: int = 0) -> DataFrame:
-    order = Window.partitionBy(label).orderBy(shuffled(F.col(key), seed), key)
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    """rows with `fold`: of each label, shuffled rows in turn to the k folds."""
+    return ranked(rows, label, key, seed).select(*rows.columns, (F.col("rank") % k).cast("int").alias("fold"))
+
+
+def folds(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
+    """rows with `fold`: k folds of shuffled rows that follow each other, whose sizes differ by one at most."""
+    size, more = F.floor(F.col("many") / k), F.col("many") % k
+    early = more * (size + 1)  # the first `more` folds have one row more
+    fold = F.when(F.col("rank") < early, F.floor(F.col("rank") / (size + 1))).otherwise(more + F.floor((F.col("rank") - early) / F.greatest(size, F.lit(1))))
+    return ranked(rows, None, key, seed).select(*rows.columns, fold.cast("int").alias("fold"))
+
+
+def shuffled_groups(rows: DataFrame, group: str, share: float, times: int, seed: int = 0) -> DataFrame:
+    """For each of `times` splits all rows with `split` and `test`: ceil(share * n) of the n groups are tested."""
+    groups = rows.select(F.col(group).alias("_group")).distinct().withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    order = Window.partitionBy("split").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "split", F.col("_group").cast("string"))), "_group")  # a row for each group
+    n = F.count("*").over(Window.partitionBy("split"))
+    tested = groups.withColumn("test", F.row_number().over(order) <= F.ceil(n * share))
+    return rows.join(tested, F.col(group).eqNullSafe(F.col("_group"))).select(*rows.columns, "split", "test")
 
 
 def group_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
@@ -58,6 +93,30 @@ def cross_validated(rows: DataFrame, features: list[str], label: str, k: int, tr
     return out
 
 
+def cross_scores(rows: DataFrame, features: list[str], label: str, group: Column, k: int, scorers: dict[str, Column], trees: int = 10) -> DataFrame:
+    """(fold, n, and each scorer's value) of out-of-fold predictions, where equal values of `group` are in one fold.
+
+    scorers: aggregates over the label, `prediction` and `probability_1`.
+    """
+    held = group_folds(rows.withColumn("_group", group), "_group", k)
+    scored = cross_validated(held, features, label, k, trees)
+    return scored.groupBy("fold").agg(F.count("*").alias("n"), *[c.alias(name) for name, c in scorers.items()])
+
+
+def recursive_elimination(rows: DataFrame, features: list[str], label: str, k: int, least: int = 1, trees: int = 10) -> DataFrame:
+    """(n_features, features, score): cross-validated accuracy of rows with `fold`, as the least important feature goes in turn.
+
+    The loop has a round for each feature; importances are a forest's over all rows, ties go by name.
+    """
+    out, left = [], list(features)
+    while len(left) >= max(1, least):
+        right = cross_validated(rows, left, label, k, trees).agg(F.avg((F.col(label) == F.col("prediction")).cast("double"))).first()[0]
+        out.append((len(left), ",".join(sorted(left)), right))
+        found = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=0).fit(vectors(rows, left)).featureImportances.toArray()
+        left.remove(min(zip(found, left, strict=True))[1])
+    return rows.sparkSession.createDataFrame(out, "n_features int, features string, score double")
+
+
 def principal_components(rows: DataFrame, features: list[str], k: int = 3) -> DataFrame:
     """rows with pc_1 .. pc_k of the centred features."""
     v = vectors(rows, features)
@@ -107,21 +166,58 @@ def shadow_votes(rows: DataFrame, features: list[str], label: str, key: str, rou
     return rows.sparkSession.createDataFrame(list(wins.items()), "feature string, wins int")
 
 
+def nearest(rows: DataFrame, features: list[str], key: str, k: int) -> DataFrame:
+    """(key, place, other, distance): the k nearest other rows of each, place from 1, ties by key; fewer where there are fewer.
+
+    Features are compared in standard deviations. Rows meet in equal cells of the first four: what isn't in a row's cell or
+    those around it is farther than a cell is wide, so neighbours nearer than that are final. Rows without k such go on with
+    cells of twice the width, until the cells span the data. Null or non-finite features count as no row.
+    """
+    known = rows.select(F.col(key).alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
+    for f in features:
+        known = known.where(F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(f) < float("inf")))
+    grid = features[:4]
+    about = known.agg(F.count("*").alias("n"), *[F.stddev_pop(f).alias(f"s_{f}") for f in features], *[x for f in grid for x in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))]).first()
+    scale = {f: about[f"s_{f}"] or 1.0 for f in features}
+    known = known.select("_key", *[(F.col(f) / scale[f]).alias(f"x{j}") for j, f in enumerate(features)])
+    axes = [f"x{j}" for j in range(len(features))]
+    span = max([(about[f"hi_{f}"] - about[f"lo_{f}"]) / scale[f] for f in grid if about["n"]] or [0.0])
+    width = max(span * (k / max(about["n"], 1)) ** (1 / len(grid)), 1e-9)
+    asked, out = known, None
+    while True:
+        last = width > span
+        cells = [F.floor(F.col(f"x{j}") / width).alias(f"c{j}") for j in range(len(grid))]
+        around = asked.select(F.col("_key").alias("_own"), *[F.col(x).alias(f"own_{x}") for x in axes])
+        for j in range(len(grid)):
+            around = around.withColumn(f"c{j}", F.explode(F.array(*[F.floor(F.col(f"own_x{j}") / width) + d for d in (-1, 0, 1)])))
+        met = around.join(known.select("*", *cells), [f"c{j}" for j in range(len(grid))]).where("_key <> _own")
+        away = F.sqrt(sum((F.col(x) - F.col(f"own_{x}")) * (F.col(x) - F.col(f"own_{x}")) for x in axes))
+        order = Window.partitionBy("_own").orderBy("distance", "_key")
+        best = met.select("_own", "_key", away.alias("distance")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        if not last:
+            best = best.where(F.col("distance") < width)
+        best = checkpointed(best.select(F.col("_own").alias(key), "place", F.col("_key").alias("other"), "distance"))
+        done = best.groupBy(key).agg(F.count("*").alias("n")).where(F.lit(last) | (F.col("n") == k)).select(key)
+        final = best.join(done, key, "left_semi")
+        out = final if out is None else out.unionByName(final)
+        asked = checkpointed(asked.join(done, asked["_key"] == done[key], "left_anti"))
+        if last or asked.isEmpty():
+            return out
+        width *= 2
+
+
 def oversampled(minority: DataFrame, features: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
-    """A new row between each row and one of its k nearest ones among rows of its bucket, at a seeded share of the way.
+    """A new row between each row and one of its k nearest ones, at a share of the way; both are drawn by the key and the seed.
 
-    Buckets are cells of the features' deciles on the first two features, so no row meets all others.
+    A row without any other gives none.
     """
-    cuts = minority.agg(*[F.percentile(f, F.array(*[F.lit(p / 10) for p in range(1, 10)])).alias(f) for f in features[:2]])
-    b = minority.join(cuts.select(*[F.col(f).alias(f"cuts_{f}") for f in features[:2]]))
-    for f in features[:2]:
-        b = b.withColumn(f"bin_{f}", sum(F.when(F.col(f"cuts_{f}")[p] < F.col(f), 1).otherwise(0) for p in range(9)))
-    cells = [f"bin_{f}" for f in features[:2]]
-    order = Window.partitionBy(*cells).orderBy(features[-1], key)
-    near = b.withColumn("others", F.collect_list(F.struct(key, *features)).over(order.rowsBetween(1, k)))
-    pick = F.get("others", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.size("others")).cast("int"))
+    found = nearest(minority, features, key, k)
+    size = F.count("*").over(Window.partitionBy(key))  # k rows
+    drawn = found.withColumn("n", size).where(F.col("place") == F.pmod(F.xxhash64(key, F.lit(seed)), F.col("n")) + 1).select(key, "other")
+    ends = minority.select(F.col(key).alias("other"), *[F.col(f).alias(f"to_{f}") for f in features])
     share = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(1000)) / 1000
-    return near.where(F.size("others") > 0).withColumn("o", pick).select(F.concat(F.lit("new_"), F.col(key).cast("string")).alias(key), *[(F.col(f) + (F.col(f"o.{f}") - F.col(f)) * share).alias(f) for f in features])
+    both = minority.select(key, *features).join(drawn, key).join(ends, "other")
+    return both.select(F.concat(F.lit("new_"), F.col(key).cast("string")).alias(key), *[(F.col(f) + (F.col(f"to_{f}") - F.col(f)) * share).alias(f) for f in features])
 
 
 def best_candidates(runs: DataFrame, params: list[str], score: str, candidates: DataFrame, top: int) -> DataFrame:

@@ -99,6 +99,31 @@ def m3_stratified(v):
     return model.stratified_folds(v.feat(), "class", "row_id", 5).groupBy("class", "fold").agg(F.count("*").alias("n"))
 
 
+@query("m3_folds", """k AS (SELECT row_id, row_number() OVER (ORDER BY md5('0:' || row_id), row_id) - 1 AS r, count(*) OVER () AS n FROM feat),
+f AS (SELECT CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1) ELSE n % 5 + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold, row_id FROM k)
+SELECT CAST(fold AS INT) AS fold, count(*) AS n, min(row_id) AS first_row FROM f GROUP BY 1""")
+def m3_folds(v):
+    return model.folds(v.feat(), "row_id", 5).groupBy("fold").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
+
+
+@query("m3_shuffled_groups", """g AS (SELECT image, split, row_number() OVER (PARTITION BY split ORDER BY md5('0:' || split || ':' || image), image) <= ceil(count(*) OVER (PARTITION BY split) * 0.3) AS test
+FROM (SELECT DISTINCT image FROM feat), (SELECT unnest(range(3))::INT AS split)) SELECT image, split, test, count(*) AS n FROM feat JOIN g USING (image) GROUP BY 1, 2, 3""")
+def m3_shuffled(v):
+    return model.shuffled_groups(v.feat(), "image", 0.3, 3).groupBy("image", "split", "test").agg(F.count("*").alias("n"))
+
+
+@query("f6_scored_folds")
+def f6(v):
+    hit = F.avg((F.col("class") == F.col("prediction")).cast("double"))
+    gap = F.avg(F.pow(F.col("class") - F.col("probability_1"), F.lit(2)))
+    return rounded(model.cross_scores(v.feat(), FEATURES, "class", F.col("image") % 5, 3, {"accuracy": hit, "brier": gap}, 5))
+
+
+@query("m9_recursive_elimination")
+def m9_elimination(v):
+    return rounded(model.recursive_elimination(model.group_folds(v.feat(), "image", 3), FEATURES, "class", 3, 2, 5))
+
+
 @query("m4_cross_validation")
 def m4(v):
     rows = model.group_folds(v.feat(), "image", 3)
