@@ -111,6 +111,60 @@ def test_plan_of_short_pieces_is_near_the_bound(low, high, each):
     assert sum(often for _, often in planned) <= 1.02 * bound + 1
 
 
+@pytest.mark.parametrize("change", ["replace", "added"])
+def test_other_tokenizer_files_go_to_the_library(tmp_path, change):
+    """Files that differ from the known one only in what Replace removes, or in one added token."""
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from voxelframe.llm._tokens import Encoder
+
+    with open(word_bpe(), encoding="utf-8") as file:
+        spec = json.load(file)
+    if change == "replace":
+        spec["normalizer"]["normalizers"][1] = {"type": "Replace", "pattern": {"String": "-"}, "content": ""}
+    else:
+        spec["added_tokens"].append({"id": 49408, "content": "[SEP]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec))
+    texts = ["well-known a-b [SEP] x", "plain words", ""]
+    ids, counts = Encoder(str(path)).encode(pa.array(texts, pa.large_string()))
+    want = [x.ids for x in Tokenizer.from_file(str(path)).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_pieces_with_one_hash_keep_their_ids(monkeypatch):
+    """All hashes of three bits: pieces are told apart by their bytes."""
+    import pyarrow as pa
+
+    from voxelframe.llm import _text
+    from voxelframe.llm._tokens import Encoder
+
+    real = _text.Words.hashes
+    monkeypatch.setattr(_text.Words, "hashes", lambda self: real(self) & np.uint64(7))
+    texts = [t or "" for _, t in corpus()[:30]] + ["it's don't we'll"]
+    ids, counts = Encoder(word_bpe()).encode(pa.array(texts, pa.large_string()))
+    want = [x[:-1] for x in library(texts, 0)]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_files_have_row_groups_pages_and_encodings(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    texts = [(k, " ".join(f"word{k}x{j}" for j in range(60))) for k in range(900)]
+    for encoding in ("dictionary", "delta"):
+        folder = f"{tmp_path}/{encoding}"
+        token_files.write_token_files(docs_of(spark, texts).coalesce(1), f"file://{folder}", word_bpe(), 2, encoding, row_group_bytes=64 << 10, page_bytes=4 << 10)
+        files = [pq.ParquetFile(f) for f in sorted((tmp_path / encoding).glob("*.parquet"))]
+        groups = [f.metadata.row_group(k) for f in files for k in range(f.metadata.num_row_groups)]
+        ids = [g.column(2) for g in groups if g.num_rows]
+        assert len(ids) > len(files) and all(c.has_offset_index and g.column(0).has_column_index for c, g in zip(ids, groups, strict=True))
+        found = {e for c in ids for e in c.encodings}
+        assert ("DELTA_BINARY_PACKED" in found) == (encoding == "delta") and any("DICTIONARY" in e for e in found) == (encoding == "dictionary")
+
+
 # --------------------------------------------------------------------------------------------------------------- WARC
 
 
@@ -156,6 +210,14 @@ def test_vector_links_equal_brute_force(spark):
     assert vectors.linked_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_labels_of_any_type_must_be_equal(spark, kind):
+    labels = [1.2, 1.4, 1.2, None] if kind == "double" else ["a", "b", "a", None]
+    frame = spark.createDataFrame([(k, [1.0, 2.0 + k / 1000], x) for k, x in enumerate(labels)] + [(0, [1.0, 2.0], labels[0])], f"vec_id long, embedding array<double>, label {kind}")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.linked_vectors(frame).collect())
+    assert got == [(0, 2, 0), (0, 2, 0), (1, 0, 1), (2, 2, 0), (3, 0, 3)]
+
+
 # -------------------------------------------------------------------------------------------------------- decontamination
 
 
@@ -186,6 +248,11 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contamination(docs_of(spark, []), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_contamination_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    test_contamination_equals_brute_force(spark)
+
+
 # ------------------------------------------------------------------------------------------------------------------ lines
 
 
@@ -212,6 +279,13 @@ def test_equal_lines_of_many_fields_go_but_first(spark):
     assert [rows[k].n_dropped for k in (8, 9)] == [0, 0]
 
 
+def test_lines_without_broadcasts_and_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_BROADCAST", 0)
+    test_lines_of_shared_templates_go_but_first(spark)
+    again = [(1, "Terms apply to all of us"), (1, "Terms apply to all of us"), (1, "Terms apply to all of us"), (2, "Terms apply to all of us")]
+    assert {r.n_dropped for r in lines.drop_template_lines(docs_of(spark, again)).collect()} == {0}  # two documents only
+
+
 # ------------------------------------------------------------------------------------------------------------------- chat
 
 
@@ -239,6 +313,16 @@ def test_best_branches_of_a_tree(spark):
     assert best[0].formatted == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\nbad<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
 
 
+def test_cycles_and_repeated_messages_end(spark):
+    rows = [(1, 1, 2, "user", "a", 1.0), (1, 2, 1, "user", "b", 1.0), (1, 3, 2, "user", "under", 1.0), (1, 4, 4, "user", "self", 1.0), (1, 5, None, "user", "root", 1.0), (1, 6, 5, "assistant", "leaf", 1.0)]
+    rows += [(1, 6, 5, "assistant", "leaf", 1.0), (1, 6, 5, "assistant", "more", 1.0), (1, None, 5, "user", "no node", 9.0), (None, 1, None, "user", "other tree", None)]
+    rows += [(2, k, k - 1 if k else None, "user", str(k), 1.0) for k in range(21)]
+    frame = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {r.tree: r for r in chat.read_chats(chat.format_chats(frame, branches=5)).collect()}
+    assert set(got) == {1, 2, None}
+    assert [t.text for t in got[1].turns] == ["root", "leaf"] and [t.text for t in got[2].turns] == [str(k) for k in range(21)] and len(got[None].turns) == 1
+
+
 # -------------------------------------------------------------------------------------------------------- near duplicates
 
 
@@ -344,6 +428,46 @@ def test_repeated_words_equal_brute_force(spark):
     assert substrings.repeated_words(docs_of(spark, [])).count() == 0
 
 
+def test_windows_with_one_hash_are_told_apart(spark):
+    """A task with all window hashes of two bits still removes only equal words."""
+    import pyarrow as pa
+
+    texts = [t for _, t in corpus(seed=4) if t][:40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int32()), pa.array(texts)], ["doc_id", "text_hash", "text"])
+    from voxelframe.llm._text import BLANKS, runs
+    from voxelframe.llm._text import words as cut
+
+    w = cut(batch.column("text").cast(pa.large_string()), BLANKS, lower=False)
+    at, hashes = runs(w, w.hashes(), 13)
+    group = substrings._groups(w, at, hashes & np.uint64(3), 13)
+    data = w.data.tobytes()
+    key = [tuple(data[w.start[a + j] : w.end[a + j]] for j in range(13)) for a in at]
+    same = {}
+    assert all(same.setdefault(k, g) == g for k, g in zip(key, group.tolist(), strict=True)) and len(set(same.values())) == len(same)
+
+
+def test_large_buckets_are_held_in_parts(spark, monkeypatch):
+    """Buckets of any size are compared in parts; the same result comes from parts of a few hundred bytes."""
+    import pyarrow as pa
+
+    texts = [t or "" for _, t in corpus(seed=9)] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int32()), pa.array(texts)], ["doc_id", "text_hash", "text"])
+
+    def flagged():
+        sent = [b for k in range(0, len(texts), 7) for b in substrings.super_kmers([batch.slice(k, 7)], 13, 2)]
+        rows = pa.Table.from_batches(sent).sort_by("bucket").to_batches()
+        words_of = {}
+        for b in substrings.counted(rows, 13):
+            for doc, spans in zip(b.column("doc_id").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                for x, y in zip(spans[::2], spans[1::2], strict=True):
+                    words_of.setdefault(doc, set()).update(range(x, y))
+        return words_of
+
+    whole = flagged()
+    monkeypatch.setattr(substrings, "HELD", 300)
+    assert flagged() == whole and len(whole) > 20
+
+
 def test_rows_of_one_document_keep_each_others_words(spark):
     text = " ".join(f"u{k}" for k in range(30))
     rows = substrings.repeated_words(docs_of(spark, [(1, text), (1, text), (1, text + " x"), (2, text)])).collect()
@@ -370,3 +494,12 @@ def test_languages_are_told_apart(spark):
     empty = docs.limit(0)
     assert language.identify(empty, language.fit(empty)).count() == 0
     assert {r.lang_pred for r in language.identify(docs, language.fit(empty)).collect()} == {"und"}
+
+
+def test_fit_gathers_a_bounded_number_of_rows(spark, monkeypatch):
+    """Rows that repeat an id don't add to what the driver gathers, and null texts don't use up the bound."""
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda x, langs: seen.append((len(x), len(langs))))
+    rows = [(1, "the same text", "en")] * 300 + [(1, f"text number {k}", "en") for k in range(300)] + [(k, None, "en") for k in range(2, 200)] + [(k, "der text", "de") for k in range(1000, 1004)]
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=25)
+    assert seen == [(25 + sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(1000, 1004)),) * 2]

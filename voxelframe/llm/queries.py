@@ -71,16 +71,16 @@ OP5_SQL = r"""
 WITH l AS (
   SELECT doc_id, k AS pos, trim(regexp_replace(parts[k], '\s+', ' ', 'g'), ' ') AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
-m AS (SELECT doc_id, pos, string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS w FROM l WHERE line <> ''),
-keyed AS (SELECT doc_id, pos, w, len(w) AS n, list_slice(w, 1, 4) AS lead FROM m),
+m AS (SELECT doc_id, pos, line AS raw, string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS w FROM l WHERE line <> ''),
+keyed AS (SELECT doc_id, pos, raw, w, len(w) AS n, list_slice(w, 1, 4) AS lead FROM m),
 leaves AS (SELECT n, lead FROM keyed GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 3),
 shared AS (SELECT keyed.* FROM keyed JOIN leaves USING (n, lead)),
-tokens AS (SELECT n, lead, w, doc_id, pos, unnest(range(1, n + 1)) AS k FROM shared),
+tokens AS (SELECT n, lead, w, raw, doc_id, pos, unnest(range(1, n + 1)) AS k FROM shared),
 common AS (SELECT n, lead, k, w[k] AS token FROM tokens WHERE w[k] <> '<*>' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
 words AS (
-  SELECT t.n, t.lead, t.doc_id, t.pos, t.k, CASE WHEN c.token IS NOT NULL THEN c.token ELSE '<*>' END AS word, c.token IS NOT NULL AS own
+  SELECT t.n, t.lead, t.doc_id, t.pos, t.raw, t.k, CASE WHEN c.token IS NOT NULL THEN c.token ELSE '<*>' END AS word, c.token IS NOT NULL AS own
   FROM tokens t LEFT JOIN common c ON t.n = c.n AND t.lead = c.lead AND t.k = c.k AND t.w[t.k] = c.token),
-placed AS (SELECT n, lead, doc_id, pos, list(word ORDER BY k) AS template FROM words GROUP BY n, lead, doc_id, pos HAVING count(*) FILTER (own) >= 0.7 * n),
+placed AS (SELECT n, lead, doc_id, pos, CASE WHEN count(*) FILTER (own) >= 0.7 * n THEN 'filled ' || string_agg(word, ' ' ORDER BY k) ELSE 'raw ' || raw END AS template FROM words GROUP BY n, lead, doc_id, pos, raw),
 often AS (SELECT n, lead, template, min((doc_id, pos)) AS first FROM placed GROUP BY n, lead, template HAVING count(DISTINCT doc_id) >= 3),
 dropped AS (SELECT doc_id, pos FROM placed JOIN often USING (n, lead, template) WHERE (doc_id, pos) <> first),
 parts AS (SELECT doc_id, list(pos) AS ats FROM dropped GROUP BY doc_id)
