@@ -35,10 +35,12 @@ def s5(v):
     return catalog.one_channel(channels(v), [0, 2]).select("z", "y", "x", "i")
 
 
-@query("s6_metadata_documents")
+@query("s6_metadata_documents", """SELECT n_nationkey, 4 AS size_z, 25 AS size_y, n_nationkey AS size_x, CAST(NULL AS INT) AS size_c, CAST(NULL AS DOUBLE) AS vz, CAST(NULL AS DOUBLE) AS vy,
+CAST(0.5 AS DOUBLE) AS vx, 'a,' || n_name AS channels FROM nation""")
 def s6(v):
     xml = F.format_string('<OME><Image><Pixels SizeX="%d" SizeY="25" SizeZ="4" PhysicalSizeX="0.5"><Channel Name="a"/><Channel Name="%s"/></Pixels></Image></OME>', "n_nationkey", "n_name")
-    return catalog.ome_volumes(v.table("nation").select("n_nationkey", xml.alias("xml")))
+    found = catalog.ome_volumes(v.table("nation").select("n_nationkey", xml.alias("xml")))
+    return found.withColumn("channels", F.array_join("channels", ","))
 
 
 @query("s9_tile_paths", "SELECT CAST(p_size AS INT) AS z, CAST(p_partkey % 3 AS INT) AS c, count(*) AS n FROM part GROUP BY 1, 2")

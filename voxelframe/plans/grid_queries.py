@@ -80,19 +80,48 @@ def g2_median(v):
     return grid.median_filter(values(v), 1, v.vmeta()).drop("volume_id")
 
 
-@query("g2_edges")
+def fold_sql(name: str, source: str, value: str, radius: int) -> str:
+    """CTE of (z, y, x, dy, dx, v): each voxel's reflected square neighbourhood in its plane."""
+    at = lambda c, n: f"CASE WHEN a.{c} + d{c} < 0 THEN -1 - a.{c} - d{c} WHEN a.{c} + d{c} >= {n} THEN 2 * {n} - 1 - a.{c} - d{c} ELSE a.{c} + d{c} END"
+    steps = f"range(-{radius}, {radius + 1})"
+    return f"""{name} AS (SELECT m.z, m.y, m.x, m.dy, m.dx, b.{value} AS v FROM (
+      SELECT a.z, a.y, a.x, dy, dx, {at("y", 25)} AS ny, {at("x", 64)} AS nx FROM {source} a, (SELECT unnest({steps}) AS dy), (SELECT unnest({steps}) AS dx)) m
+      JOIN {source} b ON b.z = m.z AND b.y = m.ny AND b.x = m.nx)"""
+
+
+EDGES_SQL = f"""{fold_sql("near", "vox", "i", 2)},
+g AS (SELECT k, exp(-2.0 * k * k) / (SELECT sum(exp(-2.0 * j * j)) FROM (SELECT unnest(range(-2, 3)) AS j)) AS w FROM (SELECT unnest(range(-2, 3)) AS k)),
+d AS (SELECT z, y, x, sum(a.w * b.w * dy / 0.25 * v) AS dy, sum(a.w * b.w * dx / 0.25 * v) AS dx FROM near JOIN g a ON a.k = near.dy JOIN g b ON b.k = near.dx GROUP BY 1, 2, 3),
+edges AS (SELECT z, y, x, sqrt(dy * dy + dx * dx) AS value FROM d)"""
+CLOSING_SQL = f"{fold_sql('n1', 'vox', 'i', 1)}, m1 AS (SELECT z, y, x, max(v) AS i FROM n1 GROUP BY 1, 2, 3), {fold_sql('n2', 'm1', 'i', 1)}, closed AS (SELECT z, y, x, min(v) AS value FROM n2 GROUP BY 1, 2, 3)"
+OPENING_SQL = CLOSING_SQL.replace("max(v)", "min(v)", 1).replace("min(v) AS value", "max(v) AS value").replace("closed", "opened")
+
+
+@query("g2_edges", f"{EDGES_SQL} SELECT z, y, x, round(value, 5) + 0.0 AS value FROM edges")
 def g2_edges(v):
-    return rounded(grid.edges(values(v), v.vmeta(), 0.5), 5)
+    return rounded(grid.edges(values(v), v.vmeta(), 0.5), 5).drop("volume_id")
 
 
-@query("g2_closing")
+@query("g2_closing", f"{CLOSING_SQL} SELECT * FROM closed")
 def g2_closing(v):
-    return grid.closing(values(v), 1, v.vmeta())
+    return grid.closing(values(v), 1, v.vmeta()).drop("volume_id")
+
 
+@query("g2_opening", f"{OPENING_SQL} SELECT * FROM opened")
+def g2_opening(v):
+    return grid.opening(values(v), 1, v.vmeta()).drop("volume_id")
 
-@query("g3_membrane")
+
+DISK = ", ".join(f"({a}, {b})" for _, a, b in grid.disk(4))
+
+
+@query("g3_membrane", f"""s AS (SELECT * FROM (VALUES {DISK}) t(dy, dx)),
+ring AS (SELECT DISTINCT z, y + dy AS y, x + dx AS x FROM lab, s WHERE y + dy BETWEEN 0 AND 24 AND x + dx BETWEEN 0 AND 63),
+d AS (SELECT v.z, v.y, v.x, coalesce(l.label, 0) AS label FROM vox v LEFT JOIN lab l USING (z, y, x)),
+own AS (SELECT DISTINCT a.z, a.y, a.x FROM d a JOIN d b ON a.z = b.z AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.label <> b.label WHERE a.label > 0)
+SELECT * FROM ring ANTI JOIN lab USING (z, y, x) UNION SELECT * FROM own""")
 def g3(v):
-    return grid.membrane(v.lab(), v.vmeta())
+    return grid.membrane(v.lab(), v.vmeta()).drop("volume_id")
 
 
 @query("j24_touching_boundaries", "SELECT DISTINCT a.z, a.y, a.x FROM lab a JOIN lab b ON a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.label <> b.label")
@@ -113,9 +142,17 @@ def j7(v):
     return without_area(v.vox(), blob).drop("volume_id")
 
 
-@query("g9_resample_linear")
+def resampled_sql(nz: str, ny: str, nx: str) -> str:
+    """SQL of a linear resampling of `vox` to so many slices, lines and columns."""
+    axis = lambda c, n, size: f"{c}s AS (SELECT t AS t{c}, d AS d{c}, CAST(floor(p) + d AS INT) AS {c}, CASE WHEN d = 1 THEN p - floor(p) ELSE 1 - p + floor(p) END AS w{c} FROM (SELECT t, t * ({size} - 1) / ({n} - 1.0) AS p FROM (SELECT unnest(range(CAST({n} AS BIGINT))) AS t)), (SELECT unnest(range(2)) AS d))"
+    size_z = "(SELECT max(z) + 1 FROM vox)"
+    return f"""{axis("z", nz, size_z)}, {axis("y", ny, "25")}, {axis("x", nx, "64")}
+    SELECT CAST(tz AS INT) AS z, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, round(sum(wz * wy * wx * i), 5) AS value FROM vox JOIN zs USING (z) JOIN ys USING (y) JOIN xs USING (x) WHERE wz * wy * wx > 0 GROUP BY 1, 2, 3"""
+
+
+@query("g9_resample_linear", resampled_sql("(SELECT greatest(2, round((max(z) + 1) / 2.0)) FROM vox)", "25", "32"))
 def g9(v):
-    return rounded(grid.resample(values(v), v.vmeta(), (2.0, 0.5, 1.0)), 5)
+    return rounded(grid.resample(values(v), v.vmeta(), (2.0, 0.5, 1.0)), 5).drop("volume_id")
 
 
 @query("g9_resample_same", "SELECT z, y, x, CAST(i AS DOUBLE) AS value FROM vox")
@@ -123,15 +160,15 @@ def g9_same(v):
     return rounded(grid.resample(values(v), v.vmeta(), (1.0, 0.5, 0.52)), 5).drop("volume_id")
 
 
-@query("g11_dihedral_round_trip", "SELECT z, y, x, i AS value, CAST(8 AS BIGINT) AS variants FROM vox WHERE x < 25")
+@query("g11_dihedral_round_trip", "SELECT z, y, x, i AS value, CAST(8 AS BIGINT) AS variants FROM vox")
 def g11(v):
-    turned = grid.dihedral(values(v).where("x < 25"), 25)
-    return grid.undo_dihedral(turned, 25).groupBy("z", "y", "x", "value").agg(F.count("*").alias("variants"))
+    turned = grid.dihedral(values(v), 64)
+    return grid.undo_dihedral(turned, 64).groupBy("z", "y", "x", "value").agg(F.count("*").alias("variants"))
 
 
-@query("a40_merge_transforms", "SELECT z, y, x, CAST(i AS DOUBLE) AS value FROM vox WHERE x < 25")
+@query("a40_merge_transforms", "SELECT z, y, x, CAST(i AS DOUBLE) AS value FROM vox")
 def a40(v):
-    return grid.merge_transforms(grid.dihedral(values(v).where("x < 25"), 25), 25).drop("volume_id")
+    return grid.merge_transforms(grid.dihedral(values(v), 64), 64).drop("volume_id")
 
 
 @query("g12_tiles_round_trip", "SELECT z, y, x, i AS value FROM vox")

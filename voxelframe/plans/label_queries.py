@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.operators import crops, grid, labelling, spatial
 from voxelframe.operators.overlap import AT, disagreeing
+from voxelframe.plans.grid_queries import OPENING_SQL
 from voxelframe.plans.measure_queries import rounded
 from voxelframe.plans.registry import query
 
@@ -25,17 +26,34 @@ def g13(v):
     return labelling.connected_components(v.seeds(), v.vmeta()).drop("volume_id")
 
 
-@query("g13_components_26")
+def components_sql(source: str, near: str, least: int) -> str:
+    """CTEs up to `labelled`(z, y, x, label): components of source(z, y, x) of `least` voxels or more, by their first voxel."""
+    return f"""p AS (SELECT (z * 25 + y) * 64 + x AS pos, z, y, x FROM {source}),
+e AS (SELECT a.pos AS a, b.pos AS b FROM p a JOIN (SELECT unnest(range(-1, 2)) AS dz), (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx), p b
+  WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND {near}),
+r AS (SELECT pos AS a, pos AS root FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a),
+c AS (SELECT a, min(root) AS root FROM r GROUP BY 1),
+large AS (SELECT root FROM c GROUP BY 1 HAVING count(*) >= {least}),
+labelled AS (SELECT z, y, x, CAST(dense_rank() OVER (ORDER BY root) AS INT) AS label FROM p JOIN c ON c.a = p.pos SEMI JOIN large USING (root))""".replace("p a JOIN (SELECT", "p a, (SELECT")
+
+
+@query("g13_components_26", components_sql("seeds", "a.pos <> b.pos", 2) + " SELECT * FROM labelled")
 def g13_26(v):
-    return labelling.connected_components(v.seeds(), v.vmeta(), labelling.ALL, least_size=2)
+    return labelling.connected_components(v.seeds(), v.vmeta(), labelling.ALL, least_size=2).drop("volume_id")
+
+
+OPENED = OPENING_SQL.replace("opened", "kept_on").replace("FROM vox a", "FROM lit a").replace("JOIN vox b", "JOIN lit b")
 
 
-@query("g13_label_cells")
+@query("g13_label_cells", f"""lit AS (SELECT z, y, x, CAST(i >= 130 AS INT) AS i FROM vox), {OPENED}, opened AS (SELECT z, y, x FROM kept_on WHERE value = 1),
+{components_sql("opened", "abs(dz) + abs(dy) + abs(dx) = 1", 3)},
+s AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(sy, sx))
+SELECT z, y + sy AS y, x + sx AS x, max(label) AS label FROM labelled, s WHERE y + sy BETWEEN 0 AND 24 AND x + sx BETWEEN 0 AND 63 GROUP BY 1, 2, 3""")
 def g13_pipeline(v):
     """Threshold, opening, components without small ones, dilation."""
     on = v.vox().select(*AT, (F.col("i") >= 130).cast("int").alias("value"))
     opened = grid.opening(on, 1, v.vmeta()).where("value = 1").select(*AT)
-    return grid.dilate(labelling.connected_components(opened, v.vmeta(), least_size=3), grid.diamond(1), v.vmeta())
+    return grid.dilate(labelling.connected_components(opened, v.vmeta(), least_size=3), grid.diamond(1), v.vmeta()).drop("volume_id")
 
 
 @query("g14_split_by_peaks")

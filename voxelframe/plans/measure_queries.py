@@ -137,9 +137,18 @@ def a20_levels(v):
     return measure.four_levels(v.vox(), "i", ["volume_id"]).groupBy("level").agg(F.count("*").alias("voxels"))
 
 
-@query("a33_describe", "l AS (SELECT class, unnest(['l_quantity', 'l_discount']) AS feature, unnest([l_quantity, l_discount]) AS value FROM feat) SELECT class, feature, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS variance FROM l GROUP BY 1, 2")
+DESCRIBE_SQL = """
+l AS (SELECT class, unnest(['l_quantity', 'l_discount']) AS feature, unnest([l_quantity, l_discount]) AS value FROM feat),
+m AS (SELECT class, feature, avg(value) AS mu, var_pop(value) AS spread FROM l GROUP BY 1, 2)
+SELECT class, feature, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS variance,
+  round(avg(pow(value - mu, 3)) / pow(any_value(spread), 1.5), 6) + 0.0 AS skewness, round(avg(pow(value - mu, 4)) / pow(any_value(spread), 2) - 3, 6) + 0.0 AS kurtosis
+FROM l JOIN m USING (class, feature) GROUP BY 1, 2"""
+
+
+@query("a33_describe", DESCRIBE_SQL)
 def a33(v):
-    return rounded(measure.describe(v.feat(), ["l_quantity", "l_discount"], ["class"]).drop("skewness", "kurtosis"))
+    found = measure.describe(v.feat(), ["l_quantity", "l_discount"], ["class"])
+    return found.select([(F.round(c, 6) + 0.0).alias(c) if c in ("mean", "variance", "skewness", "kurtosis") else F.col(c) for c in found.columns])
 
 
 @query("a34_chunk_means", "SELECT volume_id, z // 3 AS chunk, y, x, CAST(sum(i) // 3 AS INT) AS i FROM vox GROUP BY 1, 2, 3, 4")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.operators import model, quality
 from voxelframe.operators.overlap import AT
+from voxelframe.plans.grid_queries import fold_sql
 from voxelframe.plans.measure_queries import rounded
 from voxelframe.plans.registry import query
 
@@ -47,9 +48,15 @@ def a26(v):
     return rounded(quality.psnr(image_pair(v), "i", "j", ["z"], 255.0))
 
 
-@query("a26_ssim")
+SSIM_SQL = f"""pair AS (SELECT z, y, x, i + 1000 * (i + (x + y) % 5) AS i FROM vox), {fold_sql("near", "pair", "i", 1)},
+m AS (SELECT z, y, x, avg(a) AS a, avg(b) AS b, avg(a * a) AS aa, avg(b * b) AS bb, avg(a * b) AS ab FROM (SELECT z, y, x, CAST(v % 1000 AS DOUBLE) AS a, CAST(v // 1000 AS DOUBLE) AS b FROM near) GROUP BY 1, 2, 3),
+t AS (SELECT z, a, b, 9.0 / 8 * (aa - a * a) AS va, 9.0 / 8 * (bb - b * b) AS vb, 9.0 / 8 * (ab - a * b) AS vab FROM m)
+SELECT z, round(avg((2 * a * b + 6.5025) * (2 * vab + 58.5225) / ((a * a + b * b + 6.5025) * (va + vb + 58.5225))), 6) AS ssim FROM t GROUP BY 1"""
+
+
+@query("a26_ssim", SSIM_SQL)
 def a26_ssim(v):
-    return rounded(quality.ssim(image_pair(v), v.vmeta(), "i", "j", 1, 255.0))
+    return rounded(quality.ssim(image_pair(v), v.vmeta(), "i", "j", 1, 255.0)).drop("volume_id")
 
 
 @query("a28_marginal_means", "SELECT param, value, round(avg(score), 6) AS mean, count(*) AS n FROM (SELECT unnest(['image', 'class']) AS param, CAST(unnest([image, class]) AS VARCHAR) AS value, l_discount AS score FROM feat) GROUP BY 1, 2")
@@ -151,9 +158,9 @@ def m7(v):
     return rounded(model.varied(v.feat(), FEATURES, 1.0), 4)
 
 
-@query("m7_mutual_information", "l AS (SELECT class, unnest(['l_quantity', 'l_tax']) AS feature, unnest([l_quantity, l_tax]) AS v FROM feat), e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1), c AS (SELECT feature, least(9, floor((v - lo) * 10 / (hi - lo))) AS bin, class, count(*) AS n FROM l JOIN e USING (feature) GROUP BY ALL), t AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS nn, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, class) AS nc FROM c) SELECT feature, round(sum(n / nn * ln(n * nn / (nb * nc))), 6) AS mi FROM t GROUP BY 1")
+@query("m7_mutual_information", "l AS (SELECT class, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM feat), e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1), c AS (SELECT feature, least(9, floor((v - lo) * 10 / (hi - lo))) AS bin, class, count(*) AS n FROM l JOIN e USING (feature) GROUP BY ALL), t AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS nn, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, class) AS nc FROM c) SELECT feature, round(sum(n / nn * ln(n * nn / (nb * nc))), 6) AS mi FROM t GROUP BY 1")
 def m7_mi(v):
-    return rounded(model.mutual_information(v.feat(), ["l_quantity", "l_tax"], "class"))
+    return rounded(model.mutual_information(v.feat(), FEATURES, "class"))
 
 
 @query("m8_tree_importances")
