@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,8 +162,15 @@ def patches(rows: DataFrame, sizes: DataFrame, size: int, stride: int, value: st
     return cut.select("volume_id", "z", (F.col("ky") * stride).alias("py"), (F.col("kx") * stride).alias("px"), "y", "x", value)
 
 
-def merge_patches(cut: DataFrame, value: str = "value") -> DataFrame:
-    return cut.groupBy(*AT).agg(F.avg(value).alias(value))
+def merge_patches(cut: DataFrame, value: str = "value", sizes: DataFrame | None = None) -> DataFrame:
+    """The mean of each place over its patches; with sizes, a volume with a place in no patch is an error."""
+    merged = cut.groupBy(*AT).agg(F.avg(value).alias(value))
+    if sizes is None:
+        return merged
+    places = F.col("size_z").cast("long") * F.col("size_y") * F.col("size_x")
+    gaps = merged.groupBy("volume_id").agg(F.count("*").alias("n")).join(sizes.select("volume_id", places.alias("places")), "volume_id")
+    gaps = gaps.select("volume_id", F.when(F.col("n") < F.col("places"), F.raise_error(F.lit("places in no patch")).cast("long")).otherwise(F.col("n")).alias("n"))
+    return merged.join(gaps, "volume_id").where("n > 0").drop("n")
 
 
 def slabs(rows: DataFrame, height: int) -> DataFrame:
@@ -213,17 +221,24 @@ def pad_to(rows: DataFrame, sizes: DataFrame, size: int, mode: str = "constant",
     return out.select("volume_id", "z", F.col("ny").alias("y"), F.col("nx").alias("x"), F.coalesce(value, F.lit(0)).alias(value))
 
 
-def resample(rows: DataFrame, sizes: DataFrame, new: tuple[float, float, float], order: int = 1, tolerance: float = 0.1, value: str = "value") -> DataFrame:
+def resize_in_plane(rows: DataFrame, sizes: DataFrame, pixel: float, order: int = 1, tolerance: float = 0.1, value: str = "value") -> DataFrame:
+    """Slices on pixels of size `pixel`, whose sides become max(1, floor(side * old / pixel)); slices are not mixed."""
+    return resample(rows, sizes.withColumn("vz", F.lit(1.0)), (1.0, pixel, pixel), order, tolerance, value, lambda c: F.greatest(F.lit(1), F.floor(c)))
+
+
+def resample(
+    rows: DataFrame, sizes: DataFrame, new: tuple[float, float, float], order: int = 1, tolerance: float = 0.1, value: str = "value", side: Callable[[Column], Column] = lambda c: F.greatest(F.lit(2), F.round(c))
+) -> DataFrame:
     """Dense rows on a grid of voxel size `new`: linear (order 1) or nearest; within the tolerance the rows are returned as they are.
 
-    A side becomes max(2, round(side * old / new)). Each target voxel joins at most 8 source voxels.
+    A side becomes side(side * old / new), by default max(2, round(...)). Each target voxel joins at most 8 source voxels.
     """
     s = sizes.select("volume_id", *[f"size_{c}" for c in "zyx"], *[f"v{c}" for c in "zyx"])
     factor = {c: F.col(f"v{c}") / new[k] for k, c in enumerate("zyx")}
     near = F.lit(True)
     for c in "zyx":
         near = near & (F.abs(factor[c] - 1) <= tolerance)
-    target = s.select("*", near.alias("same"), *[F.when(near, F.col(f"size_{c}")).otherwise(F.greatest(F.lit(2), F.round(F.col(f"size_{c}") * factor[c]))).cast("int").alias(f"n{c}") for c in "zyx"])
+    target = s.select("*", near.alias("same"), *[F.when(near, F.col(f"size_{c}")).otherwise(side(F.col(f"size_{c}") * factor[c])).cast("int").alias(f"n{c}") for c in "zyx"])
     grid = target
     for c in "zyx":
         grid = grid.withColumn(f"t{c}", F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1)))

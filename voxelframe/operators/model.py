@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -143,6 +143,20 @@ def mutual_information(rows: DataFrame, features: list[str], label: str, bins: i
     return term.groupBy("feature").agg(F.sum("t").alias("mi"))
 
 
+def most_informative(rows: DataFrame, features: list[str], label: str, k: int, bins: int = 10) -> DataFrame:
+    """(feature, mi) of the k features with the most mutual information; ties go by name."""
+    return mutual_information(rows, features, label, bins).orderBy(F.desc("mi"), "feature").limit(k)
+
+
+def significant(rows: DataFrame, features: list[str], label: str, mode: str, threshold: float) -> DataFrame:
+    """(feature) whose analysis of variance against the label passes: mode fpr, fdr or fwe bounds the false ones by threshold."""
+    if mode not in ("fpr", "fdr", "fwe"):
+        raise ValueError(f"unknown mode: {mode}")
+    chooser = UnivariateFeatureSelector(featuresCol="features", labelCol=label, selectionMode=mode).setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(threshold)
+    found = chooser.fit(vectors(rows.withColumn(label, F.col(label).cast("double")), features)).selectedFeatures
+    return rows.sparkSession.createDataFrame([(features[j],) for j in sorted(found)], "feature string")
+
+
 def tree_importances(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, importance) of a decision tree, over 0 only."""
     found = DecisionTreeClassifier(featuresCol="features", labelCol=label, seed=0).fit(vectors(rows, features)).featureImportances.toArray()

@@ -67,6 +67,19 @@ def s12(v):
     return found.select("dataset", F.col("input").cast("string").alias("input"), F.col("annotation").cast("string").alias("annotation"))
 
 
+NAMED_SQL = """
+n AS (SELECT source AS dataset, printf('img_%09d.tif', doc_id) AS input, printf('img_%09d_mask.tif', doc_id) AS annotation, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
+SELECT dataset, input, CASE WHEN k <= 20 THEN annotation END AS annotation FROM n"""
+
+
+@query("s12_named_pairs", NAMED_SQL)
+def s12_named(v):
+    rows = v.table("documents").select(F.col("source").alias("dataset"), "doc_id", F.format_string("img_%09d.tif", "doc_id").alias("name"))
+    order = Window.partitionBy("dataset").orderBy("doc_id")
+    masks = rows.withColumn("k", F.row_number().over(order)).where("k <= 20").withColumn("name", F.format_string("img_%09d_mask.tif", "doc_id"))
+    return catalog.paired(rows, masks, contained=True)
+
+
 @query("s13_class_files", "f AS (SELECT p_brand AS folder, p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'x_a_1' WHEN p_size % 5 = 1 THEN 'x_ab' ELSE 'y' END AS name FROM part) SELECT folder, id, name FROM f WHERE contains(name, '_a_') OR (contains(name, '_a') AND folder NOT IN (SELECT folder FROM f WHERE contains(name, '_a_')))")
 def s13(v):
     name = F.when(F.col("p_size") % 5 == 0, "x_a_1").when(F.col("p_size") % 5 == 1, "x_ab").otherwise("y")
@@ -221,6 +234,6 @@ def j23(v):
 @query("j8_prefix_merge", "SELECT label, count(*) AS lab_n, round(avg(i), 6) AS vox_mean FROM lab JOIN vox USING (volume_id, z, y, x) GROUP BY 1")
 def j8(v):
     """Feature sets of the same cells, merged with their set's name before each column."""
-    sets = {"lab": v.lab().groupBy("label").agg(F.count("*").alias("n")), "vox": v.lab().join(v.vox(), ["volume_id", "z", "y", "x"]).groupBy("label").agg(F.round(F.avg("i"), 6).alias("mean"))}
-    named = [df.select("label", *[F.col(c).alias(f"{n}_{c}") for c in df.columns if c != "label"]) for n, df in sets.items()]
-    return named[0].join(named[1], "label")
+    lit = v.lab().join(v.vox(), ["volume_id", "z", "y", "x"])
+    sets = {"lab": v.lab().groupBy("label").agg(F.count("*").alias("n")), "vox": lit.groupBy("label").agg(F.round(F.avg("i"), 6).alias("mean"))}
+    return catalog.merged_features(sets, ["label"])

@@ -74,10 +74,15 @@ def a30(v):
     return quality.votes(v.table("events").select(F.col("event_type").alias("class_name"), "user_id"), "class_name", "user_id", 2)
 
 
-@query("a31_correlations", "SELECT unnest(['q-p', 'q-d']) AS pair, unnest([round(corr(l_quantity, l_extendedprice), 6), round(corr(l_quantity, l_discount), 6)]) AS r FROM feat")
+A31_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM feat" for k, a in enumerate(FEATURES) for b in FEATURES[k + 1 :])
+
+
+@query("a31_correlations", A31_SQL)
 def a31(v):
-    pair = F.when(F.col("b") == "l_extendedprice", "q-p").when(F.col("b") == "l_discount", "q-d")
-    return rounded(quality.correlations(v.feat(), FEATURES).where("a = 'l_quantity' AND b IN ('l_extendedprice', 'l_discount')").select(pair.alias("pair"), "r"))
+    found = quality.correlations(v.feat(), FEATURES).where("a <> b")
+    pair = lambda f: f(*[F.when(F.col(c) == n, k) for c in "ab" for k, n in enumerate(FEATURES)])
+    names = F.array(*[F.lit(n) for n in FEATURES])
+    return found.select(names[pair(F.least)].alias("a"), names[pair(F.greatest)].alias("b"), (F.round("r", 6) + 0.0).alias("r")).distinct()
 
 
 @query("a32_class_balance", "SELECT class, count(*) AS count, round((SELECT count(*) FROM feat) / count(*) - 1, 6) AS weight FROM feat GROUP BY 1")
@@ -158,7 +163,20 @@ def m7(v):
     return rounded(model.varied(v.feat(), FEATURES, 1.0), 4)
 
 
-@query("m7_mutual_information", "l AS (SELECT class, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM feat), e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1), c AS (SELECT feature, least(9, floor((v - lo) * 10 / (hi - lo))) AS bin, class, count(*) AS n FROM l JOIN e USING (feature) GROUP BY ALL), t AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS nn, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, class) AS nc FROM c) SELECT feature, round(sum(n / nn * ln(n * nn / (nb * nc))), 6) AS mi FROM t GROUP BY 1")
+MI_SQL = "l AS (SELECT class, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM feat), e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1), c AS (SELECT feature, least(9, floor((v - lo) * 10 / (hi - lo))) AS bin, class, count(*) AS n FROM l JOIN e USING (feature) GROUP BY ALL), t AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS nn, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, class) AS nc FROM c) SELECT feature, round(sum(n / nn * ln(n * nn / (nb * nc))), 6) AS mi FROM t GROUP BY 1"
+
+
+@query("m7_most_informative", MI_SQL + " ORDER BY mi DESC, feature LIMIT 2")
+def m7_most(v):
+    return rounded(model.most_informative(v.feat(), FEATURES, "class", 2))
+
+
+@query("m7_significant")
+def m7_significant(v):
+    return model.significant(v.feat(), FEATURES, "class", "fdr", 0.05)
+
+
+@query("m7_mutual_information", MI_SQL)
 def m7_mi(v):
     return rounded(model.mutual_information(v.feat(), FEATURES, "class"))
 

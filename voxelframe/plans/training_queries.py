@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.operators import crops, grid, measure, training
 from voxelframe.operators.overlap import AT, colocate
+from voxelframe.plans.grid_queries import resampled_sql
 from voxelframe.plans.measure_queries import BOTH_OF, LIT, TEXTURE_SQL, Q, moments_sql, rounded
 from voxelframe.plans.registry import query
 from voxelframe.shared import new_path
@@ -40,6 +41,15 @@ def s25(v):
     return v.table("part").select("p_partkey", F.format_string("sample-%d_z%d/size-%dpx", "p_partkey", "p_size", F.col("p_size") * 2).alias("path"))
 
 
+@query("s25_partitioned_output", "SELECT p_partkey, p_retailprice, p_size % 5 AS sample, p_brand AS brand FROM part")
+def s25_written(v):
+    """Rows written below folders named by their parameters, and read back with these as columns."""
+    path = shared(v, "partitioned")
+    rows = v.table("part").select("p_partkey", "p_retailprice", (F.col("p_size") % 5).alias("sample"), F.col("p_brand").alias("brand"))
+    rows.repartition("sample", "brand").write.partitionBy("sample", "brand").parquet(path)
+    return v.spark.read.parquet(path)
+
+
 @query("s26_crop_catalog_round_trip", "SELECT * FROM crops")
 def s26(v):
     path = shared(v, "crops")
@@ -134,11 +144,18 @@ def p37(v):
     return training.steps(v.table("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("pages")), 3)
 
 
-@query("j9_class_with_features", "SELECT image, row_id, class, l_quantity FROM feat")
+J9_SQL = """
+c AS (SELECT image, row_id, max(class) AS class FROM feat WHERE l_tax < 0.06 GROUP BY 1, 2), f AS (SELECT image, row_id, sum(l_quantity) AS quantity, max(l_discount) AS discount FROM feat GROUP BY 1, 2)
+SELECT image, row_id, class, quantity, discount FROM c JOIN f USING (image, row_id)"""
+
+
+@query("j9_class_with_features", J9_SQL)
 def j9(v):
+    """Annotated rows' classes with the features that another table has of them, by image and row."""
     key = ["image", "row_id"]
-    one = v.feat().select(*key, "class").withColumn("n", F.lit(1)).groupBy(*key, "class").agg(F.count("*").alias("n"))
-    return v.feat().select(*key, "class", "l_quantity").join(one.select(*key, "class"), [*key, "class"], "left_semi")
+    classes = v.feat().where("l_tax < 0.06").groupBy(*key).agg(F.max("class").alias("class"))
+    features = v.feat().groupBy(*key).agg(F.sum("l_quantity").alias("quantity"), F.max("l_discount").alias("discount"))
+    return classes.join(features, key)
 
 
 @query("j21_metrics_with_slices", "SELECT a.image, round(avg(l_discount), 6) AS score, n FROM feat a JOIN (SELECT z AS image, count(*) AS n FROM vox GROUP BY 1) s USING (image) GROUP BY 1, n")
@@ -147,9 +164,9 @@ def j21(v):
     return rounded(v.feat().groupBy("image").agg(F.avg("l_discount").alias("score")).join(slices, "image"))
 
 
-@query("g10_resize_in_plane")
+@query("g10_resize_in_plane", resampled_sql("(SELECT max(z) + 1 FROM vox)", "12", "32"))
 def g10(v):
-    return rounded(grid.resample(v.vox().select(*AT, F.col("i").alias("value")), v.vmeta(), (1.0, 1.0, 1.0)), 5)
+    return rounded(grid.resize_in_plane(v.vox().select(*AT, F.col("i").alias("value")), v.vmeta(), 1.0), 5).drop("volume_id")
 
 
 G23_SQL = f"""{LIT}, {TEXTURE_SQL.replace("1 + i // 16", "greatest(1, i // 16)")}, m AS ({moments_sql("c", "light_")}),

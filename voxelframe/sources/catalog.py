@@ -65,11 +65,30 @@ def tile_path(path: Column, part: str) -> Column:
     return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(path, rf"(?:^|[/_]){part}(\d+)", 1), F.lit("")), F.lit("999999")).cast("int"), F.lit(0))
 
 
-def paired(inputs: DataFrame, annotations: DataFrame, name: str = "name", by: str = "dataset") -> DataFrame:
-    """(dataset, input, annotation): by sorted position; leftovers have a null annotation, and too many annotations are an error."""
+def paired(inputs: DataFrame, annotations: DataFrame, name: str = "name", by: str = "dataset", contained: bool = False) -> DataFrame:
+    """(dataset, input, annotation): by sorted position; leftovers have a null annotation, and too many annotations are an error.
+
+    contained: also an annotation whose name doesn't contain its input's name, without its ending, is an error.
+    """
     number = lambda df, n: df.select(by, F.col(name).alias(n), F.row_number().over(Window.partitionBy(by).orderBy(name)).alias("k"))
     both = number(inputs, "input").join(number(annotations, "annotation"), [by, "k"], "full")
-    return both.select(by, F.when(F.col("input").isNull(), F.raise_error(F.lit("more annotations than inputs")).cast("string")).otherwise(F.col("input")).alias("input"), "annotation")
+    found = both.select(by, F.when(F.col("input").isNull(), F.raise_error(F.lit("more annotations than inputs")).cast("string")).otherwise(F.col("input")).alias("input"), "annotation")
+    if not contained:
+        return found
+    stem = F.regexp_replace("input", r"\.[^.]*$", "")
+    other = F.raise_error(F.concat(F.lit("no annotation of "), F.col("input"), F.lit(": "), F.col("annotation"))).cast("string")
+    return found.withColumn("annotation", F.when(F.col("annotation").isNull() | F.contains(F.col("annotation"), stem), F.col("annotation")).otherwise(other))
+
+
+def merged_features(sets: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Feature sets of the same rows, each with its name before its columns. Sets whose keys differ are an error."""
+    out = None
+    for name, rows in sets.items():
+        named = rows.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c not in keys], F.lit(True).alias(f"_in_{name}"))
+        out = named if out is None else out.join(named, keys, "full")
+    whole = functools.reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_in_{n}"), F.lit(False)) for n in sets])
+    checked = F.when(whole, F.col(keys[0])).otherwise(F.raise_error(F.concat_ws(" ", F.lit("not in every feature set:"), *keys)).cast(out.schema[keys[0]].dataType))
+    return out.withColumn(keys[0], checked).drop(*[f"_in_{n}" for n in sets])
 
 
 def class_files(files: DataFrame, class_name: str) -> DataFrame:
