@@ -499,7 +499,7 @@ def test_languages_are_told_apart(spark):
 def test_fit_gathers_a_bounded_number_of_rows(spark, monkeypatch):
     """Rows that repeat an id don't add to what the driver gathers, and null texts don't use up the bound."""
     seen = []
-    monkeypatch.setattr(language, "Model", lambda x, langs: seen.append((len(x), len(langs))))
+    monkeypatch.setattr(language, "Model", lambda x, langs, order: seen.append((len(x), len(langs))))
     rows = [(1, "the same text", "en")] * 300 + [(1, f"text number {k}", "en") for k in range(300)] + [(k, None, "en") for k in range(2, 200)] + [(k, "der text", "de") for k in range(1000, 1004)]
     language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=25)
     assert seen == [(25 + sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(1000, 1004)),) * 2]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -74,12 +75,15 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
     return plain
 
 
-def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear support vector machine with squared hinge loss; y is -1 or 1, both sides weigh the same."""
-    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-5
-    z = np.ones((len(x), x.shape[1] + 1), np.float32)  # one copy of the rows, in single precision
-    np.subtract(x, mean, out=z[:, :-1], casting="unsafe")
-    z[:, :-1] /= (scale * np.sqrt(x.shape[1])).astype(np.float32)
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear support vector machine with squared hinge loss on some rows of x; y is -1 or 1, both sides
+    weigh the same. One copy of these rows is made, in single precision."""
+    blocks = [rows[k : k + 64] for k in range(0, len(rows), 64)]
+    mean = sum(x[b].sum(0, dtype=float) for b in blocks) / len(rows)
+    scale = np.sqrt(sum(((x[b] - mean) ** 2).sum(0) for b in blocks) / len(rows)) + 1e-5
+    z = np.ones((len(rows), x.shape[1] + 1), np.float32)
+    for k, b in enumerate(blocks):
+        z[64 * k : 64 * k + len(b), :-1] = (x[b] - mean) / (scale * np.sqrt(x.shape[1]))
     y = y.astype(np.float32)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     step = 0.5 / max(1e-12, float((weight * np.einsum("ij,ij->i", z, z)).sum()) + penalty)
@@ -97,13 +101,17 @@ def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300) -
 class Model:
     """Machines for each two families and for each two languages of one family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
+    def __init__(self, x: np.ndarray, langs: list[str], order: list[int]) -> None:
+        """x: a row for each of langs; they are taken in the given order."""
         names = np.array(langs)
         kin = np.array([family(v) for v in langs])
         self.langs, self.families = sorted(set(langs)), sorted(set(kin.tolist()))
         self.of = {f: [v for v in self.langs if family(v) == f] for f in self.families}
         self.pairs = [(kin, a, b) for a, b in itertools.combinations(self.families, 2)] + [(names, a, b) for f in self.families for a, b in itertools.combinations(self.of[f], 2)]
-        fits = [svm(x[(by == a) | (by == b)], np.where(by[(by == a) | (by == b)] == a, 1.0, -1.0)) for by, a, b in self.pairs]
+        fits = []
+        for by, a, b in self.pairs:
+            rows = np.array([k for k in order if by[k] in (a, b)], int)
+            fits.append(svm(x, rows, np.where(by[rows] == a, 1.0, -1.0)))
         self.weights = np.array([w for w, _ in fits]).T.reshape(WIDTH, len(fits)) if fits else np.zeros((WIDTH, 0))
         self.bias = np.array([b for _, b in fits])
         self.names = [(a, b) for _, a, b in self.pairs]
@@ -162,11 +170,14 @@ def fit(docs: DataFrame, most: int = 300) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([v.tobytes() for v in _vectors(texts)], pa.binary())], ["lang", "v"])
 
     chosen = given.join(F.broadcast(rows.select(key)), key, "left_semi").dropDuplicates(key)  # at most `most` rows a language
-    found = chosen.mapInArrow(vectors, "lang string, v binary").toArrow().sort_by([("lang", "ascending"), ("v", "ascending")])
-    x = np.empty((len(found), WIDTH), np.float32)
+    found = chosen.mapInArrow(vectors, "lang string, v binary").toArrow()
+    x, langs = np.empty((len(found), WIDTH), np.float32), found.column("lang").to_pylist()
     for k, v in enumerate(found.column("v")):
         x[k] = np.frombuffer(v.as_buffer(), np.float32)
-    return Model(x, found.column("lang").to_pylist())
+    del found
+    pa.default_memory_pool().release_unused()  # the driver goes on with one copy
+    order = sorted(range(len(langs)), key=lambda k: (langs[k], hashlib.sha1(x[k]).digest()))  # rows come in any order
+    return Model(x, langs, order)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
