@@ -22,14 +22,15 @@ def class_cube(cells: DataFrame, members: DataFrame, names: list[str]) -> DataFr
     if not names:
         raise ValueError("no classes")
     subsets = [list(s) for n in range(1, len(names) + 1) for s in itertools.combinations(sorted(names), n)]
-    spark = cells.sparkSession
-    sets = spark.createDataFrame([(", ".join(s), s) for s in subsets] + [("all_cells", []), ("no_class", None)], "classes string, needed array<string>")
+    sets = [(", ".join(c), c) for c in subsets] + [("all_cells", [])]
     own = members.where(F.col("class_name").isin(names)).groupBy("volume_id", "label").agg(F.collect_set("class_name").alias("own"))
     known = cells.select("volume_id", "label").distinct().join(own, ["volume_id", "label"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
-    fits = F.when(F.col("classes") == "no_class", F.size("own") == 0).otherwise(F.size(F.array_except("needed", "own")) == 0)
-    rows = known.join(F.broadcast(sets), fits)  # 2^k + 1 rows for k classes
-    every = known.select("volume_id").distinct().join(F.broadcast(sets.select("classes")))
-    return every.join(rows.select("volume_id", "classes", "label"), ["volume_id", "classes"], "left")
+    # each cell names its own groups: at most 2^k for k classes, without a join
+    held = [F.when(F.array_contains("own", c[0]) if len(c) == 1 else F.size(F.array_intersect(F.col("own"), F.array(*map(F.lit, c)))) == len(c), name) if c else F.lit(name) for name, c in sets]
+    groups = F.when(F.size("own") == 0, F.array(F.lit("all_cells"), F.lit("no_class"))).otherwise(F.array_compact(F.array(*held)))
+    rows = known.select("volume_id", F.explode(groups).alias("classes"), "label")
+    every = known.select("volume_id").distinct().select("volume_id", F.explode(F.array(*[F.lit(n) for n, _ in sets], F.lit("no_class"))).alias("classes"))
+    return every.join(rows, ["volume_id", "classes"], "left")
 
 
 def volume_stats(voxels: DataFrame, members: DataFrame, names: list[str], sizes: DataFrame) -> DataFrame:

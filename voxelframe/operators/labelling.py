@@ -139,8 +139,11 @@ def contour_palette(labels: DataFrame, target: int) -> DataFrame:
     ids = labels.where("label > 0").select("label").distinct()
     checked = ids.agg(F.count_if(F.col("label") == target).alias("there")).select(F.when(F.col("there") == 0, F.raise_error(F.lit(f"no label {target}")).cast("int")).otherwise(0).alias("ok"))
     others = ids.where(F.col("label") != target)
-    n = others.agg(F.count("*").alias("n"))
-    tone = others.join(n).withColumn("k", F.row_number().over(Window.orderBy("label")) - 1).select("label", (64 + F.floor(F.col("k") * 100 / F.greatest(F.lit(1), F.col("n") - 1))).cast("int").alias("tone"))
+    part = F.floor(F.col("label") / 65536).alias("part")
+    counts = others.groupBy(part).agg(F.count("*").alias("m"))  # a row for each 65,536 labels
+    bases = counts.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy()).alias("n"))
+    inner = F.row_number().over(Window.partitionBy("part").orderBy("label")) - 1
+    tone = others.select("label", part).withColumn("inner", inner).join(bases, "part").withColumn("k", F.col("base") + F.col("inner")).select("label", (64 + F.floor(F.col("k") * 100 / F.greatest(F.lit(1), F.col("n") - 1))).cast("int").alias("tone"))
     rows = labels.join(tone, "label", "left").join(checked)
     value: Column = F.when(F.col("label") == target, 255).otherwise(F.coalesce("tone", F.lit(0))) + F.col("ok")
     return rows.select(*AT, value.cast("int").alias("value"))

@@ -35,12 +35,25 @@ def class_distances(labels: DataFrame, distances: DataFrame, by: list[str] | Non
     return rows.groupBy("volume_id", *(by or []), "label").agg(F.min("distance").alias("distance"))
 
 
+def running(counts: DataFrame, name: str, value: str, parts: int = 1024) -> DataFrame:
+    """counts(name, value, n) with `upto`, the running sum of n over a series' sorted values, and `total`.
+
+    A series' range is cut into even parts; only their sums meet in a window over a series. A null name is no series.
+    """
+    ends = counts.groupBy(name).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("total"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(parts - 1), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts))).otherwise(0)
+    placed = counts.join(ends, name).withColumn("_part", part)
+    sums = placed.groupBy(name, "_part").agg(F.sum("n").alias("_n"))
+    before = Window.partitionBy(name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(name, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inner = F.sum("n").over(Window.partitionBy(name, "_part").orderBy(value))
+    return placed.withColumn("_inner", inner).join(bases, [name, "_part"]).select(*counts.columns, (F.col("_base") + F.col("_inner")).alias("upto"), "total")
+
+
 def empirical_cdf(rows: DataFrame, name: str, value: str) -> DataFrame:
     """(name, value, cdf): share of a series' values up to each distinct one, counted per value first."""
     counts = rows.groupBy(name, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(name).orderBy(value)
-    whole = Window.partitionBy(name)
-    return counts.select(name, value, (F.sum("n").over(upto) / F.sum("n").over(whole)).alias("cdf"))
+    return running(counts, name, value).select(name, value, (F.col("upto") / F.col("total")).alias("cdf"))
 
 
 def cdf_on_grid(rows: DataFrame, name: str, value: str, points: int = 500) -> DataFrame:
@@ -61,9 +74,7 @@ def every_nth(rows: DataFrame, name: str, value: str, most: int) -> DataFrame:
     Ranks come from counts of each distinct value, so a window sees distinct values only. No smoothing filter is applied.
     """
     counts = rows.where(F.col(value) > 0).groupBy(name, value).agg(F.count("*").alias("n"))
-    total = counts.groupBy(name).agg(F.sum("n").alias("total"))
-    before = F.sum("n").over(Window.partitionBy(name).orderBy(value)) - F.col("n")
     step = F.pow(F.lit(10), F.ceil(F.greatest(F.lit(0.0), F.log10(F.col("total") / most)))).cast("long")
-    ranked = counts.withColumn("before", before).join(total, name).withColumn("step", step)
+    ranked = running(counts, name, value).withColumns({"before": F.col("upto") - F.col("n"), "step": step})
     first = F.expr("((before + step - 1) div step) * step")
     return ranked.withColumn("first", first).where("first < before + n").select(name, value, F.explode(F.expr("sequence(first, before + n - 1, step)")).alias("rank"))
