@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxelframe.functions import shape
-from voxelframe.operators import crops, grid, groups, labelling, overlap, spatial
+from voxelframe.operators import crops, grid, groups, labelling, measure, overlap, spatial
 from voxelframe.sources import catalog
 
 
@@ -149,3 +150,45 @@ def test_slices_compose_and_must_exist(spark):
 def test_names(spark):
     row = spark.range(1).select(catalog.parameter(F.lit("thresh_0.4_med_3_fill_True"), "thresh").alias("t"), catalog.parameter(F.lit("a_True"), "a").alias("a"), catalog.parameter(F.lit("x"), "a").alias("n"), catalog.rgb(F.lit(0x102030)).alias("c")).first()
     assert (row.t, row.a, row.n, tuple(row.c)) == (0.4, 1.0, None, (16, 32, 48))
+
+
+def test_named_pairs_and_merged_sets_are_checked(spark):
+    names = lambda rows: spark.createDataFrame(rows, "dataset string, name string")
+    inputs = names([("d", "img_1.tif"), ("d", "img_2.tif"), ("d", "img_3.tif")])
+    good = catalog.paired(inputs, names([("d", "img_1_a.tif"), ("d", "img_2_a.tif")]), contained=True)
+    assert sorted((r.input, r.annotation) for r in good.collect()) == [("img_1.tif", "img_1_a.tif"), ("img_2.tif", "img_2_a.tif"), ("img_3.tif", None)]
+    with pytest.raises(Exception, match="no annotation of img_2"):
+        catalog.paired(inputs, names([("d", "img_1_a.tif"), ("d", "img_9_a.tif")]), contained=True).collect()
+    one, two = (spark.createDataFrame(rows, "label int, n int") for rows in ([(1, 5), (2, 6)], [(1, 7), (3, 8)]))
+    assert [tuple(r) for r in catalog.merged_features({"a": one, "b": one}, ["label"]).orderBy("label").collect()] == [(1, 5, 5), (2, 6, 6)]
+    with pytest.raises(Exception, match="not in every feature set"):
+        catalog.merged_features({"a": one, "b": two}, ["label"]).collect()
+
+
+def test_patches_must_cover_the_volume(spark):
+    sizes = spark.createDataFrame([("v", 1, 2, 2)], "volume_id string, size_z int, size_y int, size_x int")
+    places = [("v", 0, y, x, 1.0) for y in range(2) for x in range(2)]
+    cut = spark.createDataFrame([*places, ("v", 0, 0, 0, 3.0)], "volume_id string, z int, y int, x int, value double")
+    assert sorted(r.value for r in grid.merge_patches(cut, sizes=sizes).collect()) == [1.0, 1.0, 1.0, 2.0]
+    with pytest.raises(Exception, match="places in no patch"):
+        grid.merge_patches(cut.where("x = 0"), sizes=sizes).collect()
+
+
+def test_texture_of_flat_and_single_voxels(spark):
+    rows = [("v", 1, 0, 0, 0, 5), ("v", 2, 0, 5, 0, 1), ("v", 2, 0, 5, 1, 3), ("v", 3, 0, 9, 9, 0)]
+    cells = spark.createDataFrame(rows, "volume_id string, label int, z int, y int, x int, g int")
+    found = {r.label: r for r in measure.texture(cells, "g").collect()}
+    assert set(found) == {1, 2, 3}
+    assert (found[1].contrast_mean, found[1].energy_mean, found[1].correlation_mean, found[1].entropy_mean) == (0.0, 1.0, 1.0, 0.0)
+    assert found[3].sum_average_mean == 2.0  # a value of 0 counts as 1
+    # the pair of label 2 differs by 2 along x and, as the slice is taken twice, in both slanted directions, but not straight up
+    assert (found[2].contrast_range, found[2].contrast_mean, found[2].sum_variance_range) == (4.0, 3.0, 4.0)
+
+
+def test_moments_of_a_weighted_pair(spark):
+    rows = spark.createDataFrame([("v", 1, 0, 0, 0, 1), ("v", 1, 0, 0, 4, 3), ("v", 2, 1, 1, 1, 0)], "volume_id string, label int, z int, y int, x int, i int")
+    found = {r.label: r for r in measure.central_moments(rows, "i").collect()}
+    assert abs(found[1].displacement - 1.0) < 1e-9 and abs(found[1].displacement_in_diameters - 1.0 / (12 / np.pi) ** (1 / 3)) < 1e-9
+    assert abs(found[1].displacement_in_majors - 1.0 / (4 * 2.0)) < 1e-9  # the axis is four deviations long
+    assert abs(found[1].moment_002 - (1 * 9 + 3 * 1) / 4 ** (2 / 3 + 1)) < 1e-9 and found[1].moment_200 == 0.0
+    assert (found[2].displacement, found[2].moment_222) == (0.0, 0.0) and len(measure.POWERS) == 60

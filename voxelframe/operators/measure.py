@@ -220,10 +220,10 @@ def texture(rows: DataFrame, value: str) -> DataFrame:
     mean, square = F.col("a1") / n, F.col("aa") / n
     entropy = {kind: F.log2(n) - F.col(f"log_{kind}") / n for kind in ("joint", "sum", "difference", "margin")}
     spread = square - mean * mean
-    contrast = (F.col("aa") - F.col("ab")) / n
+    contrast = 2 * (F.col("aa") - F.col("ab")) / n
     found = {
         "energy": F.col("nn") / (n * n), "contrast": contrast, "variance": spread, "homogeneity": F.col("near") / n, "entropy": entropy["joint"], "sum_entropy": entropy["sum"], "difference_entropy": entropy["difference"],
-        "correlation": F.when(spread <= 0, 1.0).otherwise((F.col("ab") / n - mean * mean) / spread), "sum_average": 2 * mean, "sum_variance": (F.col("aa") + F.col("ab")) / n - 4 * mean * mean,
+        "correlation": F.when(spread <= 0, 1.0).otherwise((F.col("ab") / n - mean * mean) / spread), "sum_average": 2 * mean, "sum_variance": 2 * (F.col("aa") + F.col("ab")) / n - 4 * mean * mean,
         "difference_variance": contrast - (F.col("d1") / n) * (F.col("d1") / n),
         "information_1": F.coalesce(F.try_divide(entropy["joint"] - 2 * entropy["margin"], entropy["margin"]), F.lit(0.0)),
         "information_2": F.sqrt(F.greatest(F.lit(0.0), 1 - F.exp(-2 * (2 * entropy["margin"] - entropy["joint"])))),

@@ -82,14 +82,14 @@ steps AS (SELECT * FROM (VALUES {STEPS}) t(d, dz, dy, dx)),
 one AS (SELECT a.label, d, a.g AS a, b.g AS b FROM g2 a, steps, g2 b WHERE b.label = a.label AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
 j AS (SELECT label, d, a, b, count(*) AS n FROM (SELECT * FROM one UNION ALL SELECT label, d, b, a FROM one) GROUP BY ALL),
 j1 AS (SELECT label, d, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n * n) AS DOUBLE) AS nn, CAST(sum(n * a * a) AS DOUBLE) AS aa, CAST(sum(n * a * b) AS DOUBLE) AS ab,
-  CAST(sum(n * a) AS DOUBLE) AS a1, CAST(sum(n * abs(a - b)) AS DOUBLE) AS d1, sum(n * log2(n)) AS l_joint FROM j GROUP BY 1, 2),
+  CAST(sum(n * a) AS DOUBLE) AS a1, CAST(sum(n * abs(a - b)) AS DOUBLE) AS d1, CAST(sum(n * (a - b) * (a - b)) AS DOUBLE) AS apart, CAST(sum(n * (a + b) * (a + b)) AS DOUBLE) AS added, sum(n * log2(n)) AS l_joint FROM j GROUP BY 1, 2),
 j2 AS (SELECT label, d, sum(n * log2(n)) AS l_sum FROM (SELECT label, d, a + b AS k, sum(n) AS n FROM j GROUP BY ALL) GROUP BY 1, 2),
 j3 AS (SELECT label, d, sum(n * log2(n)) AS l_difference, sum(n / (1.0 + k * k)) AS near FROM (SELECT label, d, abs(a - b) AS k, sum(n) AS n FROM j GROUP BY ALL) GROUP BY 1, 2),
 j4 AS (SELECT label, d, sum(n * log2(n)) AS l_margin FROM (SELECT label, d, a AS k, sum(n) AS n FROM j GROUP BY ALL) GROUP BY 1, 2),
-e AS (SELECT *, a1 / n AS mean, aa / n - (a1 / n) * (a1 / n) AS spread, (aa - ab) / n AS contrast, log2(n) - l_joint / n AS entropy, log2(n) - l_margin / n AS margin
+e AS (SELECT *, a1 / n AS mean, aa / n - (a1 / n) * (a1 / n) AS spread, apart / n AS contrast, log2(n) - l_joint / n AS entropy, log2(n) - l_margin / n AS margin
   FROM j1 JOIN j2 USING (label, d) JOIN j3 USING (label, d) JOIN j4 USING (label, d)),
 st AS (SELECT label, nn / (n * n) AS energy, contrast, CASE WHEN spread <= 0 THEN 1.0 ELSE (ab / n - mean * mean) / spread END AS correlation, spread AS variance, near / n AS homogeneity,
-  2 * mean AS sum_average, (aa + ab) / n - 4 * mean * mean AS sum_variance, log2(n) - l_sum / n AS sum_entropy, entropy, contrast - (d1 / n) * (d1 / n) AS difference_variance,
+  2 * mean AS sum_average, added / n - 4 * mean * mean AS sum_variance, log2(n) - l_sum / n AS sum_entropy, entropy, contrast - (d1 / n) * (d1 / n) AS difference_variance,
   log2(n) - l_difference / n AS difference_entropy, CASE WHEN margin = 0 THEN 0.0 ELSE (entropy - 2 * margin) / margin END AS information_1, sqrt(greatest(0.0, 1 - exp(-2 * (2 * margin - entropy)))) AS information_2 FROM e)"""
 BOTH_OF = [(c, k, f) for c in measure.STATISTICS for k, f in (("mean", f"avg({c})"), ("range", f"max({c}) - min({c})"))]
 
