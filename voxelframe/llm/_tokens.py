@@ -12,7 +12,7 @@ import pyarrow as pa
 from voxelframe.llm._text import LOWER, U, Words, mix, spread
 
 #: Of a worker's memory of pieces; it is emptied when full, which costs time only.
-MOST_PIECES = 800_000
+MOST_PIECES = 200_000
 
 # The parts of a tokenizer file that the byte classes below stand for; a file that differs anywhere goes whole to the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

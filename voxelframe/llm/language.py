@@ -28,7 +28,7 @@ FAMILIES = {
 }
 ORDERS, BITS = (2, 3, 4), 11
 WIDTH = len(ORDERS) << BITS
-CHUNK, ROWS = 1 << 20, 256  # bytes of text, and texts, that are vectors at once
+CHUNK, ROWS = 512 << 10, 128  # bytes of text, and texts, that are vectors at once
 _LETTERS = LOWER.copy()  # all that isn't a letter parts words
 _LETTERS[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
 

@@ -14,7 +14,7 @@ from voxelframe.llm._text import slices
 from voxelframe.llm._tokens import encoder
 
 #: Bytes of text encoded at a time.
-CHUNK = 1 << 20
+CHUNK = 512 << 10
 
 
 def _ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
