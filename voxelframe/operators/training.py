@@ -30,9 +30,9 @@ def three_classes(rows: DataFrame) -> DataFrame:
 
 def normalised(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """A group's values divided by its largest, if they are just 0 and one value over 1."""
-    span = rows.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), (F.count_if((F.col(value) != 0)) - F.count("*")).alias("rest"), F.max(value).alias("top"), F.min(F.when(F.col(value) != 0, F.col(value))).alias("least"))
+    span = rows.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.min(F.when(F.col(value) != 0, F.col(value))).alias("least"))
     two = (F.col("lo") == 0) & (F.col("hi") > 1) & (F.col("least") == F.col("hi"))
-    return rows.join(span, by).withColumn(value, F.when(two, F.col(value) / F.col("hi")).otherwise(F.col(value))).drop("lo", "hi", "rest", "top", "least")
+    return rows.join(span, by).withColumn(value, F.when(two, F.col(value) / F.col("hi")).otherwise(F.col(value))).drop("lo", "hi", "least")
 
 
 def noisy(rows: DataFrame, value: str, scale: float, seed: int) -> DataFrame:
