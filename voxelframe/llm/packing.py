@@ -17,7 +17,7 @@ from voxelframe.llm.token_files import encoded
 #: Patterns offered to the fit, and its steps; both bound the driver's work whatever the corpus.
 MOST_PATTERNS, STEPS = 40_000, 400
 #: About so many pieces of one length are numbered in one task.
-LANE = 100_000
+LANE = 2_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
