@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import chat, decontaminate, language, lines, near_dups, packing, substrings, token_files, vectors, warc
+from voxelframe.llm import byte_bpe, chat, decontaminate, language, lexical, lines, merkle, near_dups, packing, substrings, token_files, vectors, warc
 from voxelframe.llm._store import new_path
 
 
@@ -125,5 +125,52 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op3_vectors, op4_decontaminate, op5_lines, op6_chat, op7_near_dups, op8_substrings, op9_token_files, op10_language)}
-ORACLE_SQL = {"op4_decontaminate": OP4_SQL, "op5_lines": OP5_SQL}
+def rank_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), rank_file())
+    decoded = byte_bpe.decode_documents(encoded, rank_file())
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=20)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+i AS (
+  SELECT row_number() OVER () AS item, item_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT item, item_id, term, count(*) AS c FROM i GROUP BY ALL),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+t AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM p, s GROUP BY term, n_docs),
+x AS (SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // total)) AS impact FROM p, s),
+scores AS (SELECT item, item_id, row, doc_id, CAST(sum(c * weight * impact) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN x USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    fields = {c: F.col(c) for c in merkle.FIELDS} | {"n_chars": F.col("n_chars") + 1}
+    leaves, langs, top = merkle.manifest(table(spark, sf_dir, "documents"), {"claim": F.when(changed, merkle.leaf(fields))})
+    asked = leaves.select("grp", "place", F.coalesce("claim", "leaf").alias("claim"))
+    found = merkle.proofs(langs, top, asked)
+    root = merkle.folded(F.col("claim"), F.col("path"))
+    proved = found.select("grp", "place", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return leaves.select("doc_id", "grp", "place").join(proved, ["grp", "place"]).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op3_vectors, op4_decontaminate, op5_lines, op6_chat, op7_near_dups, op8_substrings, op9_token_files, op10_language, op11_byte_bpe, op12_search, op13_merkle)}
+ORACLE_SQL = {"op4_decontaminate": OP4_SQL, "op5_lines": OP5_SQL, "op12_search": OP12_SQL}
