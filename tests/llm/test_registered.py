@@ -163,3 +163,37 @@ def test_op10(spark, tables):
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id] or "")) and r.lang_pred in ("en", "de", "und")
+
+
+def test_op11(spark, tables):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(queries.rank_file()), special_tokens={})
+    _, rows = of(spark, tables, "op11_byte_bpe")
+    want = set()
+    for k, t, *_ in tables[1]["documents"]:
+        ids = library.encode_ordinary(t or "")
+        want.add((k, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == want and len(rows) == len(tables[1]["documents"])
+
+
+def test_op13_by_hand(spark, tables):
+    """Folded and built by a plain tree, beside the SQL."""
+    hexes = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    enc = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    langs = defaultdict(list)
+    for k, t, lang, source, n in tables[1]["documents"]:
+        langs[lang].append((k, hexes("".join(map(enc, (k, source, lang, n, t))))))
+    trees = []
+    for lang in sorted(langs, key=lambda x: (x is not None, (x or "").encode())):
+        level = [x for _, x in sorted(langs[lang])]
+        while len(level) > 1:
+            level = [hexes("".join(level[j : j + 2])) for j in range(0, len(level), 2)]
+        trees.append(level[0])
+    while len(trees) > 1:
+        trees = [hexes("".join(trees[j : j + 2])) for j in range(0, len(trees), 2)]
+    _, rows = of(spark, tables, "op13_merkle")
+    assert {r.root for r in rows} == set(trees) and {(r.doc_id, r.leaf) for r in rows} == {x for v in langs.values() for x in v}
+    assert all(r.verified == (zlib.crc32(str(r.doc_id).encode()) % 7 != 0) == (r.folded_root == r.root) for r in rows) and not all(r.verified for r in rows)

@@ -94,6 +94,7 @@ class Hierarchy:
     weight: np.ndarray  # of each term
     home: np.ndarray  # first item of each term
     exact: bool  # sums fit into the whole numbers of a double
+    sizes: tuple[tuple[int, ...], tuple[int, ...]]  # members of nodes, over documents and over items
 
 
 def hierarchy(item: np.ndarray, term: np.ndarray, count: np.ndarray, weight: np.ndarray, n_items: int) -> Hierarchy:
@@ -106,7 +107,7 @@ def hierarchy(item: np.ndarray, term: np.ndarray, count: np.ndarray, weight: np.
     place[numbers] = np.arange(n_items)
     levels = [Level.of(place[item], term, own, n_items, len(weight), size) for size in ITEM_NODES]
     home = np.append(levels[-1].node, 0)[levels[-1].start[:-1]]
-    return Hierarchy(levels, numbers, weight, home, float(np.bincount(item, own, n_items).max(initial=0)) * 1e6 < 2**53)
+    return Hierarchy(levels, numbers, weight, home, float(np.bincount(item, own, n_items).max(initial=0)) * 1e6 < 2**53, (DOC_NODES, ITEM_NODES))
 
 
 class Best:
@@ -180,27 +181,27 @@ def _visit(doc: np.ndarray, term: np.ndarray, impact: np.ndarray, ids: tuple[np.
     doc = place[doc]
     order = np.argsort(doc, kind="stable")
     doc, term, impact = doc[order], term[order], impact[order]
-    n_terms = len(items.weight)
-    large = _maxima(doc, term, impact, DOC_NODES[0], n_terms)
+    n_terms, (doc_nodes, item_nodes) = len(items.weight), items.sizes
+    large = _maxima(doc, term, impact, doc_nodes[0], n_terms)
     n = int(large[0][-1]) + 1
     bounds = _sums(*large, items.levels[0], n, None, (1, 1), items.exact)
-    edges = np.searchsorted(doc, np.arange(n + 1) * DOC_NODES[0])
+    edges = np.searchsorted(doc, np.arange(n + 1) * doc_nodes[0])
     for top in np.argsort(-bounds.max(1), kind="stable").tolist():
         alive = bounds[top : top + 1] >= _least(best, items.levels[0])
         part = slice(edges[top], edges[top + 1])
-        d, t, v = doc[part] - top * DOC_NODES[0], term[part], impact[part]
+        d, t, v = doc[part] - top * doc_nodes[0], term[part], impact[part]
         for k in (1, 2):
             if not alive.any():
                 break
-            ratios = (DOC_NODES[k - 1] // DOC_NODES[k], ITEM_NODES[k - 1] // ITEM_NODES[k])
-            node, own, most = _maxima(d, t, v, DOC_NODES[k], n_terms) if DOC_NODES[k] > 1 else (d, t, v)
+            ratios = (doc_nodes[k - 1] // doc_nodes[k], item_nodes[k - 1] // item_nodes[k])
+            node, own, most = _maxima(d, t, v, doc_nodes[k], n_terms) if doc_nodes[k] > 1 else (d, t, v)
             open_ = alive.any(1)[node // ratios[0]]
             found = _sums(node[open_], own[open_], most[open_], items.levels[k], int(node[-1]) + 1, alive, ratios, items.exact)
             alive = found >= _least(best, items.levels[k])
         else:
             at, item = np.nonzero(alive)
             if len(at):
-                own = back[at + top * DOC_NODES[0]]
+                own = back[at + top * doc_nodes[0]]
                 best.add(np.stack([item, found[at, item].astype(np.int64), *(x[own] for x in ids)]))
 
 

@@ -172,5 +172,37 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.select("doc_id", "grp", "place").join(proved, ["grp", "place"]).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bits), lambda c, b: xor(c >> 1, 3988292384 * xor(c & 1, b))), 4294967295) AS crc FROM (
+    SELECT doc_id, flatten(list_transform(range(1, length(s) + 1), lambda k: list_transform(range(8), lambda j: CAST((ascii(s[k]) >> j) & 1 AS BIGINT)))) AS bits
+    FROM (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL))),
+parts AS (
+  SELECT documents.doc_id, lang, coalesce(crc % 7 = 0, false) AS changed, coalesce(strlen(CAST(documents.doc_id AS VARCHAR)) || ':' || documents.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS here, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS other, coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents LEFT JOIN crc ON documents.doc_id = crc.doc_id),
+hashed AS (SELECT doc_id, lang, sha256(head || here || tail) AS leaf, CASE WHEN changed THEN sha256(head || other || tail) ELSE sha256(head || here || tail) END AS claim FROM parts),
+leaves AS (
+  SELECT row_number() OVER () AS row, doc_id, leaf, claim, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+nodes AS (
+  SELECT grp, 0 AS level, place, leaf AS digest, n FROM leaves
+  UNION ALL SELECT grp, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY grp, level, place // 2, n),
+walk AS (
+  SELECT row, grp, 0 AS level, place, n, '' AS proof, claim AS folded FROM leaves
+  UNION ALL SELECT row, walk.grp, walk.level + 1, walk.place // 2, (walk.n + 1) // 2, proof || coalesce(digest, ''), sha256(CASE WHEN walk.place % 2 = 1 THEN coalesce(digest, '') || folded ELSE folded || coalesce(digest, '') END)
+  FROM walk LEFT JOIN nodes ON nodes.grp = walk.grp AND nodes.level = walk.level AND nodes.place = xor(walk.place, 1) WHERE walk.n > 1),
+subroots AS (SELECT grp AS place, digest, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place, digest, n FROM subroots
+  UNION ALL SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, place // 2, n),
+climb AS (
+  SELECT walk.row, walk.grp, 0 AS level, walk.grp AS place, subroots.n, proof, folded FROM walk JOIN subroots ON walk.grp = subroots.place WHERE walk.n = 1
+  UNION ALL SELECT row, grp, climb.level + 1, climb.place // 2, (climb.n + 1) // 2, proof || coalesce(digest, ''), sha256(CASE WHEN climb.place % 2 = 1 THEN coalesce(digest, '') || folded ELSE folded || coalesce(digest, '') END)
+  FROM climb LEFT JOIN tops ON tops.level = climb.level AND tops.place = xor(climb.place, 1) WHERE climb.n > 1)
+SELECT doc_id, leaf, subroots.digest AS subroot, tops.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = tops.digest AS verified
+FROM climb JOIN leaves USING (row) JOIN subroots ON subroots.place = climb.grp JOIN tops ON tops.n = 1 WHERE climb.n = 1
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_pack, op3_vectors, op4_decontaminate, op5_lines, op6_chat, op7_near_dups, op8_substrings, op9_token_files, op10_language, op11_byte_bpe, op12_search, op13_merkle)}
-ORACLE_SQL = {"op4_decontaminate": OP4_SQL, "op5_lines": OP5_SQL, "op12_search": OP12_SQL}
+ORACLE_SQL = {"op4_decontaminate": OP4_SQL, "op5_lines": OP5_SQL, "op12_search": OP12_SQL, "op13_merkle": OP13_SQL}
