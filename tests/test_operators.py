@@ -192,3 +192,119 @@ def test_moments_of_a_weighted_pair(spark):
     assert abs(found[1].displacement_in_majors - 1.0 / (4 * 2.0)) < 1e-9  # the axis is four deviations long
     assert abs(found[1].moment_002 - (1 * 9 + 3 * 1) / 4 ** (2 / 3 + 1)) < 1e-9 and found[1].moment_200 == 0.0
     assert (found[2].displacement, found[2].moment_222) == (0.0, 0.0) and len(measure.POWERS) == 60
+
+
+def dense(rng, *shape):
+    return rng.integers(0, 9, shape).tolist()
+
+
+def folded(a, k):
+    """Index k of a list, folded back at its ends."""
+    k %= 2 * len(a)
+    return a[k] if k < len(a) else a[2 * len(a) - 1 - k]
+
+
+@pytest.mark.parametrize("shape", [(2, 5, 7), (1, 1, 4), (1, 3, 1)])
+def test_passes_along_lines_equal_plain_loops(spark, shape):
+    a = dense(np.random.default_rng(4), *shape)
+    v = volume(spark, a, "value", keep_zero=True)
+    near = lambda z, y, x, r: [folded([folded(line, x + q) for line in a[z]], y + p) for p in range(-r, r + 1) for q in range(-r, r + 1)]
+    at = [(z, y, x) for z in range(shape[0]) for y in range(shape[1]) for x in range(shape[2])]
+    of = lambda df: {(r.z, r.y, r.x): r.value for r in df.collect()}
+    mean = of(grid.box_mean(v, 2))
+    assert len(mean) == len(at) and all(math.isclose(mean[k], np.mean(near(*k, 2))) for k in at)
+    assert of(grid.median_filter(v, 1, sizes(spark, *shape))) == {k: np.median(near(*k, 1)) for k in at}
+    line = grid.gaussian(0.8)
+    r = len(line) // 2
+    want = {k: sum(w * n for w, n in zip([p * q for p in line for q in line], near(*k, r), strict=True)) for k in at}
+    got = of(grid.gaussian_filter(v, 0.8))
+    assert all(math.isclose(got[k], want[k]) for k in at)
+    largest = {k: max(near(*k, 1)) for k in at}
+    bigger = [[[largest[z, y, x] for x in range(shape[2])] for y in range(shape[1])] for z in range(shape[0])]
+    again = lambda z, y, x: min(folded([folded(line, x + q) for line in bigger[z]], y + p) for p in (-1, 0, 1) for q in (-1, 0, 1))
+    assert of(grid.closing(v, 1)) == {k: again(*k) for k in at}
+    assert of(grid.closing(v, 0)) == of(grid.opening(v, 0)) == {(z, y, x): a[z][y][x] for z, y, x in at}
+
+
+def test_gap_filling_equals_repeated_passes(spark):
+    rng = np.random.default_rng(8)
+    a = np.where(rng.random((14, 2, 6)) < 0.25, rng.integers(1, 9, (14, 2, 6)), 0)
+    a[3:6] = a[8] = a[12:] = 0
+    b = a.copy()
+    while not all(b[z].any() for z in range(min(np.flatnonzero(a.any((1, 2)))), max(np.flatnonzero(a.any((1, 2)))) + 1)):
+        up, down = np.zeros_like(b), np.zeros_like(b)
+        up[:-1], down[1:] = b[1:], b[:-1]
+        b = np.where(b == 0, np.maximum(up, down), b)
+    other = [("w", 3, 0, 0, 5), ("w", 4, 0, 0, 6)]  # a volume without gaps stays, whatever the others need
+    rows = volume(spark, a.tolist(), "value").union(spark.createDataFrame(other, "volume_id string, z int, y int, x int, value int"))
+    s = sizes(spark, 14, 2, 6).union(spark.createDataFrame([("w", 9, 1, 1, 1.0, 1.0, 1.0)], "volume_id string, size_z int, size_y int, size_x int, vz double, vy double, vx double"))
+    found = grid.fill_gaps(rows, s).collect()
+    assert {(r.z, r.y, r.x): r.value for r in found if r.volume_id == "v"} == {tuple(map(int, k)): int(b[tuple(k)]) for k in np.argwhere(b)}
+    assert {(r.z, r.value) for r in found if r.volume_id == "w"} == {(3, 5), (4, 6)}
+
+
+def test_envelopes_equal_all_pairs():
+    rng = np.random.default_rng(6)
+    for n, size in ((1, 1.0), (2, 0.5), (17, 0.3), (300, 2.0)):
+        g = np.where(rng.random((40, n)) < 0.3, rng.integers(0, 900, (40, n)) / 4, np.inf)
+        g[0], g[1] = np.inf, 0.0
+        k = np.arange(n)
+        want = (g[:, None, :] + ((k[:, None] - k) * size) ** 2).min(2)
+        assert np.allclose(spatial._envelope(g, size), want)
+
+
+def test_envelope_is_linear_in_a_line():
+    """Each place of a line of 1,000 voxels costs about what one of 100 costs."""
+    import time
+
+    def seconds(n):
+        g = np.random.default_rng(1).random((200, n)) * n
+        began = time.perf_counter()
+        spatial._envelope(g, 1.0)
+        return (time.perf_counter() - began) / n
+
+    assert min(seconds(1000) for _ in range(3)) < 4 * min(seconds(100) for _ in range(3))
+
+
+def test_surfaces_of_known_shapes(spark):
+    """A voxel is an octahedron; a block's faces, edges and corners are known; a ball is nearly round; every surface is closed."""
+    def of(points, vz=1.0, vy=1.0, vx=1.0):
+        rows = spark.createDataFrame([("v", *p, 1) for p in points], "volume_id string, z int, y int, x int, label int")
+        r = measure.surface(rows, vz, vy, vx).collect()
+        assert len(r) == 1
+        return r[0]
+
+    one = of([(5, 0, -3)])
+    assert math.isclose(one.surface_area, math.sqrt(3)) and math.isclose(one.mesh_volume, 1 / 6)
+    for a, b, c in ((4, 4, 4), (1, 6, 9), (2, 3, 5)):  # a cube, a plate, a block
+        r = of([(z, y, x) for z in range(a) for y in range(b) for x in range(c)])
+        d, e, f = a - 1, b - 1, c - 1  # sides between middles of voxels: flat faces, bevelled edges, corners of an octahedron
+        assert math.isclose(r.surface_area, 2 * (d * e + e * f + d * f) + 4 * (d + e + f) * math.sqrt(0.5) + math.sqrt(3))
+        assert math.isclose(r.mesh_volume, d * e * f + (d * e + e * f + d * f) + (d + e + f) * 0.5 + 1 / 6)
+    ball = [(z, y, x) for z in range(-9, 10) for y in range(-9, 10) for x in range(-9, 10) if z * z + y * y + x * x <= 81]
+    assert 0.9 < of(ball).sphericity < 1 and abs(of(ball).mesh_volume - len(ball)) < 0.02 * len(ball)
+    flat = of([(z, y, x) for z in range(3) for y in range(3) for x in range(3)], 2.0, 0.5, 0.25)
+    assert math.isclose(flat.mesh_volume, (8 + 12 + 3 + 1 / 6) * 0.25)
+
+
+def test_surface_pieces_fit_together():
+    """On each face of a cube the border is the same from both sides, so random volumes have closed surfaces."""
+    from voxelframe.functions import cube
+
+    table = {k: np.array(rest) for k, *rest in cube.pieces(1.0, 0.7, 1.3)}
+    assert table[0][0] == table[255][0] == 0 and all(len(cube.loops(k)) <= 4 for k in range(256))
+    rng = np.random.default_rng(2)
+    a = np.zeros((9, 9, 9), int)
+    a[1:-1, 1:-1, 1:-1] = rng.random((7, 7, 7)) < 0.5
+    ends = {}
+    total = np.zeros(3)
+    for z in range(8):
+        for y in range(8):
+            for x in range(8):
+                code = sum(int(a[z + p, y + q, x + r]) << (4 * p + 2 * q + r) for p, q, r in cube.CORNERS)
+                total += table[code][1:4]
+                for t in cube.triangles(code):
+                    p = [tuple(2 * np.array((z, y, x)) + np.array(cube.CORNERS[cube.EDGES[e][0]]) + np.array(cube.CORNERS[cube.EDGES[e][1]])) for e in t]
+                    for u, v in zip(p, p[1:] + p[:1], strict=True):
+                        ends[u, v] = ends.get((u, v), 0) + 1
+    assert np.allclose(total, 0) and all(ends.get((v, u), 0) == n for (u, v), n in ends.items())

@@ -42,59 +42,111 @@ def reflect(at: Column, size: Column) -> Column:
     return F.when(k < size, k).otherwise(2 * size - 1 - k)
 
 
-def stencil(rows: DataFrame, weights: dict[tuple[int, int, int], float], sizes: DataFrame, agg, value: str = "value") -> DataFrame:
-    """agg(weight, value) over each dense voxel's reflected neighbourhood; steps must be symmetric.
+Taken = Callable[[str, int], Column]
 
-    A voxel is sent to each place that reads it, once for each weight: |weights| rows before the partial aggregation.
+
+def along(rows: DataFrame, axis: str, columns: list[str], reach: int, made: dict[str, Callable[[Taken], Column]]) -> DataFrame:
+    """Dense rows with new columns from those up to `reach` steps before and after along one axis, folded back at the borders.
+
+    made: for each new column a function of get(column, step). A line of voxels is gathered into one array, once, and all new values come from
+    sliding over it: each voxel is shuffled once, whatever the reach.
     """
-    steps = [(*k, float(w)) for k, w in weights.items()]
-    s = sizes.select("volume_id", "size_z", "size_y", "size_x")
-    read = rows.select(*AT).join(s, "volume_id").select("*", F.explode(_offsets(steps, ("dz", "dy", "dx", "w"))).alias("s"))
-    source = read.select("volume_id", F.struct("z", "y", "x").alias("at"), F.col("s.w").alias("w"), *[reflect(F.col(c) + F.col(f"s.d{c}"), F.col(f"size_{c}")).cast("int").alias(c) for c in "zyx"])
-    joined = source.join(rows.select(*AT, F.col(value).alias("v")), AT)
-    return joined.groupBy("volume_id", "at").agg(agg(F.col("w"), F.col("v")).alias(value)).select("volume_id", "at.z", "at.y", "at.x", value)
+    other = [c for c in AT if c != axis]
+    lines = rows.groupBy(*other).agg(F.array_sort(F.collect_list(F.struct(axis, *columns))).alias("line"))
+    n = F.size("line")
+    padded = F.transform(F.sequence(F.lit(-reach), n + reach - 1), lambda k: F.get("line", reflect(k, n).cast("int")))
 
+    def slide(p: Column) -> Column:
+        # p is bound once for a line
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.get(p, k + reach)[axis].alias(axis), *[f(lambda c, d: F.get(p, k + reach + d)[c]).alias(name) for name, f in made.items()]))
 
-def box(radius: int) -> dict:
-    n = (2 * radius + 1) ** 2
-    return {(0, a, b): 1 / n for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)}
+    found = lines.select(*other, F.explode(F.get(F.transform(F.array(padded), slide), F.lit(0))).alias("v"))
+    return found.select(*[F.col(f"v.{axis}") if c == axis else F.col(c) for c in AT], *[F.col(f"v.{name}").alias(name) for name in made])
 
 
-def gaussian(sigma: float, cut: float = 4.0) -> dict:
+def gaussian(sigma: float, cut: float = 4.0) -> list[float]:
+    """Weights of a line of steps from -r to r, r = int(cut * sigma + 0.5)."""
     r = int(cut * sigma + 0.5)
     line = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-r, r + 1)]
-    line = [v / sum(line) for v in line]
-    return {(0, a - r, b - r): line[a] * line[b] for a in range(2 * r + 1) for b in range(2 * r + 1)}
+    return [v / sum(line) for v in line]
 
 
-def weighted(w: Column, v: Column) -> Column:
-    return F.sum(w * v)
+def _weighted(column: str, weights: list[float]) -> Callable[[Taken], Column]:
+    r = len(weights) // 2
+    return lambda get: sum((F.lit(w) * get(column, k - r) for k, w in enumerate(weights)), start=F.lit(0.0))
 
 
-def box_mean(rows: DataFrame, radius: int, sizes: DataFrame, value: str = "value") -> DataFrame:
-    return stencil(rows, box(radius), sizes, weighted, value)
+def gaussian_filter(rows: DataFrame, sigma: float, value: str = "value", cut: float = 4.0, axes: str = "xy") -> DataFrame:
+    """Gaussian means of dense rows, axis by axis; in the plane by default."""
+    w = gaussian(sigma, cut)
+    for axis in axes:
+        rows = along(rows, axis, [value], len(w) // 2, {value: _weighted(value, w)})
+    return rows
 
 
-def median_filter(rows: DataFrame, radius: int, sizes: DataFrame, value: str = "value") -> DataFrame:
-    return stencil(rows, box(radius), sizes, lambda w, v: F.median(v), value)
+def box_mean(rows: DataFrame, radius: int, columns: list[str] | None = None) -> DataFrame:
+    """Means of each of the columns over squares in the plane, all in the same two passes."""
+    columns = columns or ["value"]
+    add = lambda c: lambda get: sum((get(c, k) for k in range(-radius, radius + 1)), start=F.lit(0.0))
+    for axis in "xy":
+        rows = along(rows, axis, columns, radius, {c: add(c) for c in columns})
+    return rows.select(*AT, *[(F.col(c) / (2 * radius + 1) ** 2).alias(c) for c in columns])
+
+
+def _extreme(rows: DataFrame, axes: str, radius: int, value: str, most: bool) -> DataFrame:
+    pick = F.greatest if most else F.least
+    for axis in axes if radius else "":
+        rows = along(rows, axis, [value], radius, {value: lambda get: pick(*[get(value, k) for k in range(-radius, radius + 1)])})
+    return rows.select(*AT, value)
+
+
+def closing(rows: DataFrame, radius: int, value: str = "value") -> DataFrame:
+    """The least of the largest values of squares; the passes along y follow each other, so lines are dealt three times."""
+    return _extreme(_extreme(rows, "xy", radius, value, True), "yx", radius, value, False)
 
 
-def closing(rows: DataFrame, radius: int, sizes: DataFrame, value: str = "value") -> DataFrame:
-    return stencil(stencil(rows, box(radius), sizes, lambda w, v: F.max(v), value), box(radius), sizes, lambda w, v: F.min(v), value)
+def opening(rows: DataFrame, radius: int, value: str = "value") -> DataFrame:
+    return _extreme(_extreme(rows, "xy", radius, value, False), "yx", radius, value, True)
 
 
-def opening(rows: DataFrame, radius: int, sizes: DataFrame, value: str = "value") -> DataFrame:
-    return stencil(stencil(rows, box(radius), sizes, lambda w, v: F.min(v), value), box(radius), sizes, lambda w, v: F.max(v), value)
+def edges(rows: DataFrame, sigma: float = 1.5, value: str = "value") -> DataFrame:
+    """Gaussian gradient magnitude in the plane; both derivatives come from the same two passes."""
+    w = gaussian(sigma)
+    r = len(w) // 2
+    slope = [v * (k - r) / sigma**2 for k, v in enumerate(w)]
+    lines = along(rows, "x", [value], r, {"mean": _weighted(value, w), "slope": _weighted(value, slope)})
+    both = along(lines, "y", ["mean", "slope"], r, {"dy": _weighted("mean", slope), "dx": _weighted("slope", w)})
+    return both.select(*AT, F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).alias(value))
 
 
-def edges(rows: DataFrame, sizes: DataFrame, sigma: float = 1.5, value: str = "value") -> DataFrame:
-    """Gaussian gradient magnitude in the plane."""
-    g = gaussian(sigma)
-    one = {k: w * k[1] / sigma**2 for k, w in g.items()}
-    two = {k: w * k[2] / sigma**2 for k, w in g.items()}
-    dy = stencil(rows, one, sizes, weighted, value).withColumnRenamed(value, "dy")
-    dx = stencil(rows, two, sizes, weighted, value).withColumnRenamed(value, "dx")
-    return dy.join(dx, AT).select(*AT, F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).alias(value))
+def stencil(rows: DataFrame, steps: list[tuple[int, int]], sizes: DataFrame, found: Callable[[Column], Column], value: str = "value") -> DataFrame:
+    """found(array of values) over each dense voxel's neighbourhood of steps (dy, dx) in its plane, folded back at the borders.
+
+    For what no passes along lines can give. A line is one array and goes once to each line that reads it, so a voxel is shuffled
+    once and then once for each distinct dy, not for each step. A step may not be longer than the volume.
+    """
+    heights = sorted({dy for dy, _ in steps})
+    lines = rows.groupBy("volume_id", "z", "y").agg(F.array_sort(F.collect_list(F.struct("x", F.col(value).alias("v")))).alias("line"))
+    lines = lines.select("volume_id", "z", "y", F.transform("line", lambda p: p["v"]).alias("line")).join(sizes.select("volume_id", F.col("size_y").cast("int").alias("n")), "volume_id")
+    y, n = F.col("y"), F.col("n")
+    images = (y, -1 - y, 2 * n - 1 - y)
+    reads = F.array_distinct(F.array(*[F.struct(F.lit(d).alias("d"), (at - d).cast("int").alias("to")) for d in heights for at in images]))
+    sent = lines.select("volume_id", "z", "line", F.explode(F.filter(reads, lambda s: (s["to"] >= 0) & (s["to"] < n))).alias("s"))
+    near = sent.groupBy("volume_id", "z", F.col("s.to").alias("y")).agg(F.map_from_entries(F.collect_list(F.struct("s.d", "line"))).alias("near"))
+    width = F.size(F.col("near")[heights[0]])
+    taken = lambda k: F.array(*[F.get(F.element_at("near", F.lit(dy)), reflect(k + dx, width).cast("int")) for dy, dx in steps])
+    made = F.transform(F.sequence(F.lit(0), width - 1), lambda k: found(taken(k)))
+    return near.select("volume_id", "z", "y", F.posexplode(made).alias("x", value))
+
+
+def middle(values: Column) -> Column:
+    """The median of an odd number of values."""
+    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+
+
+def median_filter(rows: DataFrame, radius: int, sizes: DataFrame, value: str = "value") -> DataFrame:
+    steps = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]
+    return stencil(rows, steps, sizes, middle, value)
 
 
 RING = [(0, a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -262,19 +314,25 @@ def context(rows: DataFrame, k: int, value: str = "value") -> DataFrame:
 
 
 def fill_gaps(rows: DataFrame, sizes: DataFrame, value: str = "value") -> DataFrame:
-    """Zero voxels take the larger value of the slices before and after, again and again until no slice in the bounding box is empty.
+    """Zero voxels take the larger value of the slices before and after, again and again until no slice in a volume's bounding box is empty.
 
-    How many passes that takes follows from the widest gap, found first with one aggregation. The values also grow outwards.
+    So many passes as half of the widest gap of the volume fill a voxel from the nearest filled one of its column, from both if they
+    are equally near; the values also grow outwards. This is one window along columns, not a join for each pass.
     """
     filled = rows.where(F.col(value) > 0)
     z = filled.select("volume_id", "z").distinct()
-    gap = z.withColumn("gap", F.col("z") - F.lag("z").over(Window.partitionBy("volume_id").orderBy("z")) - 1)
-    widest = gap.agg(F.max("gap")).first()[0] or 0
-    for _ in range(-(-widest // 2)):
-        moved = filled.select("volume_id", F.explode(F.array(F.col("z") - 1, F.col("z") + 1)).alias("z"), "y", "x", F.col(value).alias("near"))
-        grown = inside(sizes, moved).groupBy(*AT).agg(F.max("near").alias("near"))
-        filled = grown.join(filled, AT, "full").select(*AT, F.coalesce(value, "near").alias(value))
-    return filled
+    gap = z.withColumn("gap", F.col("z") - F.lag("z").over(Window.partitionBy("volume_id").orderBy("z")) - 1)  # a row for each slice
+    passes = gap.groupBy("volume_id").agg(F.ceil(F.coalesce(F.max("gap"), F.lit(0)) / 2).cast("int").alias("passes"))
+    column = Window.partitionBy("volume_id", "y", "x").orderBy("z")
+    about = filled.join(passes.join(sizes.select("volume_id", "size_z"), "volume_id"), "volume_id")
+    about = about.select(*AT, value, "passes", "size_z", F.lag("z").over(column).alias("before"), F.lead("z").over(column).alias("after"), F.lead(value).over(column).alias("next"))
+    last = F.coalesce(F.col("after") - 1, F.col("size_z") - 1)
+    # the first of a column reaches back, each one forward to half of the gap, and the one after a gap to the other half
+    begin = F.when(F.col("before").isNull(), F.greatest(F.lit(0), F.col("z") - F.col("passes"))).otherwise(F.greatest(F.col("z") - F.col("passes"), F.col("before") + 1 + F.floor((F.col("z") - F.col("before")) / 2)))
+    end = F.when(F.col("after").isNull(), F.least(last, F.col("z") + F.col("passes"))).otherwise(F.least(F.col("z") + F.col("passes"), F.floor((F.col("z") + F.col("after")) / 2)))
+    grown = about.select("volume_id", F.explode(F.sequence(begin.cast("int"), end.cast("int"))).alias("to"), "y", "x", value, "z", "after", "next")
+    both = (F.col("to") > F.col("z")) & (F.col("after") - F.col("to") == F.col("to") - F.col("z"))
+    return grown.select("volume_id", F.col("to").alias("z"), "y", "x", F.when(both, F.greatest(value, "next")).otherwise(F.col(value)).alias(value))
 
 
 def equalised(rows: DataFrame, sizes: DataFrame, tile: int, limit: float = 0.01, bins: int = 256, value: str = "value") -> DataFrame:

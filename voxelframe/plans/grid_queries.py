@@ -72,7 +72,7 @@ FOLD = "s AS (SELECT dy, dx FROM (SELECT unnest(range(-1, 2)) AS dy), (SELECT un
 
 @query("g2_box_mean", f"{FOLD} SELECT z, y, x, round(avg(i), 5) AS value FROM r GROUP BY 1, 2, 3")
 def g2(v):
-    return rounded(grid.box_mean(values(v), 1, v.vmeta()), 5).drop("volume_id")
+    return rounded(grid.box_mean(values(v), 1), 5).drop("volume_id")
 
 
 @query("g2_median", f"{FOLD} SELECT z, y, x, median(i) AS value FROM r GROUP BY 1, 2, 3")
@@ -97,19 +97,29 @@ CLOSING_SQL = f"{fold_sql('n1', 'vox', 'i', 1)}, m1 AS (SELECT z, y, x, max(v) A
 OPENING_SQL = CLOSING_SQL.replace("max(v)", "min(v)", 1).replace("min(v) AS value", "max(v) AS value").replace("closed", "opened")
 
 
+GAUSS_SQL = f"""{fold_sql("near", "vox", "i", 4)},
+g AS (SELECT k, exp(-0.5 * k * k) / (SELECT sum(exp(-0.5 * j * j)) FROM (SELECT unnest(range(-4, 5)) AS j)) AS w FROM (SELECT unnest(range(-4, 5)) AS k))
+SELECT z, y, x, round(sum(a.w * b.w * v), 5) AS value FROM near JOIN g a ON a.k = near.dy JOIN g b ON b.k = near.dx GROUP BY 1, 2, 3"""
+
+
+@query("g2_gaussian", GAUSS_SQL)
+def g2_gaussian(v):
+    return rounded(grid.gaussian_filter(values(v), 1.0), 5).drop("volume_id")
+
+
 @query("g2_edges", f"{EDGES_SQL} SELECT z, y, x, round(value, 5) + 0.0 AS value FROM edges")
 def g2_edges(v):
-    return rounded(grid.edges(values(v), v.vmeta(), 0.5), 5).drop("volume_id")
+    return rounded(grid.edges(values(v), 0.5), 5).drop("volume_id")
 
 
 @query("g2_closing", f"{CLOSING_SQL} SELECT * FROM closed")
 def g2_closing(v):
-    return grid.closing(values(v), 1, v.vmeta()).drop("volume_id")
+    return grid.closing(values(v), 1).drop("volume_id")
 
 
 @query("g2_opening", f"{OPENING_SQL} SELECT * FROM opened")
 def g2_opening(v):
-    return grid.opening(values(v), 1, v.vmeta()).drop("volume_id")
+    return grid.opening(values(v), 1).drop("volume_id")
 
 
 DISK = ", ".join(f"({a}, {b})" for _, a, b in grid.disk(4))
@@ -206,7 +216,7 @@ def g20(v):
 @query("g21_preprocessed_channel")
 def g21(v):
     """The three preparations of a channel, by name."""
-    ways = {"clahe": lambda d: grid.equalised(d, v.vmeta(), 16), "edges": lambda d: grid.edges(d, v.vmeta(), 0.5), "memb": lambda d: grid.closing(d, 1, v.vmeta()).withColumn("value", F.col("value").cast("double"))}
+    ways = {"clahe": lambda d: grid.equalised(d, v.vmeta(), 16), "edges": lambda d: grid.edges(d, 0.5), "memb": lambda d: grid.closing(d, 1).withColumn("value", F.col("value").cast("double"))}
     out = None
     for name, way in ways.items():
         rows = way(values(v)).groupBy("z").agg(F.avg("value").alias("mean")).withColumn("preparation", F.lit(name))

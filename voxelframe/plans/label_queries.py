@@ -52,7 +52,7 @@ SELECT z, y + sy AS y, x + sx AS x, max(label) AS label FROM labelled, s WHERE y
 def g13_pipeline(v):
     """Threshold, opening, components without small ones, dilation."""
     on = v.vox().select(*AT, (F.col("i") >= 130).cast("int").alias("value"))
-    opened = grid.opening(on, 1, v.vmeta()).where("value = 1").select(*AT)
+    opened = grid.opening(on, 1).where("value = 1").select(*AT)
     return grid.dilate(labelling.connected_components(opened, v.vmeta(), least_size=3), grid.diamond(1), v.vmeta()).drop("volume_id")
 
 

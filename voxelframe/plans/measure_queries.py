@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelframe.functions import shape
+from voxelframe.functions import cube, shape
 from voxelframe.operators import measure
 from voxelframe.operators.overlap import colocate
 from voxelframe.plans.registry import query
@@ -55,6 +55,18 @@ def a5_vectors(v):
     return measure.eigenvectors(v.lab(), 1.0, 0.5, 0.5)
 
 
+PIECES = ", ".join(f"({k}, {', '.join(f'{v!r}::DOUBLE' for v in row)})" for k, *row in cube.pieces(1.0, 0.5, 0.5))
+CORNERS = ", ".join(f"({a}, {b}, {c}, {1 << (4 * a + 2 * b + c)})" for a, b, c in cube.CORNERS)
+
+
+@query("a6_surface", f"""t AS (SELECT * FROM (VALUES {PIECES}) t(code, area, nz, ny, nx, moment)), k AS (SELECT * FROM (VALUES {CORNERS}) k(dz, dy, dx, bit)),
+c AS (SELECT label, z - dz AS z, y - dy AS y, x - dx AS x, sum(bit) AS code FROM lab, k GROUP BY ALL),
+m AS (SELECT label, sum(area) AS a, sum(z * nz + 0.5 * y * ny + 0.5 * x * nx + moment) / 3 AS v FROM c JOIN t USING (code) GROUP BY 1)
+SELECT label, round(a, 6) AS surface_area, round(v, 6) AS mesh_volume, round(pow(36 * pi() * v * v, 1.0 / 3) / a, 6) AS sphericity FROM m""")
+def a6(v):
+    return rounded(measure.surface(v.lab(), 1.0, 0.5, 0.5)).drop("volume_id")
+
+
 def moments_sql(source: str, prefix: str = "") -> str:
     """SQL of central_moments() over source(label, z, y, x, i), without the distance in major axes."""
     terms = ", ".join(

@@ -56,7 +56,7 @@ SELECT z, round(avg((2 * a * b + 6.5025) * (2 * vab + 58.5225) / ((a * a + b * b
 
 @query("a26_ssim", SSIM_SQL)
 def a26_ssim(v):
-    return rounded(quality.ssim(image_pair(v), v.vmeta(), "i", "j", 1, 255.0)).drop("volume_id")
+    return rounded(quality.ssim(image_pair(v), "i", "j", 1, 255.0)).drop("volume_id")
 
 
 @query("a28_marginal_means", "SELECT param, value, round(avg(score), 6) AS mean, count(*) AS n FROM (SELECT unnest(['image', 'class']) AS param, CAST(unnest([image, class]) AS VARCHAR) AS value, l_discount AS score FROM feat) GROUP BY 1, 2")
