@@ -308,3 +308,61 @@ def test_surface_pieces_fit_together():
                     for u, v in zip(p, p[1:] + p[:1], strict=True):
                         ends[u, v] = ends.get((u, v), 0) + 1
     assert np.allclose(total, 0) and all(ends.get((v, u), 0) == n for (u, v), n in ends.items())
+
+
+def split_plainly(on, distance, apart):
+    """(z, y, x) -> label: climbing, greedy spacing and numbering by loops."""
+    around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    part = {}
+    for p in sorted(on):
+        if p not in part:
+            part[p], todo = p, [p]
+            while todo:
+                z, y, x = todo.pop()
+                for q in ((z + 1, y, x), (z - 1, y, x), (z, y + 1, x), (z, y - 1, x), (z, y, x + 1), (z, y, x - 1)):
+                    if q in on and q not in part:
+                        part[q] = part[p]
+                        todo.append(q)
+    rank = {p: (round(distance[p], 6), [-v for v in p]) for p in on}
+    up = {p: max((q for q in ((p[0] + a, p[1] + b, p[2] + c) for a, b, c in around) if part.get(q) == part[p]), key=rank.get) for p in on}
+
+    def peak(p):
+        while up[p] != p:
+            p = up[p]
+        return p
+
+    seeds, owner = [], {}
+    for p in sorted((p for p in on if up[p] == p), key=rank.get, reverse=True):
+        near = [q for q in seeds if part[q] == part[p] and all(abs(a - b) <= r for a, b, r in zip(p, q, apart, strict=True))]
+        if near:
+            owner[p] = min(near, key=lambda q: (sum((a - b) ** 2 for a, b in zip(p, q, strict=True)), -rank[q][0], [-v for v in rank[q][1]]))
+        else:
+            owner[p] = p
+            seeds.append(p)
+    number = {q: k + 1 for k, q in enumerate(sorted(seeds))}
+    return {p: number[owner[peak(p)]] for p in on}
+
+
+def test_splits_by_peaks_equal_plain_loops(spark):
+    rng = np.random.default_rng(5)
+    on = {tuple(map(int, p)) for p in np.argwhere(rng.random((3, 9, 12)) < 0.7)}
+    distance = {p: float(rng.integers(0, 30)) for p in on}
+    rows = spark.createDataFrame([("v", *p, distance[p]) for p in on], "volume_id string, z int, y int, x int, distance double")
+    for apart in ((0, 1, 1), (1, 3, 3), (5, 20, 20)):
+        got = labelling.split_by_peaks(rows.drop("distance"), rows, sizes(spark, 3, 9, 12), apart).collect()
+        assert {(r.z, r.y, r.x): r.label for r in got} == split_plainly(on, distance, apart)
+
+
+def test_volumes_of_one_hash_stay_apart(spark, monkeypatch):
+    """Numbers come from counts, so volumes and labels keep apart even if all hashes are equal."""
+    monkeypatch.setattr(labelling, "PARTS", 1)
+    v = volume(spark, [[[1, 0, 1]], [[1, 0, 0]]]).drop("label")
+    both = v.union(v.withColumn("volume_id", F.lit("w"))).union(v.withColumn("volume_id", F.lit("a")))
+    s = sizes(spark, 2, 1, 3)
+    every = s.union(s.withColumn("volume_id", F.lit("w"))).union(s.withColumn("volume_id", F.lit("a")))
+    rows = labelling.connected_components(both, every).collect()
+    assert {(r.volume_id, r.z, r.x, r.label) for r in rows} == {(k, z, x, n) for k in "vwa" for z, x, n in ((0, 0, 1), (1, 0, 1), (0, 2, 2))}
+    assert labelling.place(every, both).agg(F.count_distinct("id"), F.max("id")).first() == (9, 15)
+    slabs = [("v", 0, 0, 0, 0, 4), ("v", 1, 0, 0, 0, 4), ("v", 1, 0, 0, 1, 9), ("v", 2, 0, 0, 1, 9), ("v", 2, 0, 5, 1, 3), ("w", 0, 0, 0, 0, 9), ("w", 1, 0, 0, 1, 4)]
+    got = labelling.reconcile_slabs(spark.createDataFrame(slabs, "volume_id string, z int, y int, x int, slab int, label int")).collect()
+    assert {(r.volume_id, r.z, r.x, r.label) for r in got} == {("v", 0, 0, 1), ("v", 1, 0, 1), ("v", 2, 0, 1), ("v", 2, 5, 2), ("w", 0, 0, 1), ("w", 1, 0, 2)}

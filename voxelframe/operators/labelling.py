@@ -33,10 +33,43 @@ def linked(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: Parts that are counted before anything is numbered over them.
+PARTS = 4096
+
+
+def upto(counts: DataFrame, part: str, n: str, by: list[str] | None = None) -> DataFrame:
+    """counts(by..., part, n) with `before`, the sum of n over smaller parts; a row for each part."""
+    order = Window.partitionBy(*(by or [])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum(n).over(order), F.lit(0)))
+
+
+def bases(sizes: DataFrame) -> DataFrame:
+    """(volume_id, sy, sx, base): base + raster position is a number of its own for every voxel of all volumes.
+
+    A base is the voxels of all volumes before, so numbers stay below the voxels' number. Volumes are summed in hashed parts first.
+    """
+    s = sizes.select("volume_id", *[F.col(f"size_{c}").cast("long").alias(f"s{c}") for c in "zyx"])
+    s = s.select("volume_id", "sy", "sx", (F.col("sz") * F.col("sy") * F.col("sx")).alias("n"), F.pmod(F.xxhash64("volume_id"), F.lit(PARTS)).alias("part"))
+    parts = upto(s.groupBy("part").agg(F.sum("n").alias("m")), "part", "m").select("part", "before")
+    inner = Window.partitionBy("part").orderBy("volume_id").rowsBetween(Window.unboundedPreceding, -1)
+    return s.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(parts, "part").select("volume_id", "sy", "sx", (F.col("before") + F.col("inner")).alias("base"))
+
+
 def place(sizes: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with `at`, the raster position in their volume."""
-    s = sizes.select("volume_id", F.col("size_y").cast("long").alias("sy"), F.col("size_x").cast("long").alias("sx"))
-    return rows.join(s, "volume_id").withColumn("at", (F.col("z") * F.col("sy") + F.col("y")) * F.col("sx") + F.col("x")).drop("sy", "sx")
+    """rows with `at`, the raster position in their volume, and `id`, a number of their own over all volumes."""
+    at = (F.col("z") * F.col("sy") + F.col("y")) * F.col("sx") + F.col("x")
+    return rows.join(bases(sizes), "volume_id").withColumn("at", at).withColumn("id", F.col("base") + F.col("at")).drop("sy", "sx", "base")
+
+
+def numbered(rows: DataFrame, part: Column, order: str, name: str, first: int = 1) -> DataFrame:
+    """rows(volume_id, ...) with `name`, their number in the volume by `order`, where `part` grows with it.
+
+    Parts are counted first; no window holds more rows than a part, so a volume of many rows is many tasks.
+    """
+    keyed = rows.withColumn("_part", part)
+    base = upto(keyed.groupBy("volume_id", "_part").agg(F.count("*").alias("_n")), "_part", "_n", ["volume_id"]).select("volume_id", "_part", "before")
+    inner = F.row_number().over(Window.partitionBy("volume_id", "_part").orderBy(order)) - 1
+    return keyed.withColumn("_inner", inner).join(base, ["volume_id", "_part"]).select(*rows.columns, (F.col("before") + F.col("_inner") + first).cast("int").alias(name))
 
 
 def connected_components(rows: DataFrame, sizes: DataFrame, steps: list[tuple[int, int, int]] | None = None, least_size: int = 1, same: str | None = None) -> DataFrame:
@@ -49,10 +82,7 @@ def connected_components(rows: DataFrame, sizes: DataFrame, steps: list[tuple[in
     line = Window.partitionBy("volume_id", "z", "y", *keep).orderBy("x")
     runs = rows.select(*AT, *keep).withColumn("run", F.col("x") - F.row_number().over(line))
     spans = runs.groupBy("volume_id", "z", "y", "run", *keep).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    s = sizes.select("volume_id", F.col("size_y").cast("long").alias("sy"), F.col("size_x").cast("long").alias("sx"), F.col("size_z").cast("long").alias("sz"))
-    number = F.dense_rank().over(Window.orderBy("volume_id"))
-    base = s.select("volume_id", "sy", "sx", (number * F.lit(1 << 40)).alias("base"))
-    spans = spans.join(base, "volume_id").withColumn("id", F.col("base") + (F.col("z") * F.col("sy") + F.col("y")) * F.col("sx") + F.col("lo"))
+    spans = place(sizes, spans.withColumn("x", F.col("lo"))).drop("x", "at")
     steps = steps or FACES
     lines = sorted({(a, b, max(abs(c) for p, q, c in steps if (p, q) == (a, b))) for a, b, _ in steps if (a, b) != (0, 0)})
     near = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("reach")) for a, b, c in lines])
@@ -61,8 +91,8 @@ def connected_components(rows: DataFrame, sizes: DataFrame, steps: list[tuple[in
     links = left.join(spans, ["volume_id", "z", "y", *keep]).where("lo <= l1 AND hi >= l0").select("a", F.col("id").alias("b"))
     found = linked(links)
     owner = spans.join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).withColumn("n", F.col("hi") - F.col("lo") + 1)
-    big = owner.groupBy("volume_id", "component").agg(F.sum("n").alias("size")).where(F.col("size") >= least_size)
-    dense = big.withColumn("label", F.row_number().over(Window.partitionBy("volume_id").orderBy("component")).cast("int"))
+    big = owner.groupBy("volume_id", "component").agg(F.sum("n").alias("size"), F.min("z").alias("top")).where(F.col("size") >= least_size)
+    dense = numbered(big, F.col("top"), "component", "label")  # a component's first voxel lies in its first slice
     return owner.join(dense.select("volume_id", "component", "label"), ["volume_id", "component"]).select("volume_id", "z", "y", F.explode(F.sequence("lo", "hi")).alias("x"), "label")
 
 
@@ -70,39 +100,82 @@ def reconcile_slabs(rows: DataFrame) -> DataFrame:
     """One labelling from rows(volume_id, z, y, x, slab, label) of slabs that share slices, each labelled on its own.
 
     Labels of two slabs are one where each is the other's best match on the shared slice; matches hold across slabs. A later
-    slab wins on a shared slice. The result is (volume_id, z, y, x, label) with labels by (slab, label) from 1.
+    slab wins on a shared slice. The result is (volume_id, z, y, x, label) with labels by (slab, label) from 1. Labels get
+    numbers of their own by counted parts; voxels meet labels by value.
     """
-    key = F.xxhash64("volume_id", "slab", "label")
-    known = rows.where("label > 0").withColumn("key", key)
-    upper = known.select(*AT, (F.col("slab") - 1).alias("slab"), F.col("key").alias("other"))
-    pairs = known.select(*AT, "slab", "key").join(upper, [*AT, "slab"]).groupBy("slab", "key", "other").agg(F.count("*").alias("n"), F.min(F.struct("z", "y", "x")).alias("first"))
+    known = rows.where("label > 0").select(*AT, "slab", "label")
+    own = ["volume_id", "slab", "label"]
+    upper = known.select(*AT, (F.col("slab") - 1).alias("slab"), F.col("label").alias("other"))
+    pairs = known.join(upper, [*AT, "slab"]).groupBy(*own, "other").agg(F.count("*").alias("n"), F.min(F.struct("z", "y", "x")).alias("first"))
     order = [F.desc("n"), "first"]
-    best = pairs.withColumn("p", F.row_number().over(Window.partitionBy("slab", "key").orderBy(*order))).withColumn("q", F.row_number().over(Window.partitionBy("slab", "other").orderBy(*order)))
-    merged = linked(best.where("p = 1 OR q = 1").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    owner = known.join(merged, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
+    best = pairs.withColumn("p", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).withColumn("q", F.row_number().over(Window.partitionBy("volume_id", "slab", "other").orderBy(*order)))
+    labels = known.groupBy(*own).agg(F.count("*").alias("n"))
+    parts = labels.withColumn("part", F.pmod(F.xxhash64(*own), F.lit(PARTS)))
+    before = upto(parts.groupBy("part").agg(F.count("*").alias("m")), "part", "m").select("part", "before")
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(*own))
+    numbers = checkpointed(parts.withColumn("inner", inner).join(before, "part").select(*own, (F.col("before") + F.col("inner")).alias("id")))
+    links = best.where("p = 1 OR q = 1").join(numbers.withColumnRenamed("id", "a"), own)
+    there = numbers.select("volume_id", (F.col("slab") - 1).alias("slab"), F.col("label").alias("other"), F.col("id").alias("b"))
+    merged = linked(links.join(there, ["volume_id", "slab", "other"]).select("a", "b"))
+    owner = numbers.join(merged, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     names = owner.groupBy("volume_id", "component").agg(F.min(F.struct("slab", "label")).alias("first"))
-    names = names.withColumn("new", F.row_number().over(Window.partitionBy("volume_id").orderBy("first")).cast("int"))
-    return owner.join(names.select("volume_id", "component", "new"), ["volume_id", "component"]).groupBy(*AT).agg(F.max_by("new", "slab").alias("label"))
+    names = numbered(names, F.col("first.slab"), "first", "new")
+    mapped = owner.join(names.select("volume_id", "component", "new"), ["volume_id", "component"]).select(*own, "new")
+    return known.join(mapped, own).groupBy(*AT).agg(F.max_by("new", "slab").alias("label"))
 
 
-def split_by_peaks(rows: DataFrame, distance: DataFrame, sizes: DataFrame, apart: int = 3) -> DataFrame:
-    """Labels of foreground rows, split where they have several peaks of `distance`: each voxel goes to the peak that it climbs to.
+def spaced(peaks: DataFrame, apart: tuple[int, int, int]) -> DataFrame:
+    """peaks(volume_id, part, id, z, y, x, rank) with `seed`: the id of the seed that a peak belongs to, its own for a seed.
 
-    A step leads to the largest voxel of the same component within `apart` along y and x of its slice (ties: the first in raster
-    order); a peak leads to itself. Steps are links, so a voxel meets its window only. A label is its basin's first raster position.
+    Seeds are taken greedily by falling rank: a peak with a higher seed of its part within `apart` along z, y and x is none and belongs
+    to the nearest such seed (ties: the higher). Each round decides all peaks without a higher undecided one near them, so a
+    round is two joins on pairs of near peaks; these meet in cells as wide as `apart`.
+    """
+    reach = dict(zip("zyx", apart, strict=True))
+    cell = lambda c, d=0: (F.floor(F.col(c) / max(1, reach[c])) + d).cast("int")
+    far = peaks.select("volume_id", "part", F.col("id").alias("q"), F.col("rank").alias("q_rank"), *[F.col(c).alias(f"q{c}") for c in "zyx"], *[cell(c).alias(f"c{c}") for c in "zyx"])
+    near = peaks.select("volume_id", "part", F.col("id").alias("p"), "rank", "z", "y", "x")
+    for c in "zyx":
+        near = near.withColumn(f"c{c}", F.explode(F.array(*[cell(c, d) for d in (-1, 0, 1)])))
+    close = (F.col("q_rank") > F.col("rank")) & (F.abs(F.col("z") - F.col("qz")) <= apart[0]) & (F.abs(F.col("y") - F.col("qy")) <= apart[1]) & (F.abs(F.col("x") - F.col("qx")) <= apart[2])
+    square = sum((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "zyx")
+    pairs = checkpointed(near.join(far, ["volume_id", "part", "cz", "cy", "cx"]).where(close).select("p", "q", F.struct(square.alias("d"), (-F.col("q_rank.d")).alias("r"), (-F.col("q_rank.n")).alias("n")).alias("order")))
+    state = checkpointed(peaks.select("id", F.lit(None).cast("boolean").alias("is_seed")))
+    while not state.where("is_seed IS NULL").isEmpty():
+        higher = state.select(F.col("id").alias("q"), F.col("is_seed").alias("q_seed"))
+        told = pairs.join(higher, "q").groupBy("p").agg(F.max(F.coalesce("q_seed", F.lit(False))).alias("beaten"), F.max(F.col("q_seed").isNull()).alias("open"))
+        met = state.join(told, F.col("id") == F.col("p"), "left")
+        decided = F.when(F.col("is_seed").isNotNull(), F.col("is_seed")).when(F.col("beaten"), False).when(F.coalesce("open", F.lit(False)), F.lit(None)).otherwise(True)
+        state = checkpointed(met.select("id", decided.alias("is_seed")))
+    seeds = state.where("is_seed").select(F.col("id").alias("q"))
+    owner = pairs.join(seeds, "q").groupBy("p").agg(F.min_by("q", "order").alias("owner"))
+    of = state.join(owner, F.col("id") == F.col("p"), "left").select("id", F.when(F.col("is_seed"), F.col("id")).otherwise(F.col("owner")).alias("seed"))
+    return peaks.join(of, "id")
+
+
+def split_by_peaks(rows: DataFrame, distance: DataFrame, sizes: DataFrame, apart: tuple[int, int, int] = (1, 5, 5)) -> DataFrame:
+    """Labels of foreground rows, split where they have several peaks of `distance` that lie more than `apart` from each other.
+
+    A voxel climbs to the largest of the voxels around it in its component (ties: the first in raster order) until it comes to a
+    peak; steps are links, so a voxel meets its 26 neighbours only. Peaks too near to a higher one go to it with all their
+    voxels; see spaced(). Labels are numbered by their seeds' raster order from 1. Smooth the distance before, and dilate the labels
+    after, as grid.gaussian_filter() and grid.dilate() do.
     """
     parts = connected_components(rows, sizes).withColumnRenamed("label", "part")
-    d = place(sizes, parts.join(distance, AT))
-    square = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in range(-apart, apart + 1) for b in range(-apart, apart + 1)])
-    rank = F.struct(F.round("distance", 6).alias("d"), (-F.col("at")).alias("n"))
-    seen = d.select("volume_id", "part", "z", F.explode(square).alias("s"), "y", "x", rank.alias("rank")).select("volume_id", "part", "z", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "rank")
+    d = checkpointed(place(sizes, parts.join(distance.select(*AT, "distance"), AT)).withColumn("rank", F.struct(F.round("distance", 6).alias("d"), (-F.col("id")).alias("n"))))
+    around = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    seen = d.select("volume_id", "part", F.explode(around).alias("s"), "z", "y", "x", "rank").select("volume_id", "part", *[(F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"], "rank")
     top = seen.groupBy("volume_id", "part", "z", "y", "x").agg(F.max("rank").alias("top"))
-    own = F.xxhash64("volume_id", "at")
-    steps = d.join(top, ["volume_id", "part", *AT[1:]]).select(*AT, "at", own.alias("a"), F.xxhash64("volume_id", -F.col("top.n")).alias("b"))
-    basins = linked(steps.select("a", "b"))
-    owned = steps.join(basins, F.col("a") == F.col("node"), "left").withColumn("basin", F.coalesce("component", "a"))
-    first = owned.groupBy("volume_id", "basin").agg(F.min("at").alias("label"))
-    return owned.join(first, ["volume_id", "basin"]).select(*AT, "label")
+    steps = d.join(top, ["volume_id", "part", "z", "y", "x"]).withColumn("up", -F.col("top.n"))
+    basins = linked(steps.select(F.col("id").alias("a"), F.col("up").alias("b")))
+    owned = steps.join(basins, F.col("id") == F.col("node"), "left").withColumn("basin", F.coalesce("component", "id"))
+    owned = checkpointed(owned.select(*AT, "part", "id", "up", "rank", "basin"))
+    peaks = owned.where("id = up")
+    kept = spaced(peaks.select("volume_id", "part", "id", "z", "y", "x", "rank"), apart).select("id", "seed")
+    seeds = peaks.join(kept.where("id = seed").select("id"), "id").select("volume_id", F.col("id").alias("seed"), "z")
+    labels = numbered(seeds, F.col("z"), "seed", "label").select("seed", "label")
+    mapped = peaks.select("id", "basin").join(kept, "id").join(labels, "seed").select("basin", "label")
+    return owned.join(mapped, "basin").select(*AT, "label")
 
 
 def remap(rows: DataFrame, mapping: DataFrame, value: str = "label", zero_unmapped: bool = False) -> DataFrame:

@@ -58,9 +58,11 @@ def g13_pipeline(v):
 
 @query("g14_split_by_peaks")
 def g14(v):
+    """Distance to the background, smoothed; peaks at least 3 voxels apart; labels dilated once."""
     on = v.lab().select(*AT)
     inner = v.vox().select(*AT).join(on.withColumn("on", F.lit(True)), AT, "left").select(*AT, F.col("on").isNull().alias("positive"))
-    return labelling.split_by_peaks(on, spatial.empty_space_distance(inner, 1.0, 0.5, 0.5), v.vmeta(), 2)
+    smooth = grid.gaussian_filter(spatial.empty_space_distance(inner, 1.0, 0.5, 0.5), 1.0, "distance")
+    return grid.dilate(labelling.split_by_peaks(on, smooth, v.vmeta(), (1, 3, 3)), grid.diamond(1), v.vmeta())
 
 
 def slab_labels(v):
