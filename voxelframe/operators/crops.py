@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.functions import draws
+from voxelframe.shared import checkpointed
+
 SIDES = (("y", "height"), ("x", "width"))
 
 
@@ -98,25 +106,99 @@ def split(crops: DataFrame, height: int, width: int) -> DataFrame:
     return out.select("crop_id", "z", (F.col("y") + F.col("ty") * height).alias("y"), (F.col("x") + F.col("tx") * width).alias("x"), F.lit(height).alias("height"), F.lit(width).alias("width"))
 
 
-def localise(crop: DataFrame, voxels: DataFrame, size_y: int, size_x: int, value: str = "i") -> DataFrame:
+def random_volumes(keys: DataFrame, sizes: tuple[int, int, int], depth: int, height: int, width: int, seed: int, key: str = "crop_id") -> DataFrame:
+    """A block of that size at a random place inside a volume of `sizes` for each of keys(crop_id), a row for each slice.
+
+    Places are drawn by the key and the seed alone. A block larger than the volume is an error.
+    """
+    if any(n > of for n, of in zip((depth, height, width), sizes, strict=True)):
+        raise ValueError("the crop is larger than the volume")
+    z0, y0, x0 = (draws.whole(F.lit(0), F.lit(of - n), seed, c, key) for c, n, of in zip("zyx", (depth, height, width), sizes, strict=True))
+    return keys.select(F.col(key).alias("crop_id"), F.explode(F.sequence(z0, z0 + depth - 1)).alias("z"), y0.alias("y"), x0.alias("x"), F.lit(height).alias("height"), F.lit(width).alias("width"))
+
+
+def _image(rows: DataFrame, by: list[str], y: str, x: str, value: str) -> DataFrame:
+    """(by..., image): dense rows as lines of lines."""
+    lines = rows.groupBy(*by, y).agg(F.array_sort(F.collect_list(F.struct(x, F.col(value).cast("double").alias("v")))).alias("line"))
+    lines = lines.select(*by, y, F.transform("line", lambda p: p["v"]).alias("line"))
+    return lines.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(y, "line"))), lambda p: p["line"]).alias("image"))
+
+
+def _best_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(len(batch)):
+            z, image, crop = (batch.column(j)[k].as_py() for j in range(3))
+            image, crop = np.array(image), np.array(crop)
+            h, w = crop.shape
+            if h > image.shape[0] or w > image.shape[1]:
+                continue
+            score = np.fft.irfft2(np.fft.rfft2(image) * np.conj(np.fft.rfft2(crop - crop.mean(), image.shape)), image.shape)
+            score = np.round(score[: image.shape[0] - h + 1, : image.shape[1] - w + 1], 4)
+            oy, ox = map(int, np.unravel_index(score.argmax(), score.shape))
+            difference = float(np.abs(image[oy : oy + h, ox : ox + w] - crop).mean())
+            yield pa.RecordBatch.from_pydict({"z": pa.array([z], pa.int32()), "oy": pa.array([oy], pa.int32()), "ox": pa.array([ox], pa.int32()), "difference": [difference]})
+
+
+def localise(crop: DataFrame, voxels: DataFrame, value: str = "i") -> DataFrame:
     """(z, oy, ox, difference): for each slice the offset of best mean-centred correlation of crop(dy, dx, value), and the mean absolute difference there.
 
-    Each voxel meets each crop place once: |voxels| * |crop| products summed by offset, after a check that the crop is small.
+    Ties, to 4 digits, go to the first place in raster order. A slice and the crop are an image each; slices are correlated apart,
+    by Fourier transforms. Dense slices are expected; one smaller than the crop gives no row.
+    """
+    template = _image(crop.withColumn("_one", F.lit(0)), ["_one"], "dy", "dx", value)  # one row
+    slices = _image(voxels, ["z"], "y", "x", value).withColumn("_one", F.lit(0))
+    both = slices.join(F.broadcast(template.withColumnRenamed("image", "crop")), "_one").select("z", "image", "crop")
+    return both.mapInArrow(_best_places, "z int, oy int, ox int, difference double")
+
+
+def localise_series(crop: DataFrame, voxels: DataFrame, value: str = "i") -> DataFrame:
+    """(layer, z, oy, ox, difference, arithmetic): where the layers of crop(layer, dy, dx, value) lie in a volume.
+
+    The first layer is looked for everywhere and lies in the slice of least difference, the first of equal ones. The others are compared with each slice
+    at that place only. arithmetic: whether the slices found go up or down by one step, as those of a block's layers must.
     """
-    n = crop.count()
-    if n > 4096:
-        raise ValueError("the crop has more than 4096 places; cut it first")
-    mean = crop.agg(F.avg(value)).first()[0]
-    c = F.broadcast(crop.select("dy", "dx", (F.col(value) - mean).alias("w"), F.col(value).alias("v")))
-    top = crop.agg(F.max("dy"), F.max("dx")).first()
-    pairs = voxels.select("z", "y", "x", value).join(c).withColumn("oy", F.col("y") - F.col("dy")).withColumn("ox", F.col("x") - F.col("dx"))
-    pairs = pairs.where((F.col("oy") >= 0) & (F.col("ox") >= 0) & (F.col("oy") <= size_y - 1 - top[0]) & (F.col("ox") <= size_x - 1 - top[1]))
-    scores = pairs.groupBy("z", "oy", "ox").agg(F.sum(F.col("w") * F.col(value)).alias("score"), F.avg(F.abs(F.col("v") - F.col(value))).alias("difference"), F.sum("w").alias("sw"))
-    order = Window.partitionBy("z").orderBy(F.desc(F.round("score", 4)), "oy", "ox")
-    return scores.withColumn("k", F.row_number().over(order)).where("k = 1").select("z", "oy", "ox", "difference")
+    lowest = crop.agg(F.min("layer").alias("layer"))  # one row
+    first = crop.join(F.broadcast(lowest), "layer")
+    found = localise(first.select("dy", "dx", value), voxels, value)
+    best = found.agg(F.min(F.struct(F.round("difference", 9).alias("d"), "z", "oy", "ox", "difference")).alias("b")).select("b.z", "b.oy", "b.ox", "b.difference")
+    at = checkpointed(best.join(F.broadcast(lowest)).select("layer", "z", "oy", "ox", "difference"))  # one row
+    rest = crop.join(F.broadcast(lowest.select(F.col("layer").alias("_low")))).where("layer > _low").select("layer", "dy", "dx", F.col(value).cast("double").alias("_v"))
+    moved = voxels.join(F.broadcast(at.select("oy", "ox"))).select("z", (F.col("y") - F.col("oy")).alias("dy"), (F.col("x") - F.col("ox")).alias("dx"), F.col(value).alias("_w"), "oy", "ox")
+    differences = moved.join(rest, ["dy", "dx"]).groupBy("layer", "z", "oy", "ox").agg(F.avg(F.abs(F.col("_v") - F.col("_w"))).alias("difference"))
+    order = F.struct(F.round("difference", 9), "z")
+    later = differences.groupBy("layer", "oy", "ox").agg(F.min_by("z", order).alias("z"), F.min_by("difference", order).alias("difference"))
+    layers = at.unionByName(later.select(at.columns))
+    by_layer = Window.orderBy("layer")  # a row for each layer of one crop
+    steps = layers.withColumn("step", F.col("z") - F.lag("z").over(by_layer))
+    every = Window.partitionBy()
+    one = (F.min("step").over(every) == F.max("step").over(every)) & (F.min("step").over(every) != 0)
+    return steps.select("layer", "z", "oy", "ox", "difference", F.coalesce(one, F.lit(True)).alias("arithmetic"))
 
 
 def arithmetic_sequence(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by..., arithmetic): whether a group's sorted values have one step."""
     step = F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(value))
     return rows.withColumn("step", step).groupBy(*by).agg((F.count_distinct("step") <= 1).alias("arithmetic"))
+
+
+def cell_cubes(labels: DataFrame, image: DataFrame, channels: list[str], voxel: tuple[float, float, float], side: float, new: tuple[float, float, float]) -> DataFrame:
+    """(volume_id, cell, z, y, x, channels..., label): a cube of ceil(side / new) voxels around each cell's centroid.
+
+    A block of ceil(side / voxel) voxels is cut, with zeros outside the volume and its labels, and all channels and the labels are brought to the
+    cube's shape in one join: channels linearly, labels to the nearest voxel (halves go up). image: dense (volume_id, z, y, x,
+    channels...). A cell whose label is lost in its cube keeps its rows, without that label.
+    """
+    from voxelframe.operators import grid
+
+    old, shape = (tuple(math.ceil(round(side / v, 9)) for v in size) for size in (voxel, new))
+    centres = labels.groupBy("volume_id", F.col("label").alias("cell")).agg(*[F.avg(c).alias(c) for c in "zyx"])
+    places = centres
+    for c, n in zip("zyx", old, strict=True):
+        places = places.withColumn(f"d{c}", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(c, (F.floor(c) - n // 2 + F.col(f"d{c}")).cast("int"))
+    known = image.select("volume_id", "z", "y", "x", *channels).join(labels.select("volume_id", "z", "y", "x", "label"), ["volume_id", "z", "y", "x"], "full")
+    met = places.join(known, ["volume_id", "z", "y", "x"], "left")
+    cube = F.struct("volume_id", "cell")
+    rows = met.select(cube.alias("volume_id"), *[F.col(f"d{c}").alias(c) for c in "zyx"], *[F.coalesce(c, F.lit(0)).alias(c) for c in [*channels, "label"]])
+    sizes = centres.select(cube.alias("volume_id"), *[F.lit(n).alias(f"size_{c}") for c, n in zip("zyx", old, strict=True)], *[F.lit(v).alias(f"v{c}") for c, v in zip("zyx", voxel, strict=True)])
+    found = grid.resample(rows, sizes, new, value=channels, nearest=["label"], shape=shape)
+    return found.select("volume_id.volume_id", "volume_id.cell", "z", "y", "x", *channels, "label")

@@ -279,32 +279,37 @@ def resize_in_plane(rows: DataFrame, sizes: DataFrame, pixel: float, order: int
 
 
 def resample(
-    rows: DataFrame, sizes: DataFrame, new: tuple[float, float, float], order: int = 1, tolerance: float = 0.1, value: str = "value", side: Callable[[Column], Column] = lambda c: F.greatest(F.lit(2), F.round(c))
+    rows: DataFrame, sizes: DataFrame, new: tuple[float, float, float], order: int = 1, tolerance: float = 0.1, value: str | list[str] = "value", side: Callable[[Column], Column] = lambda c: F.greatest(F.lit(2), F.round(c)), nearest: list[str] | None = None, shape: tuple[int, int, int] | None = None
 ) -> DataFrame:
     """Dense rows on a grid of voxel size `new`: linear (order 1) or nearest; within the tolerance the rows are returned as they are.
 
-    A side becomes side(side * old / new), by default max(2, round(...)). Each target voxel joins at most 8 source voxels.
+    A side becomes side(side * old / new), by default max(2, round(...)), or that of `shape`, which holds within the tolerance too. Each target
+    voxel joins at most 8 source voxels, once for all columns: those of `value`, and those of `nearest`, which take the
+    nearest voxel's value whatever the order.
     """
+    values, nearest = [value] if isinstance(value, str) else value, nearest or []
     s = sizes.select("volume_id", *[f"size_{c}" for c in "zyx"], *[f"v{c}" for c in "zyx"])
     factor = {c: F.col(f"v{c}") / new[k] for k, c in enumerate("zyx")}
-    near = F.lit(True)
+    near = F.lit(shape is None)
     for c in "zyx":
         near = near & (F.abs(factor[c] - 1) <= tolerance)
-    target = s.select("*", near.alias("same"), *[F.when(near, F.col(f"size_{c}")).otherwise(side(F.col(f"size_{c}") * factor[c])).cast("int").alias(f"n{c}") for c in "zyx"])
-    grid = target
+    wanted = {c: F.lit(shape["zyx".index(c)]) if shape else side(F.col(f"size_{c}") * factor[c]) for c in "zyx"}
+    grid = s.select("*", *[F.when(near, F.col(f"size_{c}")).otherwise(wanted[c]).cast("int").alias(f"n{c}") for c in "zyx"])
     for c in "zyx":
         grid = grid.withColumn(f"t{c}", F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1)))
     for c in "zyx":
         at = F.when(F.col(f"n{c}") > 1, F.col(f"t{c}") * (F.col(f"size_{c}") - 1) / (F.col(f"n{c}") - 1)).otherwise(0.0)
         grid = grid.withColumn(f"p{c}", at if order else F.round(at))
     grid = grid.select("volume_id", *[f"t{c}" for c in "zyx"], *[f"p{c}" for c in "zyx"], F.explode(_offsets([(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)])).alias("s"))
-    weight = F.lit(1.0)
+    weight, closest = F.lit(1.0), F.lit(True)
     for c in "zyx":
         part = F.col(f"p{c}") - F.floor(f"p{c}")
         weight = weight * F.when(F.col(f"s.d{c}") == 1, part).otherwise(1 - part)
-    parts = grid.select("volume_id", *[f"t{c}" for c in "zyx"], weight.alias("w"), *[(F.floor(f"p{c}") + F.col(f"s.d{c}")).cast("int").alias(c) for c in "zyx"]).where("w > 0")
-    joined = parts.join(rows.select(*AT, value), AT)
-    return joined.groupBy("volume_id", "tz", "ty", "tx").agg(F.sum(F.col("w") * F.col(value)).alias(value)).select("volume_id", F.col("tz").alias("z"), F.col("ty").alias("y"), F.col("tx").alias("x"), value)
+        closest = closest & (F.floor(f"p{c}") + F.col(f"s.d{c}") == F.floor(F.col(f"p{c}") + 0.5))
+    parts = grid.select("volume_id", *[f"t{c}" for c in "zyx"], weight.alias("w"), closest.alias("closest"), *[(F.floor(f"p{c}") + F.col(f"s.d{c}")).cast("int").alias(c) for c in "zyx"]).where("w > 0")
+    joined = parts.join(rows.select(*AT, *values, *nearest), AT)
+    found = joined.groupBy("volume_id", "tz", "ty", "tx").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values], *[F.max(F.when(F.col("closest"), F.col(v))).alias(v) for v in nearest])
+    return found.select("volume_id", F.col("tz").alias("z"), F.col("ty").alias("y"), F.col("tx").alias("x"), *values, *nearest)
 
 
 def context(rows: DataFrame, k: int, value: str = "value") -> DataFrame:

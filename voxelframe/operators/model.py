@@ -11,7 +11,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.shared import checkpointed
+from voxelframe.operators.spatial import running
+from voxelframe.shared import checkpointed, written
 
 
 def shuffled(key: Column, seed: int) -> Column:
@@ -131,13 +132,22 @@ def varied(rows: DataFrame, features: list[str], least: float) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("variance")) for f in features])).alias("p")).select("p.*").where(F.col("variance") > least)
 
 
+def quantile_bins(rows: DataFrame, features: list[str], label: str, bins: int) -> DataFrame:
+    """(feature, bin, label, n): how many rows of each label fall into a feature's quantile bins; equal values are in one bin.
+
+    A value's bin is floor(bins * share of smaller values). All features are ranked in one job by running sums over counted ranges.
+    """
+    long = rows.select(F.col(label).alias("label"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("p")).select("label", "p.*").where("v IS NOT NULL")
+    counts = written(long.groupBy("feature", "v", "label").agg(F.count("*").alias("m")), "values")
+    ranked = running(counts.groupBy("feature", "v").agg(F.sum("m").alias("n")), "feature", "v")
+    place = ranked.select("feature", "v", F.floor((F.col("upto") - F.col("n")) * bins / F.col("total")).cast("int").alias("bin"))
+    return counts.join(place, ["feature", "v"]).groupBy("feature", "bin", "label").agg(F.sum("m").alias("n"))
+
+
 def mutual_information(rows: DataFrame, features: list[str], label: str, bins: int = 10) -> DataFrame:
-    """(feature, mi) in nats between a feature's even-width bins and the label; all features in one job."""
-    long = rows.select(F.col(label).alias("label"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("p")).select("label", "p.*")
-    ends = long.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))))).otherwise(0)
-    counts = long.join(F.broadcast(ends), "feature").groupBy("feature", place.alias("bin"), "label").agg(F.count("*").alias("n"))  # a row for each feature
-    n = F.sum("n").over(Window.partitionBy("feature"))
+    """(feature, mi) in nats between a feature's quantile bins and the label; all features in one job."""
+    counts = quantile_bins(rows, features, label, bins)
+    n = F.sum("n").over(Window.partitionBy("feature"))  # a row for each bin and label
     by_bin, by_label = F.sum("n").over(Window.partitionBy("feature", "bin")), F.sum("n").over(Window.partitionBy("feature", "label"))
     term = counts.select("feature", (F.col("n") / n * F.log(F.col("n") * n / (by_bin * by_label))).alias("t"))
     return term.groupBy("feature").agg(F.sum("t").alias("mi"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelframe.shared import written
+
 
 def _envelope(g: np.ndarray, size: float) -> np.ndarray:
     """For lines (rows of g): at each place the least of g plus the squared step, by the lower envelope of a line's parabolas.
@@ -93,19 +95,20 @@ def class_distances(labels: DataFrame, distances: DataFrame, by: list[str] | Non
     return rows.groupBy("volume_id", *(by or []), "label").agg(F.min("distance").alias("distance"))
 
 
-def running(counts: DataFrame, name: str, value: str, parts: int = 1024) -> DataFrame:
+def running(counts: DataFrame, name: str, value: str) -> DataFrame:
     """counts(name, value, n) with `upto`, the running sum of n over a series' sorted values, and `total`.
 
-    A series' range is cut into even parts; only their sums meet in a window over a series. A null name is no series.
+    Rows are dealt by ranges of (name, value) and written, so that parts are even whatever the values' distribution. Only sums of
+    parts meet in a window over a series, and only a part's rows in one over values. A null name is no series.
     """
-    ends = counts.groupBy(name).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("total"))
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(parts - 1), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts))).otherwise(0)
-    placed = counts.join(ends, name).withColumn("_part", part)
-    sums = placed.groupBy(name, "_part").agg(F.sum("n").alias("_n"))
-    before = Window.partitionBy(name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(name, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    dealt = counts.where(F.col(name).isNotNull()).repartitionByRange(name, value).withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "running")
+    sums = dealt.groupBy(name, "_part").agg(F.sum("n").alias("_n"))
+    of = Window.partitionBy(name)
+    before = of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(name, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(of).alias("total"))
     inner = F.sum("n").over(Window.partitionBy(name, "_part").orderBy(value))
-    return placed.withColumn("_inner", inner).join(bases, [name, "_part"]).select(*counts.columns, (F.col("_base") + F.col("_inner")).alias("upto"), "total")
+    return dealt.withColumn("_inner", inner).join(bases, [name, "_part"]).select(*counts.columns, (F.col("_base") + F.col("_inner")).alias("upto"), "total")
 
 
 def empirical_cdf(rows: DataFrame, name: str, value: str) -> DataFrame:
@@ -129,10 +132,49 @@ def cdf_on_grid(rows: DataFrame, name: str, value: str, points: int = 500) -> Da
 def every_nth(rows: DataFrame, name: str, value: str, most: int) -> DataFrame:
     """At most about `most` of a series' sorted values over 0: every 10^k-th, with the smallest k that suffices.
 
-    Ranks come from counts of each distinct value, so a window sees distinct values only. No smoothing filter is applied.
+    Ranks come from counts of each distinct value, so a window sees distinct values only. No smoothing filter is applied; see down_sampled().
     """
     counts = rows.where(F.col(value) > 0).groupBy(name, value).agg(F.count("*").alias("n"))
     step = F.pow(F.lit(10), F.ceil(F.greatest(F.lit(0.0), F.log10(F.col("total") / most)))).cast("long")
     ranked = running(counts, name, value).withColumns({"before": F.col("upto") - F.col("n"), "step": step})
     first = F.expr("((before + step - 1) div step) * step")
     return ranked.withColumn("first", first).where("first < before + n").select(name, value, F.explode(F.expr("sequence(first, before + n - 1, step)")).alias("rank"))
+
+
+def taps(q: int) -> list[float]:
+    """Low-pass weights of 20 * q + 1 neighbouring ranks: a sinc of cut-off 1 / q under a Hamming window, with sum 1."""
+    n = 20 * q
+    line = [np.sinc((k - n / 2) / q) * (0.54 - 0.46 * np.cos(2 * np.pi * k / n)) for k in range(n + 1)]
+    return [float(v / sum(line)) for v in line]
+
+
+def decimated(rows: DataFrame, name: str, value: str, q: int = 10) -> DataFrame:
+    """(name, value, rank): every q-th of a series' sorted values after smoothing over 10 * q ranks to both sides; zeros stand beyond the ends.
+
+    Each value is sent to the outputs whose weights reach its ranks, about 20 of them whatever q is, and the weighted values are summed before the shuffle;
+    rows with equal values go as one with a sum of weights. Neighbouring ranks across partitions need no window so.
+    """
+    weights = taps(q)
+    half = len(weights) // 2
+    sums = F.array(*[F.lit(v) for v in np.concatenate([[0.0], np.cumsum(weights)]).tolist()])
+    counts = rows.where(F.col(value).isNotNull()).groupBy(name, value).agg(F.count("*").alias("n"))
+    ranked = running(counts, name, value).withColumns({"_a": F.col("upto") - F.col("n"), "_b": F.col("upto") - 1})
+    low, high = F.greatest(F.lit(0), F.ceil((F.col("_a") - half) / q)), F.least(F.ceil(F.col("total") / q) - 1, F.floor((F.col("_b") + half) / q))
+    sent = ranked.where(low <= high).select(name, value, "_a", "_b", F.explode(F.sequence(low, high)).alias("rank"))
+    # the weight of rank r in output k is that of tap half + q * k - r
+    first, last = F.greatest(F.lit(0), half + q * F.col("rank") - F.col("_b")), F.least(F.lit(2 * half), half + q * F.col("rank") - F.col("_a"))
+    weight = F.get(sums, (last + 1).cast("int")) - F.get(sums, first.cast("int"))
+    return sent.groupBy(name, "rank").agg(F.sum(weight * F.col(value)).alias(value)).select(name, value, "rank")
+
+
+def down_sampled(rows: DataFrame, name: str, value: str, most: int, q: int = 10) -> DataFrame:
+    """(name, value): each series with at most `most` values, decimated by q again and again until it has; shorter ones stay as they are."""
+    left, out = rows.where(F.col(name).isNotNull() & F.col(value).isNotNull()).select(name, F.col(value).cast("double").alias(value)), None
+    while True:
+        many = left.groupBy(name).agg(F.count("*").alias("_n"))
+        long = many.where(F.col("_n") > most).select(name)
+        done = left.join(long, name, "left_anti")
+        out = done if out is None else out.unionByName(done)
+        if long.isEmpty():
+            return out
+        left = written(decimated(left.join(long, name, "left_semi"), name, value, q).select(name, value), "decimated")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from voxelframe.operators import crops, rules
 from voxelframe.operators.model import shuffled
 from voxelframe.plans.measure_queries import rounded
 from voxelframe.plans.registry import query
@@ -188,6 +189,28 @@ def a36(v):
     return v.crops().where(below | beside).select("crop_id", below.alias("below"), beside.alias("beside"))
 
 
+#: (rule, fact, low, high, allowed)
+RULES = [("shape", "height", 3.0, None, None), ("shape", "width", 4.0, None, None), ("values", "value", None, 2.0, None), ("in bounds", "bottom", None, 25.0, None), ("in bounds", "right", None, 64.0, None), ("in bounds", "top", 0.0, None, None), ("type", "dtype", None, None, ["uint8", "uint16"]), ("one slice", "annotated", None, 1.0, None)]
+DTYPE = "CASE WHEN crop_id % 500 % 13 = 0 THEN 'float32' WHEN crop_id % 2 = 0 THEN 'uint8' ELSE 'uint16' END"
+RULES_SQL = f"""c AS (SELECT crop_id % 500 AS crop_id, z, y, x, height, width, {DTYPE} AS dtype FROM crops),
+b AS (SELECT crop_id, min(height) AS height, min(width) AS width, min(y) AS top, max(y + height) AS bottom, max(x + width) AS r, min(dtype) AS dtype FROM c GROUP BY 1),
+d AS (SELECT crop_id, max(CASE WHEN i % 23 = 0 THEN i % 4 ELSE 0 END) AS value, count(DISTINCT vox.z) FILTER (i % 23 = 0 AND i % 4 > 0) AS annotated
+  FROM c JOIN vox ON vox.z = c.z AND vox.y BETWEEN c.y AND c.y + height - 1 AND vox.x BETWEEN c.x AND c.x + width - 1 GROUP BY 1),
+f AS (SELECT b.*, coalesce(d.value, 0) AS value, coalesce(d.annotated, 0) AS annotated FROM b LEFT JOIN d USING (crop_id))
+SELECT crop_id, 'shape' AS rule, CAST(height AS VARCHAR) AS value FROM f WHERE height < 3 UNION ALL SELECT crop_id, 'shape', CAST(width AS VARCHAR) FROM f WHERE width < 4
+UNION ALL SELECT crop_id, 'values', CAST(value AS VARCHAR) FROM f WHERE value > 2 UNION ALL SELECT crop_id, 'in bounds', CAST(bottom AS VARCHAR) FROM f WHERE bottom > 25
+UNION ALL SELECT crop_id, 'in bounds', CAST(r AS VARCHAR) FROM f WHERE r > 64 UNION ALL SELECT crop_id, 'in bounds', CAST(top AS VARCHAR) FROM f WHERE top < 0
+UNION ALL SELECT crop_id, 'type', dtype FROM f WHERE dtype NOT IN ('uint8', 'uint16') UNION ALL SELECT crop_id, 'one slice', CAST(annotated AS VARCHAR) FROM f WHERE annotated > 1"""
+
+
+@query("a36_rule_violations", RULES_SQL)
+def a36_violations(v):
+    own = v.crops().withColumn("dtype", F.expr(DTYPE)).withColumn("crop_id", F.col("crop_id") % 500)
+    value = v.vox().withColumn("value", F.expr("CASE WHEN i % 23 = 0 THEN i % 4 ELSE 0 END"))
+    facts = rules.annotation_facts(own, crops.cut(own, value, "value"))
+    return rules.violations(facts, rules.rule_table(v.spark, RULES), "crop_id")
+
+
 @query("a38_voxel_size_consistency", "SELECT crop_id % 50 AS crop, count(DISTINCT width) = 1 AS consistent FROM crops GROUP BY 1")
 def a38(v):
     return v.crops().groupBy((F.col("crop_id") % 50).alias("crop")).agg((F.count_distinct("width") == 1).alias("consistent"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelframe.operators import grid, spatial
+from voxelframe.functions import draws
+from voxelframe.operators import augment, grid, spatial
 from voxelframe.operators.overlap import AT, colocate
 from voxelframe.plans.measure_queries import rounded
 from voxelframe.plans.registry import query
@@ -48,6 +49,14 @@ def w3(v):
     return spatial.every_nth(v.obs(), "class_name", "value", 100)
 
 
+TAPS_SQL = "b AS (SELECT k, w / sum(w) OVER () AS w FROM (SELECT k, CASE WHEN k = 100 THEN 1 ELSE sin(pi() * (k - 100) / 10.0) / (pi() * (k - 100) / 10.0) END * (0.54 - 0.46 * cos(2 * pi() * k / 200)) AS w FROM (SELECT unnest(range(0, 201)) AS k)))"
+
+
+@query("w3_decimated", f"{TAPS_SQL}, r AS (SELECT class_name, value, row_number() OVER (PARTITION BY class_name ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY class_name) AS n FROM obs), o AS (SELECT class_name, value, r, unnest(range(greatest(0, r // 10 - 11), least((n + 9) // 10, r // 10 + 12))) AS rank FROM r) SELECT class_name, rank, round(sum(w * value), 5) AS value FROM o JOIN b ON b.k = 100 + 10 * rank - r GROUP BY 1, 2")
+def w3_decimated(v):
+    return rounded(spatial.decimated(v.obs(), "class_name", "value"), 5)
+
+
 @query("w7_slice_context", "c AS (SELECT volume_id, z, y, x, list(i) OVER (PARTITION BY volume_id, y, x ORDER BY z ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS vals FROM vox) SELECT z, y, x, vals[1] AS before, vals[2] AS here, vals[3] AS after FROM c WHERE len(vals) = 3")
 def w7(v):
     c = grid.context(values(v), 1)
@@ -176,6 +185,38 @@ def g11(v):
     return grid.undo_dihedral(turned, 64).groupBy("z", "y", "x", "value").agg(F.count("*").alias("variants"))
 
 
+def sampled(v):
+    """Image and labels, four times over."""
+    both = v.vox().join(v.lab(), AT, "left").select(*AT, "i", F.coalesce("label", F.lit(0)).alias("label"))
+    return both.withColumn("sample", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+
+
+DRAWN = "volume_id || ':' || sample"
+SAMPLED_SQL = "s AS (SELECT v.volume_id, v.z, v.y, v.x, i, coalesce(label, 0) AS label, sample FROM vox v LEFT JOIN lab l USING (volume_id, z, y, x), (SELECT unnest(range(4)) AS sample)), n AS (SELECT max(z) + 1 AS nz FROM vox)"
+FLIP_SQL = f"""{SAMPLED_SQL}, d AS (SELECT *, 1 + CAST(floor({draws.unit_sql(5, "axis", DRAWN)} * 3) AS INT) AS a, {draws.unit_sql(5, "flip", DRAWN)} < 0.8 AS f FROM s, n)
+SELECT CAST(sample AS INT) AS sample, CASE WHEN f AND a = 1 THEN nz - 1 - z ELSE z END AS z, CASE WHEN f AND a = 2 THEN 24 - y ELSE y END AS y, CASE WHEN f AND a = 3 THEN 63 - x ELSE x END AS x, i, label FROM d"""
+
+
+@query("g11_flips", FLIP_SQL)
+def g11_flips(v):
+    return augment.flips(sampled(v), v.vmeta(), 5, ("volume_id", "sample"), probability=0.8).drop("volume_id")
+
+
+def moved(c: str) -> str:
+    return f"{c} + CASE WHEN {draws.unit_sql(9, f'along_{c}', DRAWN)} < 0.5 THEN step ELSE 0 END"
+
+
+SHIFT_SQL = f"""{SAMPLED_SQL}, d AS (SELECT *, -6 + CAST(floor({draws.unit_sql(9, "shift", DRAWN)} * 13) AS INT) AS step FROM s, n),
+t AS (SELECT sample, nz, {moved("z")} AS z, {moved("y")} AS y, {moved("x")} AS x, i, label FROM d),
+k AS (SELECT sample, z, y, x, i, label FROM t WHERE z >= 0 AND z < nz AND y BETWEEN 0 AND 24 AND x BETWEEN 0 AND 63)
+SELECT CAST(s.sample AS INT) AS sample, s.z, s.y, s.x, coalesce(k.i, 0) AS i, coalesce(k.label, 0) AS label FROM s LEFT JOIN k USING (sample, z, y, x)"""
+
+
+@query("g11_shifts", SHIFT_SQL)
+def g11_shifts(v):
+    return augment.shifts(sampled(v), v.vmeta(), (-6, 6), 9, ["i", "label"], ("volume_id", "sample")).drop("volume_id")
+
+
 @query("a40_merge_transforms", "SELECT z, y, x, CAST(i AS DOUBLE) AS value FROM vox")
 def a40(v):
     return grid.merge_transforms(grid.dihedral(values(v), 64), 64).drop("volume_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxelframe.functions import draws
 from voxelframe.operators import crops, grid, labelling, spatial
 from voxelframe.operators.overlap import AT, disagreeing
 from voxelframe.plans.grid_queries import OPENING_SQL
@@ -184,7 +185,52 @@ def g6(v):
 @query("j20_localise", "c AS (SELECT y - 4 AS dy, x - 7 AS dx, i AS v, i - avg(i) OVER () AS w FROM vox WHERE z = 3 AND y BETWEEN 4 AND 9 AND x BETWEEN 7 AND 14), s AS (SELECT z, y - dy AS oy, x - dx AS ox, sum(w * i) AS score, avg(abs(v - i)) AS difference FROM vox, c WHERE y - dy BETWEEN 0 AND 19 AND x - dx BETWEEN 0 AND 56 GROUP BY 1, 2, 3) SELECT z, oy, ox, round(difference, 6) AS difference FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY round(score, 4) DESC, oy, ox) AS k FROM s) WHERE k = 1")
 def j20(v):
     crop = v.vox().where("z = 3 AND y BETWEEN 4 AND 9 AND x BETWEEN 7 AND 14").select((F.col("y") - 4).alias("dy"), (F.col("x") - 7).alias("dx"), "i")
-    return rounded(crops.localise(crop, v.vox(), 25, 64))
+    return rounded(crops.localise(crop, v.vox()))
+
+
+SERIES_SQL = """l AS (SELECT CAST((z - 3) // 2 AS INT) AS layer, y - 4 AS dy, x - 7 AS dx, i AS v, i - avg(i) OVER (PARTITION BY z) AS w FROM vox WHERE z IN (3, 5, 7) AND y BETWEEN 4 AND 9 AND x BETWEEN 7 AND 14),
+s AS (SELECT z, y - dy AS oy, x - dx AS ox, sum(w * i) AS score, avg(abs(v - i)) AS difference FROM vox, l WHERE layer = 0 AND y - dy BETWEEN 0 AND 19 AND x - dx BETWEEN 0 AND 56 GROUP BY 1, 2, 3),
+f AS (SELECT 0 AS layer, z, oy, ox, difference FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY round(score, 4) DESC, oy, ox) AS k FROM s) WHERE k = 1 ORDER BY round(difference, 9), z LIMIT 1),
+g AS (SELECT later AS layer, vox.z, oy, ox, avg(abs(v - i)) AS difference FROM vox, f, (SELECT layer AS later, dy, dx, v FROM l WHERE layer > 0) WHERE y = oy + dy AND x = ox + dx GROUP BY ALL),
+a AS (SELECT * FROM f UNION ALL SELECT layer, z, oy, ox, difference FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY round(difference, 9), z) AS k FROM g) WHERE k = 1),
+t AS (SELECT *, z - lag(z) OVER (ORDER BY layer) AS step FROM a)
+SELECT layer, z, oy, ox, round(difference, 6) AS difference, min(step) OVER () = max(step) OVER () AND min(step) OVER () <> 0 AS arithmetic FROM t"""
+
+
+@query("j20_series", SERIES_SQL)
+def j20_series(v):
+    crop = v.vox().where("z IN (3, 5, 7) AND y BETWEEN 4 AND 9 AND x BETWEEN 7 AND 14").select(F.expr("int((z - 3) div 2)").alias("layer"), (F.col("y") - 4).alias("dy"), (F.col("x") - 7).alias("dx"), "i")
+    return rounded(crops.localise_series(crop, v.vox()))
+
+
+RANDOM_SQL = f"""k AS (SELECT o_orderkey AS crop_id, floor({draws.unit_sql(7, "z", "o_orderkey")} * 14) AS z0, floor({draws.unit_sql(7, "y", "o_orderkey")} * 22) AS y0, floor({draws.unit_sql(7, "x", "o_orderkey")} * 60) AS x0 FROM orders)
+SELECT crop_id, CAST(z0 + d AS INT) AS z, CAST(y0 AS INT) AS y, CAST(x0 AS INT) AS x, 4 AS height, 5 AS width FROM k, (SELECT unnest(range(2)) AS d)"""
+
+
+@query("g6_random_crops", RANDOM_SQL)
+def g6_random(v):
+    return crops.random_volumes(v.table("orders").select("o_orderkey"), (15, 25, 64), 2, 4, 5, 7, "o_orderkey")
+
+
+def cubes_sql(source: str, columns: dict[str, str], old: tuple[int, int, int], shape: tuple[int, int, int], label: bool) -> str:
+    """CTEs up to `cubes`(cell, z, y, x, columns..., label): cubes around the cells of lab, cut from source with zeros outside and resampled."""
+    axis = lambda c, n, of: f"{c}s AS (SELECT t AS t{c}, d AS d{c}, CAST(floor(p) + d AS INT) AS i{c}, CASE WHEN d = 1 THEN p - floor(p) ELSE 1 - p + floor(p) END AS w{c}, floor(p) + d = floor(p + 0.5) AS n{c} FROM (SELECT t, t * ({of} - 1) / ({n} - 1.0) AS p FROM (SELECT unnest(range({n})) AS t)), (SELECT unnest(range(2)) AS d))"
+    low = {c: f"CAST(floor({c}) AS INT) - {n // 2}" for c, n in zip("zyx", old, strict=True)}
+    made = ", ".join(f"sum(wz * wy * wx * coalesce(v.{e}, 0)) AS {c}" for c, e in columns.items())
+    near = ", max(coalesce(l.label, 0)) FILTER (nz AND ny AND nx) AS label" if label else ""
+    return f"""p AS (SELECT cell, {low["z"]} AS z0, {low["y"]} AS y0, {low["x"]} AS x0 FROM (SELECT label AS cell, avg(z) AS z, avg(y) AS y, avg(x) AS x FROM lab GROUP BY 1)),
+    {", ".join(axis(c, n, of) for c, n, of in zip("zyx", shape, old, strict=True))},
+    cubes AS (SELECT cell, CAST(tz AS INT) AS z, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, {made}{near} FROM p, zs, ys, xs LEFT JOIN {source} v ON v.z = z0 + iz AND v.y = y0 + iy AND v.x = x0 + ix
+      LEFT JOIN lab l ON l.z = z0 + iz AND l.y = y0 + iy AND l.x = x0 + ix WHERE wz * wy * wx > 0 GROUP BY 1, 2, 3, 4)"""
+
+
+CUBES_SQL = f"two AS (SELECT z, y, x, i, i + (x + y) % 5 AS j FROM vox), {cubes_sql('two', {'i': 'i', 'j': 'j'}, (3, 6, 6), (6, 6, 6), True)} SELECT cell, z, y, x, round(i, 5) AS i, round(j, 5) AS j, CAST(label AS INT) AS label FROM cubes"
+
+
+@query("g5_channel_cubes", CUBES_SQL)
+def g5_channels(v):
+    image = v.vox().withColumn("j", F.col("i") + (F.col("x") + F.col("y")) % 5)
+    return rounded(crops.cell_cubes(v.lab(), image, ["i", "j"], (1.0, 0.5, 0.5), 3.0, (0.5, 0.5, 0.5)), 5).drop("volume_id")
 
 
 @query("w5_arithmetic_sequence", f"s AS ({SLICES}), d AS (SELECT crop_id, z - lag(z) OVER (PARTITION BY crop_id ORDER BY z) AS step FROM (SELECT DISTINCT crop_id, z FROM s)) SELECT crop_id, count(DISTINCT step) <= 1 AS arithmetic FROM d GROUP BY 1")

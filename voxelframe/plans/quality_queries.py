@@ -163,7 +163,7 @@ def m7(v):
     return rounded(model.varied(v.feat(), FEATURES, 1.0), 4)
 
 
-MI_SQL = "l AS (SELECT class, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM feat), e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1), c AS (SELECT feature, least(9, floor((v - lo) * 10 / (hi - lo))) AS bin, class, count(*) AS n FROM l JOIN e USING (feature) GROUP BY ALL), t AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS nn, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, class) AS nc FROM c) SELECT feature, round(sum(n / nn * ln(n * nn / (nb * nc))), 6) AS mi FROM t GROUP BY 1"
+MI_SQL = "l AS (SELECT class, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM feat), e AS (SELECT feature, v, floor(10 * (sum(count(*)) OVER (PARTITION BY feature ORDER BY v) - count(*)) / sum(count(*)) OVER (PARTITION BY feature)) AS bin FROM l GROUP BY 1, 2), c AS (SELECT feature, bin, class, count(*) AS n FROM l JOIN e USING (feature, v) GROUP BY ALL), t AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS nn, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, class) AS nc FROM c) SELECT feature, round(sum(n / nn * ln(n * nn / (nb * nc))), 6) AS mi FROM t GROUP BY 1"
 
 
 @query("m7_most_informative", MI_SQL + " ORDER BY mi DESC, feature LIMIT 2")
@@ -173,7 +173,8 @@ def m7_most(v):
 
 @query("m7_significant")
 def m7_significant(v):
-    return model.significant(v.feat(), FEATURES, "class", "fdr", 0.05)
+    """Features that tell large orders of parts from small ones."""
+    return model.significant(v.feat().withColumn("large", (F.col("l_quantity") > 25).cast("int")), FEATURES, "large", "fdr", 0.05)
 
 
 @query("m7_mutual_information", MI_SQL)

@@ -8,6 +8,7 @@ from voxelframe.operators import crops, grid, measure, training
 from voxelframe.operators.overlap import AT, colocate
 from voxelframe.plans.grid_queries import resampled_sql
 from voxelframe.plans.measure_queries import BOTH_OF, LIT, TEXTURE_SQL, Q, moments_sql, rounded
+from voxelframe.plans.label_queries import cubes_sql
 from voxelframe.plans.registry import query
 from voxelframe.shared import new_path
 from voxelframe.sources import catalog
@@ -184,7 +185,7 @@ def g23(v):
     return found.select([(F.round(c, 5 if c in textures else 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
-@query("g5_resampled_cubes")
+@query("g5_resampled_cubes", f"{cubes_sql('vox', {'value': 'i'}, (4, 4, 4), (8, 4, 4), False)} SELECT CAST(cell AS VARCHAR) AS volume_id, z, y, x, round(value, 5) AS value FROM cubes")
 def g5_resampled(v):
     centres = v.lab().groupBy(F.col("label").alias("crop_id")).agg(*[F.avg(c).alias(c) for c in "zyx"])
     cubes = crops.cut(crops.centred(centres, 4, 4, 4), v.vox(), pad=True)

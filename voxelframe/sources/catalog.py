@@ -103,11 +103,17 @@ def datasets(spec: Column) -> Column:
     return F.explode(F.split(spec, r"\+"))
 
 
-def pairs_of_view(paths: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
-    """(fov, a, b): all pairs of a view's paths in order, or the explicit pairs where a view has any."""
+def pairs_of_view(paths: DataFrame, explicit: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """(fov, a, b): all pairs of a view's paths in order, or the explicit pairs where a view has any.
+
+    A view's paths are dealt to blocks of about `block` paths, and each path meets each block, so a large view is many small joins.
+    """
     own = paths if explicit is None else paths.join(explicit.select("fov").distinct(), "fov", "left_anti")
-    order = Window.partitionBy("fov").orderBy("path").rowsBetween(1, Window.unboundedFollowing)
-    made = own.withColumn("later", F.collect_list("path").over(order)).select("fov", F.col("path").alias("a"), F.explode("later").alias("b"))
+    many = own.groupBy("fov").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    counted = own.join(many, "fov")
+    left = counted.select("fov", F.col("path").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = counted.select("fov", F.col("path").alias("b"), F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int").alias("block"))
+    made = left.join(right, ["fov", "block"]).where("a < b").select("fov", "a", "b")
     return made if explicit is None else made.unionByName(explicit)
 
 
