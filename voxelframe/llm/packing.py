@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from voxelframe.llm._store import written
 from voxelframe.llm.token_files import encoded
 
-#: Patterns offered to the fit, and its steps; both bound the driver's work whatever the corpus.
-MOST_PATTERNS, STEPS = 40_000, 400
+#: Patterns offered to the fit, the most documents in one, the fit's steps, and how often what remains is fitted anew; all bound the driver's work whatever the corpus.
+MOST_PATTERNS, WIDTH, STEPS, ROUNDS = 40_000, 6, 400, 8
 #: About so many pieces of one length are numbered in one task.
 LANE = 2_000
 
@@ -47,37 +47,42 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
 
 
 def patterns(counts: np.ndarray) -> np.ndarray:
-    """Length patterns of up to three documents that fill a sequence well; rows of lengths, 0 for none.
+    """Length patterns of up to WIDTH documents that fill a sequence well; rows of lengths from large to small, 0 for none.
 
-    counts[n]: pieces of length n; the capacity is len(counts) - 1. The third length of each pattern is the largest
-    present one that fits.
+    counts[n]: pieces of length n; the capacity is len(counts) - 1. Lengths of two out of three patterns are enumerated in even steps of the
+    histogram's own distribution, each among those that still fit, and those of one in three in even steps of the lengths there are, so rare
+    ones have patterns too; the last is the largest present one that fits. Patterns of least waste are offered, one of each content.
     """
     capacity = len(counts) - 1
-    there = np.flatnonzero(counts)
-    there = there[there > 0]
-    floor = np.maximum.accumulate(np.where(counts > 0, np.arange(capacity + 1), 0))  # largest present length up to n
-    some = np.unique(there[np.linspace(0, len(there) - 1, 512).astype(int)]) if len(there) else there
-    base = capacity + 1  # a pattern as one number, so that few arrays are held at once
-    keys = [np.zeros(0, np.int64)]
-    for first in np.array_split(there, 32):
-        a, b = (x.ravel() for x in np.meshgrid(first, some, indexing="ij"))
-        fits = a + b < capacity
-        a, b = a[fits], b[fits]
-        keys.append(_keys(np.column_stack([a, b, floor[capacity - a - b]]), base))
-    keys += [_keys(np.column_stack([there, floor[np.maximum(0, capacity - there - k)], np.zeros_like(there)]), base) for k in range(4)]
-    found = np.unique(np.concatenate(keys))
-    waste = capacity - (found // (base * base) + found // base % base + found % base)
+    there = counts > 0
+    there[0] = False
+    floor = np.maximum.accumulate(np.where(there, np.arange(capacity + 1), 0))  # largest present length up to n
+    rows = []
+    for share, weights in ((2, counts * there), (1, there.astype(np.int64))):
+        upto = np.cumsum(weights)
+        n = share * MOST_PATTERNS
+        room, own = np.full(n, capacity), np.zeros((n, WIDTH), np.int64)
+        step = np.arange(1, n + 1)
+        for j in range(WIDTH):
+            at = (step * (2.0 ** ((j + 1) / (WIDTH + 1)))) % 1.0  # multiples of irrational numbers lie evenly in all places together
+            if j == WIDTH - 1:
+                drawn = floor[room]
+            else:
+                drawn = np.searchsorted(upto, np.floor(at * upto[room]), "right")
+                # a place is the last one as soon as a present length fills the room
+                drawn = np.where(floor[room] == room, np.where(at < 1 / (WIDTH - j), room, drawn), np.where(room > 0, drawn, 0))
+                drawn = np.where(floor[room] > 0, np.minimum(drawn, room), 0)
+            own[:, j] = drawn
+            room = room - drawn
+        rows.append(own)
+    found = np.unique(-np.sort(-np.concatenate(rows), axis=1), axis=0)
+    found = found[found[:, 0] > 0]
+    waste = capacity - found.sum(1)
     order = np.lexsort((np.arange(len(found)) * 2654435761 % (1 << 32), waste))  # equal waste: an even mixture
-    found = found[order[:MOST_PATTERNS]]
-    return np.column_stack([found // (base * base), found // base % base, found % base])
+    return found[order[:MOST_PATTERNS]]
 
 
-def _keys(rows: np.ndarray, base: int) -> np.ndarray:
-    rows = np.sort(rows.astype(np.int64), axis=1)
-    return np.unique(rows[:, 0] * base * base + rows[:, 1] * base + rows[:, 2])
-
-
-def fit(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def fit(found: np.ndarray, counts: np.ndarray, steps: int) -> np.ndarray:
     """Repeat counts x >= 0 with the least squared distance of the patterns' lengths from the histogram.
 
     Accelerated projected gradients; the patterns are kept as lists of lengths, so a step is a gather and a sum.
@@ -100,7 +105,7 @@ def fit(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
         x = y / max(np.linalg.norm(y), 1e-300)
     x = ahead = np.zeros(len(found))
     t = 1.0
-    for _ in range(STEPS):
+    for _ in range(steps):
         new = np.maximum(0, ahead - back(lengths(ahead) - goal) / max(norm, 1e-300))
         later = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead, x, t = new + (t - 1) / later * (new - x), new, later
@@ -111,9 +116,9 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how often) using each length exactly as often as the histogram says.
 
     Three ways are tried and the one with the fewest sequences is taken: all fitted patterns, only those whose waste no
-    piece could fill, and none (short pieces go many to a sequence, patterns have three). Fitted patterns are rounded as far as pieces
-    remain; what is left goes by best fit, also into the patterns' free places. The work depends on the capacity, not on the
-    number of pieces.
+    piece could fill, and none (short pieces go many to a sequence, patterns have three); among equals the first. Fitted patterns are
+    rounded as far as pieces remain, and what remains is fitted anew with the patterns that it still allows, ROUNDS times at most; the rest
+    goes by best fit, also into the patterns' free places. The work depends on the capacity, not on the number of pieces.
     """
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
@@ -123,31 +128,54 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     best: Counter = Counter()
     if left.any():
         found = patterns(left)
-        x = fit(found, left)
         waste = capacity - found.sum(1)
-        order = np.lexsort((-x, waste))
-        tight = order[waste[order] < np.flatnonzero(left)[0]]
-        ways = [order, tight, order[:0]] if len(tight) < len(order) else [order, order[:0]]
-        best = min((_filled(left, found, x, way) for way in ways), key=lambda out: out.total())
+        tight = found[waste < np.flatnonzero(left)[0]]
+        ways = [found, tight, found[:0]] if len(tight) < len(found) else [found, found[:0]]
+        best = min((_filled(left, way) for way in ways), key=lambda out: out.total())
     if full:
         best[(capacity,)] += full
     return list(best.items())
 
 
-def _filled(counts: np.ndarray, found: np.ndarray, x: np.ndarray, order: np.ndarray) -> Counter:
-    """Sequences and how often, by the patterns in this order, then by best fit, largest first, where bins of equal content
-    are handled at once."""
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Whole numbers with the sum of x up to any place kept within one half, so weights spread over many patterns don't all become 0."""
+    return np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0).astype(np.int64)
+
+
+def _filled(counts: np.ndarray, found: np.ndarray) -> Counter:
+    """Sequences and how often: by the patterns found, those of least waste first, then by best fit."""
     capacity = len(counts) - 1
     left = counts.copy()
     room: dict[int, Counter] = defaultdict(Counter)  # free places -> bins
-    for k in order:
-        need = Counter(found[k][found[k] > 0].tolist())
-        often = min(int(x[k] + 0.5), *(int(left[n]) // m for n, m in need.items()))
-        if often > 0:
-            content = tuple(sorted(need.elements(), reverse=True))
-            room[capacity - sum(content)][content] += often
-            for n, m in need.items():
-                left[n] -= often * m
+    waste = capacity - found.sum(1)
+    for turn in range(ROUNDS):
+        need = np.stack([(found == found[:, [j]]).sum(1) for j in range(found.shape[1])], axis=1) if len(found) else found
+        found = found[((left[found] >= need) | (found == 0)).all(1)]
+        if not len(found):
+            break
+        x = fit(found, left, STEPS if not turn else STEPS // 4)
+        waste = capacity - found.sum(1)
+        placed = 0
+        order = np.lexsort((-x, waste))
+        for k, n in zip(order.tolist(), rounded(x[order]).tolist(), strict=True):
+            if not n:
+                continue
+            content = tuple(v for v in sorted(found[k].tolist(), reverse=True) if v)
+            often = min(n, *(int(left[v]) // content.count(v) for v in content))
+            if often > 0:
+                room[capacity - sum(content)][content] += often
+                placed += often
+                for v in content:
+                    left[v] -= often
+        if not placed:
+            break
+    return _best_fit(left, room)
+
+
+def _best_fit(left: np.ndarray, room: dict[int, Counter]) -> Counter:
+    """The bins in `room` and new ones with what is left, largest first, each into the bin with least free places; bins of equal
+    content are handled at once."""
+    capacity = len(left) - 1
     free = np.zeros(capacity + 1, bool)
     free[[n for n in room if n]] = True
     for n in np.flatnonzero(left)[::-1].tolist():
