@@ -97,6 +97,24 @@ def test_plan_uses_the_histogram_exactly():
         assert (used == counts).all()
 
 
+@pytest.mark.parametrize("each", [1, 10, 300])
+def test_patterns_hold_most_pieces(monkeypatch, each):
+    """What best fit has to place is a small part even if every length is rare, and the sequences are as few as can be."""
+    rng = np.random.default_rng(3)
+    counts = np.bincount(np.minimum(4095, (rng.gamma(1.2, 700, 900) + 1).astype(int)), minlength=4097) * each
+    seen, best_fit = [], packing._best_fit
+    monkeypatch.setattr(packing, "_best_fit", lambda left, room: seen.append(int(left.sum())) or best_fit(left, room))
+    planned = packing.plan(counts)
+    bound = -(-int((counts * np.arange(4097)).sum()) // 4096)
+    assert sum(often for _, often in planned) <= 1.01 * bound + 1
+    assert min(seen) <= 0.25 * counts.sum()
+
+
+def test_rounding_keeps_the_sum():
+    x = np.full(1000, 0.3)
+    assert packing.rounded(x).sum() == 300 and set(packing.rounded(x)) == {0, 1} and packing.rounded(np.zeros(0)).tolist() == []
+
+
 @pytest.mark.parametrize(("low", "high", "each"), [(100, 100, 4000), (1, 100, 1000), (900, 1000, 40), (40, 120, 3), (1, 4095, 5)])
 def test_plan_of_short_pieces_is_near_the_bound(low, high, each):
     counts = np.zeros(4097, np.int64)
@@ -210,6 +228,23 @@ def test_vector_links_equal_brute_force(spark):
     assert vectors.linked_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [4, 8, 12, 16, 64, 384, 1536])
+def test_cells_find_and_part_vectors_alike_in_all_dimensions(dim):
+    """Of pairs just above the threshold all but a hundredth share a cell; no cell holds a twentieth of random vectors."""
+    rng = np.random.default_rng(dim)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.standard_normal((3000, dim)))
+    other = rng.standard_normal(a.shape)
+    other = unit(other - (other * a).sum(1, keepdims=True) * a)
+    cosine = rng.uniform(0.98, 0.985, (len(a), 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * other
+    maps, label = vectors.projections(dim), np.zeros(len(a), np.int64)
+    one, two = (vectors.cells(x, label, maps, vectors.width(dim, 0.98)) for x in (a, b))
+    share = np.array([np.isin(p, q).any() for p, q in zip(one, two, strict=True)]).mean()
+    fullest = max(np.unique(one[:, [j]], return_counts=True)[1].max() for j in range(one.shape[1])) / len(a)
+    assert share >= 0.99 and fullest < 0.05, (share, fullest)
+
+
 @pytest.mark.parametrize("kind", ["double", "string"])
 def test_labels_of_any_type_must_be_equal(spark, kind):
     labels = [1.2, 1.4, 1.2, None] if kind == "double" else ["a", "b", "a", None]
@@ -248,11 +283,21 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contamination(docs_of(spark, []), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_contamination_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+@pytest.mark.parametrize("most", [0, 1000])
+def test_contamination_without_broadcasts(spark, monkeypatch, most):
+    """Nothing is broadcast, or fingerprints but not the words of items."""
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+    monkeypatch.setattr(decontaminate, "FINGERPRINT", 1)
     test_contamination_equals_brute_force(spark)
 
 
+def test_items_of_equal_words_are_one_and_all_named(spark):
+    passage = " ".join(f"word{k}" for k in range(14))
+    items = spark.createDataFrame([(k, passage.upper() if k % 2 else passage) for k in range(60)] + [(100, "short one"), (101, "Short, one")], "item_id long, text string")
+    rows = decontaminate.contamination(docs_of(spark, [(1, "x " + passage), (2, "a short one"), (3, "none")]), items).collect()
+    assert {r.doc_id: (len(r.spans), r.item_ids) for r in rows} == {1: (1, sorted(map(str, range(60)))), 2: (1, ["100", "101"]), 3: (0, [])}
+
+
 # ------------------------------------------------------------------------------------------------------------------ lines
 
 

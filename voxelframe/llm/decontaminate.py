@@ -11,8 +11,9 @@ from voxelframe.llm._store import written
 
 GRAM = 4  # words of a fingerprint
 PARTS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Fingerprints and items are broadcast up to so many together; beyond, both sides are shuffled, and large keys are split by adaptive execution.
-MOST_BROADCAST = 2_000_000
+#: Fingerprints, and the words of items, are broadcast up to so many bytes each; beyond, both sides are shuffled, and large keys are split by
+#: adaptive execution. A fingerprint takes FINGERPRINT bytes there, a word 16 and its own.
+MOST_BROADCAST, FINGERPRINT = 64 << 20, 64
 
 
 def words_of(text: Column) -> Column:
@@ -78,21 +79,24 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     Both sides keep the smallest GRAM-word hash of each size - GRAM + 1 consecutive ones with its place, so a shared window shares a kept
     hash at the same place of it. Where fingerprints meet, the two places fix how the item lies in the document; the hit is
     extended there word for word, in a piece of the document no longer than the item, and runs of `size` words or more count. Shorter
-    items meet by a hash of all their words. What is joined is a row for each fingerprint, without texts.
+    items meet by a hash of all their words. What is joined is a row for each fingerprint, without texts. Items of equal words are looked for
+    once; their ids come back at the end.
     """
     width = size - GRAM + 1
-    item = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    item = item.select("item_id", "w", F.xxhash64(F.col("item_id"), F.array_join("w", " ")).alias("key")).dropDuplicates(["item_id", "key"])
+    item = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    item = item.groupBy("w").agg(F.collect_set("item_id").alias("ids"))  # items of equal words are one from here on
     item = written(item.withColumn("number", F.monotonically_increasing_id()), "items")
     short = item.where(F.size("w") < size)
     sizes = sorted(r["n"] for r in short.select(F.size("w").alias("n")).distinct().collect())  # fewer than `size` numbers
     place = lambda rows, marks: rows.select("number", F.size("w").alias("n"), F.explode(marks).alias("p")).select("number", "n", "p.fp", F.col("p.at").alias("own"))
     prints = written(place(item.where(F.size("w") >= size), _marked(_grams(F.col("w")), width)), "prints")
-    small = F.broadcast if prints.count() + item.count() <= MOST_BROADCAST else (lambda df: df)
+    taken = item.agg(F.sum(F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + 16 + F.octet_length(x)) + F.aggregate("ids", F.lit(0).cast("long"), lambda n, x: n + 16 + F.octet_length(x)))).first()[0] or 0
+    few_items, few_prints = taken <= MOST_BROADCAST, (prints.count() + short.count()) * FINGERPRINT <= MOST_BROADCAST
+    small = lambda df, few: F.broadcast(df) if few else df
 
     given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     words = words_of(F.col("text"))
-    meets = lambda marks, known: given.select("doc_id", "text_hash", F.explode_outer(marks).alias("p")).select("doc_id", "text_hash", "p.fp", "p.at").join(small(known), "fp")
+    meets = lambda marks, known: given.select("doc_id", "text_hash", F.explode_outer(marks).alias("p")).select("doc_id", "text_hash", "p.fp", "p.at").join(small(known, few_prints), "fp")
     met = meets(_with(words, lambda w: _marked(_grams(w), width)), prints)
     if sizes:
         whole = lambda n: short.where(F.size("w") == n).select("number", F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[F.get("w", F.lit(j)) for j in range(n)]).alias("fp"), F.lit(0).alias("own"))
@@ -112,10 +116,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
         return F.transform("lies", lambda x: F.struct(x["number"].alias("number"), x["from"].alias("from"), there(x).alias("there")))
 
     hit = given.join(per, same).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.explode(_with(words, pieces)).alias("x")).select("doc_id", "text_hash", "x.*")
-    runs = hit.join(small(item.select("number", "item_id", "w")), "number")
-    runs = runs.select("doc_id", "text_hash", "item_id", "from", F.explode(_runs(F.col("there"), F.col("w"), F.least(F.lit(size), F.size("w")))).alias("r"))
+    runs = hit.join(small(item.select("number", "ids", "w"), few_items), "number")
+    runs = runs.select("doc_id", "text_hash", "ids", "from", F.explode(_runs(F.col("there"), F.col("w"), F.least(F.lit(size), F.size("w")))).alias("r"))
     span = F.struct((F.col("from") + F.col("r.at")).alias("at"), (F.col("from") + F.col("r.to")).alias("to"))
-    per = runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    per = runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
     per = per.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans", "item_ids")
     every = given.select("doc_id", "text_hash", F.size(words).cast("long").alias("n_words"))
     none = F.array().cast("array<struct<at:int,to:int>>")
