@@ -354,7 +354,9 @@ def equalised(rows: DataFrame, sizes: DataFrame, tile: int, limit: float = 0.01,
     upto = F.sum("kept").over(per.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     curves = cut.select("volume_id", "z", "ty", "tx", "v", ((upto + F.col("excess") * (F.col("v") + 1) / bins) / F.col("total")).alias("level"), F.col("total"), "excess")
     # a tile may lack a value: its curve there is that of the largest value below
-    tiles_ = curves.groupBy("volume_id", "z", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct("v", "level"))).alias("curve"))
+    tiles_ = curves.groupBy("volume_id", "z", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct("v", "level"))).alias("c"))
+    held = F.transform("c", lambda p, k: F.array_repeat(p["level"], F.coalesce(F.get("c", k + 1)["v"], F.lit(bins)) - p["v"]))
+    tiles_ = tiles_.select("volume_id", "z", "ty", "tx", F.concat(F.array_repeat(F.lit(0.0), F.get("c", F.lit(0))["v"]), F.flatten(held)).alias("curve"))  # a level for each value
     n = sizes.select("volume_id", *[F.ceil(F.col(f"size_{c}") / tile).cast("int").alias(f"n{c}") for c in ("y", "x")])
     place = t.join(n, "volume_id")
     for c in ("y", "x"):
@@ -364,5 +366,15 @@ def equalised(rows: DataFrame, sizes: DataFrame, tile: int, limit: float = 0.01,
     w = F.when(F.col("s.dy") == 1, F.col("fy")).otherwise(1 - F.col("fy")) * F.when(F.col("s.dx") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
     side = lambda c: F.least(F.greatest(F.col(f"b{c}") + F.col(f"s.d{c}"), F.lit(0)), F.col(f"n{c}") - 1)
     asked = four.select(*AT, "v", w.alias("w"), side("y").alias("ty"), side("x").alias("tx"))
-    level = F.coalesce(F.array_max(F.transform(F.filter("curve", lambda p: p["v"] <= F.col("v")), lambda p: p["level"])), F.lit(0.0))
-    return asked.join(tiles_, ["volume_id", "z", "ty", "tx"]).groupBy(*AT).agg(F.sum(F.col("w") * level).alias(value))
+    return asked.join(tiles_, ["volume_id", "z", "ty", "tx"]).groupBy(*AT).agg(F.sum(F.col("w") * F.get("curve", F.col("v"))).alias(value))
+
+
+def prepared(rows: DataFrame, sizes: DataFrame, name: str, tile: int = 16, sigma: float = 0.5, radius: int = 1) -> DataFrame:
+    """A channel prepared by one of the known ways, "clahe", "edges" or "memb", as doubles; another name is an error."""
+    if name == "clahe":
+        return equalised(rows, sizes, tile)
+    if name == "edges":
+        return edges(rows, sigma)
+    if name == "memb":
+        return closing(rows, radius).withColumn("value", F.col("value").cast("double"))
+    raise ValueError(f"unknown preparation: {name}")

@@ -178,6 +178,21 @@ def split_by_peaks(rows: DataFrame, distance: DataFrame, sizes: DataFrame, apart
     return owned.join(mapped, "basin").select(*AT, "label")
 
 
+def to_8bit(label: Column) -> Column:
+    return (label % 256).cast("int")
+
+
+def to_binary(label: Column) -> Column:
+    return (label > 0).cast("int")
+
+
+def separated(labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """labels without the voxels on borders to another label or to the background."""
+    from voxelframe.operators.grid import label_edges
+
+    return labels.where("label > 0").join(label_edges(labels, sizes), AT, "left_anti")
+
+
 def remap(rows: DataFrame, mapping: DataFrame, value: str = "label", zero_unmapped: bool = False) -> DataFrame:
     """Values replaced by mapping(old, new); others stay, or become 0."""
     other = F.lit(0) if zero_unmapped else F.col(value)

@@ -9,10 +9,11 @@ from voxelframe.operators import crops, rules
 from voxelframe.operators.model import shuffled
 from voxelframe.plans.measure_queries import rounded
 from voxelframe.plans.registry import query
-from voxelframe.sources import catalog
+from voxelframe.shared import new_path
+from voxelframe.sources import catalog, channels
 
 
-def channels(v):
+def three_lit(v):
     return v.vox().withColumn("c", F.col("x") % 3).withColumn("x", F.expr("int(x div 3)"))
 
 
@@ -21,6 +22,14 @@ def s1(v):
     return catalog.volume(v.spark, f"{v.sf_dir}/documents.parquet").select("doc_id", "n_chars")
 
 
+@query("s1_series_scan", "SELECT z, y, x, i FROM vox WHERE z % 3 = 1")
+def s1_series(v):
+    """One series of a table of volumes that is partitioned by series; only its files are read."""
+    path = new_path(v.spark, "volumes") + ".parquet"
+    v.vox().withColumn("series", F.col("z") % 3).write.partitionBy("series").parquet(path)
+    return catalog.volume(v.spark, path, 1).select("z", "y", "x", "i")
+
+
 @query("s3_composed_slices", "SELECT z, y, x, i FROM vox WHERE z IN (0, 3, 4)")
 def s3(v):
     return catalog.sliced(catalog.sliced(v.vox(), "z", [0, 3, 4, 5]), "z", [0, 1, 2]).select("z", "y", "x", "i")
@@ -33,7 +42,7 @@ def s4(v):
 
 @query("s5_one_channel", "SELECT z, y, CAST(x // 3 AS INT) AS x, max(i) AS i FROM vox WHERE x % 3 IN (0, 2) GROUP BY 1, 2, 3")
 def s5(v):
-    return catalog.one_channel(channels(v), [0, 2]).select("z", "y", "x", "i")
+    return catalog.one_channel(three_lit(v), [0, 2]).select("z", "y", "x", "i")
 
 
 @query("s6_metadata_documents", """SELECT n_nationkey, 4 AS size_z, 25 AS size_y, n_nationkey AS size_x, CAST(NULL AS INT) AS size_c, CAST(NULL AS DOUBLE) AS vz, CAST(NULL AS DOUBLE) AS vy,
@@ -146,7 +155,7 @@ def p1(v):
 
 @query("p4_three_channels", "g AS (SELECT DISTINCT z, y, CAST(x // 3 AS INT) AS x FROM vox), c AS (SELECT unnest([0, 1, 2]) AS c) SELECT g.z, g.y, g.x, c.c, coalesce(i, 0) AS i FROM g CROSS JOIN c LEFT JOIN vox v ON v.z = g.z AND v.y = g.y AND v.x = g.x * 3 + c.c")
 def p4(v):
-    return catalog.three_channels(channels(v)).select("z", "y", "x", "c", "i")
+    return catalog.three_channels(three_lit(v)).select("z", "y", "x", "c", "i")
 
 
 @query("p13_separate_objects", "SELECT z, y, x, i > 130 AND b % 3 < 2 AS object FROM vox")
@@ -156,7 +165,48 @@ def p13(v):
 
 @query("p16_patients", "SELECT regexp_extract(p_name || ' S' || p_size, 'S(\\d+)', 1) AS patient, count(*) AS n FROM part WHERE NOT contains(p_name, '9') GROUP BY 1")
 def p16(v):
-    return v.table("part").where(~F.col("p_name").contains("9")).select(F.regexp_extract(F.concat("p_name", F.lit(" S"), "p_size"), r"S(\d+)", 1).alias("patient")).groupBy("patient").agg(F.count("*").alias("n"))
+    named = catalog.without_named(v.table("part"), "p_name", ["9"]).select(F.concat("p_name", F.lit(" S"), "p_size").alias("name"))
+    return named.groupBy(catalog.patient(F.col("name")).alias("patient")).agg(F.count("*").alias("n"))
+
+
+FRAME_SQL = "f AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '1024 ' || p_name || ' 0.5um_dapi_stack.tif' WHEN 1 THEN '2048' || p_name || 'xtif' ELSE p_name || ' 0x5um_dapi_stack' END AS name FROM part)"
+
+
+@query("p24_frame_name_chain", f"{FRAME_SQL} SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '.tif', '', 'g'), ' 0.5um_dapi_stack', '', 'g'), '1024 ', '', 'g'), '2048', '', 'g') AS frame FROM f")
+def p24_chain(v):
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, F.concat(F.lit("1024 "), "p_name", F.lit(" 0.5um_dapi_stack.tif"))).when(k == 1, F.concat(F.lit("2048"), "p_name", F.lit("xtif"))).otherwise(F.concat("p_name", F.lit(" 0x5um_dapi_stack")))
+    return v.table("part").select("p_partkey", catalog.frame_name(name).alias("frame"))
+
+
+@query("p18_denoising_channels", "SELECT o_orderkey, ['dapi', 'pan-cytokeratin', 'ki67', 'cd3'][o_orderkey % 16 % 4 + 1] AS marker, CAST(8 >> (o_orderkey % 16 // 4) AS INT) AS averaging_steps FROM orders")
+def p18_denoising(v):
+    return v.table("orders").select("o_orderkey", channels.denoising_meta(F.col("o_orderkey") % 16).alias("m")).select("o_orderkey", "m.marker", "m.averaging_steps")
+
+
+COLOURS = {(0, 0, 255): "dapi", (0, 255, 0): "pan-cytokeratin", (255, 0, 0): "ki67", (255, 255, 0): "cd3"}
+COLOUR_SQL = "c AS (SELECT o_orderkey, CAST(o_orderkey % 4 AS INT) AS k, CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE [0x0000ff00, 0x00ff0000, 0xff000000, 0xffff0000][o_custkey % 4 + 1] END AS code, CASE WHEN o_custkey % 5 > 0 THEN ['dapi', 'pan-cytokeratin', 'ki67', 'cd3'][o_custkey % 4 + 1] END AS coloured FROM orders)"
+
+
+@query("p19_marker_mismatch", f"{COLOUR_SQL} SELECT o_orderkey, ['dapi', 'pan-cytokeratin', 'ki67', 'cd3'][k + 1] AS marker, coloured AS colour_marker, coalesce(['dapi', 'pan-cytokeratin', 'ki67', 'cd3'][k + 1] <> coloured, true) AS mismatch FROM c")
+def p19_mismatch(v):
+    code = F.when(F.col("o_custkey") % 5 == 0, F.lit(0)).otherwise(F.get(F.array(*[F.lit(r << 24 | g << 16 | b << 8) for r, g, b in COLOURS]), (F.col("o_custkey") % 4).cast("int")))
+    found = v.table("orders").select("o_orderkey", channels.marker_of(F.col("o_orderkey") % 4, channels.rgba(code), dict(enumerate(channels.MARKERS)), COLOURS).alias("m"))
+    return found.select("o_orderkey", "m.*")
+
+
+SUMMARY_SQL = """v AS (SELECT 'f' || n_regionkey AS filename, n_nationkey AS series, n_name AS name, 20 + n_nationkey AS z, 512 AS y, 1024 AS x FROM nation), c AS (SELECT unnest(range(3)) AS channel)
+SELECT filename, series, name || ': S' || series AS series_name, x || 'x' || y || 'x' || z AS imaging_parameters, printf(E'%.2fx\n%.2fx\n%.2fum\n\n%.0fx\n%.0fx\n%.0fum', 0.25::DOUBLE, 0.5::DOUBLE, 1.5::DOUBLE, x * 0.25::DOUBLE, y * 0.5::DOUBLE, z * 1.5::DOUBLE) AS voxel_size,
+x * 0.25::DOUBLE AS sample_size_x, y * 0.5::DOUBLE AS sample_size_y, z * 1.5::DOUBLE AS sample_size_z, CAST(z // 3 AS INT) AS example_z, channel, CAST((series * 1000003 + channel) >> 24 & 255 AS INT) AS r, CAST((series * 1000003 + channel) >> 16 & 255 AS INT) AS g, CAST((series * 1000003 + channel) >> 8 & 255 AS INT) AS b FROM v, c"""
+
+
+@query("s24_channel_summary", SUMMARY_SQL)
+def s24_channels(v):
+    key = [F.concat(F.lit("f"), F.col("n_regionkey").cast("string")).alias("filename"), F.col("n_nationkey").alias("series")]
+    volumes = v.table("nation").select(*key, F.col("n_name").alias("name"), (F.col("n_nationkey") + 20).alias("size_z"), F.lit(512).alias("size_y"), F.lit(1024).alias("size_x"), F.lit(1.5).alias("vz"), F.lit(0.5).alias("vy"), F.lit(0.25).alias("vx"))
+    lit = v.table("nation").select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("channel"))
+    found = channels.series_summary(volumes, lit.withColumn("colour", F.col("series") * 1000003 + F.col("channel")))
+    return found.select(*[c for c in found.columns if c != "colour"], "colour.r", "colour.g", "colour.b")
 
 
 @query("p17_split_names", "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS sample, CAST(c_custkey % 7 AS INT) AS slice FROM customer")
@@ -165,9 +215,9 @@ def p17(v):
     return v.table("customer").select("c_custkey", parts.alias("p")).select("c_custkey", F.col("p")[1].alias("sample"), F.substring(F.col("p")[2], 2, 9).cast("int").alias("slice"))
 
 
-@query("p19_colours", "SELECT p_partkey, CAST((p_partkey * 7919 >> 16) & 255 AS INT) AS r, CAST((p_partkey * 7919 >> 8) & 255 AS INT) AS g, CAST(p_partkey * 7919 & 255 AS INT) AS b FROM part")
+@query("p19_colours", "SELECT p_partkey, CAST((p_partkey * 7919311 >> 24) & 255 AS INT) AS r, CAST((p_partkey * 7919311 >> 16) & 255 AS INT) AS g, CAST((p_partkey * 7919311 >> 8) & 255 AS INT) AS b FROM part")
 def p19(v):
-    return v.table("part").select("p_partkey", catalog.rgb((F.col("p_partkey") * 7919).cast("int")).alias("c")).select("p_partkey", "c.r", "c.g", "c.b")
+    return v.table("part").select("p_partkey", channels.rgba(F.col("p_partkey") * 7919311).alias("c")).select("p_partkey", "c.r", "c.g", "c.b")
 
 
 @query("p22_parameter_names", "SELECT p_partkey, CAST(p_size AS DOUBLE) / 10 AS thresh, CAST(p_size % 2 AS DOUBLE) AS fill FROM part")
@@ -178,9 +228,7 @@ def p22(v):
 
 @query("a35_annotation_summary", "s AS (SELECT DISTINCT crop_id % 100 AS crop, z FROM crops), d AS (SELECT crop, z, z - lag(z) OVER (PARTITION BY crop ORDER BY z) AS step FROM s) SELECT crop, count(*) AS slices, string_agg(CAST(z AS VARCHAR), ',' ORDER BY z) AS listed, min(step) AS step FROM d GROUP BY 1")
 def a35(v):
-    rows = v.crops().select((F.col("crop_id") % 100).alias("crop"), "z").distinct()
-    step = rows.withColumn("step", F.col("z") - F.lag("z").over(Window.partitionBy("crop").orderBy("z")))
-    return step.groupBy("crop").agg(F.count("*").alias("slices"), F.array_join(F.array_sort(F.collect_list("z")), ",").alias("listed"), F.min("step").alias("step"))
+    return catalog.annotation_summary(v.crops().select((F.col("crop_id") % 100).alias("crop"), "z"), "crop")
 
 
 @query("a36_annotation_rules", "SELECT crop_id, y + height > 25 AS below, x + width > 64 AS beside FROM crops WHERE y + height > 25 OR x + width > 64")
@@ -213,7 +261,7 @@ def a36_violations(v):
 
 @query("a38_voxel_size_consistency", "SELECT crop_id % 50 AS crop, count(DISTINCT width) = 1 AS consistent FROM crops GROUP BY 1")
 def a38(v):
-    return v.crops().groupBy((F.col("crop_id") % 50).alias("crop")).agg((F.count_distinct("width") == 1).alias("consistent"))
+    return catalog.of_one_size(v.crops().withColumn("crop", F.col("crop_id") % 50), "crop", "width")
 
 
 @query("t1_report_order", "SELECT run, best FROM (SELECT run, max(val_loss) AS best FROM runs GROUP BY 1) ORDER BY best DESC, run LIMIT 10")

@@ -249,18 +249,25 @@ def g19_constant(v):
     return grid.pad_to(values(v), v.vmeta(), 70).drop("volume_id")
 
 
-@query("g20_equalised")
+EQUAL_SQL = """t AS (SELECT z, y, x, i AS v, CAST(y // 16 AS INT) AS ty, CAST(x // 16 AS INT) AS tx FROM vox), h AS (SELECT z, ty, tx, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY z, ty, tx) AS total FROM t GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, least(n, greatest(1.0, total * 0.01)) AS kept FROM h),
+l AS (SELECT z, ty, tx, v, (sum(kept) OVER (PARTITION BY z, ty, tx ORDER BY v) + (total - sum(kept) OVER (PARTITION BY z, ty, tx)) * (v + 1) / 256.0) / total AS level, coalesce(lead(v) OVER (PARTITION BY z, ty, tx ORDER BY v), 256) AS upto FROM k),
+p AS (SELECT z, y, x, v, (y + 0.5) / 16 - 0.5 AS py, (x + 0.5) / 16 - 0.5 AS px FROM t),
+q AS (SELECT z, y, x, v, CASE WHEN dy = 1 THEN py - floor(py) ELSE 1 - py + floor(py) END * CASE WHEN dx = 1 THEN px - floor(px) ELSE 1 - px + floor(px) END AS w, least(greatest(floor(py) + dy, 0), 1) AS ty, least(greatest(floor(px) + dx, 0), 3) AS tx FROM p, (SELECT unnest(range(2)) AS dy), (SELECT unnest(range(2)) AS dx)),
+equalised AS (SELECT q.z, y, x, sum(w * coalesce(level, 0)) AS value FROM q LEFT JOIN l ON l.z = q.z AND l.ty = q.ty AND l.tx = q.tx AND q.v >= l.v AND q.v < l.upto GROUP BY 1, 2, 3)"""
+
+
+@query("g20_equalised", f"{EQUAL_SQL} SELECT 'v0' AS volume_id, z, y, x, round(value, 5) AS value FROM equalised")
 def g20(v):
     return rounded(grid.equalised(values(v), v.vmeta(), 16), 5)
 
 
-@query("g21_preprocessed_channel")
+@query("g21_preprocessed_channel", f"{EQUAL_SQL}, {EDGES_SQL}, {CLOSING_SQL} SELECT z, 'clahe' AS preparation, round(avg(value), 5) AS mean FROM equalised GROUP BY 1 UNION ALL SELECT z, 'edges', round(avg(value), 5) FROM edges GROUP BY 1 UNION ALL SELECT z, 'memb', round(avg(value), 5) FROM closed GROUP BY 1")
 def g21(v):
     """The three preparations of a channel, by name."""
-    ways = {"clahe": lambda d: grid.equalised(d, v.vmeta(), 16), "edges": lambda d: grid.edges(d, 0.5), "memb": lambda d: grid.closing(d, 1).withColumn("value", F.col("value").cast("double"))}
     out = None
-    for name, way in ways.items():
-        rows = way(values(v)).groupBy("z").agg(F.avg("value").alias("mean")).withColumn("preparation", F.lit(name))
+    for name in ("clahe", "edges", "memb"):
+        rows = grid.prepared(values(v), v.vmeta(), name).groupBy("z").agg(F.avg("value").alias("mean")).withColumn("preparation", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return rounded(out, 5)
 
@@ -278,7 +285,9 @@ def p30(v):
     return on.join(v.msk_b().where("value = 255"), AT, "left_anti").select("z", "y", "x")
 
 
-@query("g7_gap_filled_classes")
+@query("g7_gap_filled_classes", """f AS (SELECT z, y, x FROM msk_a WHERE value = 255 AND z NOT IN (4, 5)), a AS (SELECT z, y, x FROM f UNION SELECT z - 1, y, x FROM f WHERE z > 0 UNION SELECT z + 1, y, x FROM f WHERE z < (SELECT max(z) FROM vox)),
+l AS (SELECT * FROM lab WHERE z BETWEEN (SELECT min(z) FROM a) AND (SELECT max(z) FROM a)), t AS (SELECT label, count(*) AS total, count(a.z) AS n FROM l LEFT JOIN a USING (z, y, x) GROUP BY 1)
+SELECT 'v0' AS volume_id, label, CASE WHEN 1.0 * n / total >= 0.5 THEN 255 ELSE 0 END AS class, round(1.0 * n / total, 6) AS fraction, n AS pixels FROM t""")
 def g7(v):
     from voxelframe.operators.overlap import classes_in_annotated_slices
 

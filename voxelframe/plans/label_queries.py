@@ -77,7 +77,11 @@ def g16(v):
     return labelling.reconcile_slabs(slab_labels(v)).drop("volume_id")
 
 
-@query("a37_connectivity_audit")
+@query("a37_connectivity_audit", """p AS (SELECT (z * 25 + y) * 64 + x AS pos, z, y, x, label FROM lab),
+e AS (SELECT a.pos AS a, b.pos AS b FROM p a, (SELECT unnest(range(-1, 2)) AS dz), (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx), p b WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND a.pos <> b.pos AND a.label = b.label),
+r AS (SELECT pos AS a, pos AS root FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a), c AS (SELECT a, min(root) AS root FROM r GROUP BY 1),
+s AS (SELECT label, root, count(*) AS n FROM p JOIN c ON c.a = p.pos GROUP BY 1, 2), m AS (SELECT label, max(n) AS n, sum(n) AS total FROM s GROUP BY 1)
+SELECT 'v0' AS volume_id, 'first' AS side, label, round(n / total, 6) AS fraction FROM m WHERE n < total""")
 def a37(v):
     some = v.lab()
     again = labelling.connected_components(some.withColumnRenamed("label", "cell"), v.vmeta(), labelling.ALL, same="cell")

@@ -50,6 +50,24 @@ def a5(v):
     return m.select("label", "volume", *[F.round(f"position_{c}", 6).alias(f"position_{c}") for c in "zyx"], F.round(e[0] + e[1] + e[2], 6).alias("trace"), F.round(e[0] * e[1] * e[2], 4).alias("determinant"), F.round("equivalent_diameter", 6).alias("equivalent_diameter"))
 
 
+def eigen_sql(z: float, y: float, x: float) -> str:
+    """CTEs up to `eig`(label, n, l1, l2, l3): ascending eigenvalues of each cell's covariance, in closed form."""
+    return f"""mm AS (SELECT label, count(*) AS n, {z * z}::DOUBLE * var_pop(z) AS zz, {y * y}::DOUBLE * var_pop(y) AS yy, {x * x}::DOUBLE * var_pop(x) AS xx, {z * y}::DOUBLE * covar_pop(z, y) AS zy, {z * x}::DOUBLE * covar_pop(z, x) AS zx, {y * x}::DOUBLE * covar_pop(y, x) AS yx FROM lab GROUP BY 1),
+    mq AS (SELECT *, (xx + yy + zz) / 3 AS q FROM mm), mp AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (yx * yx + zx * zx + zy * zy)) / 6) AS p FROM mq),
+    mr AS (SELECT *, acos(greatest(-1, least(1, (((xx - q) * ((yy - q) * (zz - q) - zy * zy) - yx * (yx * (zz - q) - zy * zx) + zx * (yx * zy - (yy - q) * zx)) / 2) / pow(p, 3)))) / 3 AS angle FROM mp),
+    eig AS (SELECT label, n, q + 2 * p * cos(angle + 2 * pi() / 3) AS l1, q - 2 * p * cos(angle) - 2 * p * cos(angle + 2 * pi() / 3) AS l2, q + 2 * p * cos(angle) AS l3 FROM mr)"""
+
+
+@query("a5_eigenvalues", f"{eigen_sql(1.0, 0.5, 0.5)} SELECT label, round(l1, 6) AS eigenvalue_1, round(l2, 6) AS eigenvalue_2, round(l3, 6) AS eigenvalue_3, round((sqrt(l3) - sqrt(l1)) / sqrt(l3), 6) AS prolateness, round(2 * (sqrt(l2) - sqrt(l1)) / (sqrt(l3) - sqrt(l1)) - 1, 6) AS oblateness FROM eig")
+def a5_values(v):
+    return rounded(measure.morphology(v.lab(), 1.0, 0.5, 0.5)).select("label", "eigenvalue_1", "eigenvalue_2", "eigenvalue_3", "prolateness", "oblateness")
+
+
+@query("p28_principal_ratios", f"{eigen_sql(1.0, 1.0, 1.0)} SELECT label, round(sqrt(1 - l2 / l3), 6) AS first_ratio, round(sqrt(1 - l1 / l2), 6) AS second_ratio, round(4 * sqrt(l3) * 0.5, 6) AS major_length FROM eig")
+def p28_principal(v):
+    return rounded(measure.morphology(v.lab(), 1.0, 1.0, 1.0)).select("label", "first_ratio", "second_ratio", "major_length")
+
+
 @query("a5_eigenvectors")
 def a5_vectors(v):
     return measure.eigenvectors(v.lab(), 1.0, 0.5, 0.5)
@@ -106,6 +124,11 @@ st AS (SELECT label, nn / (n * n) AS energy, contrast, CASE WHEN spread <= 0 THE
 BOTH_OF = [(c, k, f) for c in measure.STATISTICS for k, f in (("mean", f"avg({c})"), ("range", f"max({c}) - min({c})"))]
 
 
+@query("a7_displacement_in_majors", f"{eigen_sql(1.0, 1.0, 1.0)}, {LIT}, d AS (SELECT label, sqrt(pow(sum(i * z) / sum(i) - avg(z), 2) + pow(sum(i * y) / sum(i) - avg(y), 2) + pow(sum(i * x) / sum(i) - avg(x), 2)) AS away FROM c GROUP BY 1) SELECT label, round(away / (4 * sqrt(l3)), 6) AS displacement_in_majors FROM d JOIN eig USING (label)")
+def a7_majors(v):
+    return rounded(measure.central_moments(lit_cells(v), "i")).select("label", "displacement_in_majors")
+
+
 @query("a10_texture", f"{LIT}, {TEXTURE_SQL} SELECT label, " + ", ".join(f"round({f}, 5) + 0.0 AS {c}_{k}" for c, k, f in BOTH_OF) + " FROM st GROUP BY 1")
 def a10(v):
     t = measure.texture(lit_cells(v).withColumn("g", F.expr("1 + i div 16")), "g")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelframe.operators import crops, grid, measure, training
+from voxelframe.operators import crops, grid, labelling, measure, quality, training
 from voxelframe.operators.overlap import AT, colocate
 from voxelframe.plans.grid_queries import resampled_sql
 from voxelframe.plans.measure_queries import BOTH_OF, LIT, TEXTURE_SQL, Q, moments_sql, rounded
 from voxelframe.plans.label_queries import cubes_sql
 from voxelframe.plans.registry import query
 from voxelframe.shared import new_path
-from voxelframe.sources import catalog
+from voxelframe.sources import catalog, channels
 
 
 def shared(v, name):
@@ -37,6 +37,17 @@ def s22(v):
     return v.feat().select(F.col("row_id").alias("patch"), "class", "image")
 
 
+@query("s22_projector_export", "SELECT l_quantity, l_tax, class, image, row_id AS patch FROM feat")
+def s22_export(v):
+    """Both files are written; the metadata is read back, with the features' file checked to have as many rows."""
+    keyed = v.feat().select("image", "row_id", "l_quantity", "l_tax", "class").dropDuplicates(["image", "row_id"])
+    features, metadata = channels.projector_export(keyed.select("image", "row_id", "l_quantity", "l_tax"), keyed.select("image", "row_id", "class"), ("image", "row_id"), shared(v, "projector"))
+    back = v.spark.read.schema("l_quantity double, l_tax double, class int, image int, patch string").option("header", True).csv(metadata, sep="\t")
+    if back.count() != v.spark.read.csv(features, sep="\t").count():
+        raise ValueError("features and metadata differ in rows")
+    return back
+
+
 @query("s25_output_names", "SELECT p_partkey, printf('sample-%d_z%d/size-%dpx', p_partkey, p_size, p_size * 2) AS path FROM part")
 def s25(v):
     return v.table("part").select("p_partkey", F.format_string("sample-%d_z%d/size-%dpx", "p_partkey", "p_size", F.col("p_size") * 2).alias("path"))
@@ -109,6 +120,12 @@ def p29(v):
 EDGES = "d AS (SELECT v.z, v.y, v.x, coalesce(l.label, 0) AS label FROM vox v LEFT JOIN lab l USING (z, y, x)), e AS (SELECT DISTINCT a.z, a.y, a.x FROM d a JOIN d c ON a.z = c.z AND abs(a.y - c.y) + abs(a.x - c.x) = 1 AND a.label <> c.label)"
 
 
+@query("p29_separated_labels", f"{EDGES} SELECT z, y, x, label, CAST(label % 256 AS INT) AS small, 1 AS lit FROM d ANTI JOIN e USING (z, y, x) WHERE label > 0")
+def p29_separated(v):
+    apart = labelling.separated(v.lab(), v.vmeta())
+    return apart.select("z", "y", "x", "label", labelling.to_8bit(F.col("label")).alias("small"), labelling.to_binary(F.col("label")).alias("lit"))
+
+
 @query("p31_training_channels", f"{EDGES} SELECT count(*) FILTER (e.z IS NOT NULL) AS boundary, count(*) FILTER (e.z IS NULL AND label > 0) AS object FROM d LEFT JOIN e USING (z, y, x)")
 def p31(v):
     return training.with_channels(v.lab(), v.vmeta()).agg(F.count_if(F.col("boundary") > 0).alias("boundary"), F.count_if(F.col("object") > 0).alias("object"))
@@ -165,6 +182,19 @@ def j21(v):
     return rounded(v.feat().groupBy("image").agg(F.avg("l_discount").alias("score")).join(slices, "image"))
 
 
+METRICS_SQL = """m AS (SELECT l_suppkey AS frame, avg(l_discount) AS score FROM lineitem GROUP BY 1), a AS (SELECT 'set' || (crop_id % 7) AS name, z, dense_rank() OVER (PARTITION BY crop_id % 7 ORDER BY z) AS page FROM (SELECT DISTINCT crop_id % 7 AS crop_id, z FROM crops)),
+k AS (SELECT s_suppkey AS frame, 'set' || (s_suppkey % 7) AS name, 1 + s_suppkey % 3 AS page FROM supplier)
+SELECT frame, name, z, round(score, 6) AS score FROM m JOIN k USING (frame) JOIN a USING (name, page)"""
+
+
+@query("j21_metrics_by_annotated_slice", METRICS_SQL)
+def j21_slices(v):
+    metrics = v.table("lineitem").groupBy(F.col("l_suppkey").alias("frame")).agg(F.avg("l_discount").alias("score"))
+    name = lambda c: F.concat(F.lit("set"), (F.col(c) % 7).cast("string")).alias("name")
+    mapping = v.table("supplier").select(F.col("s_suppkey").alias("frame"), name("s_suppkey"), (1 + F.col("s_suppkey") % 3).cast("int").alias("page"))
+    return rounded(quality.metrics_by_slice(metrics, mapping, v.crops().select(name("crop_id"), "z")))
+
+
 @query("g10_resize_in_plane", resampled_sql("(SELECT max(z) + 1 FROM vox)", "12", "32"))
 def g10(v):
     return rounded(grid.resize_in_plane(v.vox().select(*AT, F.col("i").alias("value")), v.vmeta(), 1.0), 5).drop("volume_id")

@@ -173,16 +173,48 @@ def split_name(name: Column, fields: int, by: str = "_") -> Column:
     return F.when(F.size(parts) == fields, parts).otherwise(F.raise_error(F.concat(F.lit("cannot split "), name)).cast("array<string>"))
 
 
-def rgb(code: Column) -> Column:
-    return F.struct(F.shiftright(code, 16).bitwiseAND(255).alias("r"), F.shiftright(code, 8).bitwiseAND(255).alias("g"), code.bitwiseAND(255).alias("b"))
-
-
 def parameter(name: Column, key: str) -> Column:
     """The number that follows a key in a name like thresh_0.4_med_3_fill_True; True and False are 1 and 0."""
     text = F.regexp_extract(name, rf"(?:^|_){key}_([^_]+)", 1)
     return F.when(text == "True", 1.0).when(text == "False", 0.0).otherwise(F.nullif(text, F.lit("")).try_cast("double"))
 
 
+def patient(name: Column) -> Column:
+    """The number after the S in a name, such as 3 in "TestNewClasses S3"; a name without one is an error."""
+    found = F.regexp_extract(name, r"S(\d+)", 1)
+    return F.when(found == "", F.raise_error(F.concat(F.lit("no patient in "), name)).cast("string")).otherwise(found)
+
+
+def without_named(rows: DataFrame, name: str, labels: list[str]) -> DataFrame:
+    """rows whose name contains none of the labels."""
+    for label in labels:
+        rows = rows.where(~F.contains(F.col(name), F.lit(label)))
+    return rows
+
+
+# What goes from a frame's file name, in turn, as patterns.
+FRAME_PARTS = [".tif", " 0.5um_dapi_stack", "1024 ", "2048"]
+
+
+def frame_name(name: Column) -> Column:
+    """A frame's file name without its ending, stack name and sizes. The parts are patterns, so a point is any character."""
+    for part in FRAME_PARTS:
+        name = F.regexp_replace(name, part, "")
+    return name
+
+
+def annotation_summary(rows: DataFrame, by: str) -> DataFrame:
+    """(by, slices, listed, step): how many slices a set has, which ones in order, and the least step between two."""
+    own = rows.select(by, "z").distinct()
+    step = own.withColumn("step", F.col("z") - F.lag("z").over(Window.partitionBy(by).orderBy("z")))
+    return step.groupBy(by).agg(F.count("*").alias("slices"), F.array_join(F.array_sort(F.collect_list("z")), ",").alias("listed"), F.min("step").alias("step"))
+
+
+def of_one_size(rows: DataFrame, by: str, *sizes: str) -> DataFrame:
+    """(by, consistent): whether a set has exactly one voxel size."""
+    return rows.groupBy(by).agg((F.count_distinct(*sizes) == 1).alias("consistent"))
+
+
 def feature_columns(columns: list[str], suffixes: list[str], channels: list[str] | None = None) -> list[str]:
     """Sorted columns with one of the suffixes, of the channels' prefixes if given; none is an error."""
     found = sorted(c for c in columns if any(c.endswith(s) for s in suffixes) and (channels is None or any(c.startswith(f"{p}_") for p in channels)))
