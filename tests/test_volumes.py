@@ -200,3 +200,63 @@ def test_resampling_keeps_labels_whole(spark):
     assert (array(got, "label", shape) == array(near, "label", shape)).all()
     with_shape = grid.resample(rows, sizes(spark, a.shape), (1.0, 1.0, 1.0), value=["i"], nearest=["label"], shape=(2, 5, 6))
     assert (array(with_shape, "i", a.shape) == a).all() and (array(with_shape, "label", a.shape) == a).all()
+
+
+def test_channel_names_and_colours(spark):
+    from voxelframe.sources import channels
+
+    rows = spark.createDataFrame([(0,), (5,), (15,)], "k int").select(channels.denoising_meta(F.col("k")).alias("m")).select("m.*").collect()
+    assert [tuple(r) for r in rows] == [("dapi", 8), ("pan-cytokeratin", 4), ("cd3", 1)]
+    with pytest.raises(Exception, match="averaging steps"):
+        spark.createDataFrame([(16,)], "k int").select(channels.denoising_meta(F.col("k"))).collect()
+    code = spark.createDataFrame([(0x0A0B0CFF, 0), (-16776961, 1), (0, None)], "c long, k int")  # red, green, blue, alpha
+    found = code.select(channels.rgba(F.col("c")).alias("c"), channels.marker_of(F.col("k"), channels.rgba(F.col("c")), {0: "a", 1: "b"}, {(10, 11, 12): "a", (0, 0, 0): "b"}).alias("m")).select("c.*", "m.*").collect()
+    assert tuple(found[0]) == (10, 11, 12, "a", "a", False) and tuple(found[1])[:3] == (255, 0, 0) and found[1]["mismatch"] and tuple(found[2])[3:] == (None, "b", True)
+
+
+def test_names_of_patients_and_frames(spark):
+    names = spark.createDataFrame([("TestNewClasses S3",), ("TestNewClasses S12",)], "n string")
+    assert [r[0] for r in names.select(catalog.patient(F.col("n"))).collect()] == ["3", "12"]
+    assert [r[0] for r in catalog.without_named(names, "n", ["S1", "S2"]).collect()] == ["TestNewClasses S3"]
+    with pytest.raises(Exception, match="no patient"):
+        spark.createDataFrame([("x",)], "n string").select(catalog.patient(F.col("n"))).collect()
+    frames = spark.createDataFrame([("1024 a 0.5um_dapi_stack.tif",), ("2048b_tif",), ("c 0x5um_dapi_stackd",)], "n string")
+    assert [r[0] for r in frames.select(catalog.frame_name(F.col("n"))).collect()] == ["a", "b", "cd"]
+
+
+def test_metrics_take_the_page_of_their_set(spark):
+    from voxelframe.operators import quality
+
+    metrics = spark.createDataFrame([(1, 0.5), (2, 0.7), (3, 0.9), (4, 0.1)], "frame int, f double")
+    mapping = spark.createDataFrame([(1, "a", 2), (2, "a", 1), (3, "b", 1), (4, "b", 2)], "frame int, name string, page int")
+    slices = spark.createDataFrame([("a", 9), ("a", 4), ("a", 4), ("b", 7)], "name string, z int")
+    found = quality.metrics_by_slice(metrics, mapping, slices).orderBy("z").collect()
+    assert [(r.frame, r.name, r.z, r.f) for r in found] == [(2, "a", 4, 0.7), (3, "b", 7, 0.9), (1, "a", 9, 0.5)]
+
+
+def test_preparations_by_name(spark):
+    v, s = table(spark, np.random.default_rng(1).integers(0, 255, (1, 20, 20)), "value"), sizes(spark, (1, 20, 20))
+    assert grid.prepared(v, s, "edges").count() == 400 and grid.prepared(v, s, "clahe").agg(F.max("value")).first()[0] <= 1
+    with pytest.raises(ValueError, match="other"):
+        grid.prepared(v, s, "other")
+
+
+def test_projector_files_match_row_by_row(spark, tmp_path):
+    from voxelframe.sources import channels
+
+    features = spark.createDataFrame([("i2", "p1", 1.5), ("i1", "p2", 2.5), ("i1", "p1", 3.5)], "level_0 string, level_1 string, f double")
+    labels = spark.createDataFrame([("i1", "p1", "x"), ("i2", "p1", "y"), ("i9", "p9", "z")], "level_0 string, level_1 string, label string")
+    paths = channels.projector_export(features, labels, ("level_0", "level_1"), f"file://{tmp_path}/out", "a_")
+    rows = spark.read.option("header", True).csv(paths[1], sep="\t")
+    assert rows.columns == ["f", "label", "image", "patch"] and paths[0].endswith("a_features.tsv")
+    texts = [[p.read_text().splitlines()[k:] for p in sorted((tmp_path / "out" / n).glob("part-*"))] for n, k in (("a_features.tsv", 0), ("a_metadata.tsv", 1))]
+    flat = [[x for part in t for x in part] for t in texts]
+    assert flat[0] == ["3.5", "2.5", "1.5"] and flat[1] == ["3.5\tx\ti1\tp1", "2.5\t\ti1\tp2", "1.5\ty\ti2\tp1"]
+
+
+def test_separated_labels_touch_nothing(spark):
+    from voxelframe.operators import labelling
+
+    a = np.array([[[1, 1, 1, 2, 2, 0], [1, 1, 1, 2, 2, 0], [1, 1, 1, 2, 2, 300]]])
+    rows = labelling.separated(table(spark, a, "label").where("label > 0"), sizes(spark, a.shape)).collect()
+    assert {(r.y, r.x) for r in rows} == {(y, x) for y in range(3) for x in (0, 1)}

@@ -193,8 +193,9 @@ def shadow_votes(rows: DataFrame, features: list[str], label: str, key: str, rou
 def nearest(rows: DataFrame, features: list[str], key: str, k: int) -> DataFrame:
     """(key, place, other, distance): the k nearest other rows of each, place from 1, ties by key; fewer where there are fewer.
 
-    Features are compared in standard deviations. Rows meet in equal cells of the first four: what isn't in a row's cell or
-    those around it is farther than a cell is wide, so neighbours nearer than that are final. Rows without k such go on with
+    Rows with equal features are one class, which asks once and is met by its k + 1 first keys, so many equal rows don't meet each other.
+    Features are compared in standard deviations. Classes meet in equal cells of the first four: what isn't in a row's cell or
+    those around it is farther than a cell is wide, so neighbours nearer than that are final. Classes without enough such go on with
     cells of twice the width, until the cells span the data. Null or non-finite features count as no row.
     """
     known = rows.select(F.col(key).alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
@@ -207,27 +208,33 @@ def nearest(rows: DataFrame, features: list[str], key: str, k: int) -> DataFrame
     axes = [f"x{j}" for j in range(len(features))]
     span = max([(about[f"hi_{f}"] - about[f"lo_{f}"]) / scale[f] for f in grid if about["n"]] or [0.0])
     width = max(span * (k / max(about["n"], 1)) ** (1 / len(grid)), 1e-9)
-    asked, out = known, None
+    first = Window.partitionBy(*axes).orderBy("_key")
+    met = checkpointed(known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1))
+    asked, out = met.where("_n = 1").drop("_n"), None
+    reps, known_to = asked, met.drop("_n")
     while True:
         last = width > span
         cells = [F.floor(F.col(f"x{j}") / width).alias(f"c{j}") for j in range(len(grid))]
         around = asked.select(F.col("_key").alias("_own"), *[F.col(x).alias(f"own_{x}") for x in axes])
         for j in range(len(grid)):
             around = around.withColumn(f"c{j}", F.explode(F.array(*[F.floor(F.col(f"own_x{j}") / width) + d for d in (-1, 0, 1)])))
-        met = around.join(known.select("*", *cells), [f"c{j}" for j in range(len(grid))]).where("_key <> _own")
+        near = around.join(known_to.select("*", *cells), [f"c{j}" for j in range(len(grid))])
         away = F.sqrt(sum((F.col(x) - F.col(f"own_{x}")) * (F.col(x) - F.col(f"own_{x}")) for x in axes))
         order = Window.partitionBy("_own").orderBy("distance", "_key")
-        best = met.select("_own", "_key", away.alias("distance")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        best = near.select("_own", "_key", away.alias("distance")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
         if not last:
             best = best.where(F.col("distance") < width)
-        best = checkpointed(best.select(F.col("_own").alias(key), "place", F.col("_key").alias("other"), "distance"))
-        done = best.groupBy(key).agg(F.count("*").alias("n")).where(F.lit(last) | (F.col("n") == k)).select(key)
-        final = best.join(done, key, "left_semi")
+        best = checkpointed(best.select("_own", F.col("_key").alias("other"), "distance"))
+        done = best.groupBy("_own").agg(F.count("*").alias("n")).where(F.lit(last) | (F.col("n") == k + 1)).select("_own")
+        final = best.join(done, "_own", "left_semi")
         out = final if out is None else out.unionByName(final)
-        asked = checkpointed(asked.join(done, asked["_key"] == done[key], "left_anti"))
+        asked = checkpointed(asked.join(done, asked["_key"] == done["_own"], "left_anti"))
         if last or asked.isEmpty():
-            return out
+            break
         width *= 2
+    owned = known.join(reps.withColumnRenamed("_key", "_own"), axes).join(out, "_own").where("other <> _key")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("distance", "other"))
+    return owned.withColumn("place", place).where(F.col("place") <= k).select(F.col("_key").alias(key), "place", "other", "distance")
 
 
 def oversampled(minority: DataFrame, features: list[str], key: str, k: int, seed: int = 0) -> DataFrame:

@@ -185,7 +185,7 @@ def p18_denoising(v):
 
 
 COLOURS = {(0, 0, 255): "dapi", (0, 255, 0): "pan-cytokeratin", (255, 0, 0): "ki67", (255, 255, 0): "cd3"}
-COLOUR_SQL = "c AS (SELECT o_orderkey, CAST(o_orderkey % 4 AS INT) AS k, CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE [0x0000ff00, 0x00ff0000, 0xff000000, 0xffff0000][o_custkey % 4 + 1] END AS code, CASE WHEN o_custkey % 5 > 0 THEN ['dapi', 'pan-cytokeratin', 'ki67', 'cd3'][o_custkey % 4 + 1] END AS coloured FROM orders)"
+COLOUR_SQL = "c AS (SELECT o_orderkey, CAST(o_orderkey % 4 AS INT) AS k, CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE [65280, 16711680, 4278190080, 4294901760][o_custkey % 4 + 1] END AS code, CASE WHEN o_custkey % 5 > 0 THEN ['dapi', 'pan-cytokeratin', 'ki67', 'cd3'][o_custkey % 4 + 1] END AS coloured FROM orders)"
 
 
 @query("p19_marker_mismatch", f"{COLOUR_SQL} SELECT o_orderkey, ['dapi', 'pan-cytokeratin', 'ki67', 'cd3'][k + 1] AS marker, coloured AS colour_marker, coalesce(['dapi', 'pan-cytokeratin', 'ki67', 'cd3'][k + 1] <> coloured, true) AS mismatch FROM c")

@@ -257,19 +257,20 @@ q AS (SELECT z, y, x, v, CASE WHEN dy = 1 THEN py - floor(py) ELSE 1 - py + floo
 equalised AS (SELECT q.z, y, x, sum(w * coalesce(level, 0)) AS value FROM q LEFT JOIN l ON l.z = q.z AND l.ty = q.ty AND l.tx = q.tx AND q.v >= l.v AND q.v < l.upto GROUP BY 1, 2, 3)"""
 
 
-@query("g20_equalised", f"{EQUAL_SQL} SELECT 'v0' AS volume_id, z, y, x, round(value, 5) AS value FROM equalised")
+@query("g20_equalised", f"{EQUAL_SQL} SELECT 'v0' AS volume_id, z, y, x, round(value + 1e-9, 5) AS value FROM equalised")
 def g20(v):
-    return rounded(grid.equalised(values(v), v.vmeta(), 16), 5)
+    found = grid.equalised(values(v), v.vmeta(), 16)
+    return rounded(found.withColumn("value", F.col("value") + 1e-9), 5)  # whole parts of a tile fall on halves of the last digit
 
 
-@query("g21_preprocessed_channel", f"{EQUAL_SQL}, {EDGES_SQL}, {CLOSING_SQL} SELECT z, 'clahe' AS preparation, round(avg(value), 5) AS mean FROM equalised GROUP BY 1 UNION ALL SELECT z, 'edges', round(avg(value), 5) FROM edges GROUP BY 1 UNION ALL SELECT z, 'memb', round(avg(value), 5) FROM closed GROUP BY 1")
+@query("g21_preprocessed_channel", f"{EQUAL_SQL}, {EDGES_SQL}, {CLOSING_SQL} SELECT z, 'clahe' AS preparation, round(avg(value), 6) AS mean FROM equalised GROUP BY 1 UNION ALL SELECT z, 'edges', round(avg(value), 6) FROM edges GROUP BY 1 UNION ALL SELECT z, 'memb', round(avg(value), 6) FROM closed GROUP BY 1")
 def g21(v):
     """The three preparations of a channel, by name."""
     out = None
     for name in ("clahe", "edges", "memb"):
         rows = grid.prepared(values(v), v.vmeta(), name).groupBy("z").agg(F.avg("value").alias("mean")).withColumn("preparation", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    return rounded(out, 5)
+    return rounded(out, 6)
 
 
 @query("s2_voxels_round_trip", "SELECT vec_id, len(embedding) AS n, embedding[1] AS first, embedding[64] AS last FROM embeddings")

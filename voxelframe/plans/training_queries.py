@@ -37,10 +37,10 @@ def s22(v):
     return v.feat().select(F.col("row_id").alias("patch"), "class", "image")
 
 
-@query("s22_projector_export", "SELECT l_quantity, l_tax, class, image, row_id AS patch FROM feat")
+@query("s22_projector_export", "SELECT max(l_quantity) AS l_quantity, max(l_tax) AS l_tax, max(class) AS class, image, row_id AS patch FROM feat GROUP BY image, row_id")
 def s22_export(v):
     """Both files are written; the metadata is read back, with the features' file checked to have as many rows."""
-    keyed = v.feat().select("image", "row_id", "l_quantity", "l_tax", "class").dropDuplicates(["image", "row_id"])
+    keyed = v.feat().groupBy("image", "row_id").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_tax", "class")])
     features, metadata = channels.projector_export(keyed.select("image", "row_id", "l_quantity", "l_tax"), keyed.select("image", "row_id", "class"), ("image", "row_id"), shared(v, "projector"))
     back = v.spark.read.schema("l_quantity double, l_tax double, class int, image int, patch string").option("header", True).csv(metadata, sep="\t")
     if back.count() != v.spark.read.csv(features, sep="\t").count():

@@ -43,7 +43,7 @@ def series_summary(volumes: DataFrame, channels: DataFrame) -> DataFrame:
     """
     n = {c: F.col(f"size_{c}") for c in "xyz"}
     size = {c: n[c] * F.col(f"v{c}") for c in "xyz"}
-    text = F.format_string("%.2fx\n%.2fx\n%.2fum\n\n%.0fx\n%.0fx\n%.0fum", *[F.col(f"v{c}").cast("double") for c in "xyz"], *[size[c].cast("double") for c in "xyz"])
+    text = F.format_string("%.2fx\n%.2fx\n%.2fum\n\n%.0fx\n%.0fx\n%.0fum", *[F.col(f"v{c}").cast("double") for c in "xyz"], *[F.bround(size[c].cast("double"), 0) for c in "xyz"])
     rows = volumes.select(
         "filename", "series", F.concat("name", F.lit(": S"), F.col("series").cast("string")).alias("series_name"), F.concat_ws("x", *[n[c].cast("string") for c in "xyz"]).alias("imaging_parameters"),
         text.alias("voxel_size"), *[size[c].alias(f"sample_size_{c}") for c in "xyz"], F.floor(n["z"] / 3).cast("int").alias("example_z"),
