@@ -173,6 +173,11 @@ def split_name(name: Column, fields: int, by: str = "_") -> Column:
     return F.when(F.size(parts) == fields, parts).otherwise(F.raise_error(F.concat(F.lit("cannot split "), name)).cast("array<string>"))
 
 
+def rgb(code: Column) -> Column:
+    """(r, g, b) of a 24-bit number; channels.rgba() takes those with alpha."""
+    return F.struct(F.shiftright(code, 16).bitwiseAND(255).alias("r"), F.shiftright(code, 8).bitwiseAND(255).alias("g"), code.bitwiseAND(255).alias("b"))
+
+
 def parameter(name: Column, key: str) -> Column:
     """The number that follows a key in a name like thresh_0.4_med_3_fill_True; True and False are 1 and 0."""
     text = F.regexp_extract(name, rf"(?:^|_){key}_([^_]+)", 1)
