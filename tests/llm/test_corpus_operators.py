@@ -513,6 +513,32 @@ def test_large_buckets_are_held_in_parts(spark, monkeypatch):
     assert flagged() == whole and len(whole) > 20
 
 
+def test_full_buckets_are_dealt_by_windows(spark):
+    """Many different windows around one phrase, in buckets that are full at once: the same result as of buckets of any size."""
+    random.seed(5)
+    words_of = [f"w{k}" for k in range(40)]
+    some = lambda n: " ".join(random.choice(words_of) for _ in range(n))
+    shared = [some(9) + " one phrase all over " + some(9) for _ in range(6)]
+    texts = [(k, " ".join([some(5), "one phrase all over", some(11), random.choice(shared), some(4)]) if k % 9 else None) for k in range(120)]
+    texts += [(None, texts[1][1]), (None, texts[2][1]), (None, shared[0]), (121, ""), (5, texts[5][1])]
+    docs = docs_of(spark, texts).repartition(6)
+    columns = ["doc_id", "kept_text", "n_words", "n_removed"]
+    whole = sorted(map(str, substrings.repeated_words(docs, buckets=1).select(columns).collect()))
+    dealt = sorted(map(str, substrings.repeated_words(docs, buckets=1, held_bytes=500, most_bytes=900).select(columns).collect()))
+    assert dealt == whole and sum("n_removed=0" not in r for r in whole) > 60
+
+
+def test_full_buckets_give_rows_of_single_windows(spark):
+    import pyarrow as pa
+
+    texts = [f"a{k} b c d e f g h i j k l m n{k}" for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([0] * 50, pa.int64()), pa.array(texts)], ["doc_id", "text_hash", "text"])
+    sent = [b for k in range(0, 50, 5) for b in substrings.super_kmers([batch.slice(k, 5)], 13, 1)]
+    out = pa.Table.from_batches(list(substrings.counted(sent, 13, 300, 300)))
+    dealt = out.filter(out["packed"].is_valid())
+    assert sum(dealt["n"].to_pylist()) == 100 and len(set(dealt["deal"].to_pylist())) > 90 and set(dealt["bucket"].to_pylist()) == {0}
+
+
 def test_rows_of_one_document_keep_each_others_words(spark):
     text = " ".join(f"u{k}" for k in range(30))
     rows = substrings.repeated_words(docs_of(spark, [(1, text), (1, text), (1, text + " x"), (2, text)])).collect()

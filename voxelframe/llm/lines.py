@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from voxelframe.llm._store import written
 
 FIELD = "<*>"
-#: Recurring leaves and templates are broadcast up to so many (16 and 40 bytes each); beyond, the lines are shuffled to them.
+#: Recurring leaves and templates are broadcast up to so many (24 and 56 bytes each); beyond, the lines are shuffled to them.
 MOST_BROADCAST = 1_000_000
 
 
+def _key(*parts: Column | str) -> Column:
+    """128 bits of two hashes, so that different leaves, lines or templates don't meet by chance at any size."""
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
 def _masked(line: Column) -> Column:
     """Tokens with a digit are variable fields."""
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(line)
@@ -35,12 +40,12 @@ def drop_template_lines(docs: DataFrame, depth: int = 4, least_docs: int = 3, li
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = source.select("doc_id", "text_key", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line"))
     lines = lines.select("doc_id", "text_key", "at", F.trim(F.regexp_replace("line", r"[\s]+", " ")).alias("line")).where("line <> ''")
-    masked = lines.select("doc_id", "text_key", "at", F.xxhash64("line").alias("raw_key"), _masked(F.col("line")).alias("line"))
+    masked = lines.select("doc_id", "text_key", "at", _key("line").alias("raw_key"), _masked(F.col("line")).alias("line"))
     spaces = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1
-    leaf = F.xxhash64(spaces, F.substring_index("line", " ", depth))
+    leaf = _key(spaces, F.substring_index("line", " ", depth))
     keyed = masked.select("doc_id", "text_key", "at", "raw_key", "line", leaf.alias("leaf"))
     many = written(_in_documents(keyed.select("leaf", "doc_id"), ["leaf"], least_docs), "leaves")
-    shared = written(keyed.join(_small(many), "leaf").withColumn("line_key", F.xxhash64("line")), "shared-lines")
+    shared = written(keyed.join(_small(many), "leaf").withColumn("line_key", _key("line")), "shared-lines")
 
     # equal lines are one row with the number of their documents; only lines of few documents are counted token by token
     lined = ["leaf", "line_key"]
@@ -55,9 +60,9 @@ def drop_template_lines(docs: DataFrame, depth: int = 4, least_docs: int = 3, li
     parts = distinct.select(*lined, token).join(common.withColumn("stays", F.lit(True)), words, "left")
     word = F.when(F.col("stays"), F.col("token")).otherwise(FIELD)
     templates = parts.groupBy(*lined).agg(F.array_sort(F.collect_list(F.struct("k", word.alias("word")))).alias("words"), F.count("stays").alias("n_literal"), F.count("*").alias("n"))
-    filled = F.when(F.col("n_literal") >= literal * F.col("n"), F.xxhash64("leaf", F.array_join(F.transform("words", lambda x: x["word"]), " ")))
+    filled = F.when(F.col("n_literal") >= literal * F.col("n"), _key("leaf", F.array_join(F.transform("words", lambda x: x["word"]), " ")))
     templates = templates.select(*lined, filled.alias("template"))
-    own = F.coalesce("template", F.xxhash64("leaf", "raw_key", F.lit("raw"))).alias("template")
+    own = F.coalesce("template", _key("leaf", "raw_key", F.lit("raw"))).alias("template")
     placed = written(shared.select("doc_id", "text_key", "at", "raw_key", *lined).join(templates, lined).select("doc_id", "text_key", "at", own), "templates")
     each = placed.groupBy("template", "doc_id").agg(F.min(F.struct("at", "text_key")).alias("m"))
     firsts = each.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "m.at", "m.text_key")).alias("first")).where(F.col("docs") >= least_docs).drop("docs")

@@ -18,9 +18,13 @@ LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
 GRAM = 3  # words of a minimiser
 HELD = 64 << 20  # bytes of a bucket's words that are compared at once
+MOST = HELD  # bytes of different super-k-mers that a bucket holds; beyond, it is dealt anew by the windows themselves
+DEALS = 4096  # into how many parts a bucket is dealt then
 
 SENT = "bucket long, deal int, n int, packed binary"
-FLAGS = "doc_id long, text_hash int, spans array<int>"
+FLAGS = f"doc_id long, text_hash long, spans array<int>, {SENT}"
+PARCEL = {"bucket": pa.int64(), "deal": pa.int32(), "n": pa.int32(), "packed": pa.binary()}
+FLAG_NAMES = ["doc_id", "text_hash", "spans", *PARCEL]
 
 
 def _groups(w: Words, at: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
@@ -79,11 +83,31 @@ def _minimisers(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 def _packed(owner: np.ndarray, mark: np.ndarray, begin: np.ndarray, text: bytes) -> bytes:
-    return owner.astype("<i8").tobytes() + mark.astype("<i4").tobytes() + begin.astype("<i4").tobytes() + text
+    return owner.astype("<i8").tobytes() + mark.astype("<i8").tobytes() + begin.astype("<i4").tobytes() + text
 
 
 def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    return np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i4", n, 8 * n), np.frombuffer(data, "<i4", n, 12 * n), data[16 * n :]
+    return np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, "<i4", n, 16 * n), data[20 * n :]
+
+
+def _parcels(w: Words, first: np.ndarray, last: np.ndarray, key: np.ndarray, owner: np.ndarray, mark: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(key, n, packed) for each key of the runs of words first to last: their words, one blank after each and one more after a run."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    order = np.argsort(key, kind="stable")
+    first, last, key, owner, mark, begin = (x[order] for x in (first, last, key, owner, mark, begin))
+    many = last - first + 1
+    run, place = spread(many)
+    word = first[run] + place
+    lengths = w.end[word] - w.start[word] + 1
+    lengths[np.cumsum(many) - 1] += 1
+    piece, byte = spread(lengths)
+    source = w.start[word][piece] + byte
+    text = np.where(source < w.end[word][piece], w.data[np.minimum(source, len(w.data) - 1)], 32).astype(np.uint8)
+    ends = np.cumsum(lengths)[np.cumsum(many) - 1]
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    for c, d in zip(cut, np.append(cut[1:], len(key)), strict=True):
+        lo = ends[c - 1] if c else 0
+        yield int(key[c]), int(d - c), squeeze.compress(_packed(owner[c:d], mark[c:d], begin[c:d], text[lo : ends[d - 1]].tobytes()))
 
 
 def super_kmers(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -118,25 +142,9 @@ def super_kmers(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> I
             first = np.flatnonzero(new)
             last = at[np.append(first[1:], len(at)) - 1] + size - 1  # the run's last word
             bucket = (mix(least[first] ^ U(0x1234567)) % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            first, last, bucket = first[order], last[order], bucket[order]
-            begin = at[first]
-            # each super-k-mer's words with one blank after each, and one more blank after the last
-            many = last - begin + 1
-            kmer, place = spread(many)
-            word = begin[kmer] + place
-            lengths = w.end[word] - w.start[word] + 1
-            lengths[np.cumsum(many) - 1] += 1
-            piece, byte = spread(lengths)
-            source = w.start[word][piece] + byte
-            packed = np.where(source < w.end[word][piece], w.data[np.minimum(source, len(w.data) - 1)], 32).astype(np.uint8)
-            ends = np.cumsum(lengths)[np.cumsum(many) - 1]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            for c, d in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
-                part = row[first[c:d]]
-                lo = ends[c - 1] if c else 0
-                values = (int(bucket[c]), 0, d - c, squeeze.compress(_packed(ids[part], marks[part], begin[c:d] - w.first[part], packed[lo : ends[d - 1]].tobytes())))
-                for column, value in zip(columns, values, strict=True):
+            part = row[first]
+            for key, n, parcel in _parcels(w, at[first], last, bucket, ids[part], marks[part], at[first] - w.first[part]):
+                for column, value in zip(columns, (key, 0, n, parcel), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays(
             [pa.array(column, kind) for column, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "deal", "n", "packed"]
@@ -151,39 +159,53 @@ def _flagged(ids: np.ndarray, marks: np.ndarray, spans: np.ndarray) -> pa.Record
     new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
     begin = np.flatnonzero(new)
     lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)) * 2, pa.int32()), pa.array(spans.ravel().astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(ids[begin], pa.int64()), pa.array(marks[begin], pa.int32()), lists], ["doc_id", "text_hash", "spans"])
+    none = [pa.nulls(len(begin), kind) for kind in PARCEL.values()]
+    return pa.RecordBatch.from_arrays([pa.array(ids[begin], pa.int64()), pa.array(marks[begin], pa.int64()), lists, *none], FLAG_NAMES)
+
 
+def _dealt(bucket: int, w: Words, at: np.ndarray, keys: np.ndarray, owner: np.ndarray, mark: np.ndarray, begin: np.ndarray, size: int) -> pa.RecordBatch:
+    """Windows of a full bucket, one by one, in rows by the hash of their words, which go to a task each."""
+    deal = 1 + (mix(keys ^ U(0x7654321)) % U(DEALS)).astype(np.int64)
+    found = list(_parcels(w, at, at + size - 1, deal, owner, mark, begin))
+    columns = [pa.array(c, kind) for c, kind in zip(([bucket] * len(found), *zip(*found, strict=True)), PARCEL.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([*[pa.nulls(len(found), kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int32()))], *columns], FLAG_NAMES)
 
-def counted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Flags of each bucket's windows; rows are sorted by bucket.
+
+def counted(batches: Iterator[pa.RecordBatch], size: int, held_bytes: int | None = None, most_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Flags of each bucket's windows; rows are sorted by bucket and deal.
 
     A bucket is held up to HELD bytes at a time: then its windows are compared and only super-k-mers with a first occurrence are
-    held on, so a bucket takes the memory of its distinct windows, however often they repeat.
+    held on, so a bucket takes the memory of its distinct windows, however often they repeat. A bucket (deal 0) whose distinct windows take over
+    `most_bytes` is full: what it holds, and each further part once that is compared in itself, goes out as rows of single windows with a deal
+    of their own, to be counted in another pass.
     """
+    held_bytes, most_bytes = held_bytes or HELD, most_bytes or MOST
     plain = zstandard.ZstdDecompressor()
     held: list[tuple] = []
-    last, now, most = -1, 0, HELD
+    last, now, most, full = (-1, 0), 0, held_bytes, False
     for batch in batches:
-        for bucket, n, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "packed")), strict=True):
+        for bucket, deal, n, packed in zip(*(batch.column(c).to_pylist() for c in PARCEL), strict=True):
             owner, mark, begin, rest = _unpacked(n, plain.decompress(packed))
             if bucket < 0:
                 yield _flagged(owner, mark, np.column_stack([begin, np.frombuffer(rest, "<i4")]))
                 continue
-            if held and (bucket != last or now > most):
-                flags, rest_of = _bucket(held, size, bucket == last)
-                yield from flags
-                held, now = ([rest_of], len(rest_of[3])) if bucket == last else ([], 0)
-                most = max(HELD, 2 * now)
-            last = bucket
+            same = (bucket, deal) == last
+            if held and (not same or now > most):
+                out, rest_of = _bucket(held, size, same and not full, last[0] if full else None)
+                yield from out
+                held, now = ([rest_of], len(rest_of[3])) if rest_of else ([], 0)
+                full = same and (full or (not deal and now > most_bytes))
+                most = now + held_bytes if full else max(held_bytes, 2 * now)
+            last = (bucket, deal)
             held.append((owner, mark, begin, rest))
             now += len(rest)
     if held:
-        yield from _bucket(held, size, False)[0]
+        yield from _bucket(held, size, False, last[0] if full else None)[0]
 
 
-def _bucket(held: list[tuple], size: int, again: bool) -> tuple[list[pa.RecordBatch], tuple]:
+def _bucket(held: list[tuple], size: int, again: bool, full: int | None = None) -> tuple[list[pa.RecordBatch], tuple]:
     """Group the windows of a bucket's super-k-mers; flags of those of documents beyond each window's smallest, and, if it's
-    asked for again, the super-k-mers that have any other."""
+    asked for again, the super-k-mers that have any other. Of a full bucket (its number) the other windows are rows too."""
     owner, mark, begin = (np.concatenate([x[k] for x in held]) for k in range(3))
     data = b"".join(x[3] for x in held)
     held.clear()
@@ -196,15 +218,18 @@ def _bucket(held: list[tuple], size: int, again: bool) -> tuple[list[pa.RecordBa
     kmer = w.doc[at]
     late = _late(_groups(w, at, keys, size), owner[kmer])
     r, a, b = _spans(kmer[late], at[late] - w.first[kmer[late]], size)
-    flags = [_flagged(owner[r], mark[r], np.column_stack([a + begin[r], b + begin[r]]))] if len(r) else []
+    out = [_flagged(owner[r], mark[r], np.column_stack([a + begin[r], b + begin[r]]))] if len(r) else []
+    if full is not None:
+        own, k = at[~late], kmer[~late]
+        return [*out, _dealt(full, w, own, keys[~late], owner[k], mark[k], begin[k] + own - w.first[k], size)], ()
     if not again:
-        return flags, ()
+        return out, ()
     some = np.unique(kmer[~late])
     edges = np.append(0, double)
-    return flags, (owner[some], mark[some], begin[some], b"".join([data[x:y] for x, y in zip(edges[some].tolist(), edges[some + 1].tolist(), strict=True)]))
+    return out, (owner[some], mark[some], begin[some], b"".join([data[x:y] for x, y in zip(edges[some].tolist(), edges[some + 1].tolist(), strict=True)]))
 
 
-def repeated_words(docs: DataFrame, size: int = 13, buckets: int | None = None) -> DataFrame:
+def repeated_words(docs: DataFrame, size: int = 13, buckets: int | None = None, held_bytes: int = HELD, most_bytes: int = MOST) -> DataFrame:
     """(doc_id, text, kept_text, n_words, n_removed) for each row of docs(doc_id, text).
 
     A window is `size` consecutive words of one text; words are parted by ASCII blanks. A word is removed if a window over it
@@ -212,16 +237,25 @@ def repeated_words(docs: DataFrame, size: int = 13, buckets: int | None = None)
     other words, joined by one space. A null text has no words and an empty kept_text. Rows with one doc_id do not remove each
     other's words; a null doc_id counts as larger than all others. Further columns are left out. No documents give no rows.
 
-    buckets: how many the minimisers are dealt to; by default 8 for each shuffle partition, which sizes them with the data. A passage that
-    very many documents have comes once from each chunk of texts, not once from each document.
+    buckets: how many the minimisers are dealt to; by default 8 for each shuffle partition, and more if their super-k-mers, of about three times
+    the texts' bytes, would fill half of HELD on average. A passage that very many documents have comes once from each chunk of texts, not once from each document. held_bytes, most_bytes: a bucket is compared in parts
+    of the first size; a minimiser with more different windows than the second fills its bucket, and the rest of that bucket is dealt
+    by whole windows and counted in another pass. Rows of one doc_id are told apart by a 64-bit hash of the text.
     """
     spark = docs.sparkSession
-    given = docs.select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    many = buckets or 8 * parts
+    many = buckets or max(8 * parts, (given.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 6 // HELD)
     sent = given.mapInArrow(lambda it: super_kmers(it, size, many), SENT)
-    dealt = sent.repartition("bucket", "deal").sortWithinPartitions("bucket")
-    flags = written(dealt.mapInArrow(lambda it: counted(it, size), FLAGS), "repeats")
+
+    def passed(parcels: DataFrame) -> DataFrame:
+        dealt = parcels.repartition("bucket", "deal").sortWithinPartitions("bucket", "deal")
+        return written(dealt.mapInArrow(lambda it: counted(it, size, held_bytes, most_bytes), FLAGS), "repeats")
+
+    flags = passed(sent)
+    full = flags.where("packed IS NOT NULL").select(*PARCEL)
+    if not full.isEmpty():
+        flags = flags.where("packed IS NULL").unionByName(passed(full))
     spans = flags.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumnRenamed("doc_id", "id")
     key = F.coalesce("doc_id", F.lit(int(LAST)))
     rows = given.withColumn("id", key).join(spans, ["id", "text_hash"], "left").select("doc_id", "text", "spans")
