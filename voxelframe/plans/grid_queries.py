@@ -185,6 +185,16 @@ def g11(v):
     return grid.undo_dihedral(turned, 64).groupBy("z", "y", "x", "value").agg(F.count("*").alias("variants"))
 
 
+#: Quarter turns one after another, each with and without a flip; (oy, ox) is where a voxel came from.
+TURNED_SQL = """q AS (SELECT 0 AS turn, z, y AS oy, x AS ox, y, x, i FROM vox UNION ALL SELECT turn + 1, z, oy, ox, 63 - x, y, i FROM q WHERE turn < 3),
+t AS (SELECT turn, flip, z, oy, ox, y, CASE flip WHEN 1 THEN 63 - x ELSE x END AS x, i FROM q, (SELECT unnest([0, 1]) AS flip))"""
+
+
+@query("g11_dihedral_variants", f"{TURNED_SQL} SELECT CAST(turn AS INT) AS turn, CAST(flip AS INT) AS flip, z, CAST(y AS INT) AS y, CAST(x AS INT) AS x, i AS value FROM t")
+def g11_variants(v):
+    return grid.dihedral(values(v), 64).drop("volume_id")
+
+
 def sampled(v):
     """Image and labels, four times over."""
     both = v.vox().join(v.lab(), AT, "left").select(*AT, "i", F.coalesce("label", F.lit(0)).alias("label"))
@@ -222,6 +232,28 @@ def a40(v):
     return grid.merge_transforms(grid.dihedral(values(v), 64), 64).drop("volume_id")
 
 
+@query("a40_merged_predictions", f"{TURNED_SQL} SELECT z, oy AS y, ox AS x, median(CAST(i + (3 * turn + 5 * flip + y + 2 * x) % 7 AS DOUBLE)) AS value FROM t GROUP BY ALL")
+def a40_predictions(v):
+    """Predictions that differ between the variants."""
+    predicted = grid.dihedral(values(v), 64).withColumn("value", F.expr("value + (3 * turn + 5 * flip + y + 2 * x) % 7"))
+    return grid.merge_transforms(predicted, 64).withColumn("value", F.col("value").cast("double")).drop("volume_id")
+
+
+def tiled_sql(c: str, size: int) -> str:
+    """SQL of one side's tiles of 10 with 3 reflected voxels around: the tile, the place in it and the voxel there."""
+    return f"{c}t AS (SELECT tile, d, CASE WHEN p < 0 THEN -1 - p WHEN p >= {size} THEN {2 * size - 1} - p ELSE p END AS {c} FROM (SELECT tile, d, least(tile * 10, {size - 10}) + d - 3 AS p FROM (SELECT unnest(range({-(-size // 10)})) AS tile), (SELECT unnest(range(16)) AS d)))"
+
+
+@query("g12_tiles", f'{tiled_sql("y", 25)}, {tiled_sql("x", 64)} SELECT z, CAST(yt.tile AS INT) AS "row", CAST(xt.tile AS INT) AS col, CAST(yt.d AS INT) AS dy, CAST(xt.d AS INT) AS dx, i AS value FROM vox JOIN yt USING (y) JOIN xt USING (x)')
+def g12_tiles(v):
+    return grid.tiles(values(v), v.vmeta(), 10, 3).drop("volume_id")
+
+
+@query("g15_slabs", "k AS (SELECT unnest(range(max(z) // 4 + 1)) AS slab FROM vox) SELECT CAST(slab AS INT) AS slab, z, y, x, i AS value FROM vox JOIN k ON z BETWEEN 4 * slab AND 4 * slab + 4")
+def g15_slabs(v):
+    return grid.slabs(values(v), 5).drop("volume_id")
+
+
 @query("g12_tiles_round_trip", "SELECT z, y, x, i AS value FROM vox")
 def g12(v):
     return grid.stitch(grid.tiles(values(v), v.vmeta(), 10, 3), v.vmeta(), 10, 3).drop("volume_id")
