@@ -366,3 +366,18 @@ def test_volumes_of_one_hash_stay_apart(spark, monkeypatch):
     slabs = [("v", 0, 0, 0, 0, 4), ("v", 1, 0, 0, 0, 4), ("v", 1, 0, 0, 1, 9), ("v", 2, 0, 0, 1, 9), ("v", 2, 0, 5, 1, 3), ("w", 0, 0, 0, 0, 9), ("w", 1, 0, 0, 1, 4)]
     got = labelling.reconcile_slabs(spark.createDataFrame(slabs, "volume_id string, z int, y int, x int, slab int, label int")).collect()
     assert {(r.volume_id, r.z, r.x, r.label) for r in got} == {("v", 0, 0, 1), ("v", 1, 0, 1), ("v", 2, 0, 1), ("v", 2, 5, 2), ("w", 0, 0, 1), ("w", 1, 0, 2)}
+
+
+def test_slabs_match_by_what_labels_have_become(spark):
+    """Three of the later slab's labels: two join A and outweigh the largest alone, which joins B; A and B stay apart."""
+    shared = [(1, 1)] * 3 + [(1, 2)] * 3 + [(1, 3)] * 5 + [(2, 3)] * 10
+    slabs = [("v", 1, 0, x, slab, pair[slab]) for x, pair in enumerate(shared) for slab in (0, 1)]
+    got = labelling.reconcile_slabs(spark.createDataFrame(slabs, "volume_id string, z int, y int, x int, slab int, label int")).collect()
+    assert [r.label for r in sorted(got, key=lambda r: r.x)] == [1] * 6 + [2] * 15
+
+
+def test_labels_of_one_later_object_become_one(spark):
+    shared = [(1, 7)] * 3 + [(2, 7)] * 4 + [(3, 8)] * 2
+    slabs = [("v", 1, 0, x, slab, pair[slab]) for x, pair in enumerate(shared) for slab in (0, 1)]
+    got = labelling.reconcile_slabs(spark.createDataFrame(slabs, "volume_id string, z int, y int, x int, slab int, label int")).collect()
+    assert [r.label for r in sorted(got, key=lambda r: r.x)] == [1] * 7 + [2] * 2

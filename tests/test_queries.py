@@ -8,7 +8,7 @@ from voxelframe import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["a13_volume_stats", "j2_label_overlap_argmax", "a17_aggregate_by_group", "a1_cell_intensity", "j16_cell_distance", "g8_label_edges", "g13_connected_components", "g16_reconcile_slabs", "j18_crop_iou", "w1_empirical_cdf", "a21_binary_scores", "s27_sequence_numbers", "p12_painted_cells", "a6_surface", "g2_gaussian", "g2_median", "g2_edges", "w8_gap_fill", "j20_series", "g6_random_crops", "g11_flips", "g11_shifts", "g5_channel_cubes", "g20_equalised", "g21_preprocessed_channel", "a36_rule_violations", "m7_mutual_information", "w3_decimated", "s24_channel_summary", "s22_projector_export", "p19_marker_mismatch", "j21_metrics_by_annotated_slice", "a5_eigenvalues", "g11_dihedral_variants", "a40_merged_predictions", "g12_tiles", "g15_slabs"]
+SOME = ["a13_volume_stats", "j2_label_overlap_argmax", "a17_aggregate_by_group", "a1_cell_intensity", "j16_cell_distance", "g8_label_edges", "g13_connected_components", "g16_reconcile_slabs", "j18_crop_iou", "w1_empirical_cdf", "a21_binary_scores", "s27_sequence_numbers", "p12_painted_cells", "a6_surface", "g2_gaussian", "g2_median", "g2_edges", "w8_gap_fill", "j20_series", "g6_random_crops", "g11_flips", "g11_shifts", "g5_channel_cubes", "g20_equalised", "g21_preprocessed_channel", "a36_rule_violations", "m7_mutual_information", "w3_decimated", "s24_channel_summary", "s22_projector_export", "p19_marker_mismatch", "j21_metrics_by_annotated_slice", "a5_eigenvalues", "g11_dihedral_variants", "a40_merged_predictions", "g12_tiles", "g15_slabs", "g16_unlike_slabs"]
 
 
 def cell(v):

@@ -99,24 +99,29 @@ def connected_components(rows: DataFrame, sizes: DataFrame, steps: list[tuple[in
 def reconcile_slabs(rows: DataFrame) -> DataFrame:
     """One labelling from rows(volume_id, z, y, x, slab, label) of slabs that share slices, each labelled on its own.
 
-    Labels of two slabs are one where each is the other's best match on the shared slice; matches hold across slabs. A later
-    slab wins on a shared slice. The result is (volume_id, z, y, x, label) with labels by (slab, label) from 1. Labels get
+    On the shared slice each label of the later slab joins the label of the earlier one that it shares most voxels with (ties: the earliest shared
+    voxel). Then each label of the earlier slab joins the label that most of its shared voxels have by now, so labels that are one object
+    in the later slab become one. Matches hold across slabs, all at once. A later slab wins on a shared slice. The result is (volume_id, z, y, x, label) with labels by (slab, label) from 1. Labels get
     numbers of their own by counted parts; voxels meet labels by value.
     """
     known = rows.where("label > 0").select(*AT, "slab", "label")
     own = ["volume_id", "slab", "label"]
     upper = known.select(*AT, (F.col("slab") - 1).alias("slab"), F.col("label").alias("other"))
     pairs = known.join(upper, [*AT, "slab"]).groupBy(*own, "other").agg(F.count("*").alias("n"), F.min(F.struct("z", "y", "x")).alias("first"))
-    order = [F.desc("n"), "first"]
-    best = pairs.withColumn("p", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).withColumn("q", F.row_number().over(Window.partitionBy("volume_id", "slab", "other").orderBy(*order)))
+    order, later = [F.desc("n"), "first"], ["volume_id", "slab", "other"]
+    up = pairs.withColumn("k", F.row_number().over(Window.partitionBy(*later).orderBy(*order))).where("k = 1").select(*own, "other")
+    joined = pairs.join(up.select(*later, F.col("label").alias("to")), later).groupBy(*own, "to").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    side = joined.withColumn("k", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).where("k = 1 AND to <> label").select(*own, "to")
     labels = known.groupBy(*own).agg(F.count("*").alias("n"))
     parts = labels.withColumn("part", F.pmod(F.xxhash64(*own), F.lit(PARTS)))
     before = upto(parts.groupBy("part").agg(F.count("*").alias("m")), "part", "m").select("part", "before")
     inner = F.row_number().over(Window.partitionBy("part").orderBy(*own))
     numbers = checkpointed(parts.withColumn("inner", inner).join(before, "part").select(*own, (F.col("before") + F.col("inner")).alias("id")))
-    links = best.where("p = 1 OR q = 1").join(numbers.withColumnRenamed("id", "a"), own)
+    here = numbers.withColumnRenamed("id", "a")
     there = numbers.select("volume_id", (F.col("slab") - 1).alias("slab"), F.col("label").alias("other"), F.col("id").alias("b"))
-    merged = linked(links.join(there, ["volume_id", "slab", "other"]).select("a", "b"))
+    beside = numbers.select("volume_id", "slab", F.col("label").alias("to"), F.col("id").alias("b"))
+    links = up.join(here, own).join(there, later).select("a", "b").unionByName(side.join(here, own).join(beside, ["volume_id", "slab", "to"]).select("a", "b"))
+    merged = linked(links)
     owner = numbers.join(merged, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     names = owner.groupBy("volume_id", "component").agg(F.min(F.struct("slab", "label")).alias("first"))
     names = numbered(names, F.col("first.slab"), "first", "new")

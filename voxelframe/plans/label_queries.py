@@ -77,6 +77,26 @@ def g16(v):
     return labelling.reconcile_slabs(slab_labels(v)).drop("volume_id")
 
 
+#: Slabs of 5 slices whose labels are blocks of two shapes in turn; matches both ways on the shared slice and all that they reach.
+UNLIKE_SQL = """k AS (SELECT unnest(range(max(z) // 4 + 1)) AS slab FROM vox),
+sl AS (SELECT slab, z, y, x, CASE WHEN slab % 2 = 0 THEN 1 + (y // 5) * 8 + x // 8 ELSE 1 + (y // 4) * 7 + x // 10 END AS label FROM vox JOIN k ON z BETWEEN 4 * slab AND 4 * slab + 4 WHERE i >= 128),
+pr AS (SELECT a.slab, a.label, b.label AS other, count(*) AS n, min((a.z, a.y, a.x)) AS f FROM sl a JOIN sl b ON b.slab = a.slab + 1 AND a.z = b.z AND a.y = b.y AND a.x = b.x GROUP BY ALL),
+up AS (SELECT slab, other, label AS target FROM pr QUALIFY row_number() OVER (PARTITION BY slab, other ORDER BY n DESC, f) = 1),
+mt AS (SELECT slab, label, target, sum(n) AS n, min(f) AS f FROM pr JOIN up USING (slab, other) GROUP BY ALL),
+sd AS (SELECT slab, label, target FROM mt QUALIFY row_number() OVER (PARTITION BY slab, label ORDER BY n DESC, f) = 1),
+e AS (SELECT slab * 1000 + target AS a, slab * 1000 + 1000 + other AS b FROM up UNION SELECT slab * 1000 + label, slab * 1000 + target FROM sd),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT DISTINCT slab * 1000 + label AS node, slab * 1000 + label AS root FROM sl UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.node),
+c AS (SELECT node, dense_rank() OVER (ORDER BY root) AS label FROM (SELECT node, min(root) AS root FROM r GROUP BY 1))"""
+
+
+@query("g16_unlike_slabs", f"{UNLIKE_SQL} SELECT z, y, x, CAST(max_by(c.label, slab) AS BIGINT) AS label FROM sl JOIN c ON node = slab * 1000 + sl.label GROUP BY 1, 2, 3")
+def g16_unlike(v):
+    cut = grid.slabs(v.vox().where("i >= 128").select(*AT), 5)
+    blocks = F.expr("CASE WHEN slab % 2 = 0 THEN 1 + (y div 5) * 8 + x div 8 ELSE 1 + (y div 4) * 7 + x div 10 END").cast("int")
+    return labelling.reconcile_slabs(cut.withColumn("label", blocks)).select("z", "y", "x", F.col("label").cast("long").alias("label"))
+
+
 @query("a37_connectivity_audit", """p AS (SELECT (z * 25 + y) * 64 + x AS pos, z, y, x, label FROM lab),
 e AS (SELECT a.pos AS a, b.pos AS b FROM p a, (SELECT unnest(range(-1, 2)) AS dz), (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx), p b WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND a.pos <> b.pos AND a.label = b.label),
 r AS (SELECT pos AS a, pos AS root FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a), c AS (SELECT a, min(root) AS root FROM r GROUP BY 1),
