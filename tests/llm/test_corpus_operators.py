@@ -445,6 +445,28 @@ def test_few_links_of_a_hot_template_are_all_found(spark, monkeypatch):
     assert sum(k != root for k, root in want.items()) > 20 and got == want
 
 
+def test_near_copies_of_one_component_are_not_compared_again(spark, monkeypatch):
+    """300 near copies give a few pairs for each, and texts of other groups stay apart."""
+    random.seed(17)
+    base, texts, counts = [f"w{k}" for k in range(200)], [], []
+    for k in range(300):
+        own = list(base)
+        for at in random.sample(range(200), 2):
+            own[at] = f"x{k}y{at}"
+        texts.append((k, " ".join(own)))
+    texts += [(1000 + k, t) for k, t in families(3, n=1, many=30)]
+    found = near_dups.neighbours
+
+    def counted(*args, **options):
+        counts.append((pairs := found(*args, **options)).count())
+        return pairs
+
+    monkeypatch.setattr(near_dups, "neighbours", counted)
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {k: root for k, (_, root) in brute_components(texts).items()}
+    assert all(got[k] == 0 for k in range(300)) and sum(counts) < 16 * len(texts)
+
+
 def test_repeated_doc_ids_are_judged_by_their_own_texts(spark):
     make = lambda name, n=30: " ".join(f"{name}{k}" for k in range(n))
     rows = [(5, make("a")), (5, make("b")), (5, make("b")), (9, make("b")), (9, make("c")), (7, make("a") + " tail"), (3, "")]

@@ -17,7 +17,7 @@ SIZE = 128  # values of a signature, a byte each
 TREES = 32  # with PREFIX values each they use every value once: a pair at 0.75 meets in none with a chance of 5 in a million
 DEPTH, PREFIX = 12, 4  # values of a label in a sorted order, and of those that members of a region share
 FEW = 16  # members up to which a region gives all its pairs
-NEAR = 3  # sorted neighbours of each member in a larger region, before its rest is compared
+FIRST = 8  # trees in which each member is compared with the one after it before any region gives more pairs
 CROWD = 4096  # members that are sorted together
 TILE, TILE_SETS = 768, 1 << 20  # members of a part of a region, and shingles of all their sets
 LIKELY = 0.58  # least share of equal values for a pair to be confirmed; 4 standard deviations below 0.75
@@ -102,16 +102,25 @@ def regions(forest: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("region").agg(F.count("*").alias("members")).where("members > 1"), "region").select("region", "tree", "members", "rep", "n_shingles", "label")
 
 
-def neighbours(shared: DataFrame) -> DataFrame:
-    """(a, b): all pairs of small regions; of larger ones each member and the NEAR after it in sorted order.
+def placed(shared: DataFrame, linked: DataFrame) -> DataFrame:
+    """The members of regions with their components; what has no link yet is a component of its own."""
+    known = linked.select(F.col("node").alias("rep"), "component")
+    return shared.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def neighbours(members: DataFrame, few: int) -> DataFrame:
+    """(a, b) of different components: all pairs of regions of up to `few` members; of larger ones each member and the one after it in sorted order.
 
     Those share the longest prefixes: the more crowded a region, the deeper. Large regions are sorted in parts of about CROWD.
+    Pairs inside a component make no rows: their links would join nothing.
     """
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / CROWD))
     order = Window.partitionBy("region", "part").orderBy("label", "rep")
-    near = shared.withColumn("part", part).withColumn("later", F.collect_list("rep").over(order.rowsBetween(1, FEW - 1)))
-    later = F.slice("later", 1, F.when(F.col("members") <= FEW, FEW).otherwise(NEAR))
-    pairs = near.select("rep", F.explode(later).alias("other"))
+    later = F.collect_list(F.struct("rep", "component")).over(order.rowsBetween(1, max(few - 1, 1)))
+    lists = members.withColumn("part", part).withColumn("later", later)
+    reach = F.slice("later", 1, F.when(F.col("members") <= few, few).otherwise(1))
+    others = F.filter(reach, lambda x: x["component"] != F.col("component"))["rep"]
+    pairs = lists.select("rep", F.explode(others).alias("other"))
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a < b").distinct()
 
 
@@ -121,14 +130,12 @@ def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array((x == y).sum(1) >= LIKELY * SIZE)).select(["a", "b"])
 
 
-def rest_tiles(large: DataFrame, linked: DataFrame) -> DataFrame:
+def rest_tiles(ends: DataFrame) -> DataFrame:
     """(region, tree, one, two, side, rep, component) of the tile pairs in which members of different components meet.
 
     A region's largest component is dealt into tiles of its own, which aren't compared with each other; a region that is one
     component gives no rows. Tiles are bounded by members and by the sizes of their sets.
     """
-    known = linked.select(F.col("node").alias("rep"), "component")
-    ends = large.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = ends.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("sets"))
     mixed = sizes.groupBy("region").agg(F.max(F.struct("n", "sets", "component")).alias("top"), F.sum("n").alias("n"), F.sum("sets").alias("sets"), F.count("*").alias("kinds")).where("kinds > 1")
     parts = lambda n, sets: F.ceil(F.greatest(n / TILE, sets / TILE_SETS)).cast("int")
@@ -256,9 +263,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     component_id and is kept. Further columns are left out; no documents give no rows.
 
     Texts with equal sets become one class, so exact copies cost nothing further. Every class goes into TREES sorted orders of
-    its signature; classes with one prefix in one order are a region. Small regions give all their pairs, larger ones each
-    member's neighbours in sorted order; this joins most of what belongs together. Then every large region whose members are in
-    different components is compared whole, in pairs of tiles that carry the sets. Signatures only choose what is
+    its signature; classes with one prefix in one order are a region. At first each member is compared with the one after it in
+    a few orders; this joins most of what belongs together. What is in one component by then is not compared again. Of the
+    other pairs small regions give all, larger ones each member and the one after it. Then every large region whose members are
+    in different components is compared whole, in pairs of tiles that carry the sets. Signatures only choose what is
     counted: every link is counted on the full sets, and no region, partner or candidate is capped.
     """
     given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
@@ -269,23 +277,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     sign = classes.select("rep", "signature")
     shared = written(regions(classes.select("rep", "n_shingles", "signature").mapInArrow(labels, "rep long, n_shingles long, tree int, label binary")), "regions", compression="snappy")
     x, y = sign.select(F.col("rep").alias("a"), F.col("signature").alias("x")), sign.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
-    found = written(neighbours(shared).join(x, "a").join(y, "b").mapInArrow(likely, "a long, b long"), "candidates")
 
     needed = lambda reps: classes.select(F.col("rep").alias("b"), "doc_id", "text_hash", "signature").join(reps, "b", "left_semi")
     texts = lambda reps: given.join(needed(reps), ["doc_id", "text_hash"]).dropDuplicates(["b"]).select("b", "signature", "text")
-    asked = found.select("b").unionByName(found.select(F.col("a").alias("b"))).distinct()
-    linked = components(confirmed(found, texts(asked), size, percent))
 
-    met = written(rest_tiles(shared.where(F.col("members") > FEW).select("region", "tree", "rep", "n_shingles"), linked), "rest")
+    def links(pairs: DataFrame) -> DataFrame:
+        found = written(pairs.join(x, "a").join(y, "b").mapInArrow(likely, "a long, b long"), "candidates")
+        asked = found.select("b").unionByName(found.select(F.col("a").alias("b"))).distinct()
+        return confirmed(found, texts(asked), size, percent)
+
+    alone = shared.where(F.col("tree") < FIRST).withColumn("component", F.col("rep"))
+    linked = components(links(neighbours(alone, few=0)))
+    linked = components(links(neighbours(placed(shared, linked), FEW)).unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    large = shared.where(F.col("members") > FEW).select("region", "tree", "rep", "n_shingles")
+    met = written(rest_tiles(placed(large, linked)), "rest")
     sets = texts(met.select(F.col("rep").alias("b")).distinct()).mapInArrow(lambda it: hashed(it, size), "rep long, signature binary, hashes binary")
     met = met.join(written(sets, "sets", compression="snappy"), "rep").repartition("region", "one", "two").sortWithinPartitions("region", "one", "two", "rep")
     more = written(met.mapInArrow(lambda it: rest_links(it, percent), "a long, b long"), "links")
     if not more.isEmpty():
         linked = components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
-    placed = classes.select("set_id", "rep", "doc_id").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    owner = placed.join(least, "component").select("set_id", "component_id")
+    ends = placed(classes.select("set_id", "rep", "doc_id"), linked)
+    least = ends.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    owner = ends.join(least, "component").select("set_id", "component_id")
     out = rows.select("doc_id", "text_hash", "n_shingles", "set_id").withColumn("set_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))).join(owner, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
