@@ -174,8 +174,8 @@ def split_name(name: Column, fields: int, by: str = "_") -> Column:
 
 
 def rgb(code: Column) -> Column:
-    """(r, g, b) of a 24-bit number; channels.rgba() takes those with alpha."""
-    return F.struct(F.shiftright(code, 16).bitwiseAND(255).alias("r"), F.shiftright(code, 8).bitwiseAND(255).alias("g"), code.bitwiseAND(255).alias("b"))
+    """(r, g, b) of the lowest 24 bits of a whole number of any size; channels.rgba() takes those with alpha."""
+    return F.struct(*[F.shiftright(code, bits).bitwiseAND(255).cast("int").alias(name) for name, bits in (("r", 16), ("g", 8), ("b", 0))])
 
 
 def parameter(name: Column, key: str) -> Column:
