@@ -179,6 +179,30 @@ def test_pairs_of_a_large_view_meet_in_blocks(spark):
     assert sorted(got) == sorted([("f", f"p{a:03}", f"p{b:03}") for a in range(60) for b in range(a + 1, 60)] + [("g", "a", "b")])
 
 
+def test_pairs_are_counted_without_being_made(spark):
+    paths = spark.createDataFrame([("f", k % 50) for k in range(60)] + [("g", 1), ("g", 2), ("h", 5), ("h", 5), (None, 1), (None, 2), ("i", 0), ("i", 1), ("i", 2)], "fov string, path long")
+    explicit = spark.createDataFrame([("i", 2, 0), ("k", 1, 1)], "fov string, a long, b long")
+    for more in (None, explicit):
+        want = catalog.pairs_of_view(paths, more).groupBy("fov").agg(F.count("*").alias("pairs"))
+        found = catalog.count_pairs(paths, more)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    large = spark.range(400_000).select(F.lit("f").alias("fov"), F.col("id").alias("path"))  # 80 thousand million pairs
+    assert catalog.count_pairs(large).first().pairs == 400_000 * 399_999 // 2
+
+
+def test_colours_of_large_numbers(spark):
+    row = spark.createDataFrame([(7 * 2**40 + 0x102030,)], "c long").select(catalog.rgb(F.col("c")).alias("c")).select("c.*").first()
+    assert tuple(row) == (16, 32, 48)
+
+
+def test_colours_of_many_parts(spark, tmp_path):
+    from voxelframe import plans
+
+    spark.createDataFrame([(300_000,), (1,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")  # 300,000 * 7919 is no int
+    found = {r.p_partkey: (r.r, r.g, r.b) for r in plans.QUERIES["p19_colours"](spark, str(tmp_path)).collect()}
+    assert found == {k: (k * 7919 >> 16 & 255, k * 7919 >> 8 & 255, k * 7919 & 255) for k in (300_000, 1)}
+
+
 def test_eigenvectors_equal_numpys(spark):
     points = np.random.default_rng(7).integers(0, 30, (60, 3)) * [1, 2, 4]
     rows = spark.createDataFrame([("v", *map(int, p), 5) for p in points] , "volume_id string, z int, y int, x int, label int")
@@ -267,7 +291,7 @@ def test_resampling_makes_no_grid_from_one_row(spark):
     rows, s = table(spark, a.astype(float)), sizes(spark, a.shape)
     found = grid.resample(rows, s, (0.7, 2.0, 1.0), value="i")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "explode(sequence(" not in plan  # targets are made from each voxel, not from a row of sizes, which would be broadcast
+    assert "explode(sequence(0, " not in plan  # targets are made from each voxel, not from a row of sizes, which would be broadcast
     steps = [np.linspace(0, n - 1, m) for n, m in zip(a.shape, (4, 2, 5), strict=True)]
     low = [np.minimum(np.floor(p).astype(int), n - 2) for p, n in zip(steps, a.shape, strict=True)]
     want = np.zeros((4, 2, 5))

@@ -117,6 +117,14 @@ def pairs_of_view(paths: DataFrame, explicit: DataFrame | None = None, block: in
     return made if explicit is None else made.unionByName(explicit)
 
 
+def count_pairs(paths: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """(fov, pairs): how many pairs pairs_of_view() has of each view with any, from counts, without making them."""
+    own = paths if explicit is None else paths.join(explicit.select("fov").distinct(), "fov", "left_anti")
+    copies = own.where("fov IS NOT NULL AND path IS NOT NULL").groupBy("fov", "path").agg(F.count("*").alias("m"))
+    made = copies.groupBy("fov").agg(F.expr("(sum(m) * sum(m) - sum(m * m)) div 2").alias("pairs")).where("pairs > 0")
+    return made if explicit is None else made.unionByName(explicit.groupBy("fov").agg(F.count("*").alias("pairs")))
+
+
 def common_columns(frames: list[DataFrame]) -> DataFrame:
     """Rows of all frames with the columns that all have, sorted."""
     names = sorted(set.intersection(*[set(f.columns) for f in frames]))
