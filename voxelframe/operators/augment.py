@@ -28,16 +28,15 @@ def flips(rows: DataFrame, sizes: DataFrame, seed: int, key: Sequence[str] = ("v
 def shifts(rows: DataFrame, sizes: DataFrame, between: tuple[int, int], seed: int, values: list[str], key: Sequence[str] = ("volume_id",), axes: str | None = None, probability: float = 1.0) -> DataFrame:
     """Dense rows moved by one whole number from `between` along the axes given, or each axis with a chance of one half.
 
-    What leaves the volume is 0 where others came from: voxels that would fall out take the free places on the other side
-    with zeros in the columns `values`, so rows stay dense without a join.
+    What leaves the volume is 0 where others came from: each place that has a row keeps one, with zeros in the columns `values` if nothing came there.
+    What is moved to a place without a row goes. All columns but places and values say which image a row is of.
     """
     by = draws.whole(F.lit(between[0]), F.lit(between[1]), seed, "shift", *key)
     moves = draws.unit(seed, "shifted", *key) < probability
     chosen: dict[str, Column] = {c: F.lit(c in axes) if axes is not None else draws.unit(seed, f"along_{c}", *key) < 0.5 for c in "zyx"}
-    moved = _sized(rows, sizes).withColumn("_by", F.when(moves, by).otherwise(0))
-    moved = moved.withColumns({f"_to_{c}": F.col(c) + F.when(chosen[c], F.col("_by")).otherwise(0) for c in "zyx"})
-    out = F.lit(False)
-    for c in "zyx":
-        out = out | (F.col(f"_to_{c}") < 0) | (F.col(f"_to_{c}") >= F.col(f"_{c}"))
-    kept = moved.withColumns({v: F.when(out, F.lit(0)).otherwise(F.col(v)).cast(rows.schema[v].dataType) for v in values})
-    return kept.withColumns({c: F.pmod(F.col(f"_to_{c}"), F.col(f"_{c}")).cast("int") for c in "zyx"}).select(rows.columns)
+    step = rows.withColumn("_by", F.when(moves, by).otherwise(0))
+    moved = step.withColumns({c: F.col(c) + F.when(chosen[c], F.col("_by")).otherwise(0) for c in "zyx"})
+    of = [c for c in rows.columns if c not in values]
+    both = moved.select(*of, *values, F.lit(False).alias("_place")).unionByName(rows.select(*of, *[F.lit(None).cast(rows.schema[v].dataType).alias(v) for v in values], F.lit(True).alias("_place")))
+    met = both.groupBy(*of).agg(F.max("_place").alias("_place"), *[F.max(v).alias(v) for v in values])
+    return met.where("_place").select(*[F.coalesce(c, F.lit(0)).cast(rows.schema[c].dataType).alias(c) if c in values else F.col(c) for c in rows.columns])
