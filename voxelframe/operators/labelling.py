@@ -191,11 +191,11 @@ def to_binary(label: Column) -> Column:
     return (label > 0).cast("int")
 
 
-def separated(labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """labels without the voxels on borders to another label or to the background."""
+def separated(labels: DataFrame, sizes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """labels without the voxels on borders to another label or to the background; known: as for grid.label_edges()."""
     from voxelframe.operators.grid import label_edges
 
-    return labels.where("label > 0").join(label_edges(labels, sizes), AT, "left_anti")
+    return labels.where("label > 0").join(label_edges(labels, sizes, known=known), AT, "left_anti")
 
 
 def remap(rows: DataFrame, mapping: DataFrame, value: str = "label", zero_unmapped: bool = False) -> DataFrame:

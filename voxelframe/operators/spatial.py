@@ -65,28 +65,32 @@ def _lowered(batches: Iterator[pa.RecordBatch], size: float) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends - ends[0] if len(ends) else ends, pa.int32()), values.slice(int(ends[0]), int(ends[-1] - ends[0])))], batch.schema.names)
 
 
-def empty_space_distance(mask: DataFrame, vz: float, vy: float, vx: float) -> DataFrame:
+def empty_space_distance(mask: DataFrame, vz: float, vy: float, vx: float, sizes: DataFrame | None = None) -> DataFrame:
     """(volume_id, z, y, x, distance): from every voxel of a dense mask to the nearest one with `positive`, in physical units.
 
     Exact and separable: along x the nearest positive voxel of the line is found by windows; along y and then z a line is one array, and the
     lower envelope of its parabolas gives the least value plus squared step at each place. Work is linear in the voxels, and
-    each is shuffled three times. Without a positive voxel the distance is null.
+    each is shuffled three times. Without a positive voxel the distance is null. With sizes, the mask may lack voxels: distances pass
+    through their places, which get no rows.
     """
+    from voxelframe.operators.grid import completed
+
+    mask = mask.withColumn("_here", F.lit(True)) if sizes is None else completed(mask, sizes, {"positive": F.lit(False)})
     line = Window.partitionBy("volume_id", "z", "y").orderBy("x")
     here = F.when(F.col("positive"), F.col("x"))
     left = F.last(here, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(here, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
-    g = mask.select("volume_id", "z", "y", "x", F.least(F.col("x") - left, right - F.col("x")).alias("dx"))
-    found = g.select("volume_id", "z", "y", "x", F.pow(F.col("dx") * vx, F.lit(2)).alias("g"))
+    g = mask.select("volume_id", "z", "y", "x", "_here", F.least(F.col("x") - left, right - F.col("x")).alias("dx"))
+    found = g.select("volume_id", "z", "y", "x", "_here", F.pow(F.col("dx") * vx, F.lit(2)).alias("g"))
     for axis, size in (("y", vy), ("z", vz)):
         other = [c for c in ("volume_id", "z", "y", "x") if c != axis]
-        lines = found.groupBy(*other).agg(F.array_sort(F.collect_list(F.struct(axis, "g"))).alias("line"))
-        lines = lines.select(*other, F.get("line", F.lit(0))[axis].alias("first"), F.transform("line", lambda p: p["g"]).alias("g"))
+        lines = found.groupBy(*other).agg(F.array_sort(F.collect_list(F.struct(axis, "_here", "g"))).alias("line"))
+        lines = lines.select(*other, F.get("line", F.lit(0))[axis].alias("first"), F.transform("line", lambda p: p["_here"]).alias("_here"), F.transform("line", lambda p: p["g"]).alias("g"))
         schema = ", ".join(f"{c} {t}" for c, t in lines.dtypes)
         lowered = lines.mapInArrow(lambda batches, size=size: _lowered(batches, size), schema)
-        out = lowered.select(*other, "first", F.posexplode("g").alias("k", "g"))
-        found = out.select(*other, (F.col("first") + F.col("k")).cast("int").alias(axis), "g")
-    return found.select("volume_id", "z", "y", "x", F.sqrt("g").alias("distance"))
+        out = lowered.select(*other, "first", F.posexplode(F.arrays_zip("_here", "g")).alias("k", "p"))
+        found = out.select(*other, (F.col("first") + F.col("k")).cast("int").alias(axis), "p._here", "p.g")
+    return found.where("_here").select("volume_id", "z", "y", "x", F.sqrt("g").alias("distance"))
 
 
 def class_distances(labels: DataFrame, distances: DataFrame, by: list[str] | None = None) -> DataFrame:

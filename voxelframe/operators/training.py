@@ -15,9 +15,12 @@ def without_blobs(rows: DataFrame, marker: int, image: str = "i", truth: str = "
     return rows.withColumns({image: F.when(blob, 0).otherwise(F.col(image)), truth: F.when(blob, 0).otherwise(F.col(truth))})
 
 
-def with_channels(labels: DataFrame, sizes: DataFrame, top: int = 255) -> DataFrame:
-    """(volume_id, z, y, x, object, boundary): top where a label is, and where its boundary is; objects leave out boundaries."""
-    edge = grid.label_edges(labels, sizes).withColumn("boundary", F.lit(top))
+def with_channels(labels: DataFrame, sizes: DataFrame, top: int = 255, known: DataFrame | None = None) -> DataFrame:
+    """(volume_id, z, y, x, object, boundary): top where a label is, and where its boundary is; objects leave out boundaries.
+
+    known: the voxels that there are, where that is not the whole volume.
+    """
+    edge = grid.label_edges(labels, sizes, known=known).withColumn("boundary", F.lit(top))
     both = labels.where("label > 0").select(*AT, F.lit(top).alias("object")).join(edge, AT, "full").na.fill(0, ["object", "boundary"])
     return both.withColumn("object", F.when(F.col("boundary") > 0, 0).otherwise(F.col("object")))
 

@@ -21,7 +21,7 @@ ESD = "p AS (SELECT z, y, x FROM seeds), esd AS (SELECT v.volume_id, v.z, v.y, v
 def esd(v):
     on = v.seeds().withColumn("positive", F.lit(True))
     dense = v.vox().select(*AT).join(on, AT, "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-    return spatial.empty_space_distance(dense, 1.0, 0.5, 0.5)
+    return spatial.empty_space_distance(dense, 1.0, 0.5, 0.5, v.vmeta())
 
 
 @query("j15_empty_space_distance", f"{ESD} SELECT volume_id, z, y, x, round(distance, 6) AS distance FROM esd")
@@ -81,7 +81,7 @@ FOLD = "s AS (SELECT dy, dx FROM (SELECT unnest(range(-1, 2)) AS dy), (SELECT un
 
 @query("g2_box_mean", f"{FOLD} SELECT z, y, x, round(avg(i), 5) AS value FROM r GROUP BY 1, 2, 3")
 def g2(v):
-    return rounded(grid.box_mean(values(v), 1), 5).drop("volume_id")
+    return rounded(grid.box_mean(values(v), 1, sizes=v.vmeta()), 5).drop("volume_id")
 
 
 @query("g2_median", f"{FOLD} SELECT z, y, x, median(i) AS value FROM r GROUP BY 1, 2, 3")
@@ -113,12 +113,12 @@ SELECT z, y, x, round(sum(a.w * b.w * v), 5) AS value FROM near JOIN g a ON a.k
 
 @query("g2_gaussian", GAUSS_SQL)
 def g2_gaussian(v):
-    return rounded(grid.gaussian_filter(values(v), 1.0), 5).drop("volume_id")
+    return rounded(grid.gaussian_filter(values(v), 1.0, sizes=v.vmeta()), 5).drop("volume_id")
 
 
 @query("g2_edges", f"{EDGES_SQL} SELECT z, y, x, round(value, 5) + 0.0 AS value FROM edges")
 def g2_edges(v):
-    return rounded(grid.edges(values(v), 0.5), 5).drop("volume_id")
+    return rounded(grid.edges(values(v), 0.5, sizes=v.vmeta()), 5).drop("volume_id")
 
 
 @query("g2_closing", f"{CLOSING_SQL} SELECT * FROM closed")
@@ -140,7 +140,7 @@ d AS (SELECT v.z, v.y, v.x, coalesce(l.label, 0) AS label FROM vox v LEFT JOIN l
 own AS (SELECT DISTINCT a.z, a.y, a.x FROM d a JOIN d b ON a.z = b.z AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.label <> b.label WHERE a.label > 0)
 SELECT * FROM ring ANTI JOIN lab USING (z, y, x) UNION SELECT * FROM own""")
 def g3(v):
-    return grid.membrane(v.lab(), v.vmeta()).drop("volume_id")
+    return grid.membrane(v.lab(), v.vmeta(), known=v.vox()).drop("volume_id")
 
 
 @query("j24_touching_boundaries", "SELECT DISTINCT a.z, a.y, a.x FROM lab a JOIN lab b ON a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.label <> b.label")
@@ -150,7 +150,7 @@ def j24(v):
 
 @query("g8_label_edges", "d AS (SELECT v.z, v.y, v.x, coalesce(l.label, 0) AS label FROM vox v LEFT JOIN lab l USING (z, y, x)) SELECT DISTINCT a.z, a.y, a.x FROM d a JOIN d b ON a.z = b.z AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.label <> b.label")
 def g8(v):
-    return grid.label_edges(v.lab(), v.vmeta()).drop("volume_id")
+    return grid.label_edges(v.lab(), v.vmeta(), known=v.vox()).drop("volume_id")
 
 
 @query("j7_clear_dilated_blob", "s AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx)), g AS (SELECT DISTINCT z, y + dy AS y, x + dx AS x FROM lab, s WHERE label = 7) SELECT z, y, x, i FROM vox ANTI JOIN g USING (z, y, x)")

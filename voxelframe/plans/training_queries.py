@@ -122,13 +122,13 @@ EDGES = "d AS (SELECT v.z, v.y, v.x, coalesce(l.label, 0) AS label FROM vox v LE
 
 @query("p29_separated_labels", f"{EDGES} SELECT z, y, x, label, CAST(label % 256 AS INT) AS small, 1 AS lit FROM d ANTI JOIN e USING (z, y, x) WHERE label > 0")
 def p29_separated(v):
-    apart = labelling.separated(v.lab(), v.vmeta())
+    apart = labelling.separated(v.lab(), v.vmeta(), v.vox())
     return apart.select("z", "y", "x", "label", labelling.to_8bit(F.col("label")).alias("small"), labelling.to_binary(F.col("label")).alias("lit"))
 
 
 @query("p31_training_channels", f"{EDGES} SELECT count(*) FILTER (e.z IS NOT NULL) AS boundary, count(*) FILTER (e.z IS NULL AND label > 0) AS object FROM d LEFT JOIN e USING (z, y, x)")
 def p31(v):
-    return training.with_channels(v.lab(), v.vmeta()).agg(F.count_if(F.col("boundary") > 0).alias("boundary"), F.count_if(F.col("object") > 0).alias("object"))
+    return training.with_channels(v.lab(), v.vmeta(), known=v.vox()).agg(F.count_if(F.col("boundary") > 0).alias("boundary"), F.count_if(F.col("object") > 0).alias("object"))
 
 
 @query("p31_blobs_removed", "SELECT z, y, x, CASE WHEN label = 7 THEN 0 ELSE i END AS i, CASE WHEN label = 7 THEN 0 ELSE label END AS label FROM lab JOIN vox USING (volume_id, z, y, x)")
@@ -138,7 +138,7 @@ def p31_blobs(v):
 
 @query("p32_three_classes", f"{EDGES} SELECT CAST(sum(CASE WHEN e.z IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS edge, CAST(sum(CASE WHEN e.z IS NULL AND label > 0 THEN 1 ELSE 0 END) AS BIGINT) AS interior FROM d LEFT JOIN e USING (z, y, x)")
 def p32(v):
-    return training.three_classes(training.with_channels(v.lab(), v.vmeta())).agg(F.sum("edge").alias("edge"), F.sum("interior").alias("interior"))
+    return training.three_classes(training.with_channels(v.lab(), v.vmeta(), known=v.vox())).agg(F.sum("edge").alias("edge"), F.sum("interior").alias("interior"))
 
 
 @query("p33_normalised_truth", "t AS (SELECT z, y, x, CASE WHEN value = 255 THEN 255 ELSE 0 END AS value FROM msk_a) SELECT z, y, x, value / 255.0 AS value FROM t")
