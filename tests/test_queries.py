@@ -62,3 +62,13 @@ def test_query_equals_its_sql_where_a_slice_lacks_voxels(spark, ragged, name):
     names = [d[0] for d in want.description]
     rows = lambda found: sorted(tuple(map(cell, r)) for r in found)
     assert rows(plans.QUERIES[name](spark, ragged).select(names).collect()) == rows(want.fetchall())
+
+
+def test_halves_of_a_digit_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    from voxelframe.plans.measure_queries import nearest_digits
+
+    values = [0.158625, 0.153125, -0.118125, 1.005, 2.675, -0.0, 0.33304499999, *[(2 * k + 1) / 200000 for k in range(300)]]
+    found = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k int, x double").orderBy("k").select(nearest_digits("x", 5)).collect()]
+    assert found == [duckdb.execute("select round(?::double, 5) + 0.0", [x]).fetchone()[0] for x in values]

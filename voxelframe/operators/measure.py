@@ -209,8 +209,8 @@ def texture(rows: DataFrame, value: str) -> DataFrame:
 
     rows: (volume_id, label, z, y, x, value), whole values; all voxels of a cell count, with 1 at least. A cell of one slice is
     taken twice, one slice above the other. Pairs count both ways; directions without pairs are left out, and a cell
-    without any has zeros. A voxel meets at most 13 others of its cell, which bounds the join. All but the entropies and the
-    homogeneity come from sums of whole numbers, so they don't depend on the order of rows.
+    without any has zeros. A voxel meets at most 13 others of its cell, which bounds the join. All but the entropies come from
+    sums of whole numbers, or sorted ones (homogeneity), so they don't depend on the order of rows.
     """
     own = rows.select(*KEY, "z", "y", "x", F.greatest(F.col(value), F.lit(1)).cast("long").alias("g"))
     flat = own.groupBy(*KEY).agg((F.min("z") == F.max("z")).alias("flat"))
@@ -232,7 +232,7 @@ def texture(rows: DataFrame, value: str) -> DataFrame:
     log = n * F.log2(n.cast("double"))
     per = filled.groupBy(*KEY, "d").agg(
         of("joint", n).cast("double").alias("n"), of("joint", n * n).cast("double").alias("nn"), *[F.sum(c).cast("double").alias(c) for c in sums],
-        of("difference", n / (1 + F.col("k") * F.col("k"))).alias("near"), *[of(kind, log).alias(f"log_{kind}") for kind in ("joint", "sum", "difference", "margin")],
+        F.aggregate(F.array_sort(F.collect_list(F.when(F.col("kind") == "difference", F.struct("k", "n")))), F.lit(0.0), lambda s, p: s + p["n"] / (1 + p["k"] * p["k"])).alias("near"), *[of(kind, log).alias(f"log_{kind}") for kind in ("joint", "sum", "difference", "margin")],
     )
     mean, square = F.col("a1") / n, F.col("aa") / n
     entropy = {kind: F.log2(n) - F.col(f"log_{kind}") / n for kind in ("joint", "sum", "difference", "margin")}

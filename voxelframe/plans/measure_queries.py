@@ -14,6 +14,12 @@ def rounded(df, digits=6, keep=()):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
+def nearest_digits(c, digits):
+    """A double rounded as SQL's engine does: the nearest whole number of the product, halves away from zero. F.round goes by the decimal text instead."""
+    product = F.col(c) * float(10**digits)
+    return F.signum(product) * F.floor(F.abs(product) + 0.5) / float(10**digits) + 0.0
+
+
 def lit_cells(v):
     return colocate(v.lab(), v.vox())
 
@@ -132,7 +138,7 @@ def a7_majors(v):
 @query("a10_texture", f"{LIT}, {TEXTURE_SQL} SELECT label, " + ", ".join(f"round({f}, 5) + 0.0 AS {c}_{k}" for c, k, f in BOTH_OF) + " FROM st GROUP BY 1")
 def a10(v):
     t = measure.texture(lit_cells(v).withColumn("g", F.expr("1 + i div 16")), "g")
-    return t.select("label", *[(F.round(f"{c}_{k}", 5) + 0.0).alias(f"{c}_{k}") for c, k, _ in BOTH_OF])
+    return t.select("label", *[nearest_digits(f"{c}_{k}", 5).alias(f"{c}_{k}") for c, k, _ in BOTH_OF])
 
 
 @query("a18_histogram", "e AS (SELECT min(i) AS low, max(i) AS high FROM vox) SELECT CAST(least(255, floor((i - low) * 256 / (high - low))) AS INT) AS bin, low, high, count(*) AS count FROM vox, e GROUP BY 1, 2, 3")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelframe.operators import crops, grid, labelling, measure, quality, training
 from voxelframe.operators.overlap import AT, colocate
 from voxelframe.plans.grid_queries import resampled_sql
-from voxelframe.plans.measure_queries import BOTH_OF, LIT, TEXTURE_SQL, Q, moments_sql, rounded
+from voxelframe.plans.measure_queries import BOTH_OF, LIT, TEXTURE_SQL, Q, moments_sql, nearest_digits, rounded
 from voxelframe.plans.label_queries import cubes_sql
 from voxelframe.plans.registry import query
 from voxelframe.shared import new_path
@@ -212,7 +212,7 @@ SELECT s.*, r.* EXCLUDE (label), m.* EXCLUDE (label), x.* EXCLUDE (label) FROM s
 def g23(v):
     found = measure.all_features(v.lab(), {"light": v.vox()}, grey=16).drop("volume_id", "second_ratio", "first_ratio", "light_displacement_in_majors")
     textures = {f"light_{c}_{k}" for c, k, _ in BOTH_OF}
-    return found.select([(F.round(c, 5 if c in textures else 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+    return found.select([(nearest_digits(c, 5) if c in textures else F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
 @query("g5_resampled_cubes", f"{cubes_sql('vox', {'value': 'i'}, (4, 4, 4), (8, 4, 4), False)} SELECT CAST(cell AS VARCHAR) AS volume_id, z, y, x, round(value, 5) AS value FROM cubes")
